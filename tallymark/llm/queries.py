@@ -5,8 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import exact_dedup
+from . import bitplane, bpe, exact_dedup, packing
+from .common import fresh_path, written
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,8 +19,32 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
 
 
+def tokenizer_file(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op4_bitplane_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = fresh_path(spark, "planes")
+    bitplane.write_files(table(spark, sf_dir, "documents"), path, tokenizer_file("byte_bpe_50k.json"))
+    rows = written(bitplane.read_documents(spark, path).drop("ids"), "plane-rows")
+    return bitplane.with_starts(rows).select(F.col("id").alias("doc_id"), "start", "n_tokens", "ids_crc32")
+
+
+def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"))
+
+
+def op9_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.round_trip(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op4_bitplane_tokens": op4_bitplane_tokens,
+    "op6_best_fit_packing": op6_best_fit_packing,
     "op8_exact_dedup": op8_exact_dedup,
+    "op9_bpe_round_trip": op9_bpe_round_trip,
 }
 
 ORACLES: dict[str, str] = {
