@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bitplane, bpe, exact_dedup, packing
-from .common import fresh_path, written
+from . import bitplane, bpe, exact_dedup, packing, toxicity
+from .common import crc_remainder, fresh_path, written
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,6 +25,13 @@ def tokenizer_file(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    net = toxicity.train(*toxicity.labelled_sample(docs, table(spark, sf_dir, "labels")))
+    scored = toxicity.with_scores(docs, net, ["doc_id"])
+    return scored.select("doc_id", (crc_remainder(F.col("doc_id"), 4) == 2).alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
+
+
 def op4_bitplane_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = fresh_path(spark, "planes")
     bitplane.write_files(table(spark, sf_dir, "documents"), path, tokenizer_file("byte_bpe_50k.json"))
@@ -41,6 +48,7 @@ def op9_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_toxicity": op2_toxicity,
     "op4_bitplane_tokens": op4_bitplane_tokens,
     "op6_best_fit_packing": op6_best_fit_packing,
     "op8_exact_dedup": op8_exact_dedup,
