@@ -29,8 +29,8 @@ PIECE = 16
 WORD_DIM, CHAR_DIM, CHAR_HIDDEN, WORD_HIDDEN, ATTENTION = 6, 8, 12, 8, 8
 #: Bounds of the training sample: labelled documents of each label.
 SAMPLE_TOXIC, SAMPLE_CLEAN = 700, 2000
-#: Training: epochs of either kind, windows of a document in them, and more windows, drawn, of toxic documents.
-RANDOM_EPOCHS, RANDOM_WINDOWS, WORST_EPOCHS, WORST_WINDOWS, TOXIC_WINDOWS = 2, 10, 5, 2, 6
+#: Training: updates of either kind, windows of a document in them, and more windows, drawn, of toxic documents.
+RANDOM_UPDATES, RANDOM_WINDOWS, WORST_UPDATES, WORST_WINDOWS, TOXIC_WINDOWS = 650, 10, 650, 2, 6
 BATCH_WINDOWS, RATE, WORD_DROPOUT = 64, 0.01, 0.25
 THRESHOLD = 0.3
 EDGE = ".,;:!?\"'()[]{}<>«»“”‘’…-_*"
@@ -196,7 +196,7 @@ class Network:
                 out[at] = self.char_att.forward(hidden, mask)[0]
         return out
 
-    def step(self, windows: np.ndarray, words: list[str], owner: np.ndarray, label: np.ndarray, unknown: np.ndarray | None = None) -> tuple[float, dict]:
+    def step(self, windows: np.ndarray, words: list[str], owner: np.ndarray, label: np.ndarray, unknown: np.ndarray | None = None, weight: float = 1.0) -> tuple[float, dict]:
         """Loss and gradients of a batch: windows of positions in `words` (-1: none), each of a document with a label.
 
         unknown: words to take as rare ones, so that their letters must tell.
@@ -224,7 +224,7 @@ class Network:
         np.add.at(log_clean, owner, np.log1p(-np.minimum(prob, 1 - 1e-6)).astype(np.float64))
         toxic = np.maximum(-np.expm1(log_clean), 1e-6)
         loss = float(-(np.where(label > 0, np.log(toxic), log_clean)).sum())
-        dlogit = np.where(label[owner] > 0, -prob * np.exp(log_clean[owner]) / toxic[owner], prob).astype(np.float32) / len(label)
+        dlogit = np.where(label[owner] > 0, -weight * prob * np.exp(log_clean[owner]) / toxic[owner], prob).astype(np.float32) / len(label)
         grads["o"], grads["ob"] = pooled.T @ dlogit, np.array([dlogit.sum()], np.float32)
         dhidden = self.word_att.backward(dlogit[:, None] * p["o"], kept_att, grads)
         dx = self.word_gru.backward(dhidden, kept, grads) * mask[:, :, None]
@@ -263,10 +263,12 @@ def train(texts: list[str], labels: list[int], seed: int = 7) -> Network:
         return net
     first, second = ({k: np.zeros_like(v) for k, v in net.p.items()} for _ in range(2))
     examples = [(d, y) for d, y in zip(docs, labels, strict=True) if d]
-    total, count = 0, 0
-    plans = ["random"] * RANDOM_EPOCHS + ["worst"] * WORST_EPOCHS
-    per_epoch = {"random": sum(min(RANDOM_WINDOWS, -(-len(d) // WINDOW)) for d, _ in examples), "worst": sum(min(WORST_WINDOWS + y * TOXIC_WINDOWS, -(-len(d) // WINDOW)) for d, y in examples)}
-    total = sum(per_epoch[k] for k in plans) / BATCH_WINDOWS
+    count, plans = 0, []
+    for plan, updates, most, more in (("random", RANDOM_UPDATES, RANDOM_WINDOWS, 0), ("worst", WORST_UPDATES, WORST_WINDOWS, TOXIC_WINDOWS)):
+        windows = sum(min(most + y * more, -(-len(d) // WINDOW)) for d, y in examples)
+        plans += [plan] * max(1, round(updates * BATCH_WINDOWS / max(1, windows)))
+    total = RANDOM_UPDATES + WORST_UPDATES
+    weight = max(1.0, (len(labels) - sum(labels)) / sum(labels) / 3)  # of a toxic document, where few are
     for plan in plans:
         ranked = Scorer(net).ranked_windows([d for d, _ in examples]) if plan == "worst" else None
         batch: list[tuple[list[list[str]], int]] = []
@@ -293,7 +295,7 @@ def train(texts: list[str], labels: list[int], seed: int = 7) -> Network:
                     rows[k, : len(c)] = [place.setdefault(w, len(place)) for w in c]
                     owner[k] = j
                     k += 1
-            _, grads = net.step(rows, list(place), owner, np.array([y for _, y in batch]), rng.random(len(place)) < WORD_DROPOUT)
+            _, grads = net.step(rows, list(place), owner, np.array([y for _, y in batch]), rng.random(len(place)) < WORD_DROPOUT, weight)
             count += 1
             norm = np.sqrt(sum(float((g * g).sum()) for g in grads.values()))
             rate = RATE * min(1, count / 20) * max(0.05, 1 - count / (total + 1)) * np.sqrt(1 - 0.999**count) / (1 - 0.9**count)
