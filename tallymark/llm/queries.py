@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bitplane, bpe, exact_dedup, packing, toxicity
+from . import bitplane, bpe, exact_dedup, jaccard_forest, packing, toxicity
 from .common import crc_remainder, fresh_path, written
 
 
@@ -32,6 +32,10 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (crc_remainder(F.col("doc_id"), 4) == 2).alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
 
 
+def op3_jaccard_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_forest.classes(table(spark, sf_dir, "documents"))
+
+
 def op4_bitplane_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = fresh_path(spark, "planes")
     bitplane.write_files(table(spark, sf_dir, "documents"), path, tokenizer_file("byte_bpe_50k.json"))
@@ -49,6 +53,7 @@ def op9_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_toxicity": op2_toxicity,
+    "op3_jaccard_forest": op3_jaccard_forest,
     "op4_bitplane_tokens": op4_bitplane_tokens,
     "op6_best_fit_packing": op6_best_fit_packing,
     "op8_exact_dedup": op8_exact_dedup,
