@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bitplane, bpe, exact_dedup, jaccard_forest, packing, toxicity
+from . import bitplane, bpe, exact_dedup, jaccard_forest, licenses, packing, routed_search, toxicity, warc_zip
 from .common import crc_remainder, fresh_path, written
 
 
@@ -15,6 +15,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op7_routed_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return routed_search.search(vectors, vectors.where(F.col("vec_id") % 50 == 0))
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
 
@@ -25,6 +30,12 @@ def tokenizer_file(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_warc_zip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = fresh_path(spark, "warc")
+    warc_zip.write_archives(table(spark, sf_dir, "pages"), path)
+    return warc_zip.read_archives(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     net = toxicity.train(*toxicity.labelled_sample(docs, table(spark, sf_dir, "labels")))
@@ -43,6 +54,10 @@ def op4_bitplane_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bitplane.with_starts(rows).select(F.col("id").alias("doc_id"), "start", "n_tokens", "ids_crc32")
 
 
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"))
 
@@ -52,15 +67,26 @@ def op9_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_warc_zip": op1_warc_zip,
     "op2_toxicity": op2_toxicity,
     "op3_jaccard_forest": op3_jaccard_forest,
     "op4_bitplane_tokens": op4_bitplane_tokens,
+    "op5_license_scan": op5_license_scan,
     "op6_best_fit_packing": op6_best_fit_packing,
+    "op7_routed_search": op7_routed_search,
     "op8_exact_dedup": op8_exact_dedup,
     "op9_bpe_round_trip": op9_bpe_round_trip,
 }
 
 ORACLES: dict[str, str] = {
+    "op1_warc_zip": """
+        with p as (select page_id, octet_length(encode(coalesce(html, ''))) as n, coalesce(html, '') as h from pages),
+        k as (select *, case when n >= 1000 then max(page_id) over (partition by h) end as first from p)
+        select page_id, n as payload_bytes, sha1(h) as payload_digest,
+               case when first is not null and page_id <> first then 'revisit' else 'response' end as record_type,
+               case when page_id <> first then first end as refers_to
+        from k""",
+    "op5_license_scan": licenses.oracle(),
     "op8_exact_dedup": """
         select doc_id, max(doc_id) over (partition by coalesce(text, '')) as keep_id,
                count(*) over (partition by coalesce(text, '')) as group_size,
