@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bitplane, bpe, exact_dedup, jaccard_forest, licenses, packing, routed_search, toxicity, warc_zip
+from . import bitplane, bpe, exact_dedup, jaccard_forest, licenses, packing, quote_links, routed_search, toxicity, warc_zip
 from .common import crc_remainder, fresh_path, written
 
 
@@ -66,6 +66,10 @@ def op9_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"))
 
 
+def op10_quote_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quote_links.link(table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc_zip": op1_warc_zip,
     "op2_toxicity": op2_toxicity,
@@ -76,6 +80,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_routed_search": op7_routed_search,
     "op8_exact_dedup": op8_exact_dedup,
     "op9_bpe_round_trip": op9_bpe_round_trip,
+    "op10_quote_links": op10_quote_links,
 }
 
 ORACLES: dict[str, str] = {
