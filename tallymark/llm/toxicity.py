@@ -30,7 +30,7 @@ WORD_DIM, CHAR_DIM, CHAR_HIDDEN, WORD_HIDDEN, ATTENTION = 6, 8, 12, 8, 8
 #: Bounds of the training sample: labelled documents of each label.
 SAMPLE_TOXIC, SAMPLE_CLEAN = 700, 2000
 #: Training: updates of either kind, windows of a document in them, and more windows, drawn, of toxic documents.
-RANDOM_UPDATES, RANDOM_WINDOWS, WORST_UPDATES, WORST_WINDOWS, TOXIC_WINDOWS = 650, 10, 650, 2, 6
+RANDOM_UPDATES, RANDOM_WINDOWS, WORST_UPDATES, WORST_WINDOWS, TOXIC_WINDOWS = 550, 10, 750, 2, 6
 BATCH_WINDOWS, RATE, WORD_DROPOUT = 64, 0.01, 0.25
 THRESHOLD = 0.3
 EDGE = ".,;:!?\"'()[]{}<>«»“”‘’…-_*"
@@ -64,50 +64,52 @@ class Gru:
                 params[f"{name}U{d}"] = rng.normal(0, 1 / np.sqrt(hidden), (hidden, 3 * hidden)).astype(np.float32)
                 params[f"{name}b{d}"] = np.zeros(3 * hidden, np.float32)
 
-    def forward(self, x: np.ndarray, mask: np.ndarray) -> tuple[np.ndarray, list]:
+    def forward(self, x: np.ndarray, mask: np.ndarray) -> tuple[np.ndarray, tuple]:
+        """Both directions run together, the backward one over reversed time."""
         steps, n, _ = x.shape
-        h = self.h
-        out, kept = np.zeros((steps, n, 2 * h), np.float32), []
-        for k, d in enumerate("fb"):
-            gates = x @ self.p[f"{self.name}W{d}"] + self.p[f"{self.name}b{d}"]
-            u, state = self.p[f"{self.name}U{d}"], np.zeros((n, h), np.float32)
-            saved = []
-            for t in range(steps) if d == "f" else range(steps - 1, -1, -1):
-                recurrent = state @ u
-                zr = sigmoid(gates[t, :, : 2 * h] + recurrent[:, : 2 * h])
-                z, r = zr[:, :h], zr[:, h:]
-                new = np.tanh(gates[t, :, 2 * h :] + r * recurrent[:, 2 * h :])
-                m = mask[t][:, None]
-                saved.append((t, state, z, r, new, recurrent[:, 2 * h :], m))
-                state = m * ((1 - z) * new + z * state) + (1 - m) * state
-                out[t, :, k * h : (k + 1) * h] = state
-            kept.append(saved)
-        return out, [x, kept]
-
-    def backward(self, dout: np.ndarray, cache: list, grads: dict) -> np.ndarray:
-        x, kept = cache
+        h, p, name = self.h, self.p, self.name
+        gates = np.stack([x @ p[f"{name}Wf"] + p[f"{name}bf"], (x @ p[f"{name}Wb"] + p[f"{name}bb"])[::-1]])
+        masks = np.stack([mask, mask[::-1]])[..., None]
+        u = np.stack([p[f"{name}Uf"], p[f"{name}Ub"]])
+        states = np.zeros((steps + 1, 2, n, h), x.dtype)
+        kept = np.empty((steps, 4, 2, n, h), x.dtype)  # z, r, new, what the state gives to new
+        for t in range(steps):
+            state = states[t]
+            recurrent = state @ u
+            zr = sigmoid(gates[:, t, :, : 2 * h] + recurrent[..., : 2 * h])
+            z, r = zr[..., :h], zr[..., h:]
+            new = np.tanh(gates[:, t, :, 2 * h :] + r * recurrent[..., 2 * h :])
+            kept[t, 0], kept[t, 1], kept[t, 2], kept[t, 3] = z, r, new, recurrent[..., 2 * h :]
+            states[t + 1] = state + masks[:, t] * (1 - z) * (new - state)
+        out = np.concatenate([states[1:, 0], states[1:, 1][::-1]], axis=2)
+        return out, (x, masks, u, states, kept)
+
+    def backward(self, dout: np.ndarray, cache: tuple, grads: dict) -> np.ndarray:
+        x, masks, u, states, kept = cache
         steps, n, inputs = x.shape
-        h = self.h
+        h, p, name = self.h, self.p, self.name
+        douts = np.stack([dout[..., :h], dout[..., h:][::-1]])
+        dgates, drec = np.empty((2, steps, n, 3 * h), x.dtype), np.empty((2, steps, n, 3 * h), x.dtype)
+        turned, dstate = np.swapaxes(u, 1, 2), np.zeros((2, n, h), x.dtype)
+        for t in range(steps - 1, -1, -1):
+            z, r, new, rec_n = kept[t]
+            total = dstate + douts[:, t]
+            dh = total * masks[:, t]
+            dnew = dh * (1 - z)
+            dz = dnew * (states[t] - new) * z
+            dnew = dnew * (1 - new * new)
+            dgates[:, t, :, :h] = drec[:, t, :, :h] = dz
+            dgates[:, t, :, h : 2 * h] = drec[:, t, :, h : 2 * h] = dnew * rec_n * r * (1 - r)
+            dgates[:, t, :, 2 * h :] = dnew
+            drec[:, t, :, 2 * h :] = dnew * r
+            dstate = total - dh * (1 - z) + drec[:, t] @ turned
         dx = np.zeros_like(x)
         for k, d in enumerate("fb"):
-            u = self.p[f"{self.name}U{d}"]
-            dgates, drec, states = np.zeros((steps, n, 3 * h), np.float32), np.empty((steps, n, 3 * h), np.float32), np.empty((steps, n, h), np.float32)
-            dstate = np.zeros((n, h), np.float32)
-            for t, state, z, r, new, rec_n, m in reversed(kept[k]):
-                total = dstate + dout[t, :, k * h : (k + 1) * h]
-                dh = total * m
-                dnew = dh * (1 - z) * (1 - new * new)
-                dz = dh * (state - new) * z * (1 - z)
-                dr = dnew * rec_n * r * (1 - r)
-                dgates[t] = np.concatenate([dz, dr, dnew], axis=1)
-                drec[t] = np.concatenate([dz, dr, dnew * r], axis=1)
-                states[t] = state
-                dstate = total * (1 - m) + dh * z + drec[t] @ u.T
-            flat = dgates.reshape(-1, 3 * h)
-            grads[f"{self.name}U{d}"] = states.reshape(-1, h).T @ drec.reshape(-1, 3 * h)
-            grads[f"{self.name}W{d}"] = x.reshape(-1, inputs).T @ flat
-            grads[f"{self.name}b{d}"] = flat.sum(0)
-            dx += (flat @ self.p[f"{self.name}W{d}"].T).reshape(x.shape)
+            flat = (dgates[0] if k == 0 else dgates[1][::-1]).reshape(-1, 3 * h)
+            grads[f"{name}U{d}"] = states[:-1, k].reshape(-1, h).T @ drec[k].reshape(-1, 3 * h)
+            grads[f"{name}W{d}"] = x.reshape(-1, inputs).T @ flat
+            grads[f"{name}b{d}"] = flat.sum(0)
+            dx += (flat @ p[f"{name}W{d}"].T).reshape(x.shape)
         return dx
 
 
@@ -182,7 +184,7 @@ class Network:
     def by_length(self, words: list[str]) -> list[tuple[np.ndarray, int]]:
         """Words in a few groups of similar length, so that little is padding."""
         lengths = np.array([len(w) for w in words])
-        edges = [0, 4, 7, 10, PIECE]
+        edges = [0, 6, 10, PIECE]
         return [(at, high) for low, high in zip(edges, edges[1:], strict=False) if len(at := np.flatnonzero((lengths > low) & (lengths <= high)))]
 
     def char_vectors(self, words: list[str]) -> np.ndarray:
