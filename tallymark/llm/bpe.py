@@ -15,20 +15,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tokenization import CHUNK, ODD, Chunks
+from .tokenization import CHUNK, ODD, WORD, Chunks, byte_letters
 
 #: White space as Unicode has it, and how a byte-level tokenizer cuts a text.
-SPACE = r"\t-\r \x85\xa0  -     　"
+SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^@\p{L}\p{N}]+|[@]+(?![^@])|[@]+".replace("@", SPACE)
 
 
-def byte_letters() -> list[str]:
-    """The visible letter that stands for each byte: itself if it is visible in Latin-1, else the next one from U+0100."""
-    shown = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
-    spare = iter(range(0x100, 0x200))
-    return [chr(b) if b in shown else chr(next(spare)) for b in range(256)]
-
-
 class ByteBpe:
     def __init__(self, path: str):
         import regex
@@ -78,7 +71,7 @@ class ByteBpe:
 
     def _chunk(self, chunk: str) -> bytes:
         out = bytearray()
-        for word in self.words.findall(chunk):
+        for word in [chunk] if WORD.fullmatch(chunk) else self.words.findall(chunk):
             for i in self.merge([self.of_byte[b] for b in word.encode()]):
                 out += i.to_bytes(4, "little")
         return bytes(out)
