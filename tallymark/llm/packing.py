@@ -2,9 +2,10 @@
 
 Texts become pieces of at most `capacity` tokens; only longer documents are cut. Full pieces are sequences by
 themselves. The others are dealt evenly over partitions, each packed best-fit decreasing. Dual feasible functions give
-each partition a lower bound of its bins: at the bound it is certified and done. A partition with a gap gives the
-documents of its emptiest bins away; what all partitions gave is dealt anew over fewer partitions and packed again,
-until no gap is left or a round doesn't save a bin.
+each partition a lower bound of its bins, and one of all. Where all bins together are at their bound, all is certified
+and done. Else partitions exchange documents: each gives those of its emptiest bins away, more of them the larger its
+gap; what all gave is dealt anew over fewer partitions and packed again, until the bound is met, a round saves no
+bin, or one partition is left.
 
 Null texts count as empty: one piece, the end id. Repeated rows are packed each for itself. Ties among bins go to the
 bin opened first, among pieces to the smaller id.
@@ -32,9 +33,13 @@ MOST_ROUNDS = 8
 
 def lower_bound(lengths: np.ndarray, capacity: int) -> int:
     """The best of the bounds that dual feasible functions give: no packing has fewer bins."""
-    if not len(lengths):
+    return bound_of_counts(np.bincount(lengths, minlength=capacity + 1).astype(np.int64), capacity)
+
+
+def bound_of_counts(count: np.ndarray, capacity: int) -> int:
+    """The same, from the number of pieces of each length."""
+    if not count.any():
         return 0
-    count = np.bincount(lengths, minlength=capacity + 1).astype(np.int64)
     size = np.arange(capacity + 1, dtype=np.int64)
     best = -(-int((count * size).sum()) // capacity)
     tail = np.cumsum(count[::-1])[::-1]  # pieces of at least this length
@@ -101,7 +106,10 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = CAPACIT
 
 
 def _packer(capacity: int, stage: int, last: bool):
-    """Packs one partition. With a gap and rounds left, the emptiest bins are given away (sequence_id null)."""
+    """Packs one partition and marks the bins to give away: the emptiest, whose free space is the gap and one bin more.
+
+    A partition at its bound gives as much as one bin: bounds of partitions add up to more than the bound of all.
+    """
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["length", "id", "piece", "start", "ids_crc32"], ascending=[False, True, True, True, True], kind="stable").reset_index(drop=True)
@@ -118,7 +126,7 @@ def _packer(capacity: int, stage: int, last: bool):
         rows["sequence_id"] = (stage << 56) + (int(rows["_part"].iloc[0]) << 24) + bins
         gap = n_bins - lower_bound(lengths, capacity)
         rows["given"] = False
-        if gap > 0 and not last:
+        if not last:
             filled = np.bincount(bins, weights=lengths, minlength=n_bins)
             emptiest = np.argsort(filled, kind="stable")
             waste = np.cumsum(capacity - filled[emptiest])
@@ -137,7 +145,11 @@ def pack(found: DataFrame, capacity: int = CAPACITY, part_pieces: int = PART_PIE
     schema = f"id {kind}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long, given boolean"
     done = [found.where("sequence_id is not null").withColumn("offset", F.lit(0).cast("long")).select(columns)]
     open_pieces = found.where("sequence_id is null")
-    n, bins_before, given = open_pieces.count(), None, None
+    counts = np.zeros(capacity + 1, np.int64)
+    for r in open_pieces.groupBy("length").agg(F.count("*").alias("c")).collect():  # a row for each length at most
+        counts[r["length"]] = r["c"]
+    n, settled, bound = int(counts.sum()), 0, bound_of_counts(counts, capacity)
+    bins_before, given = None, None
     for stage in range(1, most_rounds + 1):
         if not n:
             break
@@ -150,9 +162,10 @@ def pack(found: DataFrame, capacity: int = CAPACITY, part_pieces: int = PART_PIE
         if bins_before is not None and one["bins"] > bins_before:  # the earlier packing of these pieces was better
             done.append(given.select(columns))
             break
-        if last or not one["given"] or one["bins"] == bins_before:
+        if last or not one["given"] or one["bins"] == bins_before or settled + one["bins"] == bound:
             done.append(packed.select(columns))
             break
+        settled += one["bins"] - one["given_bins"]
         done.append(packed.where("not given").select(columns))
         given = packed.where("given")
         open_pieces = given.drop("given", "offset").withColumn("sequence_id", F.lit(None).cast("long"))
