@@ -96,16 +96,16 @@ def quoted_replies(marked: DataFrame) -> DataFrame:
 
 
 def reply_order(parents: DataFrame) -> DataFrame:
-    """_conv, _turn, reply -> with root and depth: jumps double until every message has met its thread's first."""
-    state = written(parents.select("_conv", "_turn", F.col("reply").alias("_up"), F.when(F.col("reply").isNull(), F.lit(0)).otherwise(1).cast("long").alias("depth")), "threads")
-    while True:
-        above = state.select("_conv", F.col("_turn").alias("_up"), F.col("_up").alias("_next"), F.col("depth").alias("_more"))
-        jumped = state.join(above, ["_conv", "_up"], "left")
-        further = F.col("_next").isNotNull()
-        state = written(jumped.select("_conv", "_turn", F.when(further, F.col("_next")).otherwise(F.col("_up")).alias("_up"), F.when(further, F.col("depth") + F.col("_more")).otherwise(F.col("depth")).alias("depth"), further.alias("_moved")), "threads")
-        if not state.where("_moved").limit(1).count():
-            return state.select("_conv", "_turn", F.coalesce("_up", "_turn").alias("root"), "depth")
-        state = state.drop("_moved")
+    """_conv, _turn, reply -> root and depth. Jumps double, and only messages that haven't met their thread's first go on."""
+    done = parents.where("reply is null").select("_conv", "_turn", F.col("_turn").alias("root"), F.lit(0).cast("long").alias("depth"))
+    going = written(parents.where("reply is not null").select("_conv", "_turn", F.col("reply").alias("_up"), F.lit(1).cast("long").alias("depth")), "threads")
+    while going.limit(1).count():
+        met = done.select("_conv", F.col("_turn").alias("_up"), F.col("root").alias("_root"), F.lit(None).cast(parents.schema["_turn"].dataType).alias("_next"), F.col("depth").alias("_more"))
+        above = met.unionByName(going.select("_conv", F.col("_turn").alias("_up"), F.lit(None).cast(parents.schema["_turn"].dataType).alias("_root"), F.col("_up").alias("_next"), F.col("depth").alias("_more")))
+        jumped = written(going.join(above, ["_conv", "_up"]).select("_conv", "_turn", "_root", F.col("_next").alias("_up"), (F.col("depth") + F.col("_more")).alias("depth")), "threads")
+        done = done.unionByName(jumped.where("_root is not null").select("_conv", "_turn", F.col("_root").alias("root"), "depth"))
+        going = jumped.where("_root is null").drop("_root")
+    return done
 
 
 def link(messages: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", text_col: str = "text") -> DataFrame:
