@@ -373,3 +373,69 @@ def object_assignment(t: Tables) -> DataFrame:
     w = Window.partitionBy("p_type").orderBy("p_size", "pred")
     pairs = sized.withColumn("gold", F.lead("pred").over(w)).where("gold is not null").withColumn("score", (50 - F.col("p_size")).cast("long")).select("p_type", "pred", "gold", "score")
     return scoring.greedy_one_to_one(pairs, ["p_type"], "pred", "gold", "score")
+
+
+@query("""
+    with n as (select doc_id, cast(n_chars as double) as gold, case when doc_id % 4 = 0 then 'table' when doc_id % 4 = 1 then 'text' else 'none' end as kind from documents)
+    select doc_id, kind from n""")
+def extractability(t: Tables) -> DataFrame:
+    from .package import extractable
+
+    gold = t.documents.select("doc_id", F.lit("n_chars").alias("field"), F.col("n_chars").cast("double").alias("value"))
+    place = lambda k: gold.where(F.col("doc_id") % 4 == k).select("doc_id", "value")
+    return extractable(gold, place(0), place(1)).select("doc_id", F.col("where").alias("kind"))
+
+
+@query("""
+    with f as (select o_custkey as package_id, o_orderkey as file_no, case when o_orderkey % 7 = 0 then '1-URGENT' else o_orderpriority end as section, case when o_orderkey % 7 = 0 then 'user' else 'title' end as how from orders)
+    select package_id, file_no, section, how, row_number() over (partition by package_id, section order by file_no) = 1 and section <> 'unknown' as used from f""")
+def chosen_files(t: Tables) -> DataFrame:
+    from .package import chosen_files as choose
+
+    files = t.orders.select(F.col("o_custkey").alias("package_id"), F.col("o_orderkey").alias("file_no"), F.col("o_orderkey").cast("string").alias("name"), F.col("o_orderpriority").alias("section"), F.lit("title").alias("how"))
+    overrides = files.where("file_no % 7 = 0").select("package_id", "name", F.lit("1-URGENT").alias("section"))
+    return choose(files, overrides).select("package_id", "file_no", "section", "how", "used")
+
+
+@query("""
+    with s as (select doc_id, lang from documents), k as (select doc_id % 50 as package_id, lang from s)
+    select package_id, case when count(distinct lang) = 1 then min(lang) else 'mixed' end as lang from k group by 1""")
+def package_language(t: Tables) -> DataFrame:
+    rows = t.documents.select((F.col("doc_id") % 50).alias("package_id"), "lang")
+    return rows.groupBy("package_id").agg(F.when(F.count_distinct("lang") == 1, F.min("lang")).otherwise("mixed").alias("lang"))
+
+
+@query("""select p_partkey, lower(p_brand) as brand, substr(lower(p_brand), 1, greatest(3, least(7, length(p_brand) - 2))) as stem from part""")
+def word_stems(t: Tables) -> DataFrame:
+    return t.part.select("p_partkey", F.lower("p_brand").alias("brand"), S.stem("p_brand").alias("stem"))
+
+
+@query("""select page_id, list_extract(string_split(regexp_replace(url, '[?#].*$', ''), '/'), -1) as name, substr(sha1(url), 1, 20) as key from pages""")
+def object_keys(t: Tables) -> DataFrame:
+    return t.pages.select("page_id", S.path_name(F.regexp_replace("url", r"[?#].*$", "")).alias("name"), F.substring(F.sha1("url"), 1, 20).alias("key"))
+
+
+@query("""
+    select user_id, count(*) filter (event_type = 'purchase') as reviewed, count(*) as to_review, round(count(*) filter (event_type = 'purchase') / count(*), 4) as progress from events group by 1""")
+def review_progress(t: Tables) -> DataFrame:
+    done = F.count_if(F.col("event_type") == "purchase")
+    return t.events.groupBy("user_id").agg(done.alias("reviewed"), F.count("*").alias("to_review"), F.round(done / F.count("*"), 4).alias("progress"))
+
+
+@query("""
+    with e as (select user_id % 20 as k, event_type as t from events where event_id % 2 = 0), g as (select user_id % 20 as k, event_type as t from events where event_id % 2 = 1)
+    select t as type, count(*) filter (w and h) as tp, count(*) filter (h and not w) as fp, count(*) filter (w and not h) as fn
+    from (select coalesce(a.k, b.k) as k, coalesce(a.t, b.t) as t, a.k is not null as w, b.k is not null as h from (select distinct * from e where k % 3 <> 0) a full join (select distinct * from g where k % 5 <> 0) b on a.k = b.k and a.t = b.t) group by 1""")
+def by_type(t: Tables) -> DataFrame:
+    side = lambda r, m: t.events.where((F.col("event_id") % 2 == r) & (F.col("user_id") % 20 % m != 0)).select((F.col("user_id") % 20).alias("k"), F.col("event_type").alias("type"))
+    return scoring.slot_counts(side(0, 3), side(1, 5), ["k", "type"]).groupBy("type").agg(*[F.sum(c).alias(c) for c in ("tp", "fp", "fn")])
+
+
+@query()
+def fixture_findings(t: Tables) -> DataFrame:
+    """The findings of 200 generated packages, in report order."""
+    from . import fixtures, package
+
+    said = fixtures.statements(fixtures.packages(t.spark, 200))
+    every = package.compared_findings(said).unionByName(package.missing_findings(said, fixtures.mandatory(t.spark), said.select("package_id", "section").distinct()))
+    return package.report(every)
