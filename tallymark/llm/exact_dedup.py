@@ -58,7 +58,7 @@ def _first(ids: list, uids: list, members: list[int]) -> int:
     return max(members, key=lambda i: (ids[i] is not None, ids[i] if ids[i] is not None else 0, -uids[i]))
 
 
-def _local(id_col: str, schema: pa.Schema):
+def _local(id_col: str):
     """Rows with `_uid`, `_rep` (the uid of the local representative), and, for representatives, `_text` and `_n`."""
 
     def flush(tables: list[pa.RecordBatch], start: int) -> pa.RecordBatch:
@@ -97,26 +97,22 @@ def _local(id_col: str, schema: pa.Schema):
 def _global(id_col: str, carried: list[str], whole_rows: bool):
     """Ends the recursion inside buckets; rows come sorted by bucket."""
 
-    def close(groups: dict) -> pa.RecordBatch:
-        out: dict[str, list] = {"_rep": [], "_keep_uid": [], "keep_id": [], "group_size": [], "text_sha256": []} if not whole_rows else {}
+    def keeper(members: list[tuple]) -> tuple:
+        return max(members, key=lambda m: (m[1] is not None, m[1] if m[1] is not None else 0, -m[0]))
+
+    def kept_rows(groups: list[tuple]) -> pa.RecordBatch:
+        rows = [keeper(members)[3] for _, members in groups]
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(type_of)], names=carried)
+
+    def decisions(groups: list[tuple]) -> pa.RecordBatch:
         rows = []
         for text, members in groups:
-            keep = max(members, key=lambda m: (m[1] is not None, m[1] if m[1] is not None else 0, -m[0]))
-            size = sum(m[2] for m in members)
-            if whole_rows:
-                rows.append((keep[3], text))
-                continue
-            digest = hashlib.sha256(text).hexdigest()
-            for m in members:
-                out["_rep"].append(m[0])
-                out["_keep_uid"].append(keep[0])
-                out["keep_id"].append(keep[1])
-                out["group_size"].append(size)
-                out["text_sha256"].append(digest)
-        if whole_rows:
-            return rows
-        types = {"_rep": pa.int64(), "_keep_uid": pa.int64(), "keep_id": pa.int64(), "group_size": pa.int64(), "text_sha256": pa.string()}
-        return pa.RecordBatch.from_arrays([pa.array(v, types[k]) for k, v in out.items()], names=list(out))
+            keep, size, digest = keeper(members), sum(m[2] for m in members), hashlib.sha256(text).hexdigest()
+            rows += [(m[0], keep[0], keep[1], size, digest) for m in members]
+        kinds = {"_rep": pa.int64(), "_keep_uid": pa.int64(), "keep_id": pa.int64(), "group_size": pa.int64(), "text_sha256": pa.string()}
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds.values(), strict=True)], names=list(kinds))
+
+    type_of: list[pa.DataType] = []
 
     def collapse(texts: list[bytes], members: list[list]) -> tuple[list[bytes], list[list]]:
         merged_texts, merged = [], []
@@ -129,18 +125,12 @@ def _global(id_col: str, carried: list[str], whole_rows: bool):
         texts: list[bytes] = []
         members: list[list] = []
         size, last, floor = 0, None, FLUSH_BYTES
-        rest: dict[int, tuple] = {}
 
-        def finish():
-            made = close(list(zip(*collapse(texts, members), strict=True)))
-            if not whole_rows:
-                return made
-            names = carried
-            return pa.RecordBatch.from_arrays([pa.array([row[i] for row, _ in made], type_of[i]) for i in range(len(names))], names=names)
+        def finish() -> pa.RecordBatch:
+            return (kept_rows if whole_rows else decisions)(list(zip(*collapse(texts, members), strict=True)))
 
-        type_of: list[pa.DataType] = []
         for batch in batches:
-            type_of = [batch.schema.field(c).type for c in carried] if whole_rows else []
+            type_of[:] = [batch.schema.field(c).type for c in carried] if whole_rows else []
             cols = {n: batch.column(n).to_pylist() for n in ("_bucket", "_uid", "_text", "_n", id_col)}
             other = list(zip(*[batch.column(c).to_pylist() for c in carried], strict=True)) if whole_rows else [None] * batch.num_rows
             for bucket, uid, text, n, key, row in zip(*cols.values(), other, strict=True):
@@ -192,7 +182,7 @@ def _representatives(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataF
     others = [c for c in docs.columns if c != text_col]
     source = docs.select(*[F.col(f"`{c}`") for c in others], F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("_text"), F.col(text_col).isNull().alias("_null"))
     schema = T.StructType([f for f in source.schema.fields if f.name != "_text"] + [T.StructField("_uid", T.LongType()), T.StructField("_rep", T.LongType()), T.StructField("_text", T.BinaryType()), T.StructField("_n", T.LongType())])
-    return written(source.mapInArrow(_local(id_col, None), schema), "radix"), others
+    return written(source.mapInArrow(_local(id_col), schema), "radix"), others
 
 
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
