@@ -89,9 +89,10 @@ def site_vs_building(site: DataFrame, building: DataFrame, site_key: str, buildi
 
 def parameter_contradiction(own: DataFrame, general: DataFrame, key: str, material: str, width: str, slack: float = 0.01) -> DataFrame:
     """Objects whose statements, with the general ones, name several materials or widths further apart than the slack."""
-    together = own.select(key, material, width).unionByName(own.select(key).distinct().crossJoin(F.broadcast(general.select(material, width))))
-    found = together.groupBy(key).agg(F.sort_array(F.collect_set(material)).alias("_m"), F.max(width).alias("widest"), F.min(width).alias("narrowest"))
-    return found.where((F.size("_m") > 1) | (F.col("widest") - F.col("narrowest") > slack * F.col("widest"))).select(key, F.array_join("_m", ", ").alias("materials"), "narrowest", "widest")
+    shared = general.agg(F.collect_set(material).alias("_gm"), F.max(width).alias("_gw"), F.min(width).alias("_gn"))  # one row
+    mine = own.groupBy(key).agg(F.collect_set(material).alias("_m"), F.max(width).alias("_w"), F.min(width).alias("_n"))
+    both = mine.join(F.broadcast(shared), F.lit(True)).select(key, F.sort_array(F.array_union("_m", "_gm")).alias("_m"), F.least("_n", "_gn").alias("narrowest"), F.greatest("_w", "_gw").alias("widest"))
+    return both.where((F.size("_m") > 1) | (F.col("widest") - F.col("narrowest") > slack * F.col("widest"))).select(key, F.array_join("_m", ", ").alias("materials"), "narrowest", "widest")
 
 
 def smaller_than_axes(axes: DataFrame, areas: DataFrame, key: str, kind: str = "geometry") -> DataFrame:

@@ -81,6 +81,14 @@ def rolling_count(df: DataFrame, keys: list[str], ts: str, seconds: int, name: s
     return df.withColumn(name, F.count("*").over(w))
 
 
-def numbered(df: DataFrame, order: list, prefix: str, name: str = "id", start: int = 1) -> DataFrame:
-    """Ids P1, P2, ... in an order over all rows; for findings, of which there are few."""
-    return df.withColumn(name, F.concat(F.lit(prefix), (F.row_number().over(Window.orderBy(*order)) + (start - 1)).cast("string")))
+def numbered(df: DataFrame, group: Column, value: str, name: str = "number", width: int = 65_536) -> DataFrame:
+    """Numbers 1, 2, ... over all rows in order of group and a whole-number column, without one task sorting them all.
+
+    Values are cut into ranges; rows are numbered inside a range, and a range begins where those before it end. Only
+    the table of ranges, smaller by the width, passes one task. Rows of equal group and value are numbered in any order.
+    """
+    ranged = df.withColumn("_group", group).withColumn("_range", F.floor(F.col(value) / width))
+    before = Window.orderBy("_group", "_range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = ranged.groupBy("_group", "_range").agg(F.count("*").alias("_rows")).withColumn("_start", F.coalesce(F.sum("_rows").over(before), F.lit(0))).drop("_rows")
+    inside = F.row_number().over(Window.partitionBy("_group", "_range").orderBy(value))
+    return ranged.withColumn("_inside", inside).join(starts, ["_group", "_range"]).withColumn(name, F.col("_start") + F.col("_inside")).drop("_group", "_range", "_inside", "_start")

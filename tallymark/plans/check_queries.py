@@ -200,7 +200,7 @@ FINDINGS = STATED + f""", f as (
 
 @query(FINDINGS + " select 'P' || row_number() over (order by type, object) as id, type, object, delta_rel from f")
 def findings_union(t: Tables) -> DataFrame:
-    return ordered.numbered(findings(t), ["type", "object"], "P").select("id", "type", "object", "delta_rel")
+    return ordered.numbered(findings(t), F.col("type"), "object").select(F.concat(F.lit("P"), F.col("number")).alias("id"), "type", "object", "delta_rel")
 
 
 def findings(t: Tables) -> DataFrame:
@@ -222,7 +222,7 @@ def filter_findings(t: Tables) -> DataFrame:
 @query(STATED + f", v as (select k, {sql_matches('stated', 'rows_sum', 'cross_section')} as ok from stated) select k, case when ok then 'MATCH' else 'MISMATCH' end as verdict, row_number() over (order by ok, k) as sheet_row from v")
 def export_sheet(t: Tables) -> DataFrame:
     v = checks.compare(stated(t), "stated", "rows_sum", "cross_section").select("k", "verdict")
-    return ordered.numbered(v, [F.col("verdict") == "MATCH", "k"], "", "sheet_row").withColumn("sheet_row", F.col("sheet_row").cast("int"))
+    return ordered.numbered(v, F.col("verdict") == "MATCH", "k", "sheet_row")
 
 
 @query("""

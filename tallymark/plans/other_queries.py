@@ -225,9 +225,20 @@ def one_edit_pairs(t: Tables) -> DataFrame:
 @query("""
     select doc_id, item_id, cast((length(d.text) - length(replace(d.text, b.text, ''))) / length(b.text) as bigint) as n from documents d join benchmark b on contains(d.text, b.text)""")
 def quote_check(t: Tables) -> DataFrame:
-    """Quotes are anchored on their first words: documents are scanned once, only runs that begin a quote are compared."""
-    quotes = t.benchmark.select("item_id", F.col("text").alias("quote"))
-    hits = t.documents.join(F.broadcast(quotes), F.col("text").contains(F.col("quote")))
+    """Quotes anchor on four words of their own: runs of words of documents meet them by hash, then text decides.
+
+    A quote may begin and end inside a word of the text, so its first word is no part of the anchor. Quotes of fewer
+    than six words have none and are compared with every text.
+    """
+    words = lambda c: F.split(c, " ")
+    quotes = t.benchmark.select("item_id", F.col("text").alias("quote"), words("text").alias("w"))
+    anchored = quotes.where(F.size("w") >= 6).select("item_id", "quote", F.xxhash64(F.array_join(F.slice("w", 2, 4), " ")).alias("anchor"))
+    runs = F.transform(F.sequence(F.lit(1), F.size("w") - 3), lambda i: F.xxhash64(F.array_join(F.slice("w", i, 4), " ")))
+    texts = t.documents.select("doc_id", words("text").alias("w")).where(F.size("w") >= 4)
+    met = texts.select("doc_id", F.explode(F.array_distinct(runs)).alias("anchor")).join(anchored.select("item_id", "anchor"), "anchor").select("doc_id", "item_id").distinct()
+    near = met.join(t.documents.select("doc_id", "text"), "doc_id").join(anchored.select("item_id", "quote"), "item_id")
+    short = t.documents.select("doc_id", "text").join(quotes.where(F.size("w") < 6).select("item_id", "quote"), F.col("text").contains(F.col("quote")))
+    hits = near.where(F.col("text").contains(F.col("quote"))).select("doc_id", "item_id", "text", "quote").unionByName(short.select("doc_id", "item_id", "text", "quote"))
     return hits.select("doc_id", "item_id", S.occurrences("text", "quote").alias("n"))
 
 
