@@ -5,11 +5,10 @@ with equal sets share one representative. A representative's signature is dealt
 of its part of the signatures, a prefix trie. Documents that share a prefix are candidates: prefixes begin at full
 depth and are shortened until the probability that two texts at the threshold meet in some tree reaches the target.
 
-A small node of a tree gives all of its few pairs. In a crowded one, sorted by the rest of the prefix, every document
-is paired with its next neighbours in some early trees only, so work grows with the documents and not with pairs.
-Candidates are verified on their whole shingle sets. Then, in crowded nodes, documents that verified links haven't yet
-joined are compared across the parts, and only those: a pair inside one part adds nothing to the classes. So no class
-is lost that all pairs of all nodes would give; links inside crowded classes are those that join them, not all.
+A small node of a tree gives all of its few pairs, which are verified on their whole shingle sets. The rows of a crowded
+node are cut into blocks of bounded size; a task compares one pair of blocks, and gives edges that join its texts and
+each text's number of links, so pairs of a node are never rows. A pair that stands in several crowded nodes is compared
+in the least of them only. So all links that all pairs of all nodes would give are counted, once each.
 
 Texts without words have no shingles and link to nothing; null texts count as empty. Rows without an id are left out.
 Repeated rows are copies. Shingles are compared by 64-bit hashes.
@@ -31,10 +30,11 @@ from .common import written
 WORDS = 5
 THRESHOLD = 0.8
 TREES, DEPTH, TARGET = 32, 8, 0.9999
-#: Rows that a row of a small node is paired with; trees in which rows of crowded nodes are, and with how many.
-NEIGHBOURS, EARLY_TREES, EARLY_NEIGHBOURS = 4, 8, 2
+#: Rows that a row of a small node is paired with; trees in which rows of crowded nodes are, and with how many: in none,
+#: as blocks give all their pairs.
+NEIGHBOURS, EARLY_TREES, EARLY_NEIGHBOURS = 4, 0, 2
 SMALL_TABLE_ROWS = 50_000
-#: Rows of a node that a task compares at once, and rows of several small nodes that share a group.
+#: Rows of each of the two blocks of a node that a task compares at once; distinct values that are counted at once.
 BLOCK_ROWS, GROUP_ROWS = 512, 2048
 KNOWN_WORDS = 400_000
 
@@ -201,62 +201,100 @@ def _short_signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(short, pa.binary())], names=["id", "short"])
 
 
+def _in_common(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """How many values each left and each right set have in common."""
+    out = np.zeros((len(left), len(right)), np.int64)
+    values = np.intersect1d(np.concatenate(left), np.concatenate(right))
+    if not len(values):
+        return out
+    sides = []
+    for sets in (left, right):
+        flat, row = np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+        place = np.minimum(np.searchsorted(values, flat), len(values) - 1)
+        row, place = row[values[place] == flat], place[values[place] == flat]
+        order = np.argsort(place, kind="stable")
+        sides.append((row[order], place[order], len(sets)))
+    for low in range(0, len(values), GROUP_ROWS):
+        dense = []
+        for row, place, n in sides:
+            i, j = np.searchsorted(place, [low, low + GROUP_ROWS])
+            dense.append(np.zeros((n, min(GROUP_ROWS, len(values) - low)), np.float32))
+            dense[-1][row[i:j], place[i:j] - low] = 1
+        out += (dense[0] @ dense[1].T).astype(np.int64)
+    return out
+
+
 def _compared(threshold: float):
-    """Links of a few nodes' blocks: of each left row and each other part, the first pair that is similar enough.
+    """All links of a pair of blocks: edges (kind 0) that join its texts, and how many links (kind 1) each text has.
 
-    Pairs are tried in the order in which their short signatures agree, down to what similar texts' do less five
-    deviations; whole shingle sets decide.
+    Pairs whose short signatures agree in less than similar texts' do, less five deviations, are left out, and so are
+    those that are compared in a lesser node; whole shingle sets decide.
     """
     least = threshold - 5 * np.sqrt(threshold * (1 - threshold) / (TREES * DEPTH))
 
-    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        found: list[tuple[int, int]] = []
-        if len(left) and len(right):
-            right = right.sort_values(["node", "ld", "rd"], kind="stable")
-            keys = right[["node", "ld", "rd"]].to_numpy()
-            edges = np.flatnonzero(np.r_[True, (keys[1:] != keys[:-1]).any(axis=1), True])
-            at = {tuple(keys[i].tolist()): (i, j) for i, j in zip(edges[:-1], edges[1:], strict=True)}
-            short = np.frombuffer(b"".join(right["short"]), np.uint8).reshape(len(right), -1)
-            ids, parts, sizes, sets = (right[c].to_numpy() for c in ("id", "part", "n", "shingles"))
-            for row in left.itertuples():
-                low, high = at.get((row.node, row.ld, row.rd), (0, 0))
-                other = slice(low, high)
-                near = low + np.flatnonzero((parts[other] != row.part) & (np.minimum(sizes[other], row.n) >= threshold * np.maximum(sizes[other], row.n)))
-                agree = (short[near] == np.frombuffer(row.short, np.uint8)).mean(axis=1)
-                near = near[np.argsort(-agree, kind="stable")][: int((agree >= least).sum())]
-                joined = set()
-                for j in near.tolist():
-                    if parts[j] in joined:
-                        continue
-                    both = len(np.intersect1d(row.shingles, sets[j], assume_unique=True))
-                    if both >= threshold * (row.n + sizes[j] - both):
-                        joined.add(parts[j])
-                        found.append((min(row.id, ids[j]), max(row.id, ids[j])))
-        return pd.DataFrame(found, columns=["a", "b"], dtype="int64").drop_duplicates()
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        x, y = int(rows["x"].iloc[0]), int(rows["y"].iloc[0])
+        block = rows["block"].to_numpy()
+        left, right = np.flatnonzero(block == x), np.flatnonzero(block == y)
+        ids, sizes = rows["id"].to_numpy(), rows["n"].to_numpy()
+        near = np.zeros((len(left), len(right)), bool)
+        if near.size:
+            short = np.frombuffer(b"".join(rows["short"]), np.uint8).reshape(len(rows), -1)
+            for k, i in enumerate(left.tolist()):
+                other = np.flatnonzero(np.minimum(sizes[right], sizes[i]) >= threshold * np.maximum(sizes[right], sizes[i]))
+                if x == y:
+                    other = other[other > k]
+                near[k, other] = np.count_nonzero(short[right[other]] == short[i], axis=1) >= least * short.shape[1]
+
+        def kept(left, right, near):
+            some, others = near.any(axis=1), near.any(axis=0)
+            return left[some], right[others], near[some][:, others]
+
+        left, right, near = kept(left, right, near)
+        if len(left):
+            met, sets = rows["met"].to_numpy(), rows["shingles"].to_numpy()
+            near &= _in_common(list(met[left]), list(met[right])) == 0
+            left, right, near = kept(left, right, near)
+        if not len(left):
+            return pd.DataFrame(columns=["kind", "a", "b"], dtype="int64")
+        both = _in_common(list(sets[left]), list(sets[right]))
+        near &= both >= threshold * (sizes[left][:, None] + sizes[right][None, :] - both)
+        i, j = np.nonzero(near)
+        i, j = left[i], right[j]
+        texts, counts = np.unique(np.r_[i, j], return_counts=True)
+        top, edges = list(range(len(rows))), []
+        for p, q in zip(i.tolist(), j.tolist(), strict=True):
+            a, b = p, q
+            while top[a] != a:
+                top[a] = a = top[top[a]]
+            while top[b] != b:
+                top[b] = b = top[top[b]]
+            if a != b:
+                top[b] = a
+                edges.append((0, min(ids[p], ids[q]), max(ids[p], ids[q])))
+        return pd.DataFrame(edges + [(1, ids[t], c) for t, c in zip(texts.tolist(), counts.tolist(), strict=True)], columns=["kind", "a", "b"], dtype="int64")
 
     return run
 
 
-def _across(parts: DataFrame, signed: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    """Links (a, b) of different parts in one node: all rows outside a node's main part against all its rows.
+def _in_blocks(crowded: DataFrame, met: DataFrame, signed: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """Edges and numbers of links (kind, a, b) of crowded nodes. A group is one pair of blocks of one node."""
+    blocks = crowded.groupBy("node").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("long").alias("blocks"), F.count("*").alias("m")).where("m > 1").drop("m")
+    known = signed.join(sets.select("id"), "id", "left_semi").mapInArrow(_short_signatures, "id long, short binary").join(sets, "id").join(met, "id")
+    rows = crowded.select("node", "id", "n").join(blocks, "node").join(known, "id").withColumn("met", F.expr("filter(met, m -> m < node)"))
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    rows = rows.select("node", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "block", "id", "n", "met", "short", "shingles")
+    return rows.groupBy("node", "x", "y").applyInPandas(_compared(threshold), "kind long, a long, b long")
 
-    Rows of a node are cut into blocks of bounded size; a task compares blocks and keeps the links, so pairs of a node
-    are never rows.
-    """
-    sizes = parts.groupBy("node", "part").agg(F.count("*").alias("size"))
-    of_node = sizes.groupBy("node").agg(F.max_by("part", F.struct("size", "part")).alias("main"), F.count("*").alias("k"), F.sum("size").alias("m"), F.max("size").alias("top")).where("k > 1")
-    of_node = of_node.select("node", "main", F.ceil(F.col("m") / BLOCK_ROWS).alias("rights"), F.ceil((F.col("m") - F.col("top")) / BLOCK_ROWS).alias("lefts"))
-    rows = written(parts.join(of_node, "node"), "mixed-nodes")
-    known = rows.select("id").distinct().join(signed, "id").mapInArrow(_short_signatures, "id long, short binary").join(sets, "id")
-    rows = rows.join(known, "id")
-    block = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("long")
-    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n).cast("long") - 1))
-    left = rows.where("part <> main").withColumn("ld", block("lefts")).withColumn("rd", every("rights"))
-    right = rows.withColumn("rd", block("rights")).withColumn("ld", every("lefts"))
-    together = max(1, parts.count() // GROUP_ROWS)
-    columns = ["node", "ld", "rd", "id", "part", "n", "short", "shingles"]
-    dealt = lambda df: df.select(*[F.col(c).alias(c) for c in columns], F.pmod(F.xxhash64("node", "ld", "rd"), F.lit(together)).alias("deal"))
-    return dealt(left).groupBy("deal").cogroup(dealt(right).groupBy("deal")).applyInPandas(_compared(threshold), "a long, b long").distinct()
+
+def _met(crowded: DataFrame) -> DataFrame:
+    """The crowded nodes that each text stands in."""
+    return crowded.groupBy("id").agg(F.collect_set("node").alias("met"))
+
+
+def _across(parts: DataFrame, signed: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """The edges (a, b) alone."""
+    return _in_blocks(parts, _met(parts), signed, sets, threshold).where("kind = 0").select("a", "b").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -290,27 +328,28 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id
     leaves = same.select("rep", "n", F.explode(trees).alias("t")).select("t.node", "t.deep", F.col("rep").alias("id"), "n", "t.early")
     order = ["node", "deep", "id"]
     found = written(leaves.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_linked(NEIGHBOURS, threshold), "kind int, a long, b long"), "candidates")
-    pairs = written(found.where("kind = 0").select("a", "b").distinct(), "pairs")
     large = written(found.where("kind = 1").select(F.col("a").alias("node")).distinct(), "nodes")
-
-    # shingle sets of those representatives only that have a candidate or stand in a large node
     few = large.count() <= SMALL_TABLE_ROWS
     crowded = written(leaves.join(F.broadcast(large) if few else large, "node", "left_semi").select("node", "id", "n"), "crowded")
+    met = written(_met(crowded), "met")
+
+    # pairs that stand in a crowded node too are compared there
+    of = lambda c: met.select(F.col("id").alias(c), F.col("met").alias(f"met_{c}"))
+    pairs = found.where("kind = 0").select("a", "b").distinct().join(of("a"), "a", "left").join(of("b"), "b", "left")
+    pairs = written(pairs.where(~F.coalesce(F.arrays_overlap("met_a", "met_b"), F.lit(False))).select("a", "b"), "pairs")
+
+    # shingle sets of those representatives only that have a candidate or stand in a large node
     wanted = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).union(crowded.select("id")).distinct()
     wanted = wanted.join(same.select(F.col("rep").alias("id"), "digest"), "id")
     sets = rows.join(wanted, "id").select("id", "text", F.col("digest").alias("want")).mapInArrow(_wanted_sets, "id long, want binary, digest binary, shingles array<long>").where("want = digest").drop("want", "digest").dropDuplicates(["id"])
     sets = written(sets, "shingles")
     links = written(_verified(pairs, sets, threshold), "links")
-    labels = components(links)
-
-    # in large nodes, documents of parts that links haven't joined
-    parts = written(crowded.join(labels, "id", "left").select("node", "id", "n", F.coalesce("label", "id").alias("part")), "parts")
-    late = written(_across(parts, same.select(F.col("rep").alias("id"), "sig"), sets, threshold), "late-links")
-    if late.limit(1).count():
-        links = written(links.union(late).distinct(), "links")
-        labels = components(links)
+    blocks = written(_in_blocks(crowded, met, same.select(F.col("rep").alias("id"), "sig"), sets, threshold), "blocks")
+    labels = components(links.union(blocks.where("kind = 0").select("a", "b")).distinct())
 
-    degrees = links.select(F.col("a").alias("rep")).union(links.select(F.col("b").alias("rep"))).groupBy("rep").agg(F.count("*").alias("n_links"))
+    one = F.lit(1).cast("long").alias("links")
+    each = links.select(F.col("a").alias("rep"), one).union(links.select(F.col("b").alias("rep"), one)).union(blocks.where("kind = 1").select(F.col("a").alias("rep"), F.col("b").alias("links")))
+    degrees = each.groupBy("rep").agg(F.sum("links").alias("n_links"))
     of_set = same.select("digest", "rep", "copies").join(labels.withColumnRenamed("id", "rep"), "rep", "left").join(degrees, "rep", "left")
     of_set = of_set.select("digest", F.coalesce("label", "rep").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "copies")
     out = sketch.select("id", "digest").join(of_set, "digest", "left")

@@ -63,6 +63,31 @@ def test_crowded_nodes_lose_no_class(spark, monkeypatch):
     assert {r["doc_id"]: r["class_id"] for r in got} == brute(rows)
 
 
+def links(rows):
+    """Links of each row's text to different texts, by all pairs."""
+    sets = {i: frozenset(tuple(w[k : k + 5]) for k in range(len(w) - 4)) for i, t in rows if (w := t.lower().split())}
+    kinds = set(sets.values())
+    return {i: sum(a != b and len(a & b) >= 0.8 * len(a | b) for b in kinds) for i, a in sets.items()}
+
+
+def near_copies(rng):
+    rows = [(i, edited(rng, [f"hot{k}" for k in range(150)], 1)) for i in range(100)]
+    passage = [f"p{k}" for k in range(120)]
+    rows += [(200 + i, " ".join(passage + [f"o{rng.randrange(10**6)}" for _ in range(rng.choice([15, 60]))])) for i in range(40)]
+    rows += [(300 + i, edited(rng, [f"few{k}" for k in range(100)], 2)) for i in range(4)]
+    return rows + [(400, rows[0][1]), (401, rows[150 - 10][1])]
+
+
+def test_all_links_of_crowded_nodes_are_counted(spark, monkeypatch):
+    rows = near_copies(random.Random(5))
+    for size in (512, 16):
+        monkeypatch.setattr(J, "BLOCK_ROWS", size)
+        got = found(spark, rows)
+        assert {r["doc_id"]: r["n_links"] for r in got} == links(rows)
+        assert {r["doc_id"]: r["class_id"] for r in got} == brute(rows)
+    assert min(links(rows)[i] for i in range(100)) > 80
+
+
 def test_blocks_find_pairs_of_other_parts(spark):
     import numpy as np
 
