@@ -88,6 +88,27 @@ def test_all_links_of_crowded_nodes_are_counted(spark, monkeypatch):
     assert min(links(rows)[i] for i in range(100)) > 80
 
 
+def test_a_task_holds_one_pair_of_blocks(spark, monkeypatch):
+    """240 texts that share a passage and aren't similar: no group grows with the node."""
+    inner = J._compared
+
+    def limited(threshold):
+        run = inner(threshold)
+
+        def bounded(rows):
+            assert len(rows) <= 64, len(rows)
+            return run(rows)
+
+        return bounded
+
+    monkeypatch.setattr(J, "BLOCK_ROWS", 16)
+    monkeypatch.setattr(J, "_compared", limited)
+    rng = random.Random(6)
+    passage = [f"p{k}" for k in range(90)]
+    rows = [(i, " ".join(passage + [f"o{rng.randrange(10**6)}" for _ in range(60)])) for i in range(240)]
+    assert {r["n_links"] for r in found(spark, rows)} == {0}
+
+
 def test_blocks_find_pairs_of_other_parts(spark):
     import numpy as np
 
