@@ -5,8 +5,9 @@ neighbours together; a small classifier, trained in numpy, learns the part of a
 row of the index its part, and each query the few parts that are likeliest to hold its neighbours. Candidates of those
 parts are ranked by their exact cosine in double precision.
 
-Search runs in blocks: a part's rows are dealt over slices of bounded size, a part's queries likewise, and each task
-multiplies one slice with one block of queries and keeps the best few of each query; no pair leaves a task but those.
+Search runs in blocks: rows and queries are counted by part, and each part is dealt over as many slices of bounded size
+as its own rows need, its queries likewise. Each task multiplies one slice with one block of queries and keeps the k best
+of each query by exact score and id; no pair leaves a task but those.
 
 Vectors that are null, zero or hold null or non-finite components take no part, nor do vectors of a length other than
 the sample's commonest. Rows with equal ids count as one candidate, their best. A query isn't its own candidate. Ties
@@ -24,12 +25,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import written
+
 #: Bounds of the sample that partitions are learned from, and of what one task holds.
 SAMPLE, NEIGHBOURS, REFINE, HIDDEN, STEPS = 6000, 10, 12, 64, 500
 SLICE_ROWS, BLOCK_QUERIES, PART_ROWS = 8192, 2048, 4096
 FEWEST_PARTS, MOST_PARTS = 8, 256
 #: Recall that the number of probes is chosen for, on vectors that the router hasn't learned from, and their share.
 TARGET_RECALL, HELD_OUT = 0.95, 0.2
+#: By how much products of matrices may differ from exact scores.
+TOLERANCE = 1e-9
 
 
 def unit(vectors: np.ndarray) -> np.ndarray:
@@ -188,20 +193,47 @@ def _best(width: int, k: int):
         ids, queries = left["id"].to_numpy(), right["id"].to_numpy()
         order = np.argsort(ids, kind="stable")
         ids, c = ids[order], c[order]
-        near = (q @ c.T) / np.linalg.norm(q, axis=1)[:, None] / np.linalg.norm(c, axis=1)[None, :]
-        near[queries[:, None] == ids[None, :]] = -np.inf
+        seen: dict[bytes, int] = {}
+        vector = np.array([seen.setdefault(v, len(seen)) for v in left["v"].to_numpy()[order]])  # equal vectors, one number
+        first = np.unique(vector, return_index=True)[1]
+        near = unit(q) @ unit(c).T
+        starts = np.flatnonzero(np.r_[True, ids[1:] != ids[:-1]])
+        names, many = ids[starts], len(starts) < len(ids)
         out = []
-        take = min(len(ids), k + 3)  # a few more, as the product of matrices may differ in the last digit
         for i in range(len(queries)):
-            some = np.sort(np.argpartition(-near[i], take - 1)[:take])
-            some = some[near[i][some] > -np.inf]
-            score = [float(np.dot(q[i], c[j]) / (np.linalg.norm(q[i]) * np.linalg.norm(c[j]))) for j in some]
-            out += [(queries[i], ids[j], s) for j, s in zip(some, score, strict=True)]
+            top = np.maximum.reduceat(near[i], starts) if many else near[i]  # of each id
+            top = np.where(names == queries[i], -np.inf, top)
+            if k < len(top):
+                least = np.partition(top, -k)[-k] - TOLERANCE
+            else:
+                least = -2.0
+            some = np.flatnonzero((near[i] >= least) & (ids != queries[i]))
+            which, at = np.unique(vector[some], return_inverse=True)
+            exact = np.array([np.dot(q[i], c[j]) / (np.linalg.norm(q[i]) * np.linalg.norm(c[j])) for j in first[which]])
+            score = exact[at] if len(some) else exact
+            ranked = np.lexsort((ids[some], -score))
+            if many:
+                ranked = ranked[np.sort(np.unique(ids[some][ranked], return_index=True)[1])]
+            out += [(queries[i], ids[some[j]], float(score[j])) for j in ranked[:k]]
         return pd.DataFrame(out, columns=["query_id", "vec_id", "score"]) if out else empty
 
     return run
 
 
+def dealt(index: DataFrame, wanted: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows and queries with part, slice and block, in as many slices and blocks as each part's own numbers need."""
+    count = lambda df, name: df.groupBy("part").agg(F.count("*").alias(name))  # noqa: E731  one row a part
+    of_part = count(index, "rows").join(count(wanted, "queries"), "part")
+    of_part = of_part.select("part", F.ceil(F.col("rows") / SLICE_ROWS).cast("int").alias("slices"), F.ceil(F.col("queries") / BLOCK_QUERIES).cast("int").alias("blocks"))
+    place = lambda n: F.pmod(F.xxhash64("id", "v"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    index, wanted = (df.join(F.broadcast(of_part), "part") for df in (index, wanted))
+    index = index.withColumn("slice", place("slices")).withColumn("block", every("blocks"))
+    wanted = wanted.withColumn("block", place("blocks")).withColumn("slice", every("slices"))
+    columns = ["part", "slice", "block", "id", "v"]
+    return index.select(*columns), wanted.select(*columns)
+
+
 def search(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_id", vec_col: str = "embedding", probes: int | None = None) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest rows found of each query."""
     base, asked = usable(vectors, id_col, vec_col), usable(queries, id_col, vec_col)
@@ -215,13 +247,10 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "ve
     router, parts, count = learn(sample, rows, k) or (None, 1, 1)
     count = min(parts, probes or count)
     kinds = "id long, part int, v binary"
-    index = base.mapInArrow(_routed(router, 1, width, False), kinds)
-    wanted = asked.mapInArrow(_routed(router, count, width, True), kinds)
-    # slices and blocks of bounded size, by the share that the largest part may have: all rows
-    slices = max(1, -(-rows // (SLICE_ROWS * max(1, parts // 4))))
-    blocks = max(1, -(-asked.count() // BLOCK_QUERIES))
-    index = index.withColumn("slice", F.pmod(F.xxhash64("id"), F.lit(slices)).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    wanted = wanted.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")).withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))))
+    # repeated rows count once, wherever they are many
+    index = written(base.mapInArrow(_routed(router, 1, width, False), kinds).distinct(), "routed")
+    wanted = written(asked.mapInArrow(_routed(router, count, width, True), kinds).distinct(), "asked")
+    index, wanted = dealt(index, wanted)
     keys = ["part", "slice", "block"]
     found = index.groupBy(*keys).cogroup(wanted.groupBy(*keys)).applyInPandas(_best(width, k), schema)
     found = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))

@@ -45,6 +45,33 @@ def test_odd_vectors(spark):
     assert routed_search.search(table.where("vec_id = 0"), table.where("vec_id = 0")).count() == 0
 
 
+def test_ties_and_repeated_ids_in_a_slice(spark):
+    """500 equal vectors: the smallest ids win. An id repeated 20 times with near vectors takes one place."""
+    rng = np.random.default_rng(8)
+    hot = [float(x) for x in rng.normal(size=8)]
+    rows = [(i, hot) for i in rng.permutation(np.arange(500, 1000)).tolist()] + [(0, [2 * x for x in hot])]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = routed_search.search(table, table.where("vec_id = 0"), probes=1000).orderBy("rank").collect()
+    assert [r["vec_id"] for r in got] == [500, 501, 502, 503, 504]
+    rows = [(0, [1.0, 0.0])] + [(7, [1.0, 1e-3 * i]) for i in range(20)] + [(7, [1.0, 0.0])] * 20 + [(10 + i, [1.0, 1.0 + i]) for i in range(6)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = routed_search.search(table, table.where("vec_id = 0"), probes=1000).orderBy("rank").collect()
+    assert [r["vec_id"] for r in got] == [7, 10, 11, 12, 13]
+
+
+def test_each_part_has_its_own_slices(spark, monkeypatch):
+    """One part holds most rows and queries: no slice and no block grows with it."""
+    monkeypatch.setattr(routed_search, "SLICE_ROWS", 50)
+    monkeypatch.setattr(routed_search, "BLOCK_QUERIES", 20)
+    of = lambda n, hot: spark.range(n).selectExpr("id", f"cast(if(id < {hot}, 3, id % 16) as int) as part", "cast(string(id) as binary) as v")
+    index, wanted = routed_search.dealt(of(2000, 1500), of(300, 200))
+    per = lambda df: [r["count"] for r in df.groupBy("part", "slice", "block").count().collect()]
+    assert max(per(index)) <= 100 and max(per(wanted)) <= 50
+    assert index.select("id").distinct().count() == 2000 and wanted.select("id").distinct().count() == 300
+    pairs = index.alias("i").join(wanted.alias("w"), ["part", "slice", "block"]).selectExpr("i.id as a", "w.id as b")
+    assert pairs.count() == pairs.distinct().count() == of(2000, 1500).alias("i").join(of(300, 200).alias("w"), "part").count()
+
+
 def test_balanced_parts():
     rng = np.random.default_rng(2)
     vectors = routed_search.unit(rng.normal(size=(800, 10)))
