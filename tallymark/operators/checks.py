@@ -110,6 +110,20 @@ def volume_method(volumes: DataFrame, areas: DataFrame, heights: DataFrame, key:
     return first_per(hit, [key, "volume_seq"], ["area_seq", "height_seq"])
 
 
+def volume_ratio(volumes: DataFrame, areas: DataFrame, floors: DataFrame, key: str, found: DataFrame, least: float = 2.8) -> DataFrame:
+    """Objects without a row in found whose least volume by largest area and floors is under the least storey height.
+
+    volumes: key, volume_seq, volume, from_table (a text may repeat a volume wrongly: where tables state one, only they
+    count); areas: key, area_seq, area; floors: key, floors; found: what volume_method has given.
+    """
+    v = volumes.where("volume is not null").groupBy(key).agg(F.min(F.struct((~F.coalesce("from_table", F.lit(False))).alias("text"), "volume", "volume_seq")).alias("_v"))
+    a = areas.where("area is not null").groupBy(key).agg(F.min(F.struct((-F.col("area")).alias("_a"), "area_seq", "area")).alias("_s"))
+    f = floors.groupBy(key).agg(F.max("floors").alias("floors")).where("floors > 0")
+    rest = v.join(found.select(key).distinct(), key, "left_anti").join(a, key).join(f, key)
+    rows = rest.select(key, "_v.volume_seq", "_s.area_seq", "_v.volume", "_s.area", "floors")
+    return rows.where(F.try_divide(F.col("volume"), F.col("area") * F.col("floors")) < least)
+
+
 def outside_range(values: DataFrame, limits: DataFrame, key: str, value: str, slack: float) -> DataFrame:
     """Values outside the range that other statements give. limits: key, value; one range a key."""
     edges = limits.groupBy(key).agg(F.min(value).alias("low"), F.max(value).alias("high"))
@@ -132,6 +146,7 @@ REGISTRY: dict[str, Check] = {
     "parameter_contradiction": parameter_contradiction,
     "smaller_than_axes": smaller_than_axes,
     "volume_method": volume_method,
+    "volume_ratio": volume_ratio,
     "outside_range": outside_range,
     "copied_label": copied_label,
 }

@@ -1,4 +1,4 @@
-"""Labels to fields: exact containment, weighted coverage by inflected words, and vectors, each with its margin.
+"""Labels to fields: exact containment, then weighted coverage by inflected words with its margin; no vectors yet.
 
 Distinct labels are matched once and joined back by callers.
 """

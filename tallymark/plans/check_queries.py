@@ -176,6 +176,22 @@ def volume_method(t: Tables) -> DataFrame:
     return checks.volume_method(volumes, areas, heights, "l_partkey").select("l_partkey", "volume_seq", "volume", "area", "height")
 
 
+@query("""
+    with l as (select l_partkey as k, l_orderkey * 10 + l_linenumber as seq, cast(l_quantity as double) * 60 as volume, l_returnflag = 'R' as from_table from lineitem),
+    a as (select p_partkey as k, cast(p_size as double) as area, p_partkey % 4 as floors from part),
+    h as (select distinct l.k from l join a using (k) where abs(area * 30 - volume) <= 0.005 * volume),
+    o as (select k, seq, volume, row_number() over (partition by k order by from_table desc, volume, seq) as n from l)
+    select k as p_partkey, seq as volume_seq, volume, area, floors from o join a using (k) where n = 1 and floors > 0 and volume / (area * floors) < 2.8 and k not in (select k from h)""")
+def volume_ratio(t: Tables) -> DataFrame:
+    """The second rule of the volume check: parts whose volumes no clear height explains."""
+    volumes = t.lineitem.select(F.col("l_partkey").alias("p_partkey"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("volume_seq"), (F.col("l_quantity").cast("double") * 60).alias("volume"), (F.col("l_returnflag") == "R").alias("from_table"))
+    areas = t.part.select("p_partkey", F.lit(1).alias("area_seq"), F.col("p_size").cast("double").alias("area"))
+    heights = t.part.select("p_partkey", F.lit(1).alias("height_seq"), F.lit(30.0).alias("height"))
+    floors = t.part.select("p_partkey", (F.col("p_partkey") % 4).alias("floors"))
+    found = checks.volume_method(volumes, areas, heights, "p_partkey")
+    return checks.volume_ratio(volumes, areas, floors, "p_partkey", found).select("p_partkey", "volume_seq", "volume", "area", "floors")
+
+
 @query("""
     with l as (select s_nationkey as k, min(s_acctbal) as low, max(s_acctbal) as high from supplier group by 1)
     select c_custkey, c_acctbal, low, high from customer join l on k = c_nationkey where c_acctbal < low - 3 or c_acctbal > high + 3""")

@@ -46,6 +46,18 @@ def test_parameters(spark):
     assert [r["o"] for r in checks.parameter_contradiction(own, general, "o", "m", "w").collect()] == ["A"]
 
 
+def test_volume_by_storeys(spark):
+    """A: explained by a clear height; B: 400 / (100 x 2) = 2 m a storey; C: the table's 600, not the text's 100; D: no floors."""
+    volumes = spark.createDataFrame([("A", 1, 260.0, True), ("B", 1, 900.0, True), ("B", 2, 400.0, True), ("C", 1, 600.0, True), ("C", 2, 100.0, False), ("D", 1, 1.0, True)], "o string, volume_seq int, volume double, from_table boolean")
+    areas = spark.createDataFrame([("A", 1, 100.0), ("B", 1, 100.0), ("B", 2, 90.0), ("C", 1, 100.0), ("D", 1, 100.0)], "o string, area_seq int, area double")
+    heights = spark.createDataFrame([("A", 1, 2.6)], "o string, height_seq int, height double")
+    floors = spark.createDataFrame([("A", 1), ("B", 2), ("C", 2), ("D", 0)], "o string, floors int")
+    found = checks.volume_method(volumes, areas, heights, "o")
+    assert [r["o"] for r in found.collect()] == ["A"]
+    got = checks.volume_ratio(volumes, areas, floors, "o", found).collect()
+    assert [tuple(r) for r in got] == [("B", 2, 1, 400.0, 100.0, 2)]
+
+
 def test_geometry_and_volume(spark):
     axes = spark.createDataFrame([("A", 1, 24.0, 18.0)], "o string, axes_seq int, a double, b double")
     areas = spark.createDataFrame([("A", 1, 410.0), ("A", 2, 431.5)], "o string, area_seq int, area double")
