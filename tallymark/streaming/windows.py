@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -44,14 +45,64 @@ def follow(status: str | None, wanted: list[str]) -> tuple[str, int, int]:
     return status or "", taken, refused
 
 
-def lifecycle(events: DataFrame) -> DataFrame:
-    """check_id, status, taken, refused after all events (check_id string, ts timestamp, wanted string); a table."""
+#: A check's possible statuses; the first is that of a check without events.
+STATUSES = ["", *TRANSITIONS]
+
+
+def pieces(events: DataFrame) -> DataFrame:
+    """Folds ordered ranges of checks' events: check_id, piece (place in order), rows, and for each of the six statuses
+    at its start the status at its end (ends), and the numbers of taken and refused wishes.
+
+    Events are sorted over all tasks, so those of one check may stand in several; equal ones are one row with a count.
+    """
+
+    def after(want: str) -> list[tuple[int, int]]:
+        """From each status, where a wish leads and whether it is taken."""
+        moves = [follow(status or None, [want]) for status in STATUSES]
+        return [(STATUSES.index(status), taken) for status, taken, _ in moves]
+
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        number, columns = TaskContext.get().partitionId(), ["check_id", "piece", "rows", "ends", "taken", "refused"]
+        known: dict = {}
+        held = None  # the check that goes on, its rows and its three lists
+        for batch in batches:
+            out = []
+            for check, want, n in zip(batch["check_id"], batch["wanted"], batch["n"].tolist(), strict=True):
+                check = check if isinstance(check, str) else None
+                if held is None or held[0] != check:
+                    if held is not None:
+                        out.append((held[0], number, *held[1:]))
+                    held = [check, 0, list(range(len(STATUSES))), [0] * len(STATUSES), [0] * len(STATUSES)]
+                held[1] += n
+                moves = known[want] if want in known else known.setdefault(want, after(want))
+                for k, at in enumerate(held[2]):
+                    # the first of equal wishes, and one more, as all others go as that one
+                    end, first = moves[at]
+                    taken = first + (n - 1) * moves[end][1]
+                    held[2][k] = moves[end][0]
+                    held[3][k] += taken
+                    held[4][k] += n - taken
+            yield pd.DataFrame(out, columns=columns)
+        if held is not None:
+            yield pd.DataFrame([(held[0], number, *held[1:])], columns=columns)
+
+    order = ["check_id", "ts", "wanted"]
+    counted = events.groupBy(*order).agg(F.count("*").alias("n")).withColumns({"_ts": F.col("ts").isNull(), "_wanted": F.col("wanted").isNull()})
+    order = ["check_id", "_ts", "ts", "_wanted", "wanted"]  # null times and wishes last
+    dealt = counted.repartitionByRange(*order).sortWithinPartitions(*order).select("check_id", "wanted", "n")
+    return dealt.mapInPandas(fold, "check_id string, piece int, rows long, ends array<int>, taken array<long>, refused array<long>")
 
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        status, taken, refused = follow(None, rows.sort_values(["ts", "wanted"])["wanted"].tolist())
-        return pd.DataFrame({"check_id": [rows["check_id"].iloc[0]], "status": [status], "taken": [taken], "refused": [refused]})
 
-    return events.groupBy("check_id").applyInPandas(fold, "check_id string, status string, taken long, refused long")
+def lifecycle(events: DataFrame) -> DataFrame:
+    """check_id, status, taken, refused after all events (check_id string, ts timestamp, wanted string); a table.
+
+    A check has at most one piece in each task of the sort; they are put together in order.
+    """
+    of_check = pieces(events).groupBy("check_id").agg(F.array_sort(F.collect_list(F.struct("piece", "ends", "taken", "refused"))).alias("p"))
+    start = F.struct(F.lit(0).alias("at"), F.lit(0).cast("long").alias("taken"), F.lit(0).cast("long").alias("refused"))
+    add = lambda s, p: F.struct(F.get(p["ends"], s["at"]).alias("at"), (s["taken"] + F.get(p["taken"], s["at"])).alias("taken"), (s["refused"] + F.get(p["refused"], s["at"])).alias("refused"))
+    end = of_check.select("check_id", F.aggregate("p", start, add).alias("s"))
+    return end.select("check_id", F.get(F.array(*map(F.lit, STATUSES)), F.col("s.at")).alias("status"), "s.taken", "s.refused")
 
 
 def lifecycle_stream(events: DataFrame, idle: str = "1 hour") -> DataFrame:

@@ -111,3 +111,22 @@ def test_greedy_matching(spark):
     pairs = spark.createDataFrame([("d", "p1", "g1", 3), ("d", "p1", "g2", 5), ("d", "p2", "g2", 4), ("d", "p2", "g1", 1)], "d string, p string, g string, score int")
     got = scoring.greedy_one_to_one(pairs, ["d"], "p", "g", "score").collect()
     assert sorted((r["p"], r["g"]) for r in got) == [("p1", "g2"), ("p2", "g1")]
+
+
+def test_greedy_matching_of_a_large_group(spark, monkeypatch):
+    """A group above the bound goes by rounds and gives the same choice; no task gets more pairs than the bound."""
+    rng = random.Random(9)
+    rows = [("big", rng.randrange(60), rng.randrange(60), rng.randrange(30)) for _ in range(600)] + [("small", rng.randrange(5), rng.randrange(5), rng.randrange(9)) for _ in range(12)]
+    pairs = spark.createDataFrame(rows, "d string, p int, g int, score int")
+    whole = sorted(map(tuple, scoring.greedy_one_to_one(pairs, ["d"], "p", "g", "score").collect()))
+    monkeypatch.setattr(scoring, "GROUP_PAIRS", 40)
+    inner, seen = scoring._kept, []
+    monkeypatch.setattr(scoring, "_kept", lambda df: seen.append(df) or inner(df))
+    got = sorted(map(tuple, scoring.greedy_one_to_one(pairs, ["d"], "p", "g", "score").collect()))
+    assert got == whole and len(seen) > 4
+    used, want = set(), []
+    for d, p, g, score in sorted(set(rows), key=lambda r: (r[0], -r[3], -r[1], -r[2])):
+        if not {(d, "p", p), (d, "g", g)} & used:
+            used |= {(d, "p", p), (d, "g", g)}
+            want.append((d, p, g, score))
+    assert got == sorted(want)

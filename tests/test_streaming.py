@@ -37,6 +37,28 @@ def test_lifecycle(spark, tmp_path):
     assert {tuple(r) for r in run(windows.lifecycle_stream(stream), "w2", "update").collect()} == want
 
 
+def test_lifecycle_of_one_large_check(spark):
+    """Most events are of one check: they are folded in several tasks, and give what one fold in order gives."""
+    import random
+
+    rng = random.Random(4)
+    rows = [(rng.choice(["hot"] * 8 + ["a", "b"]), rng.randrange(2500), rng.choice([*windows.TRANSITIONS, "pending", "other", None])) for _ in range(4000)]
+    rows += [("hot", 1300, "error")] * 50 + [(None, 1, "receiving"), (None, 2, "receiving"), ("late", None, "error"), ("late", 3, "receiving")]
+    events = spark.createDataFrame(rows, "check_id string, s int, wanted string").select("check_id", F.timestamp_seconds("s").alias("ts"), "wanted")
+    last = lambda x: (x is None, x or "")
+    want = set()
+    for check in {r[0] for r in rows}:
+        own = sorted(((s is None, s or 0), last(w)) for c, s, w in rows if c == check)
+        want.add((check, *windows.follow(None, [None if w[0] else w[1] for _, w in own])))
+    assert {tuple(r) for r in windows.lifecycle(events).collect()} == want
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        hot = [r["rows"] for r in windows.pieces(events).where("check_id = 'hot'").collect()]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(hot) >= 3 and max(hot) <= 0.5 * sum(hot)
+
+
 def test_state_rules(spark):
     checks = spark.createDataFrame([("a", "pending", "2024-01-01 00:00:00"), ("b", "pending", "2024-01-01 00:09:00")], "id string, status string, t string").withColumn("changed_at", F.col("t").cast("timestamp")).withColumn("created_at", F.col("changed_at"))
     assert {r["id"]: r["status"] for r in windows.stale(checks, "2024-01-01 00:10:00").collect()} == {"a": "error", "b": "pending"}
