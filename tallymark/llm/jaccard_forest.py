@@ -1,9 +1,9 @@
-"""Similarity join on word shingles by a MinHash LSH forest, with exact verification.
+"""Similarity join on word shingles by MinHash LSH in trees of one fixed depth, with exact verification.
 
 Every text becomes the set of its runs of five words (lower case, cut at white space; a shorter text is one run). Texts
-with equal sets share one representative. A representative's signature is dealt over trees; a tree is the sorted list
-of its part of the signatures, a prefix trie. Documents that share a prefix are candidates: prefixes begin at full
-depth and are shortened until the probability that two texts at the threshold meet in some tree reaches the target.
+with equal sets share one representative. A representative's signature is dealt over trees. Documents that share a
+prefix in a tree are candidates: one depth for all is chosen, the deepest at which the probability that two texts at the
+threshold meet in some tree reaches the target. Depth doesn't follow what a document matches, as in a full LSH forest.
 
 A small node of a tree gives all of its few pairs, which are verified on their whole shingle sets. The rows of a crowded
 node are cut into blocks of bounded size; a task compares one pair of blocks, and gives edges that join its texts and
