@@ -10,7 +10,9 @@ Layout: sections `magic`, one per block (its planes in a row), `index` (zstandar
 Spark's own text writer, with its commit protocol and on any store, writes the files.
 
 Null texts count as empty; such documents have the end id only. Rows without an id come first. Rows of equal id are
-ordered by text.
+ordered by a hash of the text, and may lie in several files; each repeated row is a document of its own. An empty table
+gives files without documents or no files. A text of any length is one document, which may fill many blocks. Columns
+beyond id and text are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -22,9 +24,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import prefix_sums, written
 from .tokenization import encoder
 
 MAGIC = b"TMPLANE1"
@@ -150,8 +153,11 @@ def write_files(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, fil
         for section in sections(again(), block, bits):
             yield pa.RecordBatch.from_arrays([pa.array([section], pa.binary())], names=["value"])
 
-    ordered = picked.repartitionByRange(max(1, -(-total // file_text_bytes)), "id").sortWithinPartitions("id", "text")
-    ordered.mapInArrow(run, "value binary").select(F.col("value").cast("string")).write.option("compression", "none").text(path)
+    # rows of one id are dealt by text, rows equal in both by where they were read
+    order = ["id", F.xxhash64("text"), "_from"]
+    dealt = picked.withColumn("_from", F.spark_partition_id())
+    ordered = dealt.repartitionByRange(max(1, -(-total // file_text_bytes)), *order).sortWithinPartitions(*order)
+    ordered.select("id", "text").mapInArrow(run, "value binary").select(F.col("value").cast("string")).write.option("compression", "none").text(path)
 
 
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
@@ -178,13 +184,17 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
     return files.mapInArrow(run, "id long, file string, number long, file_start long, n_tokens long, ids_crc32 long, ids binary")
 
 
+def file_number(name: Column) -> Column:
+    """The number that Spark gave a part file: names of 100,000 files and more don't sort by text."""
+    return F.regexp_extract(name, r"part-(\d+)", 1).cast("long")
+
+
 def with_starts(rows: DataFrame) -> DataFrame:
-    """Adds `start`: all ids of earlier files and of earlier documents of the file. One total a file goes to the driver."""
-    spark = rows.sparkSession
-    totals = sorted((r["file"], r["n"]) for r in rows.groupBy("file").agg(F.sum("n_tokens").alias("n")).collect())
-    bases, at = [], 0
-    for name, n in totals:
-        bases.append((name, at))
-        at += n
-    base = spark.createDataFrame(bases, "file string, base long")
-    return rows.join(F.broadcast(base), "file").withColumn("start", F.col("base") + F.col("file_start")).drop("base")
+    """Adds `start`: all ids of earlier files and of earlier documents of the file.
+
+    One total a file is a table; sums over the files before are made in ranges, so nothing goes through the driver.
+    """
+    numbered = rows.withColumn("_file", file_number(F.col("file")))
+    totals = written(numbered.groupBy("_file").agg(F.sum("n_tokens").alias("n")), "file-totals")
+    base = written(prefix_sums(totals, "_file", "n"), "file-starts")
+    return numbered.join(base, "_file").withColumn("start", F.col("before") + F.col("file_start")).drop("before", "_file")

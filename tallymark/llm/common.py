@@ -6,16 +6,21 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from spark.checkpoint.dir; a folder of our own only where it is unset."""
+    """The folder that driver and executors share, from spark.checkpoint.dir.
+
+    Where it is unset, a folder of our own, on a local master only: on a cluster each machine would have its own.
+    """
     set_to = spark.conf.get("spark.checkpoint.dir", None)
     if not set_to:
         context = spark.sparkContext
         if context.getCheckpointDir() is None:
+            if not context.master.startswith("local"):
+                raise ValueError("spark.checkpoint.dir must name a folder that the driver and the executors share")
             context.setCheckpointDir(tempfile.mkdtemp(prefix="spark-", dir=os.environ.get("TMPDIR", "/tmp")))
         set_to = context.getCheckpointDir()
     return set_to.rstrip("/")
@@ -40,6 +45,35 @@ def remove(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def scheme_of(spark: SparkSession, path: str) -> str:
+    """The scheme of the store that a path lies in, as Hadoop resolves it."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getUri().getScheme()
+
+
+def by_place(df: DataFrame) -> DataFrame:
+    """The same columns named c0, c1, ... by place, so that columns of our own can't clash with a user's."""
+    return df.toDF(*[f"c{i}" for i in range(len(df.columns))])
+
+
+def prefix_sums(totals: DataFrame, key: str, value: str, width: int = 1024) -> DataFrame:
+    """key, before: the sum of `value` over smaller keys (whole numbers from 0, one row each).
+
+    Keys are summed in ranges, ranges in ranges of ranges, so no task reads more than `width` rows of one range.
+    """
+    if width < 2:
+        raise ValueError("ranges hold two keys at least")
+    own = totals.select(F.col(key).alias("_k"), F.col(value).alias("_v"))
+    upper = F.floor(F.col("_k") / width)
+    inside = Window.partitionBy(upper).orderBy("_k").rowsBetween(Window.unboundedPreceding, -1)
+    near = own.select("_k", upper.alias("_range"), F.coalesce(F.sum("_v").over(inside), F.lit(0)).cast("long").alias("_near"))
+    ranges = written(own.groupBy(upper.alias("_r")).agg(F.sum("_v").cast("long").alias("_s")), "range-sums")
+    if ranges.where("_r > 0").limit(1).count() == 0:
+        return near.select(F.col("_k").alias(key), F.col("_near").alias("before"))
+    far = prefix_sums(ranges, "_r", "_s", width).select(F.col("_r").alias("_range"), F.col("before").alias("_far"))
+    return near.join(far, "_range").select(F.col("_k").alias(key), (F.col("_near") + F.col("_far")).alias("before"))
+
+
 def crc_remainder(column, modulus: int):
     """crc32 of the value as text, modulo a number: a stable split of rows."""
     return F.crc32(column.cast("string").cast("binary")) % modulus

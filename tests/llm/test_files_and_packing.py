@@ -4,10 +4,12 @@ import io
 import random
 import zipfile
 import zlib
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tallymark.llm import bitplane, packing, warc_zip
@@ -37,7 +39,8 @@ def test_token_files(spark):
     path = fresh_path(spark, "planes-test")
     bitplane.write_files(spark.createDataFrame(rows, "doc_id long, text string"), path, BYTES, file_text_bytes=4000, block=512)
     got = sorted(bitplane.with_starts(bitplane.read_documents(spark, path)).collect(), key=lambda r: r["start"])
-    order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] or ""))
+    place = {r["text"]: r["h"] for r in spark.createDataFrame(rows, "doc_id long, text string").selectExpr("text", "xxhash64(text) as h").collect()}
+    order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, place[r[1]]))
     library, at = Tokenizer.from_file(BYTES), 0
     for r, (key, text) in zip(got, order, strict=True):
         ids = np.array([*library.encode(text or "", add_special_tokens=False).ids, 0], "<u4")
@@ -45,6 +48,28 @@ def test_token_files(spark):
         at += len(ids)
 
 
+def test_starts_of_more_files_than_names_sort(spark):
+    """100,001 files: part-100000 sorts before part-99999 as text."""
+    rows = spark.range(100_001).selectExpr("id", "format_string('part-%05d-x.txt', id) as file", "0L as file_start", "id % 7 as n_tokens")
+    got = bitplane.with_starts(rows)
+    want, at = [], 0
+    for i in range(100_001):
+        want.append(at)
+        at += i % 7
+    assert [r["start"] for r in got.orderBy("id").collect()] == want
+
+
+def test_one_id_is_dealt_over_files(spark):
+    rows = [(7, f"text number {i} of one id")for i in range(400)] + [(None, None)] * 50
+    path = fresh_path(spark, "planes-test")
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("start", F.lit(1)).withColumn("_from", F.lit("x"))
+    bitplane.write_files(docs, path, BYTES, file_text_bytes=1000)
+    got = bitplane.with_starts(bitplane.read_documents(spark, path)).collect()
+    assert len(got) == 450 and max(Counter(r["file"] for r in got).values()) < 200
+    ends = sorted((r["start"], r["start"] + r["n_tokens"]) for r in got)
+    assert all(a[1] == b[0] for a, b in zip(ends, ends[1:], strict=False))
+
+
 def test_no_token_files(spark):
     path = fresh_path(spark, "planes-test")
     bitplane.write_files(spark.createDataFrame([], "doc_id long, text string"), path, BYTES)
