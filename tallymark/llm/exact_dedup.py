@@ -6,11 +6,13 @@ equal when they ended in the same group, so no digest decides anything.
 1. Every task splits the rows it reads, some tens of MB at a time, by radix. Copies met together keep one
    representative with a count, so a text that a third of all rows share shrinks before anything is shuffled.
 2. A census finds prefixes that too many representatives share and splits those, and only those, by further bytes,
-   until each bucket is small or can't be split. Heavy prefixes are at most total bytes / bucket bytes a level.
+   until each bucket is small or can't be split. Heavy prefixes stay a table of one number each (a hash, which only
+   places texts: two prefixes of one hash are split alike).
 3. Representatives are shuffled once by their bucket. Each task ends the recursion inside its buckets.
 
 Null texts count as empty, and empty texts are equal. Of equal texts the row with the largest id stays; rows without
-an id come last, and of rows equal in text and id exactly one stays. Columns beyond id and text are carried along.
+an id come last, and of rows equal in text and id exactly one stays. Columns beyond id and text are carried along,
+whatever their names. An empty table gives no rows. Very long texts are compared whole.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import written
+from .common import by_place, written
 
 FIRST_BYTES = 16
 GROWTH = 4
@@ -158,49 +160,51 @@ def _buckets(reps: DataFrame) -> DataFrame:
     length = F.length("_text")
     total = reps.agg(F.sum(length)).first()[0] or 0
     limit = max(LEAST_BUCKET_BYTES, min(BUCKET_BYTES, total // (4 * parts)))
-    prefix = lambda d: F.substring("_text", 1, d)
-    levels, width, at = [], FIRST_BYTES, reps.select("_text")
+    prefix = lambda d: F.xxhash64(F.substring("_text", 1, d))
+    levels, width = [], FIRST_BYTES
     while True:
-        heavy = at.groupBy(prefix(width).alias("_p")).agg(F.sum(length).alias("w"), F.max(length).alias("l")).where((F.col("w") > limit) & (F.col("l") > width)).select("_p")
-        rows = heavy.collect()  # at most total / limit prefixes
-        if not rows:
+        at = reps.select(length.alias("_l"), prefix(width).alias("_p"), *[prefix(w).alias(f"_p{i}") for i, (w, _) in enumerate(levels)])
+        for i, (_, table) in enumerate(levels):
+            at = at.join(table, f"_p{i}", "left_semi")
+        heavy = at.groupBy("_p").agg(F.sum("_l").alias("w"), F.max("_l").alias("l")).where((F.col("w") > limit) & (F.col("l") > width))
+        heavy = written(heavy.select(F.col("_p").alias(f"_p{len(levels)}")), "heavy-prefixes")
+        if not heavy.limit(1).count():
             break
-        table = spark.createDataFrame(rows, heavy.schema)
-        levels.append((width, table))
-        at = at.join(F.broadcast(table), prefix(width) == F.col("_p"), "left_semi")
+        levels.append((width, heavy))
         width *= GROWTH
-    out, key = reps, F.xxhash64(prefix(FIRST_BYTES))
+    out, key = reps, prefix(FIRST_BYTES)
     for i, (width, table) in enumerate(levels):
-        seen = f"_h{i}"
-        table = table.select(F.col("_p").alias(f"_p{i}"), F.lit(True).alias(seen))
-        out = out.join(F.broadcast(table), prefix(width) == F.col(f"_p{i}"), "left")
-        key = F.when(F.col(seen), F.xxhash64(prefix(width * GROWTH))).otherwise(key)
+        out = out.withColumn(f"_p{i}", prefix(width)).join(table.withColumn(f"_h{i}", F.lit(True)), f"_p{i}", "left")
+        key = F.when(F.col(f"_h{i}"), prefix(width * GROWTH)).otherwise(key)
     return out.withColumn("_bucket", key).drop(*[f"_{x}{i}" for i in range(len(levels)) for x in "ph"])
 
 
-def _representatives(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, list[str]]:
-    others = [c for c in docs.columns if c != text_col]
-    source = docs.select(*[F.col(f"`{c}`") for c in others], F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("_text"), F.col(text_col).isNull().alias("_null"))
+def _representatives(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, str, list[str]]:
+    """Rows by place (c0, c1, ...) with what the first pass adds; the id's column; the columns other than the text."""
+    named = by_place(docs)
+    key, text = (f"c{docs.columns.index(c)}" for c in (id_col, text_col))
+    others = [c for c in named.columns if c != text]
+    source = named.select(*others, F.coalesce(F.col(text), F.lit("")).cast("binary").alias("_text"), F.col(text).isNull().alias("_null"))
     schema = T.StructType([f for f in source.schema.fields if f.name != "_text"] + [T.StructField("_uid", T.LongType()), T.StructField("_rep", T.LongType()), T.StructField("_text", T.BinaryType()), T.StructField("_n", T.LongType())])
-    return written(source.mapInArrow(_local(id_col), schema), "radix"), others
+    return written(source.mapInArrow(_local(key), schema), "radix"), key, others
 
 
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: id, keep_id, group_size, kept, text_sha256."""
-    rows, _ = _representatives(docs.select(F.col(id_col).cast("long").alias(id_col), text_col), id_col, text_col)
-    reps = rows.where("_n > 0").select(id_col, "_uid", "_text", "_n")
+    rows, key, _ = _representatives(docs.select(F.col(id_col).cast("long").alias(id_col), text_col), id_col, text_col)
+    reps = rows.where("_n > 0").select(key, "_uid", "_text", "_n")
     placed = _buckets(reps).repartition("_bucket").sortWithinPartitions("_bucket")
-    found = placed.mapInArrow(_global(id_col, [], False), "_rep long, _keep_uid long, keep_id long, group_size long, text_sha256 string")
-    return rows.select(id_col, "_uid", "_rep").join(found, "_rep").select(id_col, "keep_id", "group_size", (F.col("_uid") == F.col("_keep_uid")).alias("kept"), "text_sha256")
+    found = placed.mapInArrow(_global(key, [], False), "_rep long, _keep_uid long, keep_id long, group_size long, text_sha256 string")
+    return rows.select(key, "_uid", "_rep").join(found, "_rep").select(F.col(key).alias(id_col), "keep_id", "group_size", (F.col("_uid") == F.col("_keep_uid")).alias("kept"), "text_sha256")
 
 
 def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents that stay, with all their columns; texts travel once."""
-    rows, others = _representatives(docs, id_col, text_col)
+    rows, key, others = _representatives(docs, id_col, text_col)
     reps = rows.where("_n > 0").drop("_rep")
     placed = _buckets(reps).repartition("_bucket").sortWithinPartitions("_bucket")
     carried = [*others, "_text", "_null"]
     schema = T.StructType([reps.schema[c] for c in carried])
-    kept = placed.mapInArrow(_global(id_col, carried, True), schema)
+    kept = placed.mapInArrow(_global(key, carried, True), schema)
     text = F.when(~F.col("_null"), F.col("_text").cast("string"))
-    return kept.select(*[text.alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns])
+    return kept.select(*[(text if c == text_col else F.col(f"c{i}")).alias(c) for i, c in enumerate(docs.columns)])

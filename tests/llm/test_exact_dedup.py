@@ -53,3 +53,14 @@ def test_kept_rows_with_all_columns(spark):
     assert got == [(2, "a", 8, "q"), (4, "", 1, "r")]
     alone = df.where("doc_id = 3")
     assert [tuple(r) for r in D.drop_exact_copies(alone).collect()] == [(3, None, 9, None)]
+
+
+def test_columns_of_any_name_and_long_texts(spark):
+    names = ["_text", "_n", "_uid", "_bucket", "_null", "_rep", "c0", "c1", "kept"]
+    long = "word " * 200_000
+    df = spark.createDataFrame([(1, long, *range(9)), (2, long, *range(9)), (3, long + "!", *range(9))], "doc_id long, text string, " + ", ".join(f"`{n}` int" for n in names))
+    got = D.drop_exact_copies(df)
+    assert got.columns == df.columns and sorted(r["doc_id"] for r in got.collect()) == [2, 3]
+    assert all([r[n] for n in names] == list(range(9)) for r in got.collect())
+    assert sorted((r["doc_id"], r["group_size"]) for r in D.exact_groups(df).collect()) == [(1, 2), (2, 2), (3, 1)]
+    assert D.drop_exact_copies(df.limit(0)).count() == 0
