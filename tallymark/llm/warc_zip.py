@@ -1,14 +1,20 @@
 """WARC records in ZIP archives: written as stored members with an index, read by range without extraction.
 
 An archive has two stored members, the WARC file and an index with the place of every record. It is written front to
-back (sizes follow the data) with ZIP64 structures throughout, in sections that end in a line feed, so that Spark's
-text writer, with its commit protocol and on any store, writes one archive a task; the archive comment is the last
-line feed. The reader finds the end record, the ZIP64 locator and directory, the local header of each member, the index,
-and then each record by offset and length.
+back (sizes follow the data) with ZIP64 structures throughout and ends in a line feed, its comment, so that Spark's text
+writer, with its commit protocol and on any store, writes each archive as a file. A task closes an archive before it
+outgrows `ARCHIVE_BYTES`; only one record longer than that makes a longer one.
+
+The reader's tasks get names of archives. Each opens its archive in the store and reads the tail, the ZIP64 locator and
+directory, the local header of each member, the index, and then runs of records by offset and length; neither an
+archive nor a member is ever read whole. Python reads shared folders (scheme file) itself, and any store for which the
+caller gives an `opener`; in other stores Spark's own reader hands over whole archives, which are of bounded size, and
+ranges are taken from those.
 
 Of equal payloads of at least `least` bytes the row with the largest id is a response and the others revisit it; rows
 of equal id and payload are alike, so all of them are responses. Null payloads count as empty, a null address is left
-out. A row without an id is a response, unless a row with an id has its payload.
+out. A row without an id is a response, unless a row with an id has its payload. A very long page is one record. An empty
+table gives no archive and reads as no rows. Columns beyond id, address and page are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -17,15 +23,19 @@ import hashlib
 import json
 import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from typing import BinaryIO
+from urllib.parse import unquote, urlsplit
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import scheme_of, written
 
 LEAST_REVISIT_BYTES = 1000
+#: Size at which a task closes an archive, and bytes of neighbouring records that are read at once.
+ARCHIVE_BYTES, READ_BYTES = 32 << 20, 1 << 20
 DATE = "2024-01-01T00:00:00Z"
 WARC_MEMBER, INDEX_MEMBER = b"archive/data.warc", b"indexes/index.cdxj"
 
@@ -184,23 +194,53 @@ def archive_sections(rows: Iterator[tuple]) -> Iterator[bytes]:
     yield closing + directory([(WARC_MEMBER, crc, size, 0), (INDEX_MEMBER, index_crc, len(listing), second)], at, b"\n")[:-1]
 
 
-def records(archive: Ranges) -> Iterator[dict]:
-    """Every record of an archive that its index lists, each read by its range."""
+def archives(rows: Iterator[tuple], most: int) -> Iterator[bytes]:
+    """Whole archives, each without its last line feed, of rows as they come."""
+
+    def size(row: tuple) -> int:
+        return 1024 + len(row[1] or "") + len(row[2])
+
+    row = next(rows, None)
+    while row is not None:
+
+        def own() -> Iterator[tuple]:
+            nonlocal row
+            held = 0
+            while row is not None and (not held or held + size(row) <= most):
+                held += size(row)
+                yield row
+                row = next(rows, None)
+
+        yield b"\n".join(archive_sections(own()))
+
+
+def records(archive: Ranges, most: int = READ_BYTES) -> Iterator[dict]:
+    """Every record of an archive that its index lists, read by ranges: neighbours together up to so many bytes."""
     found = members(archive)
     start, size, crc = found[INDEX_MEMBER.decode()]
     data, _, _ = found[WARC_MEMBER.decode()]
     listing = archive.read(start, size)
     if zlib.crc32(listing) != crc:
         raise ValueError("the index is broken")
-    for line in listing.splitlines():
-        entry = json.loads(line)
-        yield entry | parse_record(archive.read(data + entry["offset"], entry["length"]))
+    entries = [json.loads(line) for line in listing.splitlines()]
+    at = 0
+    while at < len(entries):
+        first, stop = entries[at]["offset"], at + 1
+        end = first + entries[at]["length"]
+        while stop < len(entries) and entries[stop]["offset"] == end and end + entries[stop]["length"] - first <= most:
+            end += entries[stop]["length"]
+            stop += 1
+        raw = archive.read(data + first, end - first)
+        for entry in entries[at:stop]:
+            place = entry["offset"] - first
+            yield entry | parse_record(raw[place : place + entry["length"]])
+        at = stop
 
 
 # ---- Spark
 
 
-def write_archives(pages: DataFrame, path: str, least: int = LEAST_REVISIT_BYTES, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> None:
+def write_archives(pages: DataFrame, path: str, least: int = LEAST_REVISIT_BYTES, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", archive_bytes: int = ARCHIVE_BYTES) -> None:
     html = F.coalesce(F.col(html_col), F.lit("")).cast("binary")
     rows = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).alias("url"), html.alias("payload"))
     rows = rows.withColumn("long", F.octet_length("payload") >= least).withColumn("sha", F.when(F.col("long"), F.sha2("payload", 256)))
@@ -212,40 +252,60 @@ def write_archives(pages: DataFrame, path: str, least: int = LEAST_REVISIT_BYTES
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = (row for batch in batches for low in range(0, batch.num_rows, 256) for row in zip(*(c.to_pylist() for c in batch.slice(low, 256).columns), strict=True))
-        for section in archive_sections(rows):
-            yield pa.RecordBatch.from_arrays([pa.array([section], pa.binary())], names=["value"])
+        for archive in archives(rows, archive_bytes):
+            yield pa.RecordBatch.from_arrays([pa.array([archive], pa.binary())], names=["value"])
+
+    lines = named.mapInArrow(run, "value binary").select(F.col("value").cast("string"))
+    lines.write.option("compression", "none").option("maxRecordsPerFile", 1).text(path)
+
+
+def open_shared(uri: str) -> BinaryIO:
+    """A file of a folder that every machine sees under the same name."""
+    return open(unquote(urlsplit(uri).path), "rb")
 
-    named.mapInArrow(run, "value binary").select(F.col("value").cast("string")).write.option("compression", "none").text(path)
 
+def read_archives(spark: SparkSession, path: str, opener: Callable[[str], BinaryIO] | None = None) -> DataFrame:
+    """Per record: page_id, url, payload_bytes, payload_digest, record_type, refers_to, payload (null for revisits).
 
-def read_archives(spark: SparkSession, path: str) -> DataFrame:
-    """Per record: page_id, url, payload_bytes, payload_digest, record_type, refers_to, payload (null for revisits)."""
+    opener: gives a seekable file for an archive's address, in stores that tasks reach by themselves.
+    """
+    if opener is None and scheme_of(spark, path) == "file":
+        opener = open_shared
 
     def number(urn: str | None) -> int | None:
         tail = urn.rsplit(":", 1)[-1].rstrip(">") if urn else "none"
         return None if tail == "none" else int(tail)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = {"page_id": pa.int64(), "url": pa.string(), "payload_bytes": pa.int64(), "payload_digest": pa.string(), "record_type": pa.string(), "refers_to": pa.int64(), "payload": pa.binary()}
-
-        def batch_of(rows: list[tuple]) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds.values(), strict=True)], names=list(kinds))
+    kinds = {"page_id": pa.int64(), "url": pa.string(), "payload_bytes": pa.int64(), "payload_digest": pa.string(), "record_type": pa.string(), "refers_to": pa.int64(), "payload": pa.binary()}
+
+    def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds.values(), strict=True)], names=list(kinds))
+
+    def rows_of(archive: Ranges) -> Iterator[pa.RecordBatch]:
+        rows: list[tuple] = []
+        held = 0
+        for r in records(archive):
+            head, kind = r["headers"], r["headers"]["WARC-Type"]
+            stated = head["WARC-Payload-Digest"].removeprefix("sha1:")
+            if kind == "response" and hashlib.sha1(r["payload"]).hexdigest() != stated:
+                raise ValueError("a payload differs from its digest")
+            size = len(r["payload"]) if kind == "response" else int(r["http"]["Content-Length"])
+            rows.append((number(head["WARC-Record-ID"]), head.get("WARC-Target-URI"), size, stated, kind, number(head.get("WARC-Refers-To")), r["payload"] if kind == "response" else None))
+            held += len(r["payload"])
+            if len(rows) == 256 or held >= READ_BYTES:
+                yield batch_of(rows)
+                rows, held = [], 0
+        if rows:
+            yield batch_of(rows)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for content in batch.column(0):
-                rows: list[tuple] = []
-                for r in records(Ranges(content.as_buffer())):
-                    head, kind = r["headers"], r["headers"]["WARC-Type"]
-                    stated = head["WARC-Payload-Digest"].removeprefix("sha1:")
-                    if kind == "response" and hashlib.sha1(r["payload"]).hexdigest() != stated:
-                        raise ValueError("a payload differs from its digest")
-                    size = len(r["payload"]) if kind == "response" else int(r["http"]["Content-Length"])
-                    rows.append((number(head["WARC-Record-ID"]), head.get("WARC-Target-URI"), size, stated, kind, number(head.get("WARC-Refers-To")), r["payload"] if kind == "response" else None))
-                    if len(rows) == 256:
-                        yield batch_of(rows)
-                        rows = []
-                if rows:
-                    yield batch_of(rows)
-
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).where("length > 0").select("content")
-    return files.mapInArrow(run, "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary")
+            for source in batch.column(0):
+                if opener is None:
+                    yield from rows_of(Ranges(source.as_buffer()))
+                else:
+                    with opener(source.as_py()) as file:
+                        yield from rows_of(Ranges(file))
+
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).where("length > 0")
+    return files.select("content" if opener is None else "path").mapInArrow(run, "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary")

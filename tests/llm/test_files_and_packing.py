@@ -106,6 +106,40 @@ def test_archive_is_a_zip_and_is_read_by_range():
         warc_zip.members(warc_zip.Ranges(b"nothing of the kind, though long enough"))
 
 
+def test_archives_are_of_bounded_size_and_read_by_range(spark, tmp_path, monkeypatch):
+    rows = [(i, f"http://h/{i}", f"page {i} " * 200, 1, "x") for i in range(300)] + [(900, "long", "z" * 300_000, 1, "x"), (901, "long", "z" * 300_000, 1, "x")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, payload int, id string").repartition(2)
+    path = str(tmp_path / "a b")
+    warc_zip.write_archives(pages, path, archive_bytes=60_000)
+    sizes = [f.stat().st_size for f in (tmp_path / "a b").glob("part-*") if f.stat().st_size]
+    assert len(sizes) > 5 and sorted(sizes)[-2] < 80_000  # one record is longer than an archive should be
+
+    def opened(uri):
+        file, most = warc_zip.open_shared(uri), 50_000
+
+        class Limited:
+            def __enter__(self):
+                return self
+
+            def __exit__(self, *_):
+                file.close()
+
+            def seek(self, *a):
+                return file.seek(*a)
+
+            def read(self, n):
+                assert n <= max(most, 301_000) and n >= 0
+                return file.read(n)
+
+        return Limited()
+
+    by_range = warc_zip.read_archives(spark, path, opened)
+    monkeypatch.setattr(warc_zip, "scheme_of", lambda *_: "other")
+    whole = warc_zip.read_archives(spark, path)
+    assert sorted(map(str, by_range.collect())) == sorted(map(str, whole.collect())) and by_range.count() == 302
+    assert "content" not in by_range._jdf.queryExecution().executedPlan().toString()
+
+
 def test_no_pages(spark):
     path = fresh_path(spark, "warc-test")
     warc_zip.write_archives(spark.createDataFrame([], "page_id long, url string, html string"), path)
