@@ -61,17 +61,36 @@ def test_ties_and_repeated_ids_in_a_slice(spark):
 
 def test_each_part_has_its_own_slices(spark, monkeypatch):
     """One part holds most rows and queries: no slice and no block grows with it."""
-    monkeypatch.setattr(routed_search, "SLICE_ROWS", 50)
-    monkeypatch.setattr(routed_search, "BLOCK_QUERIES", 20)
+    monkeypatch.setattr(routed_search, "BLOCK_BYTES", 5000)
     of = lambda n, hot: spark.range(n).selectExpr("id", f"cast(if(id < {hot}, 3, id % 16) as int) as part", "cast(string(id) as binary) as v")
     index, wanted = routed_search.dealt(of(2000, 1500), of(300, 200))
     per = lambda df: [r["count"] for r in df.groupBy("part", "slice", "block").count().collect()]
-    assert max(per(index)) <= 100 and max(per(wanted)) <= 50
+    assert max(per(index)) <= 100 and max(per(wanted)) <= 100
     assert index.select("id").distinct().count() == 2000 and wanted.select("id").distinct().count() == 300
     pairs = index.alias("i").join(wanted.alias("w"), ["part", "slice", "block"]).selectExpr("i.id as a", "w.id as b")
     assert pairs.count() == pairs.distinct().count() == of(2000, 1500).alias("i").join(of(300, 200).alias("w"), "part").count()
 
 
+def test_huge_and_tiny_components_and_other_lengths(spark):
+    """Components of 1e200 and 1e-200 don't run out of range; vectors of other lengths meet their own kind."""
+    rng = np.random.default_rng(5)
+    rows = [(i, [float(x) * 10.0 ** (400 * (i % 2) - 200) for x in rng.normal(size=6)]) for i in range(400)]
+    rows += [(1000 + i, [float(x) for x in rng.normal(size=4)]) for i in range(30)] + [(2000, [1.0]), (2001, [-2.0]), (3000, [])]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>").selectExpr("*", "1 as part", "2 as slice", "3 as id", "4 as v")
+    got = routed_search.search(table, table.where("vec_id % 50 = 0"), probes=1000).toPandas()
+    for n in (6, 4, 1):
+        ids = np.array([i for i, v in rows if len(v) == n])
+        vectors = np.array([[x / max(map(abs, v)) for x in v] for _, v in rows if len(v) == n])
+        want = brute(ids, vectors, [i for i in ids if i % 50 == 0], 5)
+        for q, expected in want.items():
+            assert got[got.query_id == q].sort_values("rank")["vec_id"].tolist() == [i for i in expected if i != q]
+    assert np.isfinite(got["score"]).all() and (got["score"].abs() <= 1 + 1e-12).all()
+
+
+def test_parts_grow_with_rows():
+    assert [routed_search.wanted_parts(n) for n in (100, 10**6, 10**9, 10**12)] == [8, 125, 3953, 4096]
+
+
 def test_balanced_parts():
     rng = np.random.default_rng(2)
     vectors = routed_search.unit(rng.normal(size=(800, 10)))
