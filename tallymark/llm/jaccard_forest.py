@@ -1,17 +1,26 @@
-"""Similarity join on word shingles by MinHash LSH in trees of one fixed depth, with exact verification.
+"""Similarity join on word shingles by a MinHash LSH forest of sorted prefix tries, with exact verification.
 
 Every text becomes the set of its runs of five words (lower case, cut at white space; a shorter text is one run). Texts
-with equal sets share one representative. A representative's signature is dealt over trees. Documents that share a
-prefix in a tree are candidates: one depth for all is chosen, the deepest at which the probability that two texts at the
-threshold meet in some tree reaches the target. Depth doesn't follow what a document matches, as in a full LSH forest.
-
-A small node of a tree gives all of its few pairs, which are verified on their whole shingle sets. The rows of a crowded
-node are cut into blocks of bounded size; a task compares one pair of blocks, and gives edges that join its texts and
-each text's number of links, so pairs of a node are never rows. A pair that stands in several crowded nodes is compared
-in the least of them only. So all links that all pairs of all nodes would give are counted, once each.
-
-Texts without words have no shingles and link to nothing; null texts count as empty. Rows without an id are left out.
-Repeated rows are copies. Shingles are compared by 64-bit hashes.
+with equal sets share one representative. A representative's MinHash signature is cut into keys of `DEPTH` numbers, one a
+tree. All keys are sorted as bytes, so each tree is a sorted trie: texts that share a prefix lie side by side, and nodes
+of every depth are runs of the same order, read in one pass.
+
+Prefixes are shortened from full depth. Small nodes of every depth down to the floor (where even two texts at the
+threshold meet with the target probability) give their few pairs at once; they are verified on whole shingle sets. Each
+text of a crowded node is verified with its neighbour in one tree as well. The similarities of all matches so found tell
+how many matches there must be, and what share of them meets at each depth: crowded nodes are shortened from full depth
+until the measured share reaches the target, and no further. On a corpus of close copies they stay deep; matches near
+the threshold shorten them.
+
+Rows of a crowded node are cut into blocks of bounded rows and shingles. A task compares the short signatures of one
+pair of blocks; only texts that pass with some partner get their sets, and a second task of the same pair of blocks gives
+edges that join its texts and each text's number of links, so pairs of a node are never rows. A pair that stands in
+several crowded nodes is compared in the least of them only. So all links of all nodes are counted, once each.
+
+Texts without words have no shingles and link to nothing; null texts count as empty. Rows without an id are left out of
+`classes`. Repeated rows are copies, which is a tie that needs no rule. Very long texts are taken whole. An empty table
+gives no rows. Columns beyond id and text are ignored by `classes` and kept by `drop_near_copies`, whatever their names.
+Shingles are compared by 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -30,23 +39,43 @@ from .common import written
 WORDS = 5
 THRESHOLD = 0.8
 TREES, DEPTH, TARGET = 32, 8, 0.9999
-#: Rows that a row of a small node is paired with; trees in which rows of crowded nodes are, and with how many: in none,
-#: as blocks give all their pairs.
-NEIGHBOURS, EARLY_TREES, EARLY_NEIGHBOURS = 4, 0, 2
+#: Rows of a node up to which it is small.
+SMALL_NODE = 5
 SMALL_TABLE_ROWS = 50_000
-#: Rows of each of the two blocks of a node that a task compares at once; distinct values that are counted at once.
-BLOCK_ROWS, GROUP_ROWS = 512, 2048
+#: Rows and shingles of each of the two blocks of a node that a task compares; distinct values that are counted at once.
+BLOCK_ROWS, BLOCK_SHINGLES, GROUP_ROWS = 1024, 1 << 19, 2048
 KNOWN_WORDS = 400_000
+#: Bytes of a number in a tree's key: the low ones, most significant first.
+NUMBER = 2
+
+
+def meeting(similarity: float, depth: int, trees: int = TREES) -> float:
+    """The probability that two texts share a prefix of this depth in some tree."""
+    return 1 - (1 - similarity**depth) ** trees
 
 
 def prefix_depth(threshold: float, trees: int, deepest: int, target: float) -> int:
-    """Shorten prefixes until two texts at the threshold share one in some tree with the target probability."""
+    """The floor: the deepest prefix that two texts at the threshold share in some tree with the target probability."""
     for depth in range(deepest, 1, -1):
-        if 1 - (1 - threshold**depth) ** trees >= target:
+        if meeting(threshold, depth, trees) >= target:
             return depth
     return 1
 
 
+def measured_share(matches: dict[float, int], depth: int, floor: int) -> float:
+    """The share of all matches that meets at a depth, from the number of matches of each similarity that met at the floor."""
+    there = {s: n / meeting(s, floor) for s, n in matches.items()}
+    return sum(n * meeting(s, depth) for s, n in there.items()) / sum(there.values())
+
+
+def shortened(matches: dict[float, int], floor: int, deepest: int = DEPTH, target: float = TARGET) -> int:
+    """Shorten prefixes from full depth until the measured share reaches the target; no matches: to the floor."""
+    depth = deepest
+    while depth > floor and (not matches or measured_share(matches, depth, floor) < target):
+        depth -= 1
+    return depth
+
+
 class WordHashes(dict):
     """64-bit hashes of words met before."""
 
@@ -112,6 +141,11 @@ def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id is not null")
 
 
+def _packed(signed: np.ndarray) -> np.ndarray:
+    """The low bytes of each number, most significant first, so that bytes sort as a trie."""
+    return (signed & np.uint32(0xFFFF)).astype(">u2")
+
+
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """id, digest of the set (null: no words), size, signature."""
     for batch in batches:
@@ -119,7 +153,7 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             part = batch.slice(low, 512)
             sets = shingle_sets(part.column(1).to_pylist())
             full = [s for s in sets if len(s)]
-            made = iter(signatures(full, TREES * DEPTH).astype("<u4") if full else [])
+            made = iter(_packed(signatures(full, TREES * DEPTH)) if full else [])
             digests = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
             signed = [next(made).tobytes() if len(s) else None for s in sets]
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(digests, pa.binary()), pa.array([len(s) for s in sets], pa.int32()), pa.array(signed, pa.binary())], names=["id", "digest", "n", "sig"])
@@ -135,69 +169,121 @@ def _wanted_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(digests, pa.binary()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], names=["id", "want", "digest", "shingles"])
 
 
-def _linked(neighbours: int, threshold: float):
-    """Streams a sorted run of (node, deep, id, n, early): candidate pairs (kind 0) and crowded nodes (kind 1).
+_NO_PAIRS = tuple(np.zeros(0, np.int64) for _ in range(2))
 
-    Nodes of up to neighbours + 1 rows give all pairs. Larger ones are crowded; there a row is paired with the next
-    ones of the sorted trie, in early trees only. What a run's ends cut off counts as crowded, whatever its size.
+
+class _Level:
+    """Nodes of one depth in a stream of sorted rows: pairs that part right below a small node, and crowded nodes.
+
+    Rows are a dict of arrays: tree, key, id, n, and the node of each depth by a number. What a run's ends cut off counts
+    as crowded, whatever its size.
     """
-    small = neighbours + 1
 
-    def pairs(node, ids, n, keep, reach):
+    def __init__(self, depth: int, deepest: int, threshold: float):
+        self.depth, self.deepest, self.threshold = depth, deepest, threshold
+        self.held: dict | None = None
+        self.crowd: int | None = None  # the crowded node that goes on
+
+    def _pairs(self, rows: dict, keep: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        node, ids, n = rows[self.depth], rows["id"], rows["n"]
         left, right = [], []
-        for k in range(1, reach + 1):
+        for k in range(1, SMALL_NODE):
             i = np.arange(max(0, len(node) - k))
             i = i[(node[i] == node[i + k]) & keep[i] & (ids[i] != ids[i + k])]
-            i = i[np.minimum(n[i], n[i + k]) >= threshold * np.maximum(n[i], n[i + k])]
+            if self.depth < self.deepest:
+                below = rows[self.depth + 1]
+                i = i[below[i] != below[i + k]]
+            i = i[np.minimum(n[i], n[i + k]) >= self.threshold * np.maximum(n[i], n[i + k])]
             left.append(np.minimum(ids[i], ids[i + k]))
             right.append(np.maximum(ids[i], ids[i + k]))
         return np.concatenate(left), np.concatenate(right)
 
-    def batch_of(a, b, nodes):
-        return pa.RecordBatch.from_arrays([pa.array(np.r_[np.zeros(len(a), np.int32), np.ones(len(nodes), np.int32)]), pa.array(np.r_[a, nodes]), pa.array(np.r_[b, nodes])], names=["kind", "a", "b"])
+    def feed(self, rows: dict) -> tuple[tuple[np.ndarray, np.ndarray], list[bytes], np.ndarray]:
+        """Pairs, crowded nodes, and which of the given rows are in one."""
+        given = len(rows["id"])
+        crowded = [] if self.held is not None else [self._name(rows, 0)]
+        if self.held is not None:
+            rows = {k: np.concatenate([self.held[k], v]) for k, v in rows.items()}
+        node = rows[self.depth]
+        starts = np.flatnonzero(np.r_[True, node[1:] != node[:-1]])
+        length = np.diff(np.r_[starts, len(node)])
+        big = length > SMALL_NODE
+        big[0] |= self.crowd is not None and int(node[0]) == self.crowd
+        end = len(node) if big[-1] else int(starts[-1])
+        inside = np.repeat(big, length)
+        pairs = self._pairs({k: v[:end] for k, v in rows.items()}, ~inside[:end])
+        crowded += [self._name(rows, i) for i in starts[big].tolist()]
+        self.crowd = int(node[-1]) if big[-1] else None
+        self.held = {k: v[end:] for k, v in rows.items()}
+        return pairs, crowded, inside[len(node) - given :]
+
+    def close(self) -> list[bytes]:
+        return [self._name(self.held, -1)] if self.held is not None and len(self.held["id"]) else []
+
+    def _name(self, rows: dict, i: int) -> bytes:
+        return bytes([rows["tree"][i]]) + rows["key"][i].tobytes()[: NUMBER * self.depth]
+
+
+def _trie(floor: int, deepest: int, threshold: float):
+    """Streams sorted (tree, key, id, n): candidate pairs (kind 0) and crowded nodes of every depth (kind 1)."""
+
+    def batch_of(pairs, nodes, depth):
+        a, b = pairs
+        kind = np.r_[np.zeros(len(a), np.int32), np.ones(len(nodes), np.int32)]
+        padded = lambda x: pa.array(np.r_[x, np.zeros(len(nodes), np.int64)].astype(np.int64))
+        return pa.RecordBatch.from_arrays([pa.array(kind), padded(a), padded(b), pa.array(np.full(len(kind), depth, np.int32)), pa.array([None] * len(a) + nodes, pa.binary())], names=["kind", "a", "b", "depth", "node"])
+
+    def rows_of(batch: pa.RecordBatch) -> dict:
+        keys = b"".join(batch.column(1).to_pylist())
+        numbers = np.frombuffer(keys, ">u2").reshape(batch.num_rows, deepest).astype(np.uint64)
+        rows = {"tree": batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64), "key": np.frombuffer(keys, f"V{NUMBER * deepest}"), "id": batch.column(2).to_numpy(zero_copy_only=False), "n": batch.column(3).to_numpy(zero_copy_only=False)}
+        node = _mixed(rows["tree"].astype(np.uint64) + np.uint64(1))
+        for d in range(deepest):
+            node = _mixed(node * np.uint64(0x9E3779B97F4A7C15) + numbers[:, d])
+            if d + 1 >= floor:
+                rows[d + 1] = node
+        return rows
+
+    def neighbours(rows: dict, crowded: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Each text of a crowded node with its neighbour, in one tree."""
+        ids, node = rows["id"], rows[floor]
+        i = np.arange(max(0, len(ids) - 1))
+        own = _mixed(ids.astype(np.uint64)) % np.uint64(TREES) == rows["tree"].astype(np.uint64)
+        i = i[crowded[i] & own[i] & (node[i] == node[i + 1]) & (ids[i] != ids[i + 1])]
+        n = rows["n"]
+        i = i[np.minimum(n[i], n[i + 1]) >= threshold * np.maximum(n[i], n[i + 1])]
+        return np.minimum(ids[i], ids[i + 1]), np.maximum(ids[i], ids[i + 1])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, crowd, last = None, None, None  # rows kept back, the crowded node that goes on
+        levels = [_Level(d, deepest, threshold) for d in range(floor, deepest + 1)]
         for batch in batches:
             if not batch.num_rows:
                 continue
-            rows = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("node", "id", "n", "early")]
-            first = [] if last is not None else [int(rows[0][0])]
-            if held is not None:
-                rows = [np.concatenate(x) for x in zip(held, rows, strict=True)]
-            node, ids, n, early = rows
-            last = int(node[-1])
-            starts = np.flatnonzero(np.r_[True, node[1:] != node[:-1]])
-            length = np.diff(np.r_[starts, len(node)])
-            big = length > small
-            big[0] |= crowd is not None and int(node[0]) == crowd
-            end = len(node) if big[-1] else int(starts[-1])
-            in_big = np.repeat(big, length)
-            a, b = pairs(node[:end], ids[:end], n[:end], ~in_big[:end], neighbours)
-            c, d = pairs(node[:end], ids[:end], n[:end], in_big[:end] & early[:end], EARLY_NEIGHBOURS)
-            yield batch_of(np.r_[a, c], np.r_[b, d], np.unique(np.r_[np.array(first, np.int64), node[starts[big]]]))
-            crowd = last if big[-1] else None
-            held = [x[len(node) - EARLY_NEIGHBOURS :] if big[-1] else x[end:] for x in rows]
-        if last is not None:
-            node, ids, n, early = held
-            a, b = pairs(node, ids, n, np.full(len(node), crowd is None), neighbours)
-            yield batch_of(a, b, np.array([last], np.int64))
+            rows = rows_of(batch)
+            for level in levels:
+                pairs, nodes, inside = level.feed(rows)
+                yield batch_of(pairs, nodes, level.depth)
+                if level.depth == floor:
+                    yield batch_of(neighbours(rows, inside), [], floor)
+        for level in levels:
+            yield batch_of(_NO_PAIRS, level.close(), level.depth)
 
     return run
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    """Pairs (a, b) whose whole shingle sets are similar enough."""
+    """Pairs (a, b) whose whole shingle sets are similar enough, and how similar."""
     left = sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa"))
     right = sets.select(F.col("id").alias("b"), F.col("shingles").alias("sb"))
     both = F.size(F.array_intersect("sa", "sb"))
-    return pairs.join(left, "a").join(right, "b").where(both >= threshold * (F.size("sa") + F.size("sb") - both)).select("a", "b")
+    met = pairs.join(left, "a").join(right, "b").select("a", "b", both.alias("both"), (F.size("sa") + F.size("sb") - both).alias("all"))
+    return met.where(F.col("both") >= threshold * F.col("all")).select("a", "b", (F.col("both") / F.col("all")).alias("similarity"))
 
 
 def _short_signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """One byte of each of a signature's numbers."""
     for batch in batches:
-        short = [np.frombuffer(s, np.uint8)[::4].tobytes() for s in batch.column(1).to_pylist()]
+        short = [s[NUMBER - 1 :: NUMBER] for s in batch.column(1).to_pylist()]
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(short, pa.binary())], names=["id", "short"])
 
 
@@ -224,39 +310,56 @@ def _in_common(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def _compared(threshold: float):
-    """All links of a pair of blocks: edges (kind 0) that join its texts, and how many links (kind 1) each text has.
+def _near(rows: pd.DataFrame, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Left rows, right rows and which pairs of a pair of blocks may be similar and are compared here.
 
-    Pairs whose short signatures agree in less than similar texts' do, less five deviations, are left out, and so are
-    those that are compared in a lesser node; whole shingle sets decide.
+    Pairs whose short signatures agree in less than similar texts' do, less eight deviations, are left out, and so are
+    those that are compared in a lesser node.
     """
-    least = threshold - 5 * np.sqrt(threshold * (1 - threshold) / (TREES * DEPTH))
+    least = threshold - 8 * np.sqrt(threshold * (1 - threshold) / (TREES * DEPTH))
+    x, y = int(rows["x"].iloc[0]), int(rows["y"].iloc[0])
+    block = rows["block"].to_numpy()
+    left, right = np.flatnonzero(block == x), np.flatnonzero(block == y)
+    sizes = rows["n"].to_numpy()
+    near = np.zeros((len(left), len(right)), bool)
+    if near.size:
+        short = np.frombuffer(b"".join(rows["short"]), np.uint8).reshape(len(rows), -1)
+        for k, i in enumerate(left.tolist()):
+            other = np.flatnonzero(np.minimum(sizes[right], sizes[i]) >= threshold * np.maximum(sizes[right], sizes[i]))
+            if x == y:
+                other = other[other > k]
+            near[k, other] = np.count_nonzero(short[right[other]] == short[i], axis=1) >= least * short.shape[1]
+    left, right, near = _kept(left, right, near)
+    if len(left):
+        met = rows["met"].to_numpy()
+        near &= _in_common(list(met[left]), list(met[right])) == 0
+        left, right, near = _kept(left, right, near)
+    return left, right, near
+
+
+def _kept(left: np.ndarray, right: np.ndarray, near: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    some, others = near.any(axis=1), near.any(axis=0)
+    return left[some], right[others], near[some][:, others]
+
+
+def _passing(threshold: float):
+    """The texts of a pair of blocks that may be similar to some partner, with all that is known of them but their sets."""
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        x, y = int(rows["x"].iloc[0]), int(rows["y"].iloc[0])
-        block = rows["block"].to_numpy()
-        left, right = np.flatnonzero(block == x), np.flatnonzero(block == y)
-        ids, sizes = rows["id"].to_numpy(), rows["n"].to_numpy()
-        near = np.zeros((len(left), len(right)), bool)
-        if near.size:
-            short = np.frombuffer(b"".join(rows["short"]), np.uint8).reshape(len(rows), -1)
-            for k, i in enumerate(left.tolist()):
-                other = np.flatnonzero(np.minimum(sizes[right], sizes[i]) >= threshold * np.maximum(sizes[right], sizes[i]))
-                if x == y:
-                    other = other[other > k]
-                near[k, other] = np.count_nonzero(short[right[other]] == short[i], axis=1) >= least * short.shape[1]
-
-        def kept(left, right, near):
-            some, others = near.any(axis=1), near.any(axis=0)
-            return left[some], right[others], near[some][:, others]
-
-        left, right, near = kept(left, right, near)
-        if len(left):
-            met, sets = rows["met"].to_numpy(), rows["shingles"].to_numpy()
-            near &= _in_common(list(met[left]), list(met[right])) == 0
-            left, right, near = kept(left, right, near)
+        left, right, _ = _near(rows, threshold)
+        return rows.iloc[np.union1d(left, right)]
+
+    return run
+
+
+def _compared(threshold: float):
+    """All links of a pair of blocks: edges (kind 0) that join its texts, and how many links (kind 1) each text has."""
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        left, right, near = _near(rows, threshold)
         if not len(left):
             return pd.DataFrame(columns=["kind", "a", "b"], dtype="int64")
+        ids, sizes, sets = rows["id"].to_numpy(), rows["n"].to_numpy(), rows["shingles"].to_numpy()
         both = _in_common(list(sets[left]), list(sets[right]))
         near &= both >= threshold * (sizes[left][:, None] + sizes[right][None, :] - both)
         i, j = np.nonzero(near)
@@ -279,12 +382,14 @@ def _compared(threshold: float):
 
 def _in_blocks(crowded: DataFrame, met: DataFrame, signed: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     """Edges and numbers of links (kind, a, b) of crowded nodes. A group is one pair of blocks of one node."""
-    blocks = crowded.groupBy("node").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("long").alias("blocks"), F.count("*").alias("m")).where("m > 1").drop("m")
-    known = signed.join(sets.select("id"), "id", "left_semi").mapInArrow(_short_signatures, "id long, short binary").join(sets, "id").join(met, "id")
+    count = F.ceil(F.greatest(F.count("*") / BLOCK_ROWS, F.sum("n") / BLOCK_SHINGLES)).cast("long")
+    blocks = crowded.groupBy("node").agg(count.alias("blocks"), F.count("*").alias("m")).where("m > 1").drop("m")
+    known = signed.join(met, "id").select("id", "sig").mapInArrow(_short_signatures, "id long, short binary").join(met, "id")
     rows = crowded.select("node", "id", "n").join(blocks, "node").join(known, "id").withColumn("met", F.expr("filter(met, m -> m < node)"))
     rows = rows.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    rows = rows.select("node", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "block", "id", "n", "met", "short", "shingles")
-    return rows.groupBy("node", "x", "y").applyInPandas(_compared(threshold), "kind long, a long, b long")
+    rows = rows.select("node", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "block", "id", "n", "met", "short")
+    passed = written(rows.groupBy("node", "x", "y").applyInPandas(_passing(threshold), rows.schema), "passing")
+    return passed.join(sets, "id").groupBy("node", "x", "y").applyInPandas(_compared(threshold), "kind long, a long, b long")
 
 
 def _met(crowded: DataFrame) -> DataFrame:
@@ -292,11 +397,6 @@ def _met(crowded: DataFrame) -> DataFrame:
     return crowded.groupBy("id").agg(F.collect_set("node").alias("met"))
 
 
-def _across(parts: DataFrame, signed: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    """The edges (a, b) alone."""
-    return _in_blocks(parts, _met(parts), signed, sets, threshold).where("kind = 0").select("a", "b").distinct()
-
-
 def components(edges: DataFrame) -> DataFrame:
     """id, label: the smallest id that edges lead to. Labels spread to neighbours and jump along themselves."""
     both = written(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))), "edges")
@@ -312,38 +412,58 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
+def _leaves(same: DataFrame, depth: int) -> DataFrame:
+    """id, n and the node of each tree at a depth, by a number."""
+    nodes = F.array(*[F.xxhash64(_node_name(t, depth)) for t in range(TREES)])
+    return same.select(F.col("rep").alias("id"), "n", F.explode(nodes).alias("node"))
+
+
+def _node_name(tree: int, depth: int):
+    return F.concat(F.lit(bytearray([tree])), F.substring("sig", NUMBER * DEPTH * tree + 1, NUMBER * depth))
+
+
+def _crowded(found: DataFrame, same: DataFrame, depth: int) -> DataFrame:
+    """node, id, n of the rows of crowded nodes of a depth."""
+    large = written(found.where((F.col("kind") == 1) & (F.col("depth") == depth)).select(F.xxhash64("node").alias("node")).distinct(), "nodes")
+    few = large.count() <= SMALL_TABLE_ROWS
+    return written(_leaves(same, depth).join(F.broadcast(large) if few else large, "node", "left_semi").select("node", "id", "n"), "crowded")
+
+
 def classes(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: id, class_id (smallest id of the class), n_links, copies.
 
     n_links: verified links of the document's text to different texts. copies: rows with the same shingles, the row
     itself included.
     """
-    spark = docs.sparkSession
     rows = _rows(docs, id_col, text_col)
     sketch = written(rows.mapInArrow(_sketch, "id long, digest binary, n int, sig binary"), "sketch")
     same = written(sketch.where("digest is not null").groupBy("digest").agg(F.min("id").alias("rep"), F.count("*").alias("copies"), F.min("n").alias("n"), F.min_by("sig", "id").alias("sig")), "sets")
 
-    depth = prefix_depth(threshold, TREES, DEPTH, TARGET)
-    trees = F.array(*[F.struct(F.xxhash64(F.lit(t), F.substring("sig", 4 * DEPTH * t + 1, 4 * depth)).alias("node"), F.xxhash64(F.substring("sig", 4 * DEPTH * t + 1, 4 * DEPTH)).alias("deep"), F.lit(t < EARLY_TREES).alias("early")) for t in range(TREES)])
-    leaves = same.select("rep", "n", F.explode(trees).alias("t")).select("t.node", "t.deep", F.col("rep").alias("id"), "n", "t.early")
-    order = ["node", "deep", "id"]
-    found = written(leaves.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_linked(NEIGHBOURS, threshold), "kind int, a long, b long"), "candidates")
-    large = written(found.where("kind = 1").select(F.col("a").alias("node")).distinct(), "nodes")
-    few = large.count() <= SMALL_TABLE_ROWS
-    crowded = written(leaves.join(F.broadcast(large) if few else large, "node", "left_semi").select("node", "id", "n"), "crowded")
-    met = written(_met(crowded), "met")
+    floor = prefix_depth(threshold, TREES, DEPTH, TARGET)
+    keys = F.array(*[F.struct(F.lit(t).cast("byte").alias("tree"), F.substring("sig", NUMBER * DEPTH * t + 1, NUMBER * DEPTH).alias("key")) for t in range(TREES)])
+    leaves = same.select("rep", "n", F.explode(keys).alias("t")).select("t.tree", "t.key", F.col("rep").alias("id"), "n")
+    order = ["tree", "key", "id"]
+    found = written(leaves.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_trie(floor, DEPTH, threshold), "kind int, a long, b long, depth int, node binary"), "candidates")
+    pairs = written(found.where("kind = 0").select("a", "b").distinct(), "pairs")
+    crowded = _crowded(found, same, floor)
 
-    # pairs that stand in a crowded node too are compared there
-    of = lambda c: met.select(F.col("id").alias(c), F.col("met").alias(f"met_{c}"))
-    pairs = found.where("kind = 0").select("a", "b").distinct().join(of("a"), "a", "left").join(of("b"), "b", "left")
-    pairs = written(pairs.where(~F.coalesce(F.arrays_overlap("met_a", "met_b"), F.lit(False))).select("a", "b"), "pairs")
-
-    # shingle sets of those representatives only that have a candidate or stand in a large node
+    # shingle sets of those representatives only that have a candidate or stand in a crowded node
     wanted = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).union(crowded.select("id")).distinct()
     wanted = wanted.join(same.select(F.col("rep").alias("id"), "digest"), "id")
     sets = rows.join(wanted, "id").select("id", "text", F.col("digest").alias("want")).mapInArrow(_wanted_sets, "id long, want binary, digest binary, shingles array<long>").where("want = digest").drop("want", "digest").dropDuplicates(["id"])
     sets = written(sets, "shingles")
     links = written(_verified(pairs, sets, threshold), "links")
+
+    # at most a hundred rows: the number of matches of each similarity, in hundredths
+    matches = {r["s"] / 100: r["n"] for r in links.groupBy(F.floor(F.col("similarity") * 100).alias("s")).agg(F.count("*").alias("n")).collect()}
+    depth = shortened(matches, floor)
+    if depth > floor:
+        crowded = _crowded(found, same, depth)
+    met = written(_met(crowded), "met")
+    # links of texts that stand in a crowded node together are counted there
+    of = lambda c: met.select(F.col("id").alias(c), F.col("met").alias(f"met_{c}"))
+    alone = ~F.coalesce(F.arrays_overlap("met_a", "met_b"), F.lit(False))
+    links = written(links.join(of("a"), "a", "left").join(of("b"), "b", "left").where(alone).select("a", "b"), "links-alone")
     blocks = written(_in_blocks(crowded, met, same.select(F.col("rep").alias("id"), "sig"), sets, threshold), "blocks")
     labels = components(links.union(blocks.where("kind = 0").select("a", "b")).distinct())
 

@@ -1,6 +1,11 @@
 """The forest join against all pairs, with crowded nodes and odd rows."""
 
+import itertools
 import random
+from collections import Counter
+
+import numpy as np
+import pyarrow as pa
 
 from tallymark.llm import jaccard_forest as J
 
@@ -49,9 +54,8 @@ def test_against_all_pairs(spark):
 
 
 def test_crowded_nodes_lose_no_class(spark, monkeypatch):
-    """Many texts share a passage without being similar, and copies hide among them; only one neighbour is looked at."""
-    monkeypatch.setattr(J, "NEIGHBOURS", 1)
-    monkeypatch.setattr(J, "EARLY_TREES", 2)
+    """Many texts share a passage without being similar, and copies hide among them."""
+    monkeypatch.setattr(J, "SMALL_NODE", 2)
     monkeypatch.setattr(J, "BLOCK_ROWS", 8)
     monkeypatch.setattr(J, "GROUP_ROWS", 64)
     rng = random.Random(3)
@@ -90,58 +94,72 @@ def test_all_links_of_crowded_nodes_are_counted(spark, monkeypatch):
 
 def test_a_task_holds_one_pair_of_blocks(spark, monkeypatch):
     """240 texts that share a passage and aren't similar: no group grows with the node."""
-    inner = J._compared
-
-    def limited(threshold):
-        run = inner(threshold)
-
-        def bounded(rows):
-            assert len(rows) <= 64, len(rows)
-            return run(rows)
+    inner = J._near
 
-        return bounded
+    def bounded(rows, threshold):
+        assert len(rows) <= 64, len(rows)
+        return inner(rows, threshold)
 
     monkeypatch.setattr(J, "BLOCK_ROWS", 16)
-    monkeypatch.setattr(J, "_compared", limited)
+    monkeypatch.setattr(J, "_near", bounded)
     rng = random.Random(6)
     passage = [f"p{k}" for k in range(90)]
     rows = [(i, " ".join(passage + [f"o{rng.randrange(10**6)}" for _ in range(60)])) for i in range(240)]
     assert {r["n_links"] for r in found(spark, rows)} == {0}
 
 
-def test_blocks_find_pairs_of_other_parts(spark):
-    import numpy as np
-
+def test_blocks_find_links(spark):
     rng = np.random.default_rng(1)
     sets = [np.unique(rng.integers(0, 2**63, 200).astype(np.uint64)) for _ in range(4)]
     sets.append(np.unique(np.r_[sets[0][:195], sets[1][:3]]))
-    sig = [s.astype("<u4").tobytes() for s in J.signatures(sets, J.TREES * J.DEPTH)]
-    parts = spark.createDataFrame([(1, i, i, 200) for i in range(5)], "node long, id long, part long, n int")
+    sig = [s.tobytes() for s in J._packed(J.signatures(sets, J.TREES * J.DEPTH))]
+    crowded = spark.createDataFrame([(1, i, 200) for i in range(5)], "node long, id long, n int")
     signed = spark.createDataFrame([(i, bytearray(s)) for i, s in enumerate(sig)], "id long, sig binary")
     shingles = spark.createDataFrame([(i, s.view(np.int64).tolist()) for i, s in enumerate(sets)], "id long, shingles array<long>")
-    assert [tuple(r) for r in J._across(parts, signed, shingles, 0.8).collect()] == [(0, 4)]
-
+    got = J._in_blocks(crowded, J._met(crowded), signed, shingles, 0.8).collect()
+    assert sorted(map(tuple, got)) == [(0, 0, 4), (1, 0, 1), (1, 4, 1)]
 
-def test_linking_does_not_depend_on_batches():
-    import numpy as np
-    import pyarrow as pa
 
+def test_the_trie_does_not_depend_on_batches():
     rng = np.random.default_rng(4)
-    node = np.sort(rng.integers(0, 60, 400) * (rng.random(400) < 0.7))
-    columns = [pa.array(node), pa.array(np.arange(400)), pa.array(np.full(400, 9, np.int32)), pa.array(rng.random(400) < 0.5)]
-    whole = pa.RecordBatch.from_arrays(columns, names=["node", "id", "n", "early"])
+    count, deepest, floor = 600, 4, 2
+    keys = sorted((int(rng.integers(0, 2)), rng.integers(0, 2, deepest).astype(">u2").tobytes() if rng.random() < 0.3 else rng.integers(0, 5, deepest).astype(">u2").tobytes()) for _ in range(count))
+    columns = [pa.array([t for t, _ in keys], pa.int8()), pa.array([k for _, k in keys], pa.binary()), pa.array(np.arange(count)), pa.array(np.full(count, 9, np.int32))]
+    whole = pa.RecordBatch.from_arrays(columns, names=["tree", "key", "id", "n"])
 
     def made(size):
-        out = [tuple(r.values()) for b in J._linked(4, 0.8)(whole.slice(i, size) for i in range(0, 400, size)) for r in b.to_pylist()]
-        return {r for r in out if r[0] == 0}, {r[1] for r in out if r[0] == 1}
-
-    want, crowded = made(400)
-    sizes = dict(zip(*np.unique(node, return_counts=True), strict=True))
-    assert crowded == {k for k, n in sizes.items() if n > 5} | {node[0], node[-1]}
-    small = {(0, i, j) for i in range(400) for j in range(i + 1, 400) if node[i] == node[j] and sizes[node[i]] <= 5}
-    assert small == {r for r in want if sizes[node[r[1]]] <= 5}
-    for size in (1, 2, 3, 7, 50):
-        assert made(size) == (want, crowded)
+        out = [r for b in J._trie(floor, deepest, 0.8)(whole.slice(i, size) for i in range(0, count, size)) for r in b.to_pylist()]
+        return {(r["a"], r["b"]) for r in out if r["kind"] == 0}, {(r["depth"], r["node"]) for r in out if r["kind"] == 1}
+
+    name = lambda i, d: bytes([keys[i][0]]) + keys[i][1][: 2 * d]
+    sizes = {d: Counter(name(i, d) for i in range(count)) for d in range(floor, deepest + 1)}
+    ends = {(d, name(i, d)) for d in sizes for i in (0, count - 1)}
+    want_crowded = {(d, k) for d, c in sizes.items() for k, n in c.items() if n > J.SMALL_NODE} | ends
+    small = set()
+    for i, j in itertools.combinations(range(count), 2):
+        shared = max((d for d in sizes if name(i, d) == name(j, d)), default=0)
+        if shared and sizes[shared][name(i, shared)] <= J.SMALL_NODE and (shared, name(i, shared)) not in ends:
+            small.add((i, j))
+    for size in (count, 1, 2, 3, 7, 50):
+        pairs, crowded = made(size)
+        assert crowded == want_crowded and small <= pairs
+        assert all(name(i, floor) == name(j, floor) for i, j in pairs)
+
+
+def test_prefixes_are_shortened_until_the_share_is_met():
+    assert J.shortened({}, 6) == 6
+    assert J.shortened({0.97: 1000}, 6) == 8  # close copies meet at full depth
+    assert J.shortened({0.8: 1000}, 6) == 6
+    assert J.shortened({0.83: 1000}, 6) == 7
+    assert abs(J.measured_share({0.8: 10}, 8, 6) - J.meeting(0.8, 8)) < 1e-12
+
+
+def test_deep_prefixes_find_what_short_ones_find(spark):
+    """Close copies: crowded nodes stay at full depth, and all links are counted."""
+    rng = random.Random(11)
+    rows = [(100 * g + i, edited(rng, [f"g{g}k{k}" for k in range(400)], 2)) for g in range(6) for i in range(12)]
+    got = found(spark, rows)
+    assert {r["doc_id"]: (r["n_links"], r["class_id"]) for r in got} == {i: (links(rows)[i], c) for i, c in brute(rows).items()}
 
 
 def test_odd_rows(spark):
