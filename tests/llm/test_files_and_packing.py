@@ -181,7 +181,8 @@ def test_packing(spark):
     rows = [(i, "word " * rng.randrange(0, 60)) for i in range(300)] + [(1000, "long " * 1000), (1001, None), (1001, None), (None, "x")]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     found = packing.pieces(docs, WORDS, 1, 64)
-    got = packing.pack(found, 64, part_pieces=40).toPandas()
+    packed, certificate = packing.with_certificate(found, 64, part_pieces=40)
+    got, certificate = packed.toPandas(), certificate.toPandas()
     library = Tokenizer.from_file(WORDS)
     want = []
     for key, text in rows:
@@ -193,4 +194,16 @@ def test_packing(spark):
         assert seq["offset"].tolist() == [0, *np.cumsum(seq["length"])[:-1]] and seq["length"].sum() <= 64
     bound = packing.lower_bound(got["length"].to_numpy(), 64)
     assert bound <= got["sequence_id"].nunique() <= bound * 1.03 + 1
-    assert packing.pack_documents(docs.limit(0), WORDS).count() == 0
+    whole, parts = certificate[certificate.stage == 0], certificate[certificate.stage > 0]
+    assert whole["bins"].tolist() == [got["sequence_id"].nunique()] and whole["bound"].tolist() == [bound]
+    assert (certificate["bins"] >= certificate["bound"]).all() and (certificate["bound"] > 0).all()
+    assert parts["bins"].sum() + (got["length"] == 64).sum() >= whole["bins"].iloc[0] >= parts["bins"].sum()
+    extra = docs.selectExpr("*", "1 as row", "2 as piece", "'x' as _part", "3 as length")
+    assert packing.pack_documents(extra, WORDS).count() == 304 and packing.pack_documents(docs.limit(0), WORDS).count() == 0
+
+
+def test_equal_rows_are_dealt_over_partitions(spark):
+    docs = spark.createDataFrame([(7, "the same text")] * 400, "doc_id long, text string")
+    packed, certificate = packing.with_certificate(packing.pieces(docs, WORDS, 1, 64), 64, part_pieces=50)
+    of = certificate.where("stage > 0").groupBy("stage").agg(F.max("bins").alias("b")).toPandas()
+    assert packed.count() == 400 and of["b"].max() < packed.select("sequence_id").distinct().count()
