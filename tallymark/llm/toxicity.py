@@ -7,8 +7,11 @@ unless all of its windows are clean (noisy or), so the network finds the windows
 every text in windows that overlap by half; a document's score is that of its worst window.
 
 Null and empty texts, and texts of white space only, have no window and score 0. Documents with labels that differ are
-used once for each label; rows without a label or id aren't learned from. Without an example of either label every
-window scores the share of toxic examples. Long unbroken strings are read in pieces of `PIECE` characters.
+used once for each label; rows without a label or id, or with a label other than 0 and 1, aren't learned from. Of rows
+that share a labelled id one text is learned from, the smallest, and none longer than `SAMPLE_CHARS`; all are scored, and
+repeated rows and ties need no rule there. Without an example of either label every window scores the share of toxic
+examples. Long unbroken strings are read in pieces of `PIECE` characters, texts of any length whole. An empty table gives
+no rows. Kept columns may have any name.
 """
 
 from __future__ import annotations
@@ -27,8 +30,10 @@ from .common import crc_remainder
 WINDOW, STRIDE = 32, 16
 PIECE = 16
 WORD_DIM, CHAR_DIM, CHAR_HIDDEN, WORD_HIDDEN, ATTENTION = 6, 8, 12, 8, 8
-#: Bounds of the training sample: labelled documents of each label.
-SAMPLE_TOXIC, SAMPLE_CLEAN = 700, 2000
+#: Bounds of the training sample: labelled documents of each label, and characters of a text that is learned from.
+SAMPLE_TOXIC, SAMPLE_CLEAN, SAMPLE_CHARS = 700, 2000, 200_000
+#: Texts that are scored together: rows and characters.
+TOGETHER, TOGETHER_CHARS = 1024, 2_000_000
 #: Training: updates of either kind, windows of a document in them, and more windows, drawn, of toxic documents.
 RANDOM_UPDATES, RANDOM_WINDOWS, WORST_UPDATES, WORST_WINDOWS, TOXIC_WINDOWS = 550, 10, 750, 2, 6
 BATCH_WINDOWS, RATE, WORD_DROPOUT = 64, 0.01, 0.25
@@ -412,26 +417,43 @@ class Scorer:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, toxic: int = SAMPLE_TOXIC, clean: int = SAMPLE_CLEAN) -> tuple[list[str], list[int]]:
-    """Texts and labels to learn from: of each label so many rows at most, by a hash of the id, none held out."""
+    """Texts and labels to learn from: of each label so many ids at most, by a hash of the id, none held out.
+
+    One text of each id and label is taken, so what reaches the driver is at most (toxic + clean) * SAMPLE_CHARS.
+    """
     usable = labels.select(F.col("doc_id"), F.col("toxic").cast("int").alias("toxic")).where(F.col("doc_id").isNotNull() & (crc_remainder(F.col("doc_id"), 4) != 2)).distinct()
     drawn = [usable.where(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n) for y, n in ((1, toxic), (0, clean))]
     picked = drawn[0].unionByName(drawn[1])  # at most toxic + clean rows
-    rows = docs.select("doc_id", "text").where(F.col("text").isNotNull()).join(F.broadcast(picked), "doc_id").select("doc_id", "text", "toxic").collect()
-    rows.sort(key=lambda r: (r["doc_id"], r["toxic"], r["text"]))
+    texts = docs.select("doc_id", "text").where(F.length("text") <= SAMPLE_CHARS)
+    rows = texts.join(F.broadcast(picked), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).collect()
+    rows.sort(key=lambda r: (r["doc_id"], r["toxic"]))
     return [r["text"] for r in rows], [r["toxic"] for r in rows]
 
 
+def in_portions(texts: list[str | None], rows: int, chars: int) -> Iterator[tuple[int, int]]:
+    """Ranges of so many rows and characters at most; a longer text is alone."""
+    low = held = 0
+    for i, text in enumerate(texts):
+        size = len(text or "")
+        if i > low and (i - low >= rows or held + size > chars):
+            yield low, i
+            low, held = i, 0
+        held += size
+    if low < len(texts):
+        yield low, len(texts)
+
+
 def with_scores(docs: DataFrame, net: Network, keep: list[str], name: str = "score", text_col: str = "text") -> DataFrame:
     """The kept columns and the score of each whole text."""
-    picked = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(text_col).alias("_scored"))
-    schema = T.StructType([*picked.schema.fields[:-1], T.StructField(name, T.DoubleType())])
+    picked = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(keep)], F.col(f"`{text_col}`").alias("_scored"))
+    schema = T.StructType([*picked.schema.fields[:-1], T.StructField("_score", T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(net)
         for batch in batches:
-            for low in range(0, batch.num_rows, 1024):
-                part = batch.slice(low, 1024)
-                scores = scorer.scores(part.column(part.num_columns - 1).to_pylist())
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(scores, pa.float64())], names=schema.names)
+            texts = batch.column(batch.num_columns - 1).to_pylist()
+            for low, high in in_portions(texts, TOGETHER, TOGETHER_CHARS):
+                part = batch.slice(low, high - low)
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(scorer.scores(texts[low:high]), pa.float64())], names=schema.names)
 
-    return picked.mapInArrow(run, schema)
+    return picked.mapInArrow(run, schema).toDF(*keep, name)
