@@ -2,6 +2,11 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet and read again as the next
 stage's docs. All but the last return the columns of documents.
+
+Null and empty texts aren't toxic, are copies of each other, near no text, and packed as their end id. Rows without an id
+stay unless they are toxic or exact copies. Ties: of equal texts the largest id stays, of similar ones the smallest.
+Very long texts are read whole. An empty table gives no rows. Columns beyond those of documents, whatever their names,
+pass all stages but the last.
 """
 
 from __future__ import annotations
@@ -17,8 +22,11 @@ from tallymark.llm.queries import table, tokenizer_file
 def keep_clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score under the threshold; those without words stay."""
     net = toxicity.train(*toxicity.labelled_sample(docs, table(spark, sf_dir, "labels")))
-    scored = toxicity.with_scores(docs, net, docs.columns, "_toxicity")
-    return scored.where(F.col("_toxicity") < toxicity.THRESHOLD).drop("_toxicity")
+    score = "_toxicity"
+    while score in docs.columns:
+        score += "_"
+    scored = toxicity.with_scores(docs, net, docs.columns, score)
+    return scored.where(F.col(score) < toxicity.THRESHOLD).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def keep_one_copy(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
