@@ -1,16 +1,24 @@
-"""Licence notices in texts, by Dice's coefficient over word bigrams.
+"""Licence notices and texts in documents, by Dice's coefficient over word bigrams.
 
-Every line, every paragraph of several lines and every whole text is normalised (lower case, words of letters and
-digits) and compared with licence templates: twice the shared distinct bigrams over the sum of both counts. A passage
-can reach the threshold only with templates of a similar number of bigrams, so bounds on the size decide which
-templates it meets. Only DataFrame functions are used; templates are a table of fixed size.
+Texts are normalised (lower case, words of letters and digits, so line breaks, signs and case don't count) and compared
+with licence templates: twice the shared distinct bigrams over the sum of both counts. A passage is any run of as many
+words as the template has, wherever it begins, inside a line or over several; runs start at every word for templates under
+64 words, and at every 32nd part of a longer one. Bounds on sizes prune candidates without losing any: a passage reaches
+the threshold only if it has, and shares with the template, at least t * threshold / (2 - threshold) of the template's t
+bigrams; so a text meets only those templates of which it holds so many bigrams, and is cut into passages for those alone.
 
-Each document gives one row: the best match (highest score, then smallest licence name), its passages counted, or
-nulls and 0 where none reaches the threshold. Null and empty texts match nothing; repeated rows give repeated rows.
+Templates are short notices, whole short licences, and the first 150 words of long ones (a licence quoted without its
+beginning isn't found). They are a table of fixed size. Only DataFrame functions are used.
+
+Each document gives one row: the best licence (highest score, then smallest name), its score and how many licences reach
+the threshold, or nulls and 0. Null and empty texts match nothing; repeated rows give repeated rows; an empty table gives
+no rows; texts of any length are read whole. Columns beyond id and text are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -24,7 +32,6 @@ TEMPLATES = [
     ("MIT", "Licensed under the MIT License"),
     ("MIT", 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software'),
     ("BSD-3-Clause", "Released under the 3-Clause BSD License"),
-    ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
     ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3"),
     ("GPL-3.0", "Licensed under the GNU General Public License v3.0"),
     ("GPL-2.0", "This work is licensed under the GNU General Public License, version 2"),
@@ -42,49 +49,64 @@ TEMPLATES = [
 ]
 
 
+
+def licence_texts() -> list[tuple[str, str]]:
+    """Short licences whole, the beginnings of long ones: a row a licence in a file beside this one."""
+    lines = Path(__file__).with_name("licence_texts.tsv").read_text(encoding="utf-8").splitlines()
+    return [tuple(line.split("\t", 1)) for line in lines]
+
+
+TEMPLATES += licence_texts()
+
+
 def words(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
 
 
-def bigrams(of: Column) -> Column:
-    """Distinct pairs of neighbouring words."""
-    pairs = F.zip_with(F.slice(of, 1, F.greatest(F.size(of) - 1, F.lit(0))), F.slice(of, 2, F.greatest(F.size(of) - 1, F.lit(0))), lambda a, b: F.concat(a, F.lit(" "), b))
-    return F.array_distinct(F.when(F.size(of) > 1, pairs).otherwise(F.array().cast("array<string>")))
+def pairs(of: Column) -> Column:
+    """Pairs of neighbouring words, in order."""
+    made = F.zip_with(F.slice(of, 1, F.greatest(F.size(of) - 1, F.lit(0))), F.slice(of, 2, F.greatest(F.size(of) - 1, F.lit(0))), lambda a, b: F.concat(a, F.lit(" "), b))
+    return F.when(F.size(of) > 1, made).otherwise(F.array().cast("array<string>"))
+
+
+def step_of(n_pairs: int) -> int:
+    """From one passage's start to the next, for a template of so many pairs of words."""
+    return max(1, (n_pairs + 1) // 32)
 
 
 def known_templates(templates: list[tuple[str, str]], spark) -> list[dict]:
-    """Licence, distinct bigrams and words of each template; as many rows as templates."""
-    table = spark.createDataFrame(templates, "license string, notice string")
-    return [r.asDict() for r in table.select("license", bigrams(words(F.col("notice"))).alias("bigrams"), words(F.col("notice")).alias("words")).collect()]
+    """Licence, distinct bigrams and number of pairs of each template; as many rows as templates."""
+    table = spark.createDataFrame(templates, "license string, notice string").coalesce(1)
+    table, made = table.select("license", words(F.col("notice")).alias("w")), pairs(F.col("w"))
+    return [r.asDict() for r in table.select("license", F.array_distinct(made).alias("bigrams"), F.size(made).alias("pairs")).collect()]
 
 
 def scan(docs: DataFrame, templates: list[tuple[str, str]] | None = None, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, license, dice, n_passages. No shuffle: each row is compared with the constant templates."""
+    """id, license, dice, n_licenses. No shuffle: each row is compared with the constant templates."""
     known = known_templates(templates or TEMPLATES, docs.sparkSession)
-    ratio = threshold / (2 - threshold)  # a passage of n bigrams meets templates of n * ratio to n / ratio
-    low, high = min(len(k["bigrams"]) for k in known) * ratio, max(len(k["bigrams"]) for k in known) / ratio
+    ratio = threshold / (2 - threshold)  # of a template's bigrams, so many must be in a passage
+    vocabulary = sorted({b for k in known for b in k["bigrams"]})
     strings = lambda of: F.array(*[F.lit(x) for x in of])
-    table = F.array(*[F.struct(F.lit(k["license"]).alias("license"), strings(k["bigrams"]).alias("b"), F.lit(len(k["bigrams"])).alias("n")) for k in known])
-    vocabulary = strings(sorted({w for k in known for w in k["words"]}))
-
-    lines, none = F.split("_text", "\n"), F.array().cast("array<string>")
-    paragraphs = F.filter(F.split("_text", r"\n[ \t\r]*\n\s*"), lambda p: p.contains("\n") & (p != F.col("_text")))
-    whole = F.when(F.size(lines) > 1, F.array("_text")).otherwise(none)
-    rows = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
-    rows = rows.select("_id", F.transform(F.concat(lines, paragraphs, whole), words).alias("_w"))
-    rows = rows.select("_id", F.filter("_w", lambda w: (F.size(w) > low) & F.arrays_overlap(w, vocabulary)).alias("_w"))
-    rows = rows.select("_id", F.transform("_w", bigrams).alias("_b"))
-
-    def best(b: Column) -> Column:
-        dice = lambda t: 2 * F.size(F.array_intersect(b, t["b"])) / (F.size(b) + t["n"])
-        near = F.filter(table, lambda t: (t["n"] >= F.size(b) * ratio) & (t["n"] <= F.size(b) / ratio))
-        scored = F.transform(near, lambda t: F.struct((-dice(t)).alias("score"), t["license"].alias("license")))
-        return F.array_min(F.filter(scored, lambda s: s["score"] <= -threshold))
-
-    rows = rows.select("_id", F.filter("_b", lambda b: (F.size(b) >= low) & (F.size(b) <= high)).alias("_b"))
-    rows = rows.select("_id", F.filter(F.transform("_b", best), lambda m: m.isNotNull()).alias("_m"))
+    table = F.array(*[F.struct(F.lit(k["license"]).alias("license"), strings(k["bigrams"]).alias("b"), F.lit(len(k["bigrams"])).alias("n"), F.lit(k["pairs"]).alias("pairs"), F.lit(step_of(k["pairs"])).alias("step")) for k in known])
+
+    rows = docs.select(F.col(f"`{id_col}`").alias("_id"), words(F.coalesce(F.col(f"`{text_col}`"), F.lit(""))).alias("_w"))
+    rows = rows.select("_id", pairs(F.col("_w")).alias("_b"))
+    rows = rows.select("_id", "_b", F.array_distinct(F.filter("_b", lambda b: b.isin(vocabulary))).alias("_known"))
+    near = F.filter(table, lambda t: F.size(F.array_intersect("_known", t["b"])) >= t["n"] * ratio)
+    none = F.array().cast(docs.sparkSession.range(0).select(table.alias("t")).schema["t"].dataType)
+    rows = rows.select("_id", "_b", F.when(F.size("_known") >= min(len(k["bigrams"]) for k in known) * ratio, near).otherwise(none).alias("_near"))
+
+    def best(t: Column) -> Column:
+        def dice(start: Column) -> Column:
+            passage = F.array_distinct(F.slice("_b", start + 1, t["pairs"]))
+            return 2 * F.size(F.array_intersect(passage, t["b"])) / (F.size(passage) + t["n"])
+
+        starts = F.sequence(F.lit(0), F.greatest(F.size("_b") - t["pairs"], F.lit(0)), t["step"])
+        return F.struct((-F.array_max(F.transform(starts, dice))).alias("score"), t["license"].alias("license"))
+
+    rows = rows.select("_id", F.filter(F.transform("_near", best), lambda m: m["score"] <= -threshold).alias("_m"))
     top = F.array_min("_m")
-    return rows.select(F.col("_id").alias(id_col), top["license"].alias("license"), F.round(-top["score"], 6).alias("dice"), F.size("_m").cast("long").alias("n_passages"))
+    return rows.select(F.col("_id").alias(id_col), top["license"].alias("license"), F.round(-top["score"], 6).alias("dice"), F.size(F.array_distinct("_m.license")).cast("long").alias("n_licenses"))
 
 
 def oracle(templates: list[tuple[str, str]] | None = None, threshold: float = THRESHOLD) -> str:
@@ -92,16 +114,19 @@ def oracle(templates: list[tuple[str, str]] | None = None, threshold: float = TH
     quote = lambda s: "'" + s.replace("'", "''") + "'"
     values = ", ".join(f"({quote(a)}, {quote(b)})" for a, b in templates or TEMPLATES)
     split = lambda c: f"list_filter(string_split_regex(lower({c}), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '')"
-    pairs = "list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))"
+    pairs = "list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])"
+    ratio = threshold / (2 - threshold)
     return f"""
-        with t as (select license, {pairs} as tb from (select license, {split('notice')} as w from (values {values}) v(license, notice))),
-        d as (select row_number() over () as r, doc_id, coalesce(text, '') as x from documents),
-        p as (select r, unnest(string_split(x, chr(10))) as p from d
-              union all select r, q from (select r, x, unnest(string_split_regex(x, '\\n[ \\t\\r]*\\n\\s*')) as q from d) where contains(q, chr(10)) and q <> x
-              union all select r, x from d where contains(x, chr(10))),
-        b as (select r, {pairs} as pb from (select r, {split('p')} as w from p)),
-        s as (select r, row_number() over () as k, pb from b where len(pb) > 0),
-        m as (select r, k, license, 2.0 * len(list_intersect(pb, tb)) / (len(pb) + len(tb)) as dice from s, t),
-        g as (select r, count(distinct k) as n, max(dice) as dice from m where dice >= {threshold} group by r),
+        with t as (select license, len(pb) as pairs, greatest(1, (len(pb) + 1) // 32) as step, list_distinct(pb) as tb
+                   from (select license, {pairs} as pb from (select license, {split('notice')} as w from (values {values}) v(license, notice)))),
+        d as (select row_number() over () as r, doc_id, {split("coalesce(text, '')")} as w from documents),
+        b as (select r, {pairs} as pb from d),
+        v as (select list(distinct x) as every from (select unnest(tb) as x from t)),
+        k as (select r, pb, list_intersect(list_distinct(pb), every) as known from b, v),
+        c as (select r, license, tb, pairs, pb, unnest(range(0, greatest(len(pb) - pairs, 0) + 1, step)) as s
+              from k join t on len(known) >= {ratio} * len(tb) and len(list_intersect(known, tb)) >= {ratio} * len(tb)),
+        p as (select r, license, tb, list_distinct(pb[s + 1 : s + pairs]) as q from c),
+        m as (select r, license, 2.0 * len(list_intersect(q, tb)) / (len(q) + len(tb)) as dice from p),
+        g as (select r, count(distinct license) as n, max(dice) as dice from m where dice >= {threshold} group by r),
         l as (select m.r, min(license) as license from m join g using (r) where m.dice = g.dice group by m.r)
-        select d.doc_id, l.license, round(g.dice, 6) as dice, coalesce(g.n, 0) as n_passages from d left join g using (r) left join l using (r)"""
+        select d.doc_id, l.license, round(g.dice, 6) as dice, coalesce(g.n, 0) as n_licenses from d left join g using (r) left join l using (r)"""

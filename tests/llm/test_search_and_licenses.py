@@ -1,5 +1,7 @@
 """Nearest neighbours against brute force, licences against DuckDB."""
 
+import textwrap
+
 import duckdb
 import numpy as np
 
@@ -99,12 +101,15 @@ def test_balanced_parts():
 
 
 def test_licenses_and_oracle(spark):
-    mit = licenses.TEMPLATES[4][1]
+    texts = dict(licenses.licence_texts())
+    mit = texts["MIT"]
+    wrapped = "\n".join(textwrap.wrap("Prose before it. " + texts["GPL-3.0"] + " and the licence goes on " + "with many more words " * 300, 60))
     rows = [(1, "Some prose here.\nReleased under the MIT License.\nMore."), (2, "Licensed under CC BY-NC 4.0."), (3, None), (4, ""), (5, "nothing of the kind, only prose about a licence"), (6, mit + "\n\nand more"), (6, mit + "\n\nand more"), (7, "  LICENSED   under the\tApache License,\nVersion 2.0"), (8, "This work is licensed under the GNU General Public License, version 3.\nReleased under the MIT License"), (9, "a " * 40000)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 as license")
+    rows += [(10, "The code is Licensed under CC BY 4.0, see the file for details and contact the authors."), (11, "Some\nprose, then licensed under\n the MIT\nlicense and more"), (12, "# tool\n" + texts["BSD-2-Clause"]), (13, texts["BSD-3-Clause"]), (14, wrapped), (15, texts["Apache-2.0"].upper())]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 as license", "2 as _b", "3 as _id")
     got = sorted(map(str, (tuple(r) for r in licenses.scan(docs).collect())))
     names = {r["doc_id"]: r["license"] for r in licenses.scan(docs).collect()}
-    assert names == {1: "MIT", 2: "CC-BY-NC-4.0", 3: None, 4: None, 5: None, 6: "MIT", 7: "Apache-2.0", 8: "GPL-3.0", 9: None}
+    assert names == {1: "MIT", 2: "CC-BY-NC-4.0", 3: None, 4: None, 5: None, 6: "MIT", 7: "Apache-2.0", 8: "GPL-3.0", 9: None, 10: "CC-BY-4.0", 11: "MIT", 12: "BSD-2-Clause", 13: "BSD-3-Clause", 14: "GPL-3.0", 15: "Apache-2.0"}
     con = duckdb.connect()
     con.register("documents", docs.toPandas())
     assert got == sorted(map(str, con.execute(licenses.oracle()).fetchall()))
