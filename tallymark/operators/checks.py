@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from ..functions.scalars import TOLERANCES, delta_abs, delta_rel, tolerance_matches, verdict
 from .ordered import first_per
 
-TOTAL_WORDS = r"(?iu)^\s*(итого|всего|барлығы|жиыны|total)"
 
 
 def compare(pairs: DataFrame, a: str, b: str, kind: str) -> DataFrame:

@@ -5,10 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import NUMBER, normalize_unit, norm_ws, parse_number, squash, stem, unit_in
+from ..functions.scalars import NUMBER, TOTAL, normalize_unit, norm_ws, parse_number, squash, stem, unit_in
 from .labels import cascade
 
-TOTAL = r"(?iu)^\s*(итого|всего|барлығы|жиыны|total)"
 #: A numbered heading of few words, with its number.
 HEADING = r"^\s*(\d+(?:\.\d+)*)\.?\s+(\p{L}.*\S)\s*$"
 
