@@ -1,44 +1,163 @@
-"""Labels to fields: exact containment, then weighted coverage by inflected words with its margin; no vectors yet.
+"""Labels to fields: negative labels, exact containment, weighted coverage by inflected words, then vectors.
 
-Distinct labels are matched once and joined back by callers.
+Every step is an expression over constants of the lexicon, whose size is checked where it is loaded: labels meet no join.
+Callers match distinct labels and join the answers back.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import json
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import squash, tokens, word_matches
+from ..functions.scalars import cosine, squash, tokens, word_matches
+from ..sources.lexicon import MOST_ENTRIES, Lexicon, bare_text
 
+#: Least share and lead over the next field or a negative label; the same of vectors, evidence and length.
 FUZZY_LEAST, FUZZY_MARGIN = 0.85, 0.3
-VECTOR_LEAST, VECTOR_MARGIN = 0.88, 0.01
+VECTOR_LEAST, VECTOR_MARGIN, VECTOR_EVIDENCE, VECTOR_CHARS = 0.88, 0.01, 0.3, 80
+#: Words that name a kind of quantity, not which one.
+QUANTITY_NOUNS = ("площадь", "объем", "количество", "число", "стоимость", "продолжительность", "срок", "аудан", "алаң", "көлем", "саны", "құн", "ұзақтығы", "мерзім")
+STAGES = ("exact", "fuzzy")
+MATCH = "struct<field:string,score:double,method:string>"
+
+
+def quantity_noun(word: Column) -> Column:
+    return F.exists(F.array(*[F.lit(q) for q in QUANTITY_NOUNS]), lambda q: word_matches(word, F.lit(False), q))
+
+
+def of_pairs(lexicon: DataFrame) -> Lexicon:
+    """A lexicon of (field, known) rows, without units."""
+    rows = lexicon.select("field", "known").distinct().limit(MOST_ENTRIES + 1).collect()
+    if len(rows) > MOST_ENTRIES:
+        raise ValueError(f"a lexicon has at most {MOST_ENTRIES} entries")
+    pairs = sorted((r["field"], r["known"]) for r in rows)
+    return Lexicon({f: "" for f, _ in pairs}, [(f, "table", k) for f, k in pairs])
+
+
+def prototypes(spark: SparkSession, lexicon: Lexicon) -> list[dict]:
+    """Field (null: negative), words with weight and kind, of every label with words, in order.
+
+    A word weighs ln(1 + fields / fields that have it by inflection). A single quantity noun is no prototype.
+    """
+    said = [(f, label) for f, kind, label in lexicon.labels if kind != "text_number_first"] + [(None, n) for n in lexicon.negatives]
+    if not said:
+        return []
+    rows = spark.createDataFrame([(i, f, label) for i, (f, label) in enumerate(said)], "i int, field string, label string").coalesce(1)
+    words = rows.select("i", "field", F.posexplode(tokens("label")).alias("k", "t")).select("i", "field", "k", "t.word", F.col("t.truncated").alias("cut"), quantity_noun(F.col("t.word")).alias("noun")).collect()
+    fields = sorted({(r["field"], r["word"]) for r in words if r["field"] is not None})
+    every = F.array(*[F.struct(F.lit(f).alias("f"), F.lit(w).alias("w")) for f, w in fields])
+    distinct = spark.createDataFrame([(w,) for w in sorted({r["word"] for r in words})], "word string").coalesce(1)
+    having = F.size(F.array_distinct(F.transform(F.filter(every, lambda e: word_matches(F.col("word"), F.lit(False), e["w"])), lambda e: e["f"])))
+    weight = {r["word"]: r["weight"] for r in distinct.select("word", F.log(1 + len(lexicon.units_of) / F.greatest(having, F.lit(1))).alias("weight")).collect()}
+    out = []
+    for i, (f, _) in enumerate(said):
+        own = sorted((r["k"], r["word"], r["cut"], r["noun"]) for r in words if r["i"] == i)
+        if own and not (f is not None and len(own) == 1 and own[0][3]):
+            out.append({"field": f, "words": [(w, cut, noun, weight[w]) for _, w, cut, noun in own]})
+    return out
+
+
+KNOWN = "array<struct<field:string,unit:string,words:array<struct<word:string,cut:boolean,noun:boolean,weight:double>>>>"
+
+
+def constant(value, schema: str) -> Column:
+    """A nested constant."""
+    return F.from_json(F.lit(json.dumps(value, ensure_ascii=False)), schema)
+
+
+def _share(said: Column, known: Column, order: Column) -> Column:
+    """(field, unit, share, order, hits): the weighted share of a label's words that are said; earlier labels win ties.
+
+    A word cut in the label needs its letters only; words of negatives must be said whole.
+    """
+
+    def met(w: Column) -> Column:
+        whole = lambda t: word_matches(t["word"], t["truncated"] & known["field"].isNotNull(), w["word"])
+        return F.exists(said, lambda t: F.when(w["cut"], t["word"].startswith(w["word"])).otherwise(whole(t)))
+
+    total = lambda words: F.aggregate(words, F.lit(0.0), lambda s, w: s + w["weight"])
+    found = F.filter(known["words"], met)
+    return F.struct(known["field"].alias("field"), known["unit"].alias("unit"), (total(found) / total(known["words"])).alias("share"), (-order).alias("order"), F.size(F.filter(found, lambda w: ~w["noun"])).alias("hits"))
+
+
+def match(said: DataFrame, lexicon: Lexicon, label: str = "label", unit: str | None = None, stages: Sequence[str] = STAGES, where: str = "table", name: str = "match") -> DataFrame:
+    """Adds the match (field, score, method; null: none) of each label, of fields whose unit fits if a unit is given.
+
+    A negative label that describes the text as well as any field rejects it before all else, where the fuzzy stage runs.
+    The longest lexicon label contained in the text wins the exact stage. `<name>_asks_vector` marks what is left with
+    evidence enough for the vector stage.
+    """
+    wanted_unit = F.lit(None).cast("string") if unit is None else F.col(unit)
+    fits = lambda u: wanted_unit.isNull() | (u == wanted_unit)
+    rows = said.withColumn("_said", tokens(F.coalesce(label, F.lit("")))).withColumn("_bare", squash(F.coalesce(label, F.lit(""))))
+    kinds = ("table",) if where == "table" else ("table", "text")
+    bare = sorted({(-len(k), f, k) for f, kind, label_ in lexicon.labels if kind in kinds and (k := bare_text(label_))})
+    contained = constant([{"known": k, "field": f, "unit": lexicon.units_of[f]} for _, f, k in bare], "array<struct<known:string,field:string,unit:string>>")
+    first = F.get(F.filter(contained, lambda k: fits(k["unit"]) & F.col("_bare").contains(k["known"])), F.lit(0))["field"]
+    rows = rows.withColumn("_exact", first if "exact" in stages else F.lit(None).cast("string"))
+    answer = F.when(F.col("_exact").isNotNull(), F.struct(F.col("_exact").alias("field"), F.lit(1.0).alias("score"), F.lit("exact").alias("method")))
+    rejected, evidence = F.lit(False), F.lit(0.0)
+    if "fuzzy" in stages:
+        known = [{"field": k["field"], "unit": lexicon.units_of.get(k["field"]), "words": [{"word": w, "cut": cut, "noun": noun, "weight": weight} for w, cut, noun, weight in k["words"]]} for k in prototypes(said.sparkSession, lexicon)]
+        shares = F.transform(constant(known, KNOWN), lambda k, i: _share(F.col("_said"), k, i))
+        rows = rows.withColumn("_shares", F.filter(shares, lambda s: s["field"].isNull() | fits(s["unit"])))
+        best = lambda f: F.array_max(F.transform(F.filter("_shares", lambda s: s["field"] == f), lambda s: F.struct(s["share"].alias("share"), s["order"].alias("order"), s["hits"].alias("hits"), s["field"].alias("field"))))
+        fields = F.array(*[F.lit(f) for f in sorted(lexicon.units_of)])
+        rows = rows.withColumn("_covers", F.filter(F.transform(fields, best), lambda x: x.isNotNull()))
+        against = F.array_max(F.transform(F.filter("_shares", lambda s: s["field"].isNull()), lambda s: s["share"]))
+        ranked = F.reverse(F.array_sort(F.transform("_covers", lambda x: F.struct(x["share"].alias("share"), x["field"].alias("field")))))
+        rows = rows.withColumn("_negative", F.coalesce(against, F.lit(0.0))).withColumn("_ranked", ranked)
+        top, second = F.get("_ranked", F.lit(0)), F.coalesce(F.get("_ranked", F.lit(1))["share"], F.lit(0.0))
+        rejected = (F.col("_negative") >= FUZZY_LEAST) & (F.col("_negative") >= F.coalesce(top["share"], F.lit(0.0)))
+        clear = (top["share"] >= FUZZY_LEAST) & (top["share"] - F.greatest(second, F.col("_negative")) >= FUZZY_MARGIN)
+        answer = F.coalesce(answer, F.when(clear, F.struct(top["field"].alias("field"), F.round(top["share"], 3).alias("score"), F.lit("fuzzy").alias("method"))))
+        evidence = F.coalesce(F.array_max(F.transform(F.filter("_covers", lambda x: x["hits"] >= 1), lambda x: x["share"])), F.lit(0.0))
+    has_letter = F.coalesce(F.col(label).rlike(r"\p{L}"), F.lit(False))
+    helpers = [x for x in ("_said", "_bare", "_exact", "_shares", "_covers", "_negative", "_ranked") if x in rows.columns]
+    out = rows.withColumn(name, F.when(has_letter & ~rejected, answer).cast(MATCH))
+    asks = has_letter & ~rejected & F.col(name).isNull() & (evidence >= VECTOR_EVIDENCE) & (F.length(label) <= VECTOR_CHARS)
+    return out.withColumn(f"{name}_asks_vector", asks if where == "table" else F.lit(False)).drop(*helpers)
+
+
+def by_vector(asked: DataFrame, known: DataFrame, label: str = "label", vector: str = "vector") -> DataFrame:
+    """label, field, score of labels whose vector is near enough to one field's prototypes, and nearer than to a negative.
+
+    known: field (null: negative), vector; prototypes of a lexicon, MOST_ENTRIES at most. Vectors come from whatever
+    provider the caller has; labels without one have no row.
+    """
+    rows = known.select("field", vector).limit(MOST_ENTRIES + 1).collect()
+    if len(rows) > MOST_ENTRIES:
+        raise ValueError(f"at most {MOST_ENTRIES} prototypes")
+    by_field: dict[str | None, list] = {}
+    for r in rows:
+        by_field.setdefault(r["field"], []).append([float(x) for x in r[vector]])
+    nearest = lambda vs: F.array_max(F.transform(F.array(*[F.array(*[F.lit(x) for x in v]) for v in vs]), lambda v: cosine(F.col(vector), v)))
+    scored = asked.select(label, vector).distinct().withColumn("_n", F.array(*[F.struct(nearest(vs).alias("s"), F.lit(f).cast("string").alias("f")) for f, vs in by_field.items()]))
+    fields = F.array_sort(F.filter("_n", lambda x: x["f"].isNotNull()), lambda a, b: F.when(a["s"] > b["s"], -1).when(a["s"] < b["s"], 1).when(a["f"] < b["f"], -1).otherwise(1))
+    scored = scored.withColumn("_f", fields).withColumn("_against", F.array_max(F.transform(F.filter("_n", lambda x: x["f"].isNull()), lambda x: x["s"])))
+    top, second = F.get("_f", F.lit(0)), F.coalesce(F.get("_f", F.lit(1))["s"], F.lit(-1.0))
+    good = (top["s"] >= VECTOR_LEAST) & (top["s"] - second >= VECTOR_MARGIN) & (F.coalesce("_against", F.lit(-1.0)) <= top["s"])
+    return scored.where(good).select(label, top["f"].alias("field"), F.round(top["s"], 3).alias("score"))
 
 
 def exact(labels: DataFrame, lexicon: DataFrame, label: str = "label") -> DataFrame:
     """The longest lexicon label contained in the squashed text; ties to the smaller field. lexicon: field, known."""
-    known = lexicon.select("field", squash("known").alias("_k")).where("_k <> ''")
-    texts = labels.select(label).distinct().withColumn("_s", squash(label))
-    hits = texts.join(F.broadcast(known), F.col("_s").contains(F.col("_k")))
-    return hits.groupBy(label).agg(F.min(F.struct((-F.length("_k")).alias("l"), F.col("field")))["field"].alias("field"))
+    found = match(labels.select(label).distinct(), of_pairs(lexicon), label, stages=("exact",))
+    return found.where("match is not null").select(label, "match.field")
 
 
-def word_weights(lexicon: DataFrame) -> DataFrame:
-    """ln(1 + fields / fields with the word), words compared by inflection. lexicon: field, known; small by nature."""
-    words = lexicon.select("field", F.explode(tokens("known")).alias("t")).select("field", F.col("t.word").alias("word")).distinct()
-    other = words.select(F.col("field").alias("_f"), F.col("word").alias("_w"))
-    n = lexicon.select("field").distinct().count()
-    return words.select("word").distinct().join(F.broadcast(other), word_matches(F.col("word"), F.lit(False), F.col("_w"))).groupBy("word").agg(F.log(1 + F.lit(n) / F.count_distinct("_f")).alias("weight"))
+def fuzzy(labels: DataFrame, lexicon: DataFrame, label: str = "label") -> DataFrame:
+    found = match(labels.select(label).distinct(), of_pairs(lexicon), label, stages=("fuzzy",))
+    return found.where("match is not null").select(label, "match.field", F.col("match.score").alias("share"))
 
 
-def coverage(labels: DataFrame, lexicon: DataFrame, label: str = "label") -> DataFrame:
-    """Of each text and field, the best weighted share of one known label's words found in the text."""
-    texts = labels.select(label).distinct().withColumn("_t", tokens(label))
-    words = lexicon.select("field", "known", F.explode(tokens("known")).alias("w")).select("field", "known", F.col("w.word").alias("word"))
-    words = words.join(word_weights(lexicon), "word")
-    pairs = texts.join(F.broadcast(words), F.lit(True))
-    hit = F.exists("_t", lambda t: word_matches(t["word"], t["truncated"], F.col("word")))
-    shares = pairs.groupBy(label, "field", "known").agg((F.sum(F.when(hit, F.col("weight")).otherwise(0.0)) / F.sum("weight")).alias("share"))
-    return shares.groupBy(label, "field").agg(F.max("share").alias("share"))
+def cascade(labels: DataFrame, lexicon: DataFrame, label: str = "label") -> DataFrame:
+    """Exact, else fuzzy: label, field, method."""
+    found = match(labels.select(label).distinct(), of_pairs(lexicon), label)
+    return found.where("match is not null").select(label, "match.field", "match.method")
 
 
 def best_with_margin(scores: DataFrame, label: str, field: str, score: str, least: float, margin: float) -> DataFrame:
@@ -46,14 +165,3 @@ def best_with_margin(scores: DataFrame, label: str, field: str, score: str, leas
     w = Window.partitionBy(label).orderBy(F.desc(score), field)
     ranked = scores.withColumn("_n", F.row_number().over(w)).withColumn("_next", F.coalesce(F.lead(score).over(w), F.lit(0.0)))
     return ranked.where((F.col("_n") == 1) & (F.col(score) >= least) & (F.col(score) - F.col("_next") >= margin)).select(label, field, F.round(score, 3).alias(score))
-
-
-def fuzzy(labels: DataFrame, lexicon: DataFrame, label: str = "label") -> DataFrame:
-    return best_with_margin(coverage(labels, lexicon, label), label, "field", "share", FUZZY_LEAST, FUZZY_MARGIN)
-
-
-def cascade(labels: DataFrame, lexicon: DataFrame, label: str = "label") -> DataFrame:
-    """Exact, else fuzzy: label, field, method."""
-    first = exact(labels, lexicon, label).withColumn("method", F.lit("exact"))
-    rest = labels.select(label).distinct().join(first, label, "left_anti")
-    return first.unionByName(fuzzy(rest, lexicon, label).select(label, "field", F.lit("fuzzy").alias("method")))
