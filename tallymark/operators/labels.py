@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import cosine, squash, tokens, word_matches
+from ..functions.scalars import cosine, let, squash, tokens, word_matches
 from ..sources.lexicon import MOST_ENTRIES, Lexicon, bare_text
 
 #: Least share and lead over the next field or a negative label; the same of vectors, evidence and length.
@@ -92,34 +92,49 @@ def match(said: DataFrame, lexicon: Lexicon, label: str = "label", unit: str | N
     """
     wanted_unit = F.lit(None).cast("string") if unit is None else F.col(unit)
     fits = lambda u: wanted_unit.isNull() | (u == wanted_unit)
-    rows = said.withColumn("_said", tokens(F.coalesce(label, F.lit("")))).withColumn("_bare", squash(F.coalesce(label, F.lit(""))))
     kinds = ("table",) if where == "table" else ("table", "text")
     bare = sorted({(-len(k), f, k) for f, kind, label_ in lexicon.labels if kind in kinds and (k := bare_text(label_))})
     contained = constant([{"known": k, "field": f, "unit": lexicon.units_of[f]} for _, f, k in bare], "array<struct<known:string,field:string,unit:string>>")
-    first = F.get(F.filter(contained, lambda k: fits(k["unit"]) & F.col("_bare").contains(k["known"])), F.lit(0))["field"]
-    rows = rows.withColumn("_exact", first if "exact" in stages else F.lit(None).cast("string"))
-    answer = F.when(F.col("_exact").isNotNull(), F.struct(F.col("_exact").alias("field"), F.lit(1.0).alias("score"), F.lit("exact").alias("method")))
-    rejected, evidence = F.lit(False), F.lit(0.0)
+    fields = F.array(*[F.lit(f) for f in sorted(lexicon.units_of)])
+    known = []
     if "fuzzy" in stages:
         known = [{"field": k["field"], "unit": lexicon.units_of.get(k["field"]), "words": [{"word": w, "cut": cut, "noun": noun, "weight": weight} for w, cut, noun, weight in k["words"]]} for k in prototypes(said.sparkSession, lexicon)]
-        shares = F.transform(constant(known, KNOWN), lambda k, i: _share(F.col("_said"), k, i))
-        rows = rows.withColumn("_shares", F.filter(shares, lambda s: s["field"].isNull() | fits(s["unit"])))
-        best = lambda f: F.array_max(F.transform(F.filter("_shares", lambda s: s["field"] == f), lambda s: F.struct(s["share"].alias("share"), s["order"].alias("order"), s["hits"].alias("hits"), s["field"].alias("field"))))
-        fields = F.array(*[F.lit(f) for f in sorted(lexicon.units_of)])
-        rows = rows.withColumn("_covers", F.filter(F.transform(fields, best), lambda x: x.isNotNull()))
-        against = F.array_max(F.transform(F.filter("_shares", lambda s: s["field"].isNull()), lambda s: s["share"]))
-        ranked = F.reverse(F.array_sort(F.transform("_covers", lambda x: F.struct(x["share"].alias("share"), x["field"].alias("field")))))
-        rows = rows.withColumn("_negative", F.coalesce(against, F.lit(0.0))).withColumn("_ranked", ranked)
-        top, second = F.get("_ranked", F.lit(0)), F.coalesce(F.get("_ranked", F.lit(1))["share"], F.lit(0.0))
-        rejected = (F.col("_negative") >= FUZZY_LEAST) & (F.col("_negative") >= F.coalesce(top["share"], F.lit(0.0)))
-        clear = (top["share"] >= FUZZY_LEAST) & (top["share"] - F.greatest(second, F.col("_negative")) >= FUZZY_MARGIN)
-        answer = F.coalesce(answer, F.when(clear, F.struct(top["field"].alias("field"), F.round(top["share"], 3).alias("score"), F.lit("fuzzy").alias("method"))))
-        evidence = F.coalesce(F.array_max(F.transform(F.filter("_covers", lambda x: x["hits"] >= 1), lambda x: x["share"])), F.lit(0.0))
+
+    def exactly(squashed: Column) -> Column:
+        if "exact" not in stages:
+            return F.lit(None).cast(MATCH)
+        return let(F.get(F.filter(contained, lambda k: fits(k["unit"]) & squashed.contains(k["known"])), F.lit(0))["field"], lambda f: F.when(f.isNotNull(), F.struct(f.alias("field"), F.lit(1.0).alias("score"), F.lit("exact").alias("method"))))
+
+    def shares(words: Column) -> Column:
+        each = F.transform(constant(known, KNOWN), lambda k, i: _share(words, k, i))
+        return F.filter(each, lambda s: s["field"].isNull() | fits(s["unit"]))
+
+    def covers(of: Column) -> Column:
+        """The best share of each field: share, order, hits and field."""
+        best = lambda f: F.array_max(F.transform(F.filter(of, lambda s: s["field"] == f), lambda s: F.struct(s["share"].alias("share"), s["order"].alias("order"), s["hits"].alias("hits"), s["field"].alias("field"))))
+        return F.filter(F.transform(fields, best), lambda x: x.isNotNull())
+
+    def decided(first: Column, cover: Column, negative: Column, ranked: Column) -> Column:
+        top, second = F.get(ranked, F.lit(0)), F.coalesce(F.get(ranked, F.lit(1))["share"], F.lit(0.0))
+        rejected = (negative >= FUZZY_LEAST) & (negative >= F.coalesce(top["share"], F.lit(0.0)))
+        clear = (top["share"] >= FUZZY_LEAST) & (top["share"] - F.greatest(second, negative) >= FUZZY_MARGIN)
+        found = F.coalesce(first, F.when(clear, F.struct(top["field"].alias("field"), F.round(top["share"], 3).alias("score"), F.lit("fuzzy").alias("method"))))
+        evidence = F.coalesce(F.array_max(F.transform(F.filter(cover, lambda x: x["hits"] >= 1), lambda x: x["share"])), F.lit(0.0))
+        return F.struct(F.when(~rejected, found).alias("match"), (~rejected & found.isNull() & (evidence >= VECTOR_EVIDENCE)).alias("asks"))
+
+    def answered(text: Column) -> Column:
+        first = exactly(squash(text))
+        if not known:
+            return F.struct(first.alias("match"), F.lit(False).alias("asks"))
+        negative = lambda of: F.coalesce(F.array_max(F.transform(F.filter(of, lambda s: s["field"].isNull()), lambda s: s["share"])), F.lit(0.0))
+        ranked = lambda cover: F.reverse(F.array_sort(F.transform(cover, lambda x: F.struct(x["share"].alias("share"), x["field"].alias("field")))))
+        parts = let(shares(tokens(text)), lambda of: F.struct(covers(of).alias("c"), negative(of).alias("n")))
+        return let(F.struct(first.alias("f"), parts.alias("p")), lambda x: let(ranked(x["p"]["c"]), lambda r: decided(x["f"], x["p"]["c"], x["p"]["n"], r)))
+
     has_letter = F.coalesce(F.col(label).rlike(r"\p{L}"), F.lit(False))
-    helpers = [x for x in ("_said", "_bare", "_exact", "_shares", "_covers", "_negative", "_ranked") if x in rows.columns]
-    out = rows.withColumn(name, F.when(has_letter & ~rejected, answer).cast(MATCH))
-    asks = has_letter & ~rejected & F.col(name).isNull() & (evidence >= VECTOR_EVIDENCE) & (F.length(label) <= VECTOR_CHARS)
-    return out.withColumn(f"{name}_asks_vector", asks if where == "table" else F.lit(False)).drop(*helpers)
+    out = said.withColumn("_answer", F.when(has_letter, answered(F.coalesce(label, F.lit("")))))
+    asks = F.coalesce(F.col("_answer.asks"), F.lit(False)) & (F.length(label) <= VECTOR_CHARS)
+    return out.withColumns({name: F.col("_answer.match").cast(MATCH), f"{name}_asks_vector": asks if where == "table" else F.lit(False)}).drop("_answer")
 
 
 def by_vector(asked: DataFrame, known: DataFrame, label: str = "label", vector: str = "vector") -> DataFrame:

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
 from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import kept
+
 
 def slot_counts(want: DataFrame, got: DataFrame, keys: list[str]) -> DataFrame:
     """tp, fp, fn of every slot, as 0 or 1; slots are distinct."""
@@ -64,14 +65,6 @@ def bootstrap_f1(counts: DataFrame, iterations: int = 1000, low: float = 0.025,
     return ordered.select(at(low).alias("low"), at(high).alias("high"))
 
 
-def _kept(df: DataFrame) -> DataFrame:
-    """The rows in the shared folder, without their lineage."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
-    return df.checkpoint()
-
-
 #: Pairs of a group that one task may choose from; larger groups go by rounds of joins until they are as small.
 GROUP_PAIRS = 100_000
 
@@ -105,18 +98,18 @@ def greedy_one_to_one(pairs: DataFrame, group: list[str], left: str, right: str,
     while True:
         large = sized(rest).where(F.col("_n") > GROUP_PAIRS).drop("_n")
         small = rest.alias("r").join(large.alias("l"), same(group, "r", "l"), "left_anti")
-        done.append(_kept(small.groupBy(*group).applyInPandas(choose, pairs.schema)))
-        rest = _kept(rest.alias("r").join(large.alias("l"), same(group, "r", "l"), "left_semi").dropDuplicates([*group, left, right, score]))
+        done.append(kept(small.groupBy(*group).applyInPandas(choose, pairs.schema)))
+        rest = kept(rest.alias("r").join(large.alias("l"), same(group, "r", "l"), "left_semi").dropDuplicates([*group, left, right, score]))
         if not rest.limit(1).count():
             return reduce(DataFrame.unionByName, done)
         rank = F.struct(F.when(~F.isnan(F.col(score).cast("double")), F.col(score)).alias("s"), F.col(left).alias("l"), F.col(right).alias("r"))
         best = lambda side: rest.groupBy(*group, side).agg(F.max(rank).alias("_best"))
         of_left, of_right = best(left), best(right)
         both = of_left.alias("a").join(of_right.alias("b"), same([*group, "_best"], "a", "b"), "left_semi")
-        both = _kept(both.select(*group, F.col("_best.l").alias(left), F.col("_best.r").alias(right)))
+        both = kept(both.select(*group, F.col("_best.l").alias(left), F.col("_best.r").alias(right)))
         # pairs with equal sides and another score are rivals, so the best score is kept
         taken = rest.alias("r").join(both.alias("t"), same([*group, left, right], "r", "t"), "left_semi")
         one = taken.groupBy(*group, left, right).agg(F.max_by(F.struct(*pairs.columns), rank).alias("_row"))
-        done.append(_kept(one.select("_row.*")))
+        done.append(kept(one.select("_row.*")))
         rest = rest.alias("r").join(both.alias("t"), same([*group, left], "r", "t"), "left_anti")
-        rest = _kept(rest.alias("r").join(both.alias("t"), same([*group, right], "r", "t"), "left_anti"))
+        rest = kept(rest.alias("r").join(both.alias("t"), same([*group, right], "r", "t"), "left_anti"))

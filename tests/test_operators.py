@@ -120,8 +120,8 @@ def test_greedy_matching_of_a_large_group(spark, monkeypatch):
     pairs = spark.createDataFrame(rows, "d string, p int, g int, score int")
     whole = sorted(map(tuple, scoring.greedy_one_to_one(pairs, ["d"], "p", "g", "score").collect()))
     monkeypatch.setattr(scoring, "GROUP_PAIRS", 40)
-    inner, seen = scoring._kept, []
-    monkeypatch.setattr(scoring, "_kept", lambda df: seen.append(df) or inner(df))
+    inner, seen = scoring.kept, []
+    monkeypatch.setattr(scoring, "kept", lambda df: seen.append(df) or inner(df))
     got = sorted(map(tuple, scoring.greedy_one_to_one(pairs, ["d"], "p", "g", "score").collect()))
     assert got == whole and len(seen) > 4
     used, want = set(), []
