@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import scalars as S
-from ..operators import labels, tables
+
+from ..operators import labels, tables, texts
 from ..operators.wordings import CELL_NUMBER, CONTEXT, ESTIMATE_REF, HEADER, MATERIALS, ROW_FIELDS, TOTALS
 from ..sources.lexicon import Lexicon, bare_text, field_for_display, material_in, unit_of, unit_of_field
 from ..session import kept
@@ -149,3 +149,138 @@ TEP_TABLES = f"""
 def tep_tables(t: Tables) -> DataFrame:
     found = tables.table_values(kept(grid(t)), LEXICON, ("exact",))
     return found.select("doc_id", "row_no", "label", "field", "raw", "value", "source")
+
+
+# ---- sentences: a part is a page; what it must say is known from how it is made
+
+FULL = Lexicon(UNITS_OF, [*LEXICON.labels, ("floors", "text_number_first", "этажное")], LEXICON.negatives, UNITS, LEXICON.headers)
+VOLUME = "cast(p_size + 100 as string)"
+PAGE = f"""concat('Здание в осях. ', case when p_partkey % 2 = 0 then 'Площадь застройки здания составляет ' else 'Пл. застр. – ' end, {PRICE}, ' м². Строительный объём равен ', {VOLUME}, case when p_partkey % 3 = 0 then ' куб. м; ' else ' м3; ' end,
+    'площадь участка ', cast(p_size as string), ' м2, ширина 5 м. Всего ', cast(p_size + 7 as string), ' кв.м общей площади. Корпус ', cast(p_size % 9 + 1 as string), '-этажное здание, длина 10 м')"""
+
+
+def pages_of(t: Tables, text: str) -> DataFrame:
+    return t.part.select(F.col("p_partkey").alias("doc_id"), F.lit(1).alias("page"), F.expr(text).alias("text"))
+
+
+@query("""
+    select p_partkey as doc_id, 'building_area_m2' as field, cast(cast(p_retailprice as decimal(12,2)) as double) as value, case when p_partkey % 2 = 0 then 'exact' else 'fuzzy' end as method from part
+    union all select p_partkey, 'construction_volume_m3', p_size + 100, 'exact' from part
+    union all select p_partkey, 'total_area_m2', p_size + 7, 'fuzzy' from part
+    union all select p_partkey, 'floors', p_size % 9 + 1, 'exact' from part""")
+def anchored_sentences(t: Tables) -> DataFrame:
+    """Numbers with units, named by the words before or after them; a negative label and lengths give nothing."""
+    return texts.anchored_values(pages_of(t, PAGE), FULL).select("doc_id", "field", "value", "method")
+
+
+COST = "case p_partkey % 3 when 0 then ' млн тенге' when 1 then ' тыс. тенге' else ' рублей' end"
+PARAGRAPH = f"concat('Общая площадь здания по проекту ', {PRICE}, ' кв.м. Строительный объем не указан. Сметная стоимость строительства равна ', cast(p_size as string), {COST}, '. Расход монолитного бетона ', cast(p_size + 1 as string), ' м3. Это ', cast(p_size % 5 + 1 as string), '-этажный дом')"
+
+
+@query("""
+    select p_partkey as doc_id, 'total_area_m2' as field, cast(cast(p_retailprice as decimal(12,2)) as double) as value from part
+    union all select p_partkey, 'construction_volume_m3', p_size from part
+    union all select p_partkey, 'estimated_cost_ktg', case p_partkey % 3 when 0 then p_size * 1000 else p_size end from part where p_partkey % 3 < 2
+    union all select p_partkey, 'concrete_total_m3', p_size + 1 from part
+    union all select p_partkey, 'floors', p_size % 5 + 1 from part""")
+def paragraph_values(t: Tables) -> DataFrame:
+    """The first number after a label on the page; a cost counts only with its unit."""
+    return texts.paragraph_values(pages_of(t, PARAGRAPH)).select("doc_id", "field", "value")
+
+
+SECTION = "case p_partkey % 4 when 0 then 'PZ' when 1 then 'AR' when 2 then 'KR' else 'SMETA' end"
+SCAN_LINE = f"""case p_partkey % 4
+    when 0 then case when p_size % 2 = 0 then concat('3 | Этажность ', cast(p_size as string), ' эт') else concat('5 Сметная стоимость, млн тенге ', cast(p_size as string)) end
+    when 1 then case when p_size % 2 = 0 then concat('Итого общая площадь ', {PRICE}) else concat('Итого по 1 этажу общая площадь ', {PRICE}) end
+    when 2 then concat('2 Арматура класса ', {PRICE}, ' т 77')
+    else case p_size % 4 when 0 then concat('Кирпичная кладка м3 | ', {PRICE}, ' 5') when 1 then concat('ОС 02-01 Корпус 12; ', {PRICE}) when 2 then concat('Итого по объектной смете ', {PRICE}) else concat('Всего по сводному расчету ', {PRICE}) end end"""
+
+
+@query("""
+    with p as (select *, cast(cast(p_retailprice as decimal(12,2)) as double) as v from part)
+    select p_partkey as doc_id,
+           case p_partkey % 4 when 0 then if(p_size % 2 = 0, 'floors', 'estimated_cost_ktg') when 1 then if(p_size % 2 = 0, 'explication_total_area_m2', 'total_area_m2') when 2 then 'rebar_a500c_t'
+             else case p_size % 4 when 0 then 'local_qty.brick_masonry_m3' when 1 then 'ssr.ch2.os_02-01_ktg' when 2 then 'os.total_ktg' else 'ssr.total_ktg' end end as field,
+           case when p_partkey % 4 = 0 then if(p_size % 2 = 0, p_size, p_size * 1000) else v end as value from p""")
+def scanned_lines(t: Tables) -> DataFrame:
+    """Lines of a scan: a label, then the first number after it."""
+    lines = t.part.select(F.col("p_partkey").alias("doc_id"), F.lit(1).alias("page"), F.lit(1).alias("line_no"), F.expr(SECTION).alias("section"), F.expr(SCAN_LINE).alias("text"))
+    return texts.scanned_lines(lines).select("doc_id", "field", "value")
+
+
+HEIGHT = "replace(cast(cast(p_size / 10.0 as decimal(6,1)) as string), '.', ',')"
+HEIGHT_PAGE = f"concat('Высота помещений в чистоте до потолка ', {HEIGHT}, 'м. Далее текст. Высота помещений не указана. Длина 9 м')"
+
+
+@query("select p_partkey as doc_id, round(p_size / 10.0, 1) as value from part where p_size between 15 and 200")
+def mention_heights(t: Tables) -> DataFrame:
+    """Heights right after a mention, in its sentence, that a storey can have."""
+    return texts.heights(pages_of(t, HEIGHT_PAGE), "высота помещени").select("doc_id", F.round("value", 1).alias("value"))
+
+
+SEISMIC = "case p_partkey % 4 when 0 then 'Сейсмичность площадки 8 баллов' when 1 then 'Сейсмичность здания 9 баллов' when 2 then 'Котельная: сейсмичность 8' else 'Гараж и котельная, сейсмичность 7' end"
+
+
+@query("select p_partkey as doc_id, case p_partkey % 4 when 2 then 'boiler' else 'site' end as scope from part")
+def seismic_scope(t: Tables) -> DataFrame:
+    """Sentences of one building, unless they speak of the site or name none or several."""
+    said = t.part.select(F.col("p_partkey").alias("doc_id"), F.expr(SEISMIC).alias("s"))
+    named = F.array_compact(F.array(F.when(F.lower("s").contains("котельн"), F.lit("boiler")), F.when(F.lower("s").contains("гараж"), F.lit("garage"))))
+    return said.select("doc_id", texts.seismic_scope(F.col("s"), named, F.lit(2)).alias("scope"))
+
+
+LABEL_CASES = ["Пл. застр.", "Площадь участка", "Общая площадь здания, м²", "Строит. объем", "Этажность", "Объем засыпки", "Kол-во этажей", "Oбщая площaдь", "Объем бетона", "Прочее", "123", "Площадь общая квартир"]
+LABEL_TRUTH = [("building_area_m2", "fuzzy"), None, ("total_area_m2", "exact"), ("construction_volume_m3", "fuzzy"), ("floors", "exact"), None, ("floors", "fuzzy"), ("total_area_m2", "fuzzy"), None, None, None, ("total_area_m2", "exact")]
+
+
+@query(f"""
+    select p_partkey, {cases('(p_partkey % 12)', [m[0] if m else '!null' for m in LABEL_TRUTH], 'null')} as field, {cases('(p_partkey % 12)', [m[1] if m else '!null' for m in LABEL_TRUTH], 'null')} as method from part where p_partkey % 12 in ({', '.join(str(i) for i, m in enumerate(LABEL_TRUTH) if m)})""")
+def label_cascade(t: Tables) -> DataFrame:
+    """Negative labels, exact containment, then coverage by inflected, shortened and misread words."""
+    said = t.part.select("p_partkey", F.expr(cases("(p_partkey % 12)", LABEL_CASES)).alias("label"))
+    known = labels.match(said.select("label").distinct(), LEXICON).select("label", "match.field", "match.method").where("field is not null")
+    return said.join(known, "label").select("p_partkey", "field", "method")
+
+
+UNIT_CASES = ["кв.м", "КУБ. М", "эт", "мес.", "м2", "шт", "М³", ""]
+MATERIAL_CASES = ["Отмостка бетонная", "отмостка асфальтобетонная шириной 1 м", "Кровля", "из бетона и асфальта", "небетонный", "АСФАЛЬТ", "бетонн", "асфальтобетон"]
+
+
+@query(f"""
+    select p_partkey, {cases('(p_size % 8)', ['m2', 'm3', 'floor', 'month', 'm2', '!null', 'm3', '!null'], 'null')} as unit,
+           {cases('(p_size % 8)', ['concrete', 'mixed', '!null', 'asphalt', '!null', 'asphalt', 'concrete', 'mixed'], 'null')} as material,
+           {cases('(p_size % 4)', ['m2', 'm3', 'kKZT', 'floor'], 'null')} as of_field, {cases('(p_size % 4)', ['Total area', 'volume_m3', 'room 12', 'Floors'], 'null')} as shown from part""")
+def unit_spelling(t: Tables) -> DataFrame:
+    """Units by spelling, materials by the longest prefix of a word, units and names of fields."""
+    name = F.expr(cases("(p_size % 4)", ["total_area_m2", "local_qty.volume_m3", "room.12._ktg", "floors"]))
+    material = material_in(F.expr(cases("(p_size % 8)", MATERIAL_CASES)), [("concrete", "бетон"), ("asphalt", "асфальт"), ("mixed", "асфальтобетон")])
+    return t.part.select("p_partkey", unit_of(F.expr(cases("(p_size % 8)", UNIT_CASES)), UNITS).alias("unit"), material.alias("material"), unit_of_field(name).alias("of_field"), field_for_display(name, {"total_area_m2": "Total area", "floors": "Floors"}).alias("shown"))
+
+
+@query("""
+    with v as (select o_custkey as p, 'b' || (o_orderkey % 3) as object, o_orderpriority as field, o_totalprice as value from orders where o_orderkey % 4 > 0
+               union all select o_custkey, 'project', o_orderpriority, -o_totalprice from orders where o_orderkey % 4 = 0),
+    one as (select p, object, field, max(value) as value from v group by 1, 2, 3),
+    b as (select distinct o_custkey as p, case when o_custkey % 5 > 0 then 'b' || (o_custkey % 3) end as object from orders),
+    own as (select p, field, value from one join b using (p, object)),
+    spare as (select one.p, field, value from one join b on b.p = one.p where one.object = 'project' and (b.object is null or field in ('1-URGENT', '2-HIGH')))
+    select p as package_id, field, value from own union all select p, field, value from spare where (p, field) not in (select p, field from own)""")
+def comparable_values(t: Tables) -> DataFrame:
+    """A building's values, with the project's for project fields that it lacks."""
+    whole = F.col("o_orderkey") % 4 == 0
+    v = t.orders.select(F.col("o_custkey").alias("package_id"), F.when(whole, "project").otherwise(F.concat(F.lit("b"), F.col("o_orderkey") % 3)).alias("object"), F.col("o_orderpriority").alias("field"), F.when(whole, -F.col("o_totalprice")).otherwise(F.col("o_totalprice")).alias("value"))
+    v = v.groupBy("package_id", "object", "field").agg(F.max("value").alias("value"))
+    b = t.orders.select(F.col("o_custkey").alias("package_id")).distinct().withColumn("object", F.when(F.col("package_id") % 5 > 0, F.concat(F.lit("b"), F.col("package_id") % 3)))
+    return texts.comparable_values(v, b, ["1-URGENT", "2-HIGH"])
+
+
+@query(f"""
+    with d as (select {DOC} as doc_id, {ROW} as row_no, p_name, p_brand from part),
+    w as (select doc_id, string_agg(case when row_no % 2 = 0 then p_name || ' ' || p_brand else p_brand end, ' | ' order by row_no, p_name) as page from d group by 1)
+    select d.doc_id, row_no, p_name, case when contains(page, p_name || ' ' || p_brand) then p_name || ' ' || p_brand when contains(page, p_brand) then p_brand end as quote from d join w using (doc_id)""")
+def row_quotes(t: Tables) -> DataFrame:
+    """A row's cells as the page says them, else its cell."""
+    rows = t.part.select(F.expr(DOC).alias("doc_id"), F.expr(ROW).alias("row_no"), "p_name", "p_brand")
+    said = F.when(F.col("row_no") % 2 == 0, F.concat_ws(" ", "p_name", "p_brand")).otherwise(F.col("p_brand"))
+    pages = rows.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("row_no", "p_name", said.alias("s")))), lambda x: x["s"]), " | ").alias("page"))
+    return rows.join(pages, "doc_id").select("doc_id", "row_no", "p_name", tables.row_quote(F.array("p_name", "p_brand"), F.col("page"), F.col("p_brand")).alias("quote"))
