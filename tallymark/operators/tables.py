@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import cost_scale, norm_ws, number_readings, squash
+from ..functions.scalars import cost_scale, norm_ws, number_readings, once, squash
 from ..sources.lexicon import Lexicon, bare_text, begins_with, unit_at_end, unit_of
 from ..session import kept
 from . import labels
@@ -61,8 +61,8 @@ def section_rows(headers: DataFrame, rows: DataFrame, keys: list[str]) -> DataFr
     most; rows that state nothing go.
     """
     known = kinds_of_tables(headers).drop("header", "context")
-    said = rows.withColumn("label", row_text(F.col("cells"))).withColumn("_last", F.size("cells") - 1)
-    read = said.withColumn("_material", first_named(F.col("label"), MATERIALS)).join(known, keys)
+    said = once(rows, {"label": row_text(F.col("cells")), "_last": F.size("cells") - 1})
+    read = once(said, {"_material": first_named(F.col("label"), MATERIALS)}).join(known, keys)
     read = read.withColumn("_ref", F.regexp_extract(F.coalesce(F.get("cells", F.col("_estimate_no")), F.lit("")), f"(?u)^{ESTIMATE_REF}", 1))
     kind, total = F.col("kind"), lambda which: says(F.col("label"), TOTALS[which])
     number = F.coalesce(F.get("cells", F.lit(0)), F.lit(""))
@@ -77,7 +77,8 @@ def section_rows(headers: DataFrame, rows: DataFrame, keys: list[str]) -> DataFr
         .when(kind == "summary", F.when(F.col("_ref") != "", F.concat(F.lit("ssr.ch2.os_"), F.col("_ref"), F.lit("_ktg"))).when(total("summary_total"), F.lit("ssr.total_ktg")))
     )
     at = F.when(kind == "tep", F.coalesce("_value", "_last")).when(kind == "explication", F.coalesce("_area", F.col("_last") - 1)).when(has_qty & kind.isin("materials", "local"), F.col("_qty")).otherwise(F.col("_last"))
-    read = read.withColumn("field", field).withColumn("raw", F.get("cells", at.cast("int"))).withColumn("_v", cell_number(F.col("raw")))
+    read = once(once(read, {"field": field, "_at": at.cast("int")}), {"raw": F.get("cells", F.col("_at"))})
+    read = once(read, {"_v": cell_number(F.col("raw"))})
     stated_unit = F.coalesce(F.get("cells", F.col("_unit")), F.col("label"))
     scale = F.coalesce(cost_scale(F.concat(stated_unit, F.lit(" "), F.col("label"))), F.lit(1.0))
     value = F.when((kind == "tep") & (F.col("field") == "estimated_cost_ktg"), F.round(F.col("_v") * scale, 3)).when(F.col("field") == "floors", F.floor("_v").cast("double")).otherwise(F.col("_v"))

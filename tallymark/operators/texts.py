@@ -11,7 +11,7 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scalars import NUMBER, cost_scale, number_readings
+from ..functions.scalars import NUMBER, cost_scale, number_readings, once
 from ..session import kept
 from ..sources.lexicon import Lexicon
 from . import labels
@@ -161,7 +161,7 @@ def scanned_lines(lines: DataFrame) -> DataFrame:
     total = lambda which: says(text, TOTALS[which])
     section = F.col("section")
     named = F.when((section == "AR") & total("explication_total") & ~total("floor_subtotal"), F.lit("explication_total_area_m2")).when(section.isin("PZ", "AR"), first_named(text, ROW_FIELDS)).when(section.isin("KR", "SMETA"), first_named(text, MATERIALS))
-    rows = lines.withColumn("_named", named).withColumn("_ref", F.regexp_extract(text, f"(?u){ESTIMATE_REF}", 1))
+    rows = once(lines, {"_named": named, "_ref": F.regexp_extract(text, f"(?u){ESTIMATE_REF}", 1)})
     last = F.try_element_at(F.regexp_extract_all(F.regexp_replace(text, f"(?su)^.*?{ESTIMATE_REF}", ""), F.lit(IN_TEXT), F.lit(1)), F.lit(-1))
     after_unit = F.regexp_extract(text, rf"(?iu)(?:м³|м²|м3|м2|(?<!\p{{L}})т(?!\p{{L}}))[\s|]*({CELL_NUMBER})", 1)
     smeta = section == "SMETA"
@@ -181,7 +181,7 @@ def scanned_lines(lines: DataFrame) -> DataFrame:
         .when(total("object_total"), after(TOTALS["object_total"]))
         .when(total("summary_total"), after(TOTALS["summary_total"]))
     )
-    rows = rows.withColumn("field", field).withColumn("raw", F.nullif(raw, F.lit(""))).where("field is not null and raw is not null")
+    rows = once(rows, {"field": field, "raw": F.nullif(raw, F.lit(""))}).where("field is not null and raw is not null")
     number = cell_number(F.col("raw"))
     scaled = F.when(F.col("field") == "floors", F.floor(number).cast("double")).when(F.col("field") == "estimated_cost_ktg", F.round(number * F.coalesce(cost_scale(text), F.lit(1.0)), 3)).otherwise(number)
     return rows.withColumn("value", scaled).drop("_named", "_ref")
