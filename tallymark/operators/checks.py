@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import TOLERANCES, delta_abs, delta_rel, tolerance_matches, verdict
+from ..session import kept
 from .ordered import first_per
 
 
@@ -47,15 +48,15 @@ def table_totals(cells: DataFrame, keys: list[str], kind: str = "table_total") -
     cells: keys, row_no, col_no, value (null: no number), is_total. Row 0 is the header and isn't passed.
     """
     rel, absolute = TOLERANCES[kind]
-    totals = cells.where("is_total").select(*keys, "row_no").distinct()
-    row_keys = cells.select(*keys, "row_no").distinct().join(totals.withColumn("_t", F.lit(1)), [*keys, "row_no"], "left")
-    w = Window.partitionBy(*keys).orderBy("row_no")
-    blocks = row_keys.withColumn("block", F.coalesce(F.sum("_t").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_t")
-    placed = cells.join(blocks, [*keys, "row_no"]).where("value is not null")
-    sums = placed.where("not is_total").groupBy(*keys, "block", "col_no").agg(F.round(F.sum("value"), 6).alias("rows_sum"), F.count("*").alias("n_rows"))
-    stated = placed.where("is_total").select(*keys, "block", "col_no", "row_no", F.col("value").alias("total"))
-    joined = stated.join(sums, [*keys, "block", "col_no"])
-    return joined.where(~tolerance_matches("rows_sum", "total", rel, absolute)).withColumn("delta_rel", F.round(F.try_divide(F.col("total") - F.col("rows_sum"), F.col("rows_sum")), 5))
+    # cells of total rows above: equal inside a block, more in the next; blocks and sums share one shuffle by the keys
+    above = Window.partitionBy(*keys).orderBy("row_no").rangeBetween(Window.unboundedPreceding, -1)
+    placed = cells.withColumn("block", F.coalesce(F.sum(F.col("is_total").cast("int")).over(above), F.lit(0))).where("value is not null")
+    total, row = F.col("is_total"), ~F.col("is_total")
+    sums = placed.groupBy(*keys, "block", "col_no").agg(
+        F.max(F.when(total, F.col("row_no"))).alias("row_no"), F.max(F.when(total, F.col("value"))).alias("total"), F.round(F.sum(F.when(row, F.col("value"))), 6).alias("rows_sum"), F.count_if(row).alias("n_rows")
+    )
+    judged = sums.where(F.col("row_no").isNotNull() & (F.col("n_rows") > 0) & ~tolerance_matches("rows_sum", "total", rel, absolute))
+    return judged.withColumn("delta_rel", F.round(F.try_divide(F.col("total") - F.col("rows_sum"), F.col("rows_sum")), 5))
 
 
 def first_disagreement(statements: DataFrame, keys: list[str], order: str, value: str, place: list[str], rel: float, absolute: float) -> DataFrame:
@@ -86,12 +87,18 @@ def site_vs_building(site: DataFrame, building: DataFrame, site_key: str, buildi
     return rows.unionByName(sites.select(F.lit("site").alias("scope"), F.col(site_key).cast("string").alias("object"), F.array_join(F.sort_array("_site"), ", ").alias("values")))
 
 
-def parameter_contradiction(own: DataFrame, general: DataFrame, key: str, material: str, width: str, slack: float = 0.01) -> DataFrame:
-    """Objects whose statements, with the general ones, name several materials or widths further apart than the slack."""
-    shared = general.agg(F.collect_set(material).alias("_gm"), F.max(width).alias("_gw"), F.min(width).alias("_gn"))  # one row
-    mine = own.groupBy(key).agg(F.collect_set(material).alias("_m"), F.max(width).alias("_w"), F.min(width).alias("_n"))
-    both = mine.join(F.broadcast(shared), F.lit(True)).select(key, F.sort_array(F.array_union("_m", "_gm")).alias("_m"), F.least("_n", "_gn").alias("narrowest"), F.greatest("_w", "_gw").alias("widest"))
-    return both.where((F.size("_m") > 1) | (F.col("widest") - F.col("narrowest") > slack * F.col("widest"))).select(key, F.array_join("_m", ", ").alias("materials"), "narrowest", "widest")
+def parameter_contradiction(own: DataFrame, general: DataFrame, key: str, material: str, width: str, slack: float = 0.01, package: str | None = None) -> DataFrame:
+    """Objects whose statements, with the general ones, name several materials or widths further apart than the slack.
+
+    package: the column by which general statements belong to objects; without it both are of one package.
+    """
+    within = [package] if package else []
+    shared = general.groupBy(*within).agg(F.collect_set(material).alias("_gm"), F.max(width).alias("_gw"), F.min(width).alias("_gn"))
+    mine = own.groupBy(*within, key).agg(F.collect_set(material).alias("_m"), F.max(width).alias("_w"), F.min(width).alias("_n"))
+    both = mine.join(shared, within, "left") if package else mine.join(F.broadcast(shared), F.lit(True))  # one row
+    none = F.array().cast(mine.schema["_m"].dataType)
+    both = both.select(*within, key, F.sort_array(F.array_union("_m", F.coalesce("_gm", none))).alias("_m"), F.least("_n", "_gn").alias("narrowest"), F.greatest("_w", "_gw").alias("widest"))
+    return both.where((F.size("_m") > 1) | (F.col("widest") - F.col("narrowest") > slack * F.col("widest"))).select(*within, key, F.array_join("_m", ", ").alias("materials"), "narrowest", "widest")
 
 
 def smaller_than_axes(axes: DataFrame, areas: DataFrame, key: str, kind: str = "geometry") -> DataFrame:
@@ -152,13 +159,26 @@ REGISTRY: dict[str, Check] = {
 
 
 def run_checks(jobs: dict[str, Callable[[], DataFrame]]) -> tuple[DataFrame | None, dict[str, str]]:
-    """The union of what checks find; a check that can't be built becomes a warning and stops no other."""
+    """The union of what checks find. A check that can't be built or fails while it runs becomes a warning and stops no
+    other: each is run by itself and what it finds is kept, so nothing runs twice.
+    """
     out, warnings = None, {}
     for name, job in jobs.items():
         try:
-            found = job()
+            found = kept(job())
         except Exception as e:  # noqa: BLE001  a broken check must not stop the others
             warnings[name] = f"{type(e).__name__}: {e}"
             continue
         out = found if out is None else out.unionByName(found)
     return out, warnings
+
+
+def run_registered(inputs: dict[str, dict]) -> tuple[dict[str, DataFrame], dict[str, str]]:
+    """What each check of the registry finds in its inputs (arguments by name of check), and warnings of those that fail."""
+    found, warnings = {}, {}
+    for name, arguments in inputs.items():
+        one, failed = run_checks({name: lambda name=name, arguments=arguments: REGISTRY[name](**arguments)})
+        warnings |= failed
+        if one is not None:
+            found[name] = one
+    return found, warnings

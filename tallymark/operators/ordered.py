@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import kept
+
 
 def first_per(df: DataFrame, keys: list[str], order: list) -> DataFrame:
     """The first row of each key; ties must be broken by the order given."""
@@ -84,11 +86,15 @@ def rolling_count(df: DataFrame, keys: list[str], ts: str, seconds: int, name: s
 def numbered(df: DataFrame, group: Column, value: str, name: str = "number", width: int = 65_536) -> DataFrame:
     """Numbers 1, 2, ... over all rows in order of group and a whole-number column, without one task sorting them all.
 
-    Values are cut into ranges; rows are numbered inside a range, and a range begins where those before it end. Only
-    the table of ranges, smaller by the width, passes one task. Rows of equal group and value are numbered in any order.
+    Values are cut into ranges; rows are numbered inside a range, and a range begins where those before it end. Ranges
+    are summed in wider ranges, so only a table smaller by the square of the width passes one task. Rows of equal group
+    and value are numbered in any order.
     """
     ranged = df.withColumn("_group", group).withColumn("_range", F.floor(F.col(value) / width))
-    before = Window.orderBy("_group", "_range").rowsBetween(Window.unboundedPreceding, -1)
-    starts = ranged.groupBy("_group", "_range").agg(F.count("*").alias("_rows")).withColumn("_start", F.coalesce(F.sum("_rows").over(before), F.lit(0))).drop("_rows")
+    of_range = kept(ranged.groupBy("_group", "_range").agg(F.count("*").alias("_rows"))).withColumn("_wide", F.floor(F.col("_range") / width))
+    before = lambda w: F.coalesce(F.sum("_rows").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    wide = of_range.groupBy("_group", "_wide").agg(F.sum("_rows").alias("_rows")).withColumn("_far", before(Window.orderBy("_group", "_wide"))).drop("_rows")
+    near = of_range.withColumn("_near", before(Window.partitionBy("_group", "_wide").orderBy("_range")))
+    starts = near.join(wide, ["_group", "_wide"]).select("_group", "_range", (F.col("_near") + F.col("_far")).alias("_start"))
     inside = F.row_number().over(Window.partitionBy("_group", "_range").orderBy(value))
     return ranged.withColumn("_inside", inside).join(starts, ["_group", "_range"]).withColumn(name, F.col("_start") + F.col("_inside")).drop("_group", "_range", "_inside", "_start")

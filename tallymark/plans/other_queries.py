@@ -68,7 +68,15 @@ def latest_review(t: Tables) -> DataFrame:
 WISH = {"view": "receiving", "signup": "uploaded", "click": "pending", "purchase": "done", "error": "error"}
 
 
-@query()
+MAY_FOLLOW = " or ".join(f"(s = '{a}' and w = '{b}')" for a, following in windows.TRANSITIONS.items() for b in sorted(following)) + " or (s = '' and w = 'receiving')"
+
+
+@query(f"""
+    with recursive e as (select cast(user_id as varchar) as check_id, ts, {' '.join(['case event_type', *[f"when '{k}' then '{v}'" for k, v in WISH.items()], 'end'])} as w from events),
+    k as (select *, row_number() over (partition by check_id order by ts nulls last, w nulls last) as k from e),
+    r as (select distinct check_id, 0 as k, '' as s, 0::bigint as taken, 0::bigint as refused from k
+          union all select check_id, k, case when ok then w else s end, taken + ok::bigint, refused + (not ok)::bigint from (select k.check_id, k.k, k.w, r.s, r.taken, r.refused, coalesce({MAY_FOLLOW.replace("(s =", "(r.s =").replace("w =", "k.w =")}, false) as ok from r join k on k.check_id = r.check_id and k.k = r.k + 1))
+    select check_id, s as status, taken, refused from (select *, row_number() over (partition by check_id order by k desc) as last from r) where last = 1""")
 def lifecycle_state(t: Tables) -> DataFrame:
     wish = F.create_map(*[F.lit(x) for kv in WISH.items() for x in kv])
     events = t.events.select(F.col("user_id").cast("string").alias("check_id"), "ts", F.element_at(wish, F.col("event_type")).alias("wanted"))
@@ -191,7 +199,7 @@ def label_exact(t: Tables) -> DataFrame:
     return labels.exact(t.part.select(F.col("p_type").alias("label")), lexicon(t))
 
 
-@query()
+@query("""select * from (values ('Общей площади здания', 'area', 1.0), ('Пл. застр.', 'built', 1.0), ('Этажей', 'floors', 1.0), ('Строительного объёма', 'volume', 1.0)) x(label, field, share)""")
 def label_fuzzy(t: Tables) -> DataFrame:
     known = t.spark.createDataFrame([("area", "общая площадь"), ("built", "площадь застройки"), ("volume", "строительный объем"), ("floors", "этажность")], "field string, known string")
     said = t.part.select(F.element_at(F.array(*map(F.lit, ["Общей площади здания", "Пл. застр.", "Этажей", "Строительного объёма", "прочее"])), (F.col("p_partkey") % 5 + 1).cast("int")).alias("label"))
@@ -222,13 +230,17 @@ def one_edit_pairs(t: Tables) -> DataFrame:
     return keyed.select(F.col("w").alias("left_word"), "k").join(other, "k").where(F.col("left_word") < F.col("right_word")).select("left_word", "right_word").distinct().where(S.one_edit(F.col("left_word"), F.col("right_word")))
 
 
+#: Quotes too short for an anchor that a query may have.
+SHORT_QUOTES = 1000
+
+
 @query("""
     select doc_id, item_id, cast((length(d.text) - length(replace(d.text, b.text, ''))) / length(b.text) as bigint) as n from documents d join benchmark b on contains(d.text, b.text)""")
 def quote_check(t: Tables) -> DataFrame:
     """Quotes anchor on four words of their own: runs of words of documents meet them by hash, then text decides.
 
     A quote may begin and end inside a word of the text, so its first word is no part of the anchor. Quotes of fewer
-    than six words have none and are compared with every text.
+    than six words have none; they are constants, whose number is checked, and are looked for in every text.
     """
     words = lambda c: F.split(c, " ")
     quotes = t.benchmark.select("item_id", F.col("text").alias("quote"), words("text").alias("w"))
@@ -237,8 +249,14 @@ def quote_check(t: Tables) -> DataFrame:
     texts = t.documents.select("doc_id", words("text").alias("w")).where(F.size("w") >= 4)
     met = texts.select("doc_id", F.explode(F.array_distinct(runs)).alias("anchor")).join(anchored.select("item_id", "anchor"), "anchor").select("doc_id", "item_id").distinct()
     near = met.join(t.documents.select("doc_id", "text"), "doc_id").join(anchored.select("item_id", "quote"), "item_id")
-    short = t.documents.select("doc_id", "text").join(quotes.where(F.size("w") < 6).select("item_id", "quote"), F.col("text").contains(F.col("quote")))
-    hits = near.where(F.col("text").contains(F.col("quote"))).select("doc_id", "item_id", "text", "quote").unionByName(short.select("doc_id", "item_id", "text", "quote"))
+    hits = near.where(F.col("text").contains(F.col("quote"))).select("doc_id", "item_id", "text", "quote")
+    few = quotes.where(F.size("w") < 6).select("item_id", "quote").limit(SHORT_QUOTES + 1).collect()
+    if len(few) > SHORT_QUOTES:
+        raise ValueError(f"at most {SHORT_QUOTES} quotes may be shorter than six words")
+    if few:
+        constant = F.array(*[F.struct(F.lit(r["item_id"]).alias("item_id"), F.lit(r["quote"]).alias("quote")) for r in few])
+        short = t.documents.select("doc_id", "text", F.explode(F.filter(constant, lambda q: F.col("text").contains(q["quote"]))).alias("q"))
+        hits = hits.unionByName(short.select("doc_id", "q.item_id", "text", "q.quote"))
     return hits.select("doc_id", "item_id", S.occurrences("text", "quote").alias("n"))
 
 
@@ -377,7 +395,7 @@ def top_errors(t: Tables) -> DataFrame:
     return t.events.groupBy("user_id", "event_type").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "user_id", "event_type").limit(20)
 
 
-@query()
+@query("""select * from (select p_type, p_partkey as pred, lead(p_partkey) over (partition by p_type order by p_size, p_partkey) as gold, cast(50 - p_size as bigint) as score from part) where gold is not null""")
 def object_assignment(t: Tables) -> DataFrame:
     """Parts of one type in pairs of neighbours in size: the greedy one-to-one choice by score."""
     sized = t.part.select("p_type", F.col("p_partkey").alias("pred"), "p_size", F.lower("p_name").alias("name"))
@@ -386,15 +404,21 @@ def object_assignment(t: Tables) -> DataFrame:
     return scoring.greedy_one_to_one(pairs, ["p_type"], "pred", "gold", "score")
 
 
-@query("""
-    with n as (select doc_id, cast(n_chars as double) as gold, case when doc_id % 4 = 0 then 'table' when doc_id % 4 = 1 then 'text' else 'none' end as kind from documents)
-    select doc_id, kind from n""")
+PRICE = "replace(cast(cast(p_retailprice as decimal(12,2)) as string), '.', ',')"
+
+
+@query("""select p_partkey as doc_id, case p_partkey % 4 when 0 then 'table' when 1 then 'text' else 'none' end as kind from part""")
 def extractability(t: Tables) -> DataFrame:
+    """Where a page says its value: in a cell, in a sentence among other numbers, or nowhere; cells and sentences are read."""
+    from ..operators.wordings import cell_number
     from .package import extractable
 
-    gold = t.documents.select("doc_id", F.lit("n_chars").alias("field"), F.col("n_chars").cast("double").alias("value"))
-    place = lambda k: gold.where(F.col("doc_id") % 4 == k).select("doc_id", "value")
-    return extractable(gold, place(0), place(1)).select("doc_id", F.col("where").alias("kind"))
+    doc = F.col("p_partkey").alias("doc_id")
+    gold = t.part.select(doc, F.lit("price").alias("field"), F.col("p_retailprice").cast("decimal(12,2)").cast("double").alias("value"))
+    cells = t.part.select(doc, F.explode(F.array(F.lit("Цена"), F.expr(f"case when p_partkey % 4 = 0 then {PRICE} else 'нет' end"))).alias("x")).select("doc_id", cell_number(F.col("x")).alias("value")).where("value is not null")
+    text = F.expr(f"concat('Этажей 3, цена ', case when p_partkey % 4 < 2 then {PRICE} else '0,07' end, ' тенге за 5 м2')")
+    texts = t.part.select(doc, F.explode(S.find_numbers(text)).alias("n")).select("doc_id", "n.value")
+    return extractable(gold, cells, texts).select("doc_id", F.col("where").alias("kind"))
 
 
 @query("""

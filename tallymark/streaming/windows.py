@@ -105,22 +105,38 @@ def lifecycle(events: DataFrame) -> DataFrame:
     return end.select("check_id", F.get(F.array(*map(F.lit, STATUSES)), F.col("s.at")).alias("status"), "s.taken", "s.refused")
 
 
-def lifecycle_stream(events: DataFrame, idle: str = "1 hour") -> DataFrame:
-    """The same over a stream: the state of a check is its status; idle checks' state goes away."""
+#: Statuses that nothing may follow.
+FINAL = {status for status, following in TRANSITIONS.items() if not following}
+
+
+def lifecycle_stream(events: DataFrame, idle: str = "1 hour", late: str | None = None) -> DataFrame:
+    """The same over a stream: the state of a check is its status.
+
+    Events of one batch apply in order of time, equal times in the order in which they may follow each other; batches
+    apply as they come, and with `late` events that come later than that are dropped. A check that is idle and in a
+    final status loses its state, as nothing may follow; others keep theirs, so a late step is still judged rightly.
+    """
+    patience = int(pd.Timedelta(idle).total_seconds() * 1000)
+    steps = list(TRANSITIONS)
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        status, taken, refused = state.get if state.exists else (None, 0, 0)
         if state.hasTimedOut:
-            state.remove()
+            if status in FINAL:
+                state.remove()
+            else:
+                state.setTimeoutDuration(patience)
             return
-        status, taken, refused = state.get if state.exists else (None, 0, 0)
-        rows = pd.concat(list(batches)).sort_values(["ts", "wanted"])
-        status, more, less = follow(status or None, rows["wanted"].tolist())
+        rows = pd.concat(list(batches))
+        rows["_step"] = [steps.index(w) if w in steps else len(steps) for w in rows["wanted"]]
+        status, more, less = follow(status or None, rows.sort_values(["ts", "_step"], kind="stable")["wanted"].tolist())
         state.update((status, taken + more, refused + less))
-        state.setTimeoutDuration(3_600_000)
+        state.setTimeoutDuration(patience)
         yield pd.DataFrame({"check_id": [key[0]], "status": [status], "taken": [taken + more], "refused": [refused + less]})
 
+    timely = events.withWatermark("ts", late) if late else events
     schema = "check_id string, status string, taken long, refused long"
-    return events.groupBy("check_id").applyInPandasWithState(step, schema, "status string, taken long, refused long", "update", GroupStateTimeout.ProcessingTimeTimeout)
+    return timely.groupBy("check_id").applyInPandasWithState(step, schema, "status string, taken long, refused long", "update", GroupStateTimeout.ProcessingTimeTimeout)
 
 
 def stale(checks: DataFrame, now, mode: str = "sync") -> DataFrame:

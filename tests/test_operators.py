@@ -4,6 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
+from tallymark.functions.scalars import TOTAL
 from tallymark.operators import checks, labels, ordered, scoring
 
 
@@ -81,6 +82,33 @@ def test_broken_check_stops_no_other(spark):
     assert found.count() == 2 and "ZeroDivisionError" in warnings["bad"]
 
 
+def test_a_check_that_fails_while_it_runs_stops_no_other(spark):
+    bad = spark.range(3).select(F.when(F.col("id") >= 0, F.raise_error(F.lit("broken"))).cast("long").alias("id"))
+    found, warnings = checks.run_checks({"bad": lambda: bad, "good": lambda: spark.range(2)})
+    assert found.count() == 2 and "broken" in warnings["bad"]
+    names = spark.createDataFrame([("x", "A", 1), ("x", "B", 2)], "label string, owner string, seq int")
+    found, warnings = checks.run_registered({"copied_label": {"labels": names, "label": "label", "owner": "owner", "order": "seq"}, "volume_method": {"volumes": names}})
+    assert found["copied_label"].count() == 1 and list(warnings) == ["volume_method"]
+
+
+def test_parameters_of_their_own_package(spark):
+    own = spark.createDataFrame([("p", "A", "asphalt", 1500.0), ("q", "B", "asphalt", 1500.0)], "k string, o string, m string, w double")
+    general = spark.createDataFrame([("p", "concrete", 1000.0)], "k string, m string, w double")
+    assert [r["o"] for r in checks.parameter_contradiction(own, general, "o", "m", "w", package="k").collect()] == ["A"]
+
+
+def test_total_rows_are_whole_words(spark):
+    rows = [("Итого", True), ("Итоговая ведомость", False), (" ЖИЫНТЫҒЫ: 5", True), ("Всего по смете", True), ("Барлығы", True), ("Тотал", False)]
+    table = spark.createDataFrame(rows, "t string, want boolean")
+    assert table.where(F.col("t").rlike(TOTAL) != F.col("want")).count() == 0
+
+
+def test_numbers_over_wide_ranges(spark):
+    rows = spark.range(500).selectExpr("id * id as v", "id % 3 as g")
+    got = ordered.numbered(rows, F.col("g"), "v", width=4).orderBy("number").collect()
+    assert [r["number"] for r in got] == list(range(1, 501)) and [(r["g"], r["v"]) for r in got] == sorted((r["g"], r["v"]) for r in got)
+
+
 def test_continuation_tables(spark):
     tables = spark.createDataFrame([("d", 1, "h"), ("d", 2, "h"), ("d", 3, "h"), ("d", 4, "k")], "doc_id string, table_no int, header string")
     between = spark.createDataFrame([("d", 3, 2)], "doc_id string, table_no int, n_lines int")
