@@ -10,7 +10,7 @@ Layout: sections `magic`, one per block (its planes in a row), `index` (zstandar
 Spark's own text writer, with its commit protocol and on any store, writes the files.
 
 Null texts count as empty; such documents have the end id only. Rows without an id come first. Rows of equal id are
-ordered by a hash of the text, and may lie in several files; each repeated row is a document of its own. An empty table
+ordered by the input partition they were read from and a hash of the text, and may lie in several files; each repeated row is a document of its own. An empty table
 gives files without documents or no files. A text of any length is one document, which may fill many blocks. Columns
 beyond id and text are ignored, whatever their names.
 """
@@ -153,10 +153,9 @@ def write_files(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, fil
         for section in sections(again(), block, bits):
             yield pa.RecordBatch.from_arrays([pa.array([section], pa.binary())], names=["value"])
 
-    # rows of one id are dealt by text, rows equal in both by where they were read
-    order = ["id", F.xxhash64("text"), "_from"]
-    dealt = picked.withColumn("_from", F.spark_partition_id())
-    ordered = dealt.repartitionByRange(max(1, -(-total // file_text_bytes)), *order).sortWithinPartitions(*order)
+    # rows of one id are dealt by where they were read, so that bounds of ranges are found without reading texts
+    dealt = picked.withColumn("_from", F.spark_partition_id()).repartitionByRange(max(1, -(-total // file_text_bytes)), "id", "_from")
+    ordered = dealt.sortWithinPartitions("id", "_from", F.xxhash64("text"))
     ordered.select("id", "text").mapInArrow(run, "value binary").select(F.col("value").cast("string")).write.option("compression", "none").text(path)
 
 

@@ -37,7 +37,7 @@ def test_planes(bits, block):
 def test_token_files(spark):
     rows = [(5, "b c"), (1, None), (3, "the quick\n brown"), (None, "x"), (3, "again"), (9, "word " * 3000)]
     path = fresh_path(spark, "planes-test")
-    bitplane.write_files(spark.createDataFrame(rows, "doc_id long, text string"), path, BYTES, file_text_bytes=4000, block=512)
+    bitplane.write_files(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1), path, BYTES, file_text_bytes=4000, block=512)
     got = sorted(bitplane.with_starts(bitplane.read_documents(spark, path)).collect(), key=lambda r: r["start"])
     place = {r["text"]: r["h"] for r in spark.createDataFrame(rows, "doc_id long, text string").selectExpr("text", "xxhash64(text) as h").collect()}
     order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, place[r[1]]))
