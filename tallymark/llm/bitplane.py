@@ -159,28 +159,33 @@ def write_files(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, fil
     ordered.select("id", "text").mapInArrow(run, "value binary").select(F.col("value").cast("string")).write.option("compression", "none").text(path)
 
 
-def read_documents(spark: SparkSession, path: str) -> DataFrame:
-    """Per document of the files: id, file, number (in the file), file_start, n_tokens, ids_crc32, ids (binary)."""
+def read_documents(spark: SparkSession, path: str, with_ids: bool = True) -> DataFrame:
+    """Per document of the files: id, file, number (in the file), file_start, n_tokens, ids_crc32, and ids (binary) if wanted."""
+    kinds = {"id": pa.int64(), "file": pa.string(), "number": pa.int64(), "file_start": pa.int64(), "n_tokens": pa.int64(), "ids_crc32": pa.int64()} | ({"ids": pa.binary()} if with_ids else {})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for name, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 file = PlaneFile(memoryview(content.as_buffer()))
-                at = 0
                 ends = np.cumsum(file.lengths)
-                for low in range(0, len(ends), 1024):
-                    out: list[list] = [[], [], [], [], [], [], []]
-                    for k in range(low, min(low + 1024, len(ends))):
-                        ids = file.ids(at, int(ends[k])).astype("<u4").tobytes()
-                        row = (None if file.missing[k] else int(file.keys[k]), name.rsplit("/", 1)[-1], k, at, len(ids) // 4, zlib.crc32(ids), ids)
-                        for column, value in zip(out, row, strict=True):
-                            column.append(value)
-                        at = int(ends[k])
-                    kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds, strict=True)], names=["id", "file", "number", "file_start", "n_tokens", "ids_crc32", "ids"])
+                low = 0
+                while low < len(ends):
+                    # as many documents as fill a block of ids, a longer one alone
+                    start = int(ends[low] - file.lengths[low])
+                    high = max(low + 1, min(low + 4096, int(np.searchsorted(ends, start + file.block, "right"))))
+                    raw = memoryview(file.ids(start, int(ends[high - 1])).astype("<u4").tobytes())
+                    rows = []
+                    for k in range(low, high):
+                        at, stop = int(ends[k] - file.lengths[k]), int(ends[k])
+                        ids = raw[4 * (at - start) : 4 * (stop - start)]
+                        row = (None if file.missing[k] else int(file.keys[k]), name.rsplit("/", 1)[-1], k, at, stop - at, zlib.crc32(ids))
+                        rows.append((*row, bytes(ids)) if with_ids else row)
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds.values(), strict=True)], names=list(kinds))
+                    low = high
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("path", "content")
-    return files.mapInArrow(run, "id long, file string, number long, file_start long, n_tokens long, ids_crc32 long, ids binary")
+    schema = "id long, file string, number long, file_start long, n_tokens long, ids_crc32 long" + (", ids binary" if with_ids else "")
+    return files.mapInArrow(run, schema)
 
 
 def file_number(name: Column) -> Column:

@@ -50,7 +50,7 @@ def op3_jaccard_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_bitplane_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = fresh_path(spark, "planes")
     bitplane.write_files(table(spark, sf_dir, "documents"), path, tokenizer_file("byte_bpe_50k.json"))
-    rows = written(bitplane.read_documents(spark, path).drop("ids"), "plane-rows")
+    rows = written(bitplane.read_documents(spark, path, with_ids=False), "plane-rows")
     return bitplane.with_starts(rows).select(F.col("id").alias("doc_id"), "start", "n_tokens", "ids_crc32")
 
 
