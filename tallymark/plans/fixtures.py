@@ -5,6 +5,8 @@ Every number is a hash of (seed, package, name), so a richer profile adds fields
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -82,3 +84,56 @@ def sheet_cells(rows: DataFrame) -> DataFrame:
     total = sum((F.col(m) for m in MATERIALS), F.lit(0.0)) + F.when(F.col("wrong_area"), 1.0).otherwise(0.0)
     items = F.array(*[F.struct(F.lit(i + 1).alias("row_no"), F.col(m).alias("value"), F.lit(False).alias("is_total")) for i, m in enumerate(MATERIALS)], F.struct(F.lit(len(MATERIALS) + 1).alias("row_no"), F.round(total, 2).alias("value"), F.lit(True).alias("is_total")))
     return rows.select(F.col("package_id").alias("doc_id"), F.explode(items).alias("x")).select("doc_id", F.lit(1).alias("table_no"), "x.row_no", F.lit(2).alias("col_no"), "x.value", "x.is_total")
+
+
+def write_gold(rows: DataFrame, path: str) -> None:
+    """What was put in, as JSON lines in a folder a language."""
+    said = rows.select("lang", "package_id")
+    gold(rows).join(said, "package_id").write.partitionBy("lang").json(path)
+
+
+def read_gold(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema("package_id string, type string, field string, lang string").json(path)
+
+
+#: The chain of a local estimate, parts of a hundred.
+PROFIT_PERCENT = 8
+
+
+def local_estimate(direct: Column, overhead_percent: Column) -> dict[str, Column]:
+    """Overhead on direct costs, profit on both, and the total, each rounded to 2 digits; decimals in and out."""
+    money = lambda x: F.round(x, 2).cast("decimal(18,2)")
+    overhead = money(direct * overhead_percent / 100)
+    profit = money((direct + overhead) * PROFIT_PERCENT / 100)
+    return {"overhead": overhead, "profit": profit, "total": (direct + overhead + profit).cast("decimal(18,2)")}
+
+
+def summary_totals(values: DataFrame, keys: list[str]) -> DataFrame:
+    """The last row of a table of buildings: sums of every field, rounded. values: keys, field, value."""
+    total = F.sum(F.col("value").cast("decimal(18,4)"))
+    return values.groupBy(*keys, "field").agg(F.round(total, 2).cast("double").alias("total"))
+
+
+def filled(template: str, anchored: dict[str, Column], plain: dict[str, Column] | None = None) -> Column:
+    """The template's text, and of each anchored value its name, value and place (from 0)."""
+    given = (plain or {}) | anchored
+    pieces = [(p, i % 2 == 1) for i, p in enumerate(re.split(r"\{(\w+)\}", template))]
+    so_far, places = F.lit(""), []
+    for piece, is_name in pieces:
+        if is_name and piece in anchored:
+            places.append(F.struct(F.lit(piece).alias("name"), given[piece].alias("value"), F.length(so_far).alias("at")))
+        so_far = F.concat(so_far, given[piece] if is_name else F.lit(piece))
+    return F.struct(so_far.alias("text"), F.array(*places).alias("anchors"))
+
+
+LONG_HEADER_WORD = 7
+
+
+def broken_header(text: Column, draw: Column) -> Column:
+    """One of a header's words of letters, drawn, broken before its last one to three letters, as narrow columns do."""
+    words = F.split(text, " ")
+    places = F.filter(F.sequence(F.lit(0), F.size(words) - 1), lambda i: F.get(words, i).rlike(rf"^\p{{L}}{{{LONG_HEADER_WORD},}}$"))
+    place = F.get(places, F.pmod(draw, F.greatest(F.size(places), F.lit(1))).cast("int"))
+    tail = F.get(F.array(*map(F.lit, (1, 2, 2, 3))), F.pmod(draw, F.lit(4)).cast("int"))
+    cut = lambda w: F.concat(F.substring(w, F.lit(1), F.length(w) - tail), F.lit("\n"), F.substring(w, F.length(w) - tail + 1, tail))
+    return F.array_join(F.transform(words, lambda w, i: F.when(i == place, cut(w)).otherwise(w)), " ")

@@ -5,7 +5,7 @@ Readers of PDF and DOCX are optional plug-ins that give the same rows; the engin
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 PAGE = "doc_id string, page int, text string"
@@ -71,3 +71,16 @@ def annotation_problems(annotations: DataFrame, level_of_type: dict[str, str]) -
         .unionByName(row(found.where(F.exists("f.refs", lambda r: (r["page"] < 1) | (r["page"] > F.col("pages")))), "page out of range"))
         .unionByName(found.groupBy("document_id", F.col("f.id").alias("finding")).count().where("count > 1").select("document_id", "finding", F.lit("id used twice").alias("problem")))
     )
+
+
+def plain_path(path: Column | str) -> Column:
+    """A path without empty and `.` steps, and without steps that `..` takes back."""
+    steps = F.filter(F.split(path, "/"), lambda s: ~s.isin("", "."))
+    back = lambda done, s: F.when((s == "..") & (F.size(done) > 0) & (F.element_at(F.concat(F.array(F.lit("..")), done), -1) != ".."), F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0)))).otherwise(F.concat(done, F.array(s)))
+    return F.array_join(F.aggregate(steps, F.array().cast("array<string>"), back), "/")
+
+
+def annotations_of(annotations: DataFrame, files: DataFrame) -> DataFrame:
+    """Files with the annotation of each, by normalised path; of several the first by name. annotations: name, source_file."""
+    known = annotations.groupBy(plain_path("source_file").alias("_path")).agg(F.min("name").alias("annotation"))
+    return files.withColumn("_path", plain_path("path")).join(known, "_path", "left").drop("_path")
