@@ -56,6 +56,16 @@ def boxes_of_values(quotes: DataFrame, values: DataFrame) -> DataFrame:
     return first_per(pairs, ["ref_id"], order).select("ref_id", "v_top", "v_bottom", "v_x0")
 
 
+def extractions(slots: DataFrame, values: DataFrame) -> DataFrame:
+    """What a report shows of each chosen value: as its quote writes it, with its box, from a table or from text.
+
+    slots: ref_id, doc_id, object, field, value, page, quote, source, top, bottom, x0; values: as for boxes_of_values.
+    """
+    said = slots.withColumn("raw", raw_value("quote", "value")).withColumn("source", F.when(F.col("source").startswith("table"), "table").otherwise("text"))
+    boxes = boxes_of_values(said.select("ref_id", "doc_id", "page", "raw", "top", "bottom", "x0"), values)
+    return said.drop("top", "bottom", "x0").join(boxes, "ref_id", "left")
+
+
 def with_references(findings: DataFrame, refs: DataFrame, keys: list[str]) -> DataFrame:
     """Findings with their references as one list in order. refs: keys, seq and what is shown of each."""
     shown = [x for x in refs.columns if x not in keys]

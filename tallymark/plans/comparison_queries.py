@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import comparison, labels
+from ..operators import comparison, labels, report
 from ..sources import layout
 from . import fixtures
-from .document_queries import LABEL_CASES, LABEL_TRUTH, LEXICON, cases
+from .document_queries import DOC, LABEL_CASES, LABEL_TRUTH, LEXICON, cases
 from .registry import Tables, query
 
 #: What the gold says of each label: the truth, but one label is held for floors and one for nothing.
@@ -158,3 +158,35 @@ def annotation_lookup(t: Tables) -> DataFrame:
     paths = lambda a, b: F.when(key % 2 == 0, F.concat(F.lit(a), key, F.lit(".pdf"))).otherwise(F.concat(F.lit(b), key, F.lit(".pdf")))
     notes = t.part.where("p_partkey % 3 < 2").select(F.concat(F.lit("n"), F.lpad(key.cast("string"), 9, "0")).alias("name"), paths("./data//real/", "data/x/../real/").alias("source_file"))
     return layout.annotations_of(notes, t.part.select("p_partkey", paths("data/real/", "data/./real/").alias("path"))).select("p_partkey", "annotation")
+
+
+SCANNED = ["Площадь застройки здания", "Этажность", "БББ ШШШШШШШ", "", "юг", "Строительный объём"]
+
+
+@query(f"""
+    with t as (select p_partkey, {cases('(p_partkey % 6)', SCANNED)} as s, p_partkey % 3 as kind, p_partkey // 3 as c from part),
+    p as (select *, list_filter(range(1, length(s) + 1), lambda i: contains('асеорхукі', lower(s[i]))) as looks, list_filter(range(1, length(s) + 1), lambda i: s[i] = ' ') as spaces, string_split(s, ' ') as w from t),
+    l as (select *, list_filter(range(1, len(w) + 1), lambda i: length(w[i]) >= 6) as longs from p),
+    d as (select *, looks[c % greatest(len(looks), 1) + 1] as look, spaces[c % greatest(len(spaces), 1) + 1] as space, longs[c % greatest(len(longs), 1) + 1] as long from l)
+    select p_partkey, case when kind = 0 and look is not null then left(s, look - 1) || translate(s[look], 'асеорхукіАСЕОРХУКІ', 'aceopxykiACEOPXYKI') || substr(s, look + 1)
+        when kind = 1 and space is not null then left(s, space - 1) || substr(s, space + 1)
+        else array_to_string(list_transform(range(1, len(w) + 1), lambda i: case when i = long then left(w[i], 2 + c % (length(w[i]) - 3)) || ' ' || substr(w[i], 3 + c % (length(w[i]) - 3)) else w[i] end), ' ') end as text from d""")
+def misread_texts(t: Tables) -> DataFrame:
+    return t.part.select("p_partkey", fixtures.misread(F.expr(cases("(p_partkey % 6)", SCANNED)), F.col("p_partkey")).alias("text"))
+
+
+@query(f"""
+    with q as (select p_partkey as ref_id, {DOC} as doc_id, case when p_partkey % 3 = 0 then p_size % 4 || ',0' else cast(p_size % 4 as varchar) end as raw, case when p_partkey % 2 = 0 then 'table' else 'text' end as source, p_size * 7 % 90 as top, p_size * 7 % 90 + 10 as bottom, p_size % 5 as x0 from part),
+    v as (select {DOC} as doc_id, p_size % 4 || case when p_partkey % 4 = 0 then ',0' else '' end as raw, p_size * 11 % 90 as v_top, p_size * 11 % 90 + 8 as v_bottom, p_size * 3 % 50 as v_x0 from part),
+    p as (select *, v_top >= top - 2 and v_bottom <= bottom + 2 as inside, abs(v_top - top) + abs(v_x0 - x0) / 4.0 as far from q left join v using (doc_id, raw)),
+    n as (select *, row_number() over (partition by ref_id order by case when inside then 0 else 1 end, case when inside then v_top else far end, v_x0, v_top) as n from p)
+    select ref_id, raw, source, v_top, v_bottom, v_x0 from n where n = 1""")
+def report_extractions(t: Tables) -> DataFrame:
+    """Chosen values as their quotes write them, else formatted, with their boxes."""
+    key, size, page = F.col("p_partkey"), F.col("p_size"), F.lit(1).alias("page")
+    number = (size % 4).cast("string")
+    quote = F.when(key % 3 == 0, F.concat(F.lit("Всего "), number, F.lit(",0 м"))).otherwise("без числа")
+    source = F.when(key % 2 == 0, "table_across").otherwise("sentence")
+    slots = t.part.select(key.alias("ref_id"), F.expr(DOC).alias("doc_id"), F.lit("b1").alias("object"), F.lit("area").alias("field"), (size % 4).cast("double").alias("value"), page, quote.alias("quote"), source.alias("source"), (size * 7 % 90).alias("top"), (size * 7 % 90 + 10).alias("bottom"), (size % 5).alias("x0"))
+    words = t.part.select(F.expr(DOC).alias("doc_id"), page, F.concat(number, F.when(key % 4 == 0, ",0").otherwise("")).alias("text"), (size * 11 % 90).alias("v_top"), (size * 11 % 90 + 8).alias("v_bottom"), (size * 3 % 50).alias("v_x0"))
+    return report.extractions(slots, words).select("ref_id", "raw", "source", "v_top", "v_bottom", "v_x0")

@@ -10,7 +10,7 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.scalars import format_number
+from ..functions.scalars import CYRILLIC_LOOK, LATIN_LOOK, format_number
 
 MATERIALS = ["concrete", "rebar", "brick"]
 KINDS = ["area", "material", "cost", "missing"]
@@ -137,3 +137,26 @@ def broken_header(text: Column, draw: Column) -> Column:
     tail = F.get(F.array(*map(F.lit, (1, 2, 2, 3))), F.pmod(draw, F.lit(4)).cast("int"))
     cut = lambda w: F.concat(F.substring(w, F.lit(1), F.length(w) - tail), F.lit("\n"), F.substring(w, F.length(w) - tail + 1, tail))
     return F.array_join(F.transform(words, lambda w, i: F.when(i == place, cut(w)).otherwise(w)), " ")
+
+
+SPLIT_WORD = 6
+
+
+def misread(text: Column, draw: Column) -> Column:
+    """One defect of a scan, drawn: a letter as its Latin look-alike, a lost space, or else a long word in two.
+
+    What the text has no place for becomes a split word; without a long word the text stays as it is.
+    """
+    kind, choice = F.pmod(draw, F.lit(3)), F.floor(draw / 3)
+    pick = lambda places: F.get(places, F.pmod(choice, F.greatest(F.size(places), F.lit(1))).cast("int"))
+    letter = lambda i: F.substring(text, i, F.lit(1))
+    at = F.when(F.length(text) > 0, F.sequence(F.lit(1), F.length(text))).otherwise(F.array().cast("array<int>"))
+    swap = pick(F.filter(at, lambda i: F.lower(letter(i)).isin(*CYRILLIC_LOOK)))
+    space = pick(F.filter(at, lambda i: letter(i) == " "))
+    around = lambda i, new: F.concat(F.substring(text, F.lit(1), i - 1), new, F.substring(text, i + 1, F.length(text)))
+    looks = F.translate(letter(swap), CYRILLIC_LOOK + CYRILLIC_LOOK.upper(), LATIN_LOOK + LATIN_LOOK.upper())
+    words = F.split(text, " ")
+    long = pick(F.filter(F.sequence(F.lit(0), F.size(words) - 1), lambda i: F.length(F.get(words, i)) >= SPLIT_WORD))
+    cut = lambda w: (2 + F.pmod(choice, F.length(w) - 3)).cast("int")
+    parted = F.transform(words, lambda w, i: F.when(i == long, F.concat(F.substring(w, F.lit(1), cut(w)), F.lit(" "), F.substring(w, cut(w) + 1, F.length(w)))).otherwise(w))
+    return F.when((kind == 0) & swap.isNotNull(), around(swap, looks)).when((kind == 1) & space.isNotNull(), around(space, F.lit(""))).otherwise(F.array_join(parted, " "))

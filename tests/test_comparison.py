@@ -73,3 +73,17 @@ def test_estimate(spark):
     made = fixtures.local_estimate(dec("1000.00", "decimal(18,2)"), dec("8.5", "decimal(4,1)"))
     r = spark.range(1).select(*[v.cast("double").alias(k) for k, v in made.items()]).first()
     assert (r["overhead"], r["profit"], r["total"]) == (85.0, 86.8, 1171.8)
+
+
+def test_misread_changes_one_place(spark):
+    texts = ["Площадь застройки", "юг", "", "ббб", "Общая площадь"]
+    drawn = spark.createDataFrame([(t, d) for t in texts for d in range(12)] + [(None, 0)], "t string, d long")
+    got = {(r["t"], r["d"]): r["m"] for r in drawn.select("t", "d", fixtures.misread(F.col("t"), F.col("d")).alias("m")).collect()}
+    assert got.pop((None, 0)) is None
+    for (text, d), said in got.items():
+        if d % 3 == 0 and any(ch in "асеорхукі" for ch in text.lower()):
+            assert len(said) == len(text) and sum(a != b for a, b in zip(said, text, strict=True)) == 1
+        elif d % 3 == 1 and " " in text:
+            assert len(said) == len(text) - 1
+        else:
+            assert said.replace(" ", "") == text.replace(" ", "") and (len(said) == len(text) + any(len(w) >= 6 for w in text.split()))
