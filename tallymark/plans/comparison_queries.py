@@ -120,6 +120,21 @@ def local_estimates(t: Tables) -> DataFrame:
     return t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey", *[v.cast("double").alias(k) for k, v in made.items()])
 
 
+CHAPTER = "decimal(18,3)"
+
+
+@query(f"""
+    with s as (select l_orderkey, l_linenumber, l_partkey, cast(cast(l_extendedprice as {CHAPTER}) + cast(l_quantity as {CHAPTER}) as {CHAPTER}) as subtotal from lineitem),
+    r as (select *, cast(round(subtotal * 0.02, 3) as {CHAPTER}) as reserve from s),
+    w as (select *, cast(subtotal + reserve as {CHAPTER}) as with_reserve from r),
+    v as (select *, cast(round(with_reserve * 0.12, 3) as {CHAPTER}) as tax from w)
+    select l_orderkey, l_linenumber, l_partkey, cast(subtotal as double) as subtotal, cast(reserve as double) as reserve, cast(with_reserve as double) as with_reserve, cast(tax as double) as tax, cast(with_reserve + tax as double) as total from v""")
+def summary_estimates(t: Tables) -> DataFrame:
+    """Chapters, reserve, tax and total of summary estimates."""
+    made = fixtures.summary_estimate([F.col("l_extendedprice").cast(CHAPTER), F.col("l_quantity").cast(CHAPTER)])
+    return t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey", *[v.cast("double").alias(k) for k, v in made.items()])
+
+
 @query("""select l_orderkey, l_returnflag as field, cast(round(sum(cast(l_extendedprice as decimal(18,4))), 2) as double) as total from lineitem group by 1, 2""")
 def summary_totals(t: Tables) -> DataFrame:
     return fixtures.summary_totals(t.lineitem.select("l_orderkey", F.col("l_returnflag").alias("field"), F.col("l_extendedprice").alias("value")), ["l_orderkey"])

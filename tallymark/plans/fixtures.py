@@ -96,8 +96,8 @@ def read_gold(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema("package_id string, type string, field string, lang string").json(path)
 
 
-#: The chain of a local estimate, parts of a hundred.
-PROFIT_PERCENT = 8
+#: Profit in a local estimate, reserve and tax in a summary estimate, parts of a hundred.
+PROFIT_PERCENT, RESERVE_PERCENT, TAX_PERCENT = 8, 2, 12
 
 
 def local_estimate(direct: Column, overhead_percent: Column) -> dict[str, Column]:
@@ -108,6 +108,16 @@ def local_estimate(direct: Column, overhead_percent: Column) -> dict[str, Column
     return {"overhead": overhead, "profit": profit, "total": (direct + overhead + profit).cast("decimal(18,2)")}
 
 
+def summary_estimate(chapters: list[Column]) -> dict[str, Column]:
+    """Subtotal of the chapters, reserve on it, tax on both, and the total, each rounded to 3 digits; decimals in and out."""
+    money = lambda x: F.round(x, 3).cast("decimal(18,3)")
+    subtotal = money(sum(chapters[1:], chapters[0]))
+    reserve = money(subtotal * RESERVE_PERCENT / 100)
+    with_reserve = money(subtotal + reserve)
+    tax = money(with_reserve * TAX_PERCENT / 100)
+    return {"subtotal": subtotal, "reserve": reserve, "with_reserve": with_reserve, "tax": tax, "total": money(with_reserve + tax)}
+
+
 def summary_totals(values: DataFrame, keys: list[str]) -> DataFrame:
     """The last row of a table of buildings: sums of every field, rounded. values: keys, field, value."""
     total = F.sum(F.col("value").cast("decimal(18,4)"))

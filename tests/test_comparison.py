@@ -87,3 +87,10 @@ def test_misread_changes_one_place(spark):
             assert len(said) == len(text) - 1
         else:
             assert said.replace(" ", "") == text.replace(" ", "") and (len(said) == len(text) + any(len(w) >= 6 for w in text.split()))
+
+
+def test_summary_estimate(spark):
+    dec = lambda v: F.lit(v).cast("decimal(18,3)")
+    made = fixtures.summary_estimate([dec("100.000"), dec("0.025"), dec("0")])
+    r = spark.range(1).select(*[v.cast("double").alias(k) for k, v in made.items()]).first()
+    assert r.asDict() == {"subtotal": 100.025, "reserve": 2.001, "with_reserve": 102.026, "tax": 12.243, "total": 114.269}
