@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -74,6 +74,20 @@ def prefix_sums(totals: DataFrame, key: str, value: str, width: int = 1024) -> D
     return near.join(far, "_range").select(F.col("_k").alias(key), (F.col("_near") + F.col("_far")).alias("before"))
 
 
+def numbered(df: DataFrame, order: list[Column], number: str, name: str) -> DataFrame:
+    """The rows with their place from 0 in the total order of `order`: ranges of it are sorted and written once, a row's
+    place is its place in its file after the rows of earlier files. No range holds a key's rows together, so no key is
+    too frequent. Rows equal in `order` come in any order.
+    """
+    spark = df.sparkSession
+    path = fresh_path(spark, name)
+    df.repartitionByRange(*order).sortWithinPartitions(*order).write.option("compression", "zstd").parquet(path)
+    part = F.regexp_extract("_metadata.file_name", r"part-(\d+)", 1).cast("long")
+    rows = spark.read.schema(df.schema).parquet(path).select("*", part.alias("_file"), F.col("_metadata.row_index").alias("_row"))
+    before = prefix_sums(rows.groupBy("_file").agg(F.count("*").alias("_rows")), "_file", "_rows")
+    return rows.join(before, "_file").select(*df.columns, (F.col("before") + F.col("_row")).alias(number))
+
+
 def crc_remainder(column, modulus: int):
     """crc32 of the value as text, modulo a number: a stable split of rows."""
     return F.crc32(column.cast("string").cast("binary")) % modulus

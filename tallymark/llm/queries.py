@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bitplane, bpe, exact_dedup, jaccard_forest, licenses, packing, quote_links, routed_search, toxicity, warc_zip
+from . import bitplane, bpe, exact_dedup, importance, jaccard_forest, licenses, packing, quote_links, routed_search, toxicity, warc_zip
 from .common import crc_remainder, fresh_path, written
 
 
@@ -70,6 +70,11 @@ def op10_quote_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quote_links.link(table(spark, sf_dir, "conversations"))
 
 
+def op11_importance_crc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    drawn = importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), percent=10, least_words=20, shortest=1, longest=1, buckets=10_000, seed=2024)
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc_zip": op1_warc_zip,
     "op2_toxicity": op2_toxicity,
@@ -81,6 +86,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_exact_dedup": op8_exact_dedup,
     "op9_bpe_round_trip": op9_bpe_round_trip,
     "op10_quote_links": op10_quote_links,
+    "op11_importance_crc": op11_importance_crc,
 }
 
 ORACLES: dict[str, str] = {
@@ -92,6 +98,7 @@ ORACLES: dict[str, str] = {
                case when page_id <> first then first end as refers_to
         from k""",
     "op5_license_scan": licenses.oracle(),
+    "op11_importance_crc": importance.oracle(percent=10, least_words=20, buckets=10_000, seed=2024),
     "op8_exact_dedup": """
         select doc_id, max(doc_id) over (partition by coalesce(text, '')) as keep_id,
                count(*) over (partition by coalesce(text, '')) as group_size,
