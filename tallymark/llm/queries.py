@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bitplane, bpe, exact_dedup, importance, jaccard_forest, licenses, packing, quote_links, routed_search, toxicity, warc_zip
+from . import bitplane, bpe, exact_dedup, importance, jaccard_forest, kd_shards, licenses, packing, phrases, quote_links, routed_search, toxicity, warc_zip
 from .common import crc_remainder, fresh_path, written
 
 
@@ -75,6 +75,14 @@ def op11_importance_crc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drawn.select("doc_id", "n_features", "weight", "score", "rank")
 
 
+def op12_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kd_shards.shard_table(table(spark, sf_dir, "documents"), shards=8)
+
+
+def op13_phrase_growth(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"), least=30, longest=4, covered=80, top=2000)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc_zip": op1_warc_zip,
     "op2_toxicity": op2_toxicity,
@@ -87,6 +95,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_bpe_round_trip": op9_bpe_round_trip,
     "op10_quote_links": op10_quote_links,
     "op11_importance_crc": op11_importance_crc,
+    "op12_kd_shards": op12_kd_shards,
+    "op13_phrase_growth": op13_phrase_growth,
 }
 
 ORACLES: dict[str, str] = {
@@ -99,6 +109,7 @@ ORACLES: dict[str, str] = {
         from k""",
     "op5_license_scan": licenses.oracle(),
     "op11_importance_crc": importance.oracle(percent=10, least_words=20, buckets=10_000, seed=2024),
+    "op13_phrase_growth": phrases.oracle(least=30, longest=4, covered=80, top=2000),
     "op8_exact_dedup": """
         select doc_id, max(doc_id) over (partition by coalesce(text, '')) as keep_id,
                count(*) over (partition by coalesce(text, '')) as group_size,
