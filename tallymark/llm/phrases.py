@@ -343,20 +343,25 @@ def collocations(docs: DataFrame, least: int = 30, longest: int = 4, covered: in
 def oracle(least: int = 30, longest: int = 4, covered: int = 80, top: int = 2000) -> str:
     """The same rows in DuckDB's SQL."""
     upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    lead = lambda m: "w" + "".join(f" || ' ' || lead(w, {i}) over o" for i in range(1, m))  # noqa: E731  null past the end
+    grams = ", ".join(f"{lead(m)} as g{m}" for m in range(1, longest + 1))
+    unions = " union all ".join(f"select lang, g{m} as key, {m} as m from t" for m in range(1, longest + 1))
     return rf"""
-        with p as (select coalesce(lang, 'und') as lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), '{upper}', '{upper.lower()}'), '[.,;:!?\x0A-\x0D]')) as piece from documents),
-        w as (select lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda x: x <> '') as w from p),
-        s as (select lang, w, unnest(range(1, len(w) + 1)) as i from w),
-        g as (select lang, m, w[i : i + m - 1] as key from s, range(1, {longest + 1}) r(m) where i + m - 1 <= len(w)),
-        c as (select lang, m, key, count(*)::hugeint as f from g group by all),
-        n as (select lang, sum(f)::hugeint as n from c where m = 1 group by lang),
-        q as (select lang, m, key, f as a from c where m > 1 and f >= {least}),
-        sub as (select lang, key[x : x + y - 1] as key, a from q, range(1, {longest + 1}) u(x), range(2, {longest + 1}) v(y) where y < m and x + y - 1 <= m),
+        with p as (select row_number() over () as piece, lang, w from (
+                select lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda x: x <> '') as w from (
+                select coalesce(lang, 'und') as lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), '{upper}', '{upper.lower()}'), '[.,;:!?\x0A-\x0D]')) as piece from documents))),
+        s as (select piece, lang, unnest(w) as w, generate_subscripts(w, 1) as i from p),
+        t as (select lang, {grams} from s window o as (partition by piece order by i)),
+        c as materialized (select lang, key, m, count(*)::hugeint as f from (
+            {unions}) where key is not null group by all),
+        n as (select lang, sum(f) as n from c where m = 1 group by lang),
+        q as materialized (select lang, m, string_split(key, ' ') as w, key, f as a from c where m > 1 and f >= {least}),
+        sub as (select lang, array_to_string(w[x : x + y - 1], ' ') as key, a from q, range(1, {longest + 1}) u(x), range(2, {longest + 1}) v(y) where y < m and x + y - 1 <= m),
         most as (select lang, key, max(a) as longer from sub group by all),
         kept as (select q.* from q left join most using (lang, key) where longer is null or 100 * longer < {covered} * a),
-        cut as (select lang, m, key, a, k, key[1 : k] as lk, key[k + 1 : m] as rk from kept, range(1, {longest}) z(k) where k < m),
-        sc as (select cut.lang, cut.key, cut.a, cut.k, l.f as l, r.f as r, (2000000 * cut.a) // (l.f + r.f) as score
-               from cut join c l on cut.lang = l.lang and cut.lk = l.key join c r on cut.lang = r.lang and cut.rk = r.key),
+        cut as (select lang, key, a, k, array_to_string(w[1 : k], ' ') as lk, array_to_string(w[k + 1 : m], ' ') as rk from kept, range(1, {longest}) z(k) where k < m),
+        lc as materialized (select cut.*, f as l from cut join c on cut.lang = c.lang and cut.lk = c.key),
+        sc as (select lc.*, f as r, (2000000 * a) // (l + f) as score from lc join c on lc.lang = c.lang and lc.rk = c.key),
         low as (select *, row_number() over (partition by lang, key order by score, k) as o from sc),
-        ranked as (select lang, array_to_string(key, ' ') as phrase, a, l, r, score, row_number() over (partition by lang order by score desc, a desc, encode(array_to_string(key, ' '))) as rank from low where o = 1)
+        ranked as (select lang, key as phrase, a, l, r, score, row_number() over (partition by lang order by score desc, a desc, encode(key)) as rank from low where o = 1)
         select lang, rank, phrase, a::bigint as a, l::bigint as l, r::bigint as r, n::bigint as n, score::bigint as score from ranked join n using (lang) where rank <= {top}"""
