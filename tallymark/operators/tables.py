@@ -13,29 +13,29 @@ from ..functions.scalars import cost_scale, norm_ws, number_readings, once, squa
 from ..sources.lexicon import Lexicon, bare_text, begins_with, unit_at_end, unit_of
 from ..session import kept
 from . import labels
-from .wordings import CONTEXT, ESTIMATE_REF, HEADER, MATERIALS, ROW_FIELDS, TOTALS, cell_number, first_named, says
+from .wordings import Wordings, cell_number, first_named, says
 
 TABLE = ["doc_id", "table_no"]
 #: Units whose values are whole numbers.
 WHOLE_UNITS = ("floor", "month")
 
 
-def table_kind(header: Column, context: Column) -> Column:
+def table_kind(header: Column, context: Column, words: Wordings) -> Column:
     """local, summary, object, estimate_unknown, explication, materials, tep or unknown, in this order."""
     heads, around = F.array_join(header, " "), F.coalesce(context, F.lit(""))
     return (
-        F.when(says(heads, HEADER["price"]), "local")
-        .when(says(heads, HEADER["estimate_no"]), F.when(says(around, CONTEXT["summary"]), "summary").when(says(around, CONTEXT["object"]), "object").otherwise("estimate_unknown"))
-        .when(says(around, CONTEXT["explication"]) | says(heads, HEADER["room_no"]), "explication")
-        .when(says(heads, HEADER["qty"]) & says(F.concat(around, heads), CONTEXT["materials"]), "materials")
-        .when(says(heads, HEADER["value"]), "tep")
+        F.when(says(heads, words.pattern("header", "price")), "local")
+        .when(says(heads, words.pattern("header", "estimate_no")), F.when(says(around, words.pattern("context", "summary")), "summary").when(says(around, words.pattern("context", "object")), "object").otherwise("estimate_unknown"))
+        .when(says(around, words.pattern("context", "explication")) | says(heads, words.pattern("header", "room_no")), "explication")
+        .when(says(heads, words.pattern("header", "qty")) & says(F.concat_ws(" ", around, heads), words.pattern("context", "materials")), "materials")
+        .when(says(heads, words.pattern("header", "value")), "tep")
         .otherwise("unknown")
     )
 
 
-def header_place(header: Column, kind: str) -> Column:
+def header_place(header: Column, kind: str, words: Wordings) -> Column:
     """The place of the first header cell of a kind, from 0; null if there is none."""
-    return F.get(F.filter(F.transform(header, lambda h, i: F.when(says(h, HEADER[kind]), i)), lambda i: i.isNotNull()), F.lit(0))
+    return F.get(F.filter(F.transform(header, lambda h, i: F.when(says(h, words.pattern("header", kind)), i)), lambda i: i.isNotNull()), F.lit(0))
 
 
 def row_text(cells: Column) -> Column:
@@ -48,28 +48,28 @@ def first_lettered(cells: Column) -> Column:
     return F.coalesce(F.get(F.filter(cells, lambda x: F.coalesce(x.rlike(r"\p{L}"), F.lit(False))), F.lit(0)), F.lit(""))
 
 
-def kinds_of_tables(headers: DataFrame) -> DataFrame:
+def kinds_of_tables(headers: DataFrame, words: Wordings) -> DataFrame:
     """Adds kind and the places of columns to tables with header (array) and context."""
-    places = {f"_{k}": header_place(F.col("header"), k) for k in ("value", "qty", "area", "estimate_no", "unit")}
-    return headers.withColumn("kind", table_kind(F.col("header"), F.col("context"))).withColumns(places)
+    places = {f"_{k}": header_place(F.col("header"), k, words) for k in ("value", "qty", "area", "estimate_no", "unit")}
+    return headers.withColumn("kind", table_kind(F.col("header"), F.col("context"), words)).withColumns(places)
 
 
-def section_rows(headers: DataFrame, rows: DataFrame, keys: list[str]) -> DataFrame:
+def section_rows(headers: DataFrame, rows: DataFrame, keys: list[str], words: Wordings) -> DataFrame:
     """What each row of a section's table states: the row's columns with kind, label, field, raw and value.
 
     headers: keys, header and context of each table; rows: keys and cells (array of text). A row states one value at
     most; rows that state nothing go.
     """
-    known = kinds_of_tables(headers).drop("header", "context")
+    known = kinds_of_tables(headers, words).drop("header", "context")
     said = once(rows, {"label": row_text(F.col("cells")), "_last": F.size("cells") - 1})
-    read = once(said, {"_material": first_named(F.col("label"), MATERIALS)}).join(known, keys)
-    read = read.withColumn("_ref", F.regexp_extract(F.coalesce(F.get("cells", F.col("_estimate_no")), F.lit("")), f"(?u)^{ESTIMATE_REF}", 1))
-    kind, total = F.col("kind"), lambda which: says(F.col("label"), TOTALS[which])
+    read = once(said, {"_material": first_named(F.col("label"), words.patterns("material"))}).join(known, keys)
+    read = read.withColumn("_ref", F.regexp_extract(F.coalesce(F.get("cells", F.col("_estimate_no")), F.lit("")), f"(?u)^{words.estimate_ref()}", 1))
+    kind, total = F.col("kind"), lambda which: says(F.col("label"), words.pattern("totals", which))
     number = F.coalesce(F.get("cells", F.lit(0)), F.lit(""))
     room = F.when(total("floor_subtotal"), F.lit(None)).when(total("explication_total"), F.lit("explication_total_area_m2")).when(number.rlike("^[0-9]{1,4}[а-яa-z]?$"), F.concat(F.lit("room."), number, F.lit(".area_m2")))
     has_qty = F.col("_material").isNotNull() & F.col("_qty").isNotNull()
     field = (
-        F.when(kind == "tep", first_named(F.col("label"), ROW_FIELDS))
+        F.when(kind == "tep", first_named(F.col("label"), words.patterns("row")))
         .when(kind == "explication", room)
         .when(kind == "materials", F.when(has_qty, F.col("_material")))
         .when(kind == "local", F.when(has_qty, F.concat(F.lit("local_qty."), F.col("_material"))).when(total("local_total"), F.lit("local.total_tg")))

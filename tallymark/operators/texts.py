@@ -17,7 +17,7 @@ from ..sources.lexicon import Lexicon
 from . import labels
 from .ordered import first_per
 from .tables import indicator_value
-from .wordings import CELL_NUMBER, COST_UNIT, ESTIMATE_REF, FLOORS, MATERIALS, PARAGRAPHS, ROW_FIELDS, TOTALS, cell_number, first_named, says
+from .wordings import CELL_NUMBER, NOTHING, Wordings, cell_number, first_named, plain_yo, says, stem_pattern, unit_pattern
 
 #: Characters looked at around a number, after a paragraph's label, for a cost's unit and after a mention.
 WINDOW, AFTER_LABEL, AFTER_COST, AFTER_MENTION = 120, 120, 20, 80
@@ -30,20 +30,6 @@ ANCHORED_UNITS = ("m2", "m3", "kKZT", "month")
 IN_TEXT = rf"(?<![0-9,.])({CELL_NUMBER})(?![0-9])"
 
 
-def unit_pattern(spelling: str) -> str:
-    """A spelling with dots and spaces optional; a word of four letters or more may have a case ending."""
-    loose = {".": r"\.?\s?", " ": r"\s?"}
-    made = "".join(loose.get(ch) or re.escape(ch) for ch in spelling.strip())
-    letters = re.search(r"[^\W\d_]{4,}$", spelling.strip())
-    return made + (r"\p{L}{0,4}" if letters else "")
-
-
-def stem_pattern(label: str) -> str:
-    """A label's words with any ending: of words over four letters the last two are free."""
-    words = label.strip().lower().replace("ё", "е").split()
-    return r"\s+".join(re.escape(w[: max(4, len(w) - 2)] if len(w) > 4 else w) + r"[\p{L}\p{N}_]*" for w in words)
-
-
 def _unit_forms(lexicon: Lexicon) -> dict[str, str]:
     forms = {u: [unit_pattern(s) for s in sorted({s for k, s in lexicon.units if k == u}, key=lambda s: (-len(s), s))] for u in ANCHORED_UNITS}
     forms["m2"] += [r"[мm]\.?\s?[2²]", r"кв\.\s?[мm]\.?"]
@@ -51,8 +37,21 @@ def _unit_forms(lexicon: Lexicon) -> dict[str, str]:
     return {u: "|".join(f) for u, f in forms.items() if f}
 
 
-def plain_yo(text: Column) -> Column:
-    return F.translate(text, "ёЁ", "еЕ")
+def places_of(text: Column, pattern: str) -> Column:
+    """Every match: said, start, stop and since (where the match before it stops); places count characters from 0.
+
+    Places are running sums of the matches and of the gaps between them, so equal matches have places of their own.
+    """
+    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    sizes = F.zip_with(F.slice(F.split(text, pattern), F.lit(1), F.size(found)), found, lambda g, a: F.struct(F.length(g).alias("gap"), a.alias("said")))
+    none = F.array().cast("array<struct<said:string,start:int,stop:int,since:int>>")
+
+    def add(done: Column, s: Column) -> Column:
+        start = done["at"] + s["gap"]
+        stop = start + F.length(s["said"])
+        return F.struct(stop.alias("at"), F.concat(done["all"], F.array(F.struct(s["said"].alias("said"), start.alias("start"), stop.alias("stop"), done["at"].alias("since")))).alias("all"))
+
+    return F.aggregate(sizes, F.struct(F.lit(0).alias("at"), none.alias("all")), add)["all"]
 
 
 def anchors(pages: DataFrame, lexicon: Lexicon) -> DataFrame:
@@ -64,15 +63,8 @@ def anchors(pages: DataFrame, lexicon: Lexicon) -> DataFrame:
     unit_group = "|".join(f"(?:{f})" for f in forms.values())
     pattern = rf"(?iu)({NUMBER})\s*({unit_group})(?![\p{{L}}\p{{N}}/])"
     cut = pages.select("doc_id", "page", plain_yo(F.coalesce("text", F.lit(""))).alias("text"))
-    cut = cut.withColumn("_found", F.regexp_extract_all("text", F.lit(pattern), F.lit(0))).where(F.size("_found") > 0)
-    cut = cut.withColumn("_gaps", F.split("text", pattern))
-    # the place where each number ends, as a running sum of the gaps and numbers before it
-    sizes = F.zip_with(F.slice("_gaps", 1, F.size("_found")), "_found", lambda g, a: F.struct(F.length(g).alias("gap"), F.length(a).alias("own")))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,stop:int>>").alias("all"))
-    places = F.aggregate(sizes, start, lambda done, s: F.struct((done["at"] + s["gap"] + s["own"]).alias("at"), F.concat(done["all"], F.array(F.struct((done["at"] + s["gap"]).alias("start"), (done["at"] + s["gap"] + s["own"]).alias("stop")))).alias("all")))["all"]
-    each = F.arrays_zip(places.alias("place"), F.col("_found").alias("said"), F.concat(F.array(F.lit(0)), F.transform(places, lambda p: p["stop"])).alias("since"))
-    rows = cut.select("doc_id", "page", "text", F.explode(F.filter(each, lambda x: x["said"].isNotNull())).alias("x"))
-    rows = rows.select("doc_id", "page", "text", F.col("x.place.start").alias("start"), F.col("x.place.stop").alias("stop"), F.col("x.since").alias("since"), F.regexp_extract("x.said", pattern, 1).alias("raw"), F.regexp_extract("x.said", pattern, 2).alias("said_unit"))
+    rows = cut.select("doc_id", "page", "text", F.explode(places_of(F.col("text"), pattern)).alias("x"))
+    rows = rows.select("doc_id", "page", "text", "x.start", "x.stop", "x.since", F.regexp_extract("x.said", pattern, 1).alias("raw"), F.regexp_extract("x.said", pattern, 2).alias("said_unit"))
     unit = F.coalesce(*[F.when(F.col("said_unit").rlike(f"(?iu)^(?:{f})$"), F.lit(u)) for u, f in forms.items()])
     low = F.greatest(F.col("since"), F.col("start") - WINDOW)
     left = F.substring("text", low + 1, F.col("start") - low)
@@ -103,11 +95,10 @@ def anchored_values(pages: DataFrame, lexicon: Lexicon, stages=labels.STAGES) ->
         return values
     text = plain_yo(F.coalesce("text", F.lit("")))
     rx = rf"(?iu)(?<![0-9])([0-9]{{1,2}})\s*-?\s*(?:{'|'.join(p for _, p in floors)})"
-    storeys = pages.select("doc_id", "page", F.posexplode(F.regexp_extract_all(text, F.lit(rx), F.lit(0))).alias("nth", "quote"), text.alias("t"))
-    storeys = storeys.withColumn("raw", F.regexp_extract("quote", rx, 1)).withColumn("start", F.expr("locate(quote, t) - 1"))
+    storeys = pages.select("doc_id", "page", F.explode(places_of(text, rx)).alias("p")).select("doc_id", "page", "p.start", F.col("p.said").alias("quote"))
+    storeys = storeys.withColumn("raw", F.regexp_extract("quote", rx, 1))
     storeys = storeys.withColumns({"field": F.lit(floors[0][0]), "value": F.col("raw").cast("double"), "method": F.lit("exact"), "score": F.lit(1.0)})
-    once = first_per(storeys, ["doc_id", "page", "start"], ["nth"]).select(*columns)
-    return values.unionByName(once.join(values.select("doc_id", "page", "start"), ["doc_id", "page", "start"], "left_anti"))
+    return values.unionByName(storeys.select(*columns).join(values.select("doc_id", "page", "start"), ["doc_id", "page", "start"], "left_anti"))
 
 
 def table_lines(lines: DataFrame, boxes: DataFrame, slack: float = 1.0) -> DataFrame:
@@ -122,19 +113,19 @@ def table_lines(lines: DataFrame, boxes: DataFrame, slack: float = 1.0) -> DataF
     return joined.withColumn("in_table", F.coalesce(inside, F.lit(False))).drop("_boxes", "_bare")
 
 
-def paragraph_values(pages: DataFrame) -> DataFrame:
+def paragraph_values(pages: DataFrame, words: Wordings) -> DataFrame:
     """Of each page and field the first label with a number after it, and the number of floors: doc_id, page, field, value, raw.
 
     A cost counts only with its unit right after the number.
     """
-    text = F.coalesce("text", F.lit(""))
+    text = plain_yo(F.coalesce("text", F.lit("")))
     found = []
-    for field, pattern in sorted(PARAGRAPHS.items()):
-        windows = F.regexp_extract_all(text, F.lit(rf"(?ius){pattern}(?=(.{{0,{AFTER_LABEL}}}))"), F.lit(1))
+    for field, pattern in sorted(words.by_name("paragraph").items()):
+        windows = F.regexp_extract_all(text, F.lit(rf"(?ius)(?<!\p{{L}})(?:{pattern})(?=(.{{0,{AFTER_LABEL}}}))"), F.lit(1))
         hits = F.transform(windows, _number_and_rest)
-        good = F.filter(hits, lambda h: (h["raw"] != "") & says(h["rest"], COST_UNIT)) if field == "estimated_cost_ktg" else F.filter(hits, lambda h: h["raw"] != "")
+        good = F.filter(hits, lambda h: (h["raw"] != "") & says(h["rest"], words.cost_unit())) if field == "estimated_cost_ktg" else F.filter(hits, lambda h: h["raw"] != "")
         found.append(F.struct(F.lit(field).alias("field"), F.get(good, F.lit(0)).alias("h")))
-    floors = F.struct(F.regexp_extract(text, f"(?iu){FLOORS}", 1).alias("raw"), F.lit("").alias("rest"))
+    floors = F.struct(F.regexp_extract(text, f"(?iu){words.storeys()}", 1).alias("raw"), F.lit("").alias("rest"))
     found.append(F.struct(F.lit("floors").alias("field"), F.when(floors["raw"] != "", floors).alias("h")))
     rows = pages.select("doc_id", "page", F.explode(F.filter(F.array(*found), lambda x: x["h"].isNotNull())).alias("x")).select("doc_id", "page", "x.field", "x.h.raw", "x.h.rest")
     scale = F.when(F.col("field") == "estimated_cost_ktg", F.coalesce(cost_scale(F.col("rest")), F.lit(1.0))).otherwise(1.0)
@@ -147,22 +138,23 @@ def _number_and_rest(window: Column) -> Column:
     return F.struct(F.regexp_extract(window, rx, 1).alias("raw"), F.regexp_extract(window, rx, 2).alias("rest"))
 
 
-def scanned_lines(lines: DataFrame) -> DataFrame:
+def scanned_lines(lines: DataFrame, words: Wordings) -> DataFrame:
     """Values of lines of a scan, where tables have no cells: a label and the first number after it.
 
     lines: doc_id, page, line_no, section (PZ, AR, KR, SMETA), text. Gives the field, raw and value of each such line.
     """
-    text = F.coalesce("text", F.lit(""))
-    after = lambda pattern: F.regexp_extract(text, rf"(?ius)(?:{pattern}).*?{IN_TEXT}", 1)
+    row_fields, materials, totals, ref = words.patterns("row"), words.patterns("material"), words.by_name("totals"), words.estimate_ref()
+    text = plain_yo(F.coalesce("text", F.lit("")))
+    after = lambda pattern: F.regexp_extract(text, rf"(?ius)(?<!\p{{L}})(?:{pattern}).*?{IN_TEXT}", 1)
     # the pattern of each field's labels, then the first number after them
-    by_field = {f"{part}:{f}": rf"(?ius)(?:{'|'.join(f'(?:{p})' for g, p in patterns if g == f)}).*?{IN_TEXT}" for part, patterns in (("row", ROW_FIELDS), ("material", MATERIALS)) for f, _ in patterns}
+    by_field = {f"{part}:{f}": rf"(?ius)(?<!\p{{L}})(?:{'|'.join(f'(?:{p})' for g, p in patterns if g == f)}).*?{IN_TEXT}" for part, patterns in (("row", row_fields), ("material", materials)) for f, _ in patterns}
     known = F.create_map(*[F.lit(x) for pair in by_field.items() for x in pair])
     after_of = lambda part: F.call_function("regexp_extract", text, F.coalesce(F.try_element_at(known, F.concat(F.lit(f"{part}:"), "_named")), F.lit("(?!)()")), F.lit(1))
-    total = lambda which: says(text, TOTALS[which])
+    total = lambda which: says(text, totals.get(which, NOTHING))
     section = F.col("section")
-    named = F.when((section == "AR") & total("explication_total") & ~total("floor_subtotal"), F.lit("explication_total_area_m2")).when(section.isin("PZ", "AR"), first_named(text, ROW_FIELDS)).when(section.isin("KR", "SMETA"), first_named(text, MATERIALS))
-    rows = once(lines, {"_named": named, "_ref": F.regexp_extract(text, f"(?u){ESTIMATE_REF}", 1)})
-    last = F.try_element_at(F.regexp_extract_all(F.regexp_replace(text, f"(?su)^.*?{ESTIMATE_REF}", ""), F.lit(IN_TEXT), F.lit(1)), F.lit(-1))
+    named = F.when((section == "AR") & total("explication_total") & ~total("floor_subtotal"), F.lit("explication_total_area_m2")).when(section.isin("PZ", "AR"), first_named(text, row_fields)).when(section.isin("KR", "SMETA"), first_named(text, materials))
+    rows = once(lines, {"_named": named, "_ref": F.regexp_extract(text, f"(?u){ref}", 1)})
+    last = F.try_element_at(F.regexp_extract_all(F.regexp_replace(text, f"(?su)^.*?{ref}", ""), F.lit(IN_TEXT), F.lit(1)), F.lit(-1))
     after_unit = F.regexp_extract(text, rf"(?iu)(?:м³|м²|м3|м2|(?<!\p{{L}})т(?!\p{{L}}))[\s|]*({CELL_NUMBER})", 1)
     smeta = section == "SMETA"
     field = (
@@ -173,13 +165,13 @@ def scanned_lines(lines: DataFrame) -> DataFrame:
         .otherwise(F.col("_named"))
     )
     raw = (
-        F.when(F.col("_named") == "explication_total_area_m2", after(TOTALS["explication_total"]))
+        F.when(F.col("_named") == "explication_total_area_m2", after(totals.get("explication_total", NOTHING)))
         .when(section.isin("PZ", "AR"), after_of("row"))
         .when(section == "KR", after_of("material"))
         .when(smeta & F.col("_named").isNotNull(), after_unit)
         .when(smeta & (F.col("_ref") != ""), last)
-        .when(total("object_total"), after(TOTALS["object_total"]))
-        .when(total("summary_total"), after(TOTALS["summary_total"]))
+        .when(total("object_total"), after(totals.get("object_total", NOTHING)))
+        .when(total("summary_total"), after(totals.get("summary_total", NOTHING)))
     )
     rows = once(rows, {"field": field, "raw": F.nullif(raw, F.lit(""))}).where("field is not null and raw is not null")
     number = cell_number(F.col("raw"))
@@ -207,9 +199,9 @@ def heights(pages: DataFrame, mention: str) -> DataFrame:
     return found.where(F.col("value").between(LEAST_HEIGHT, MOST_HEIGHT)).select("doc_id", "page", "nth", "value", "raw")
 
 
-def seismic_scope(sentence: Column, objects: Column, n_objects: Column) -> Column:
+def seismic_scope(sentence: Column, objects: Column, words: Wordings) -> Column:
     """Of which scope a sentence on seismicity is: the one building that it names, unless it speaks of the site; else the site."""
-    of_site = says(sentence, r"площадк|участ|район|алаң|аудан")
+    of_site = says(sentence, words.pattern("site"))
     one = F.when(F.size(objects) == 1, F.get(objects, F.lit(0)))
     return F.when(of_site, "site").otherwise(F.coalesce(one, F.lit("site")))
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 
 from ..operators import labels, tables, texts
-from ..operators.wordings import CELL_NUMBER, CONTEXT, ESTIMATE_REF, HEADER, MATERIALS, ROW_FIELDS, TOTALS
+from ..operators.wordings import CELL_NUMBER, Wordings
 from ..sources.lexicon import Lexicon, bare_text, field_for_display, material_in, unit_of, unit_of_field
 from ..session import kept
 from .registry import Tables, query
@@ -48,6 +48,22 @@ CELLS = [
 ]
 
 
+#: A small set of wordings of our own; the engine reads such sets from JSON.
+WORDS = Wordings((
+    ("header", "label", "Наименование"), ("header", "value", "Значение"), ("header", "qty", "Кол-во"), ("header", "price", "Цена"), ("header", "area", "Площадь"),
+    ("header", "estimate_no", "№ смет"), ("header", "unit", "Ед. изм."), ("header", "room_no", "№ пом."),
+    ("context", "explication", "Экспликация"), ("context", "materials", "Ведомость объемов"), ("context", "object", "Объектная смета"), ("context", "summary", "Сводный сметный"),
+    ("totals", "explication_total", "Итого общая площадь"), ("totals", "explication_total", "Жалпы аудан"), ("totals", "floor_subtotal", "Итого по 1 этажу"), ("totals", "object_total", "Итого по объектной"),
+    ("totals", "object_total", "Объектілік смета бойынша"), ("totals", "summary_total", "Всего по сводному"), ("totals", "local_total", "Всего по локальной"),
+    ("row", "floors", "Этажность"), ("row", "building_area_m2", "Площадь застройки"), ("row", "total_area_m2", "Общая площадь"), ("row", "total_area_m2", "Жалпы ауданы"),
+    ("row", "construction_volume_m3", "Строительный объем"), ("row", "estimated_cost_ktg", "Сметная стоимость"), ("row", "construction_duration_months", "Продолжительность строительства"),
+    ("material", "rebar_a500c_t", "Арматура"), ("material", "steel_structures_t", "Стальные конструкции"), ("material", "brick_masonry_m3", "Кирпичная"), ("material", "brick_masonry_m3", "Кірпіш"),
+    ("material", "concrete_b25_foundation_m3", "B25"), ("material", "concrete_b30_frame_m3", "В 30"),
+    ("paragraph", "total_area_m2", "Общая площадь здания"), ("paragraph", "construction_volume_m3", "Строительный объем"), ("paragraph", "estimated_cost_ktg", "Сметная стоимость строительства"), ("paragraph", "concrete_total_m3", "Расход монолитного бетона"),
+    ("storeys", "storeys", "этажный"), ("cost_unit", "cost_unit", "тыс. тенге"), ("cost_unit", "cost_unit", "тенге"), ("estimate", "estimate", "ОС"), ("site", "site", "площадка"), ("site", "site", "участок"),
+))
+
+
 def section_input(t: Tables) -> tuple[DataFrame, DataFrame]:
     """Tables with header and context, and their rows."""
     header = F.array(*[F.expr(cases(KIND, [h[i] for h in HEADERS])) for i in range(5)])
@@ -56,7 +72,7 @@ def section_input(t: Tables) -> tuple[DataFrame, DataFrame]:
 
 
 def sql_says(text: str, pattern: str) -> str:
-    return f"regexp_matches({text}, '{pattern}', 'i')"
+    return f"regexp_matches(translate({text}, 'ёЁ', 'еЕ'), '(^|[^\\p{{L}}])({pattern})', 'i')"
 
 
 def sql_first(text: str, patterns: list[tuple[str, str]]) -> str:
@@ -64,21 +80,21 @@ def sql_first(text: str, patterns: list[tuple[str, str]]) -> str:
 
 
 def sql_place(kind: str) -> str:
-    return f"list_position(list_transform(header, lambda h: {sql_says('h', HEADER[kind])}), true)"
+    return f"list_position(list_transform(header, lambda h: {sql_says('h', WORDS.pattern('header', kind))}), true)"
 
 
 SECTIONS = f"""
     with r as (select {DOC} as doc_id, {ROW} as row_no, [{', '.join(cases(KIND, [h[i] for h in HEADERS]) for i in range(5))}] as header, {cases(KIND, CONTEXTS)} as context, [{', '.join(CELLS)}] as cells from part),
     a as (select *, array_to_string(header, ' ') as heads, array_to_string(list_filter(cells, lambda x: x <> '' and not regexp_full_match(trim(x), '{CELL_NUMBER}')), ' ') as label,
                  {sql_place('value')} as p_value, {sql_place('qty')} as p_qty, {sql_place('area')} as p_area, {sql_place('estimate_no')} as p_no, {sql_place('unit')} as p_unit from r),
-    k as (select *, case when {sql_says('heads', HEADER['price'])} then 'local' when {sql_says('heads', HEADER['estimate_no'])} then case when {sql_says('context', CONTEXT['summary'])} then 'summary' when {sql_says('context', CONTEXT['object'])} then 'object' else 'estimate_unknown' end
-                 when {sql_says('context', CONTEXT['explication'])} or {sql_says('heads', HEADER['room_no'])} then 'explication' when {sql_says('heads', HEADER['qty'])} and {sql_says('context || heads', CONTEXT['materials'])} then 'materials' when {sql_says('heads', HEADER['value'])} then 'tep' else 'unknown' end as kind,
-                 {sql_first('label', MATERIALS)} as material, regexp_extract(coalesce(cells[p_no], ''), '^{ESTIMATE_REF}', 1) as ref from a),
-    f as (select *, case kind when 'tep' then {sql_first('label', ROW_FIELDS)}
-                 when 'explication' then case when {sql_says('label', TOTALS['floor_subtotal'])} then null when {sql_says('label', TOTALS['explication_total'])} then 'explication_total_area_m2' else 'room.' || cells[1] || '.area_m2' end
-                 when 'materials' then material when 'local' then case when material is not null then 'local_qty.' || material when {sql_says('label', TOTALS['local_total'])} then 'local.total_tg' end
-                 when 'object' then case when {sql_says('label', TOTALS['object_total'])} then 'os.total_ktg' end
-                 when 'summary' then case when ref <> '' then 'ssr.ch2.os_' || ref || '_ktg' when {sql_says('label', TOTALS['summary_total'])} then 'ssr.total_ktg' end end as field from k),
+    k as (select *, case when {sql_says('heads', WORDS.pattern('header', 'price'))} then 'local' when {sql_says('heads', WORDS.pattern('header', 'estimate_no'))} then case when {sql_says('context', WORDS.pattern('context', 'summary'))} then 'summary' when {sql_says('context', WORDS.pattern('context', 'object'))} then 'object' else 'estimate_unknown' end
+                 when {sql_says('context', WORDS.pattern('context', 'explication'))} or {sql_says('heads', WORDS.pattern('header', 'room_no'))} then 'explication' when {sql_says('heads', WORDS.pattern('header', 'qty'))} and {sql_says("context || ' ' || heads", WORDS.pattern('context', 'materials'))} then 'materials' when {sql_says('heads', WORDS.pattern('header', 'value'))} then 'tep' else 'unknown' end as kind,
+                 {sql_first('label', WORDS.patterns('material'))} as material, regexp_extract(coalesce(cells[p_no], ''), '^{WORDS.estimate_ref()}', 1) as ref from a),
+    f as (select *, case kind when 'tep' then {sql_first('label', WORDS.patterns('row'))}
+                 when 'explication' then case when {sql_says('label', WORDS.pattern('totals', 'floor_subtotal'))} then null when {sql_says('label', WORDS.pattern('totals', 'explication_total'))} then 'explication_total_area_m2' else 'room.' || cells[1] || '.area_m2' end
+                 when 'materials' then material when 'local' then case when material is not null then 'local_qty.' || material when {sql_says('label', WORDS.pattern('totals', 'local_total'))} then 'local.total_tg' end
+                 when 'object' then case when {sql_says('label', WORDS.pattern('totals', 'object_total'))} then 'os.total_ktg' end
+                 when 'summary' then case when ref <> '' then 'ssr.ch2.os_' || ref || '_ktg' when {sql_says('label', WORDS.pattern('totals', 'summary_total'))} then 'ssr.total_ktg' end end as field from k),
     v as (select *, cells[case when kind = 'tep' then coalesce(p_value, len(cells)) when kind = 'explication' then coalesce(p_area, len(cells) - 1) when material is not null and kind in ('materials', 'local') then p_qty else len(cells) end] as raw from f where field is not null),
     n as (select *, try_cast(replace(raw, ',', '.') as double) as num from v)
     select doc_id, row_no, kind, field, raw, case when field = 'estimated_cost_ktg' then round(num * case when {sql_says('cells[p_unit] || label', 'млн')} then 1000 when {sql_says('cells[p_unit] || label', 'тыс')} then 1 else 0.001 end, 3) when field = 'floors' then floor(num) else num end as value
@@ -87,7 +103,7 @@ SECTIONS = f"""
 
 @query(SECTIONS)
 def section_tables(t: Tables) -> DataFrame:
-    return tables.section_rows(*section_input(t), ["doc_id"]).select("doc_id", "row_no", "kind", "field", "raw", "value")
+    return tables.section_rows(*section_input(t), ["doc_id"], WORDS).select("doc_id", "row_no", "kind", "field", "raw", "value")
 
 
 #: A small lexicon; the engine reads such lexicons from JSON.
@@ -185,7 +201,7 @@ PARAGRAPH = f"concat('Общая площадь здания по проекту
     union all select p_partkey, 'floors', p_size % 5 + 1 from part""")
 def paragraph_values(t: Tables) -> DataFrame:
     """The first number after a label on the page; a cost counts only with its unit."""
-    return texts.paragraph_values(pages_of(t, PARAGRAPH)).select("doc_id", "field", "value")
+    return texts.paragraph_values(pages_of(t, PARAGRAPH), WORDS).select("doc_id", "field", "value")
 
 
 SECTION = "case p_partkey % 4 when 0 then 'PZ' when 1 then 'AR' when 2 then 'KR' else 'SMETA' end"
@@ -205,7 +221,7 @@ SCAN_LINE = f"""case p_partkey % 4
 def scanned_lines(t: Tables) -> DataFrame:
     """Lines of a scan: a label, then the first number after it."""
     lines = t.part.select(F.col("p_partkey").alias("doc_id"), F.lit(1).alias("page"), F.lit(1).alias("line_no"), F.expr(SECTION).alias("section"), F.expr(SCAN_LINE).alias("text"))
-    return texts.scanned_lines(lines).select("doc_id", "field", "value")
+    return texts.scanned_lines(lines, WORDS).select("doc_id", "field", "value")
 
 
 HEIGHT = "replace(cast(cast(p_size / 10.0 as decimal(6,1)) as string), '.', ',')"
@@ -226,7 +242,7 @@ def seismic_scope(t: Tables) -> DataFrame:
     """Sentences of one building, unless they speak of the site or name none or several."""
     said = t.part.select(F.col("p_partkey").alias("doc_id"), F.expr(SEISMIC).alias("s"))
     named = F.array_compact(F.array(F.when(F.lower("s").contains("котельн"), F.lit("boiler")), F.when(F.lower("s").contains("гараж"), F.lit("garage"))))
-    return said.select("doc_id", texts.seismic_scope(F.col("s"), named, F.lit(2)).alias("scope"))
+    return said.select("doc_id", texts.seismic_scope(F.col("s"), named, WORDS).alias("scope"))
 
 
 LABEL_CASES = ["Пл. застр.", "Площадь участка", "Общая площадь здания, м²", "Строит. объем", "Этажность", "Объем засыпки", "Kол-во этажей", "Oбщая площaдь", "Объем бетона", "Прочее", "123", "Площадь общая квартир"]

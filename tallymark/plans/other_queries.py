@@ -167,12 +167,19 @@ def norm_ws(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", F.md5(S.norm_ws("text")).alias("digest"))
 
 
-@query("select o_orderkey, round(o_totalprice, 2) as value from orders")
+@query("""
+    with p as (select o_orderkey, cast(o_totalprice as decimal(18,2)) as value, o_orderkey % 6 as style from orders),
+    t as (select *, case when style = 4 then replace(cast(value as varchar), '.', ',') when style = 5 then cast(value as varchar)
+                 else replace(replace(replace(format('{:,.2f}', cast(value as double)), ',', '_'), '.', ','), '_', chr(case style when 0 then 32 when 1 then 160 when 2 then 8239 else 8201 end)) end as text from p)
+    select o_orderkey, text, cast(value as double) as value, 'всего ' || text || ' м' || chr(178) as line, cast(1 as bigint) as n, cast(value as double) as found from t""")
 def number_roundtrip(t: Tables) -> DataFrame:
-    styles = ["space_comma", "nbsp_comma", "plain_comma", "plain_dot"]
+    """Numbers in six styles, four of them grouped by a plain, no-break, narrow or thin space, read alone and in a line."""
+    styles = ["space_comma", "nbsp_comma", "narrow_comma", "thin_comma", "plain_comma", "plain_dot"]
     value = F.col("o_totalprice").cast("decimal(18,2)")
-    text = F.coalesce(*[F.when(F.col("o_orderkey") % 4 == i, S.format_number(value, 2, style)) for i, style in enumerate(styles)])
-    return t.orders.select("o_orderkey", F.round(S.parse_number(text), 2).alias("value"))
+    text = F.coalesce(*[F.when(F.col("o_orderkey") % 6 == i, S.format_number(value, 2, style)) for i, style in enumerate(styles)])
+    rows = t.orders.select("o_orderkey", text.alias("text")).withColumn("line", F.concat(F.lit("всего "), "text", F.lit(" м\u00b2")))
+    rows = S.once(rows, {"found": S.find_numbers("line")})
+    return rows.select("o_orderkey", "text", F.round(S.parse_number("text"), 2).alias("value"), "line", F.size("found").cast("long").alias("n"), F.round(F.get("found", F.lit(0))["value"], 2).alias("found"))
 
 
 @query("""

@@ -88,6 +88,19 @@ def load(spark: SparkSession, path: str) -> Lexicon:
     )
 
 
+def read_wordings(spark: SparkSession, path: str) -> list[tuple[str, str, str]]:
+    """(kind, name, label) of a JSON file [{"kind", "name", "labels": [...]}, ...], in its order, for `wordings.Wordings`.
+
+    A file of more than MOST_ENTRIES labels is refused.
+    """
+    whole = spark.read.text(path, wholetext=True).select(F.posexplode(F.from_json("value", "array<struct<kind: string, name: string, labels: array<string>>>", {"mode": "FAILFAST"})).alias("at", "e"))
+    each = whole.select("at", "e.kind", "e.name", F.posexplode("e.labels").alias("nth", "label"))
+    taken = each.orderBy("at", "nth").limit(MOST_ENTRIES + 1).collect()
+    if len(taken) > MOST_ENTRIES:
+        raise ValueError(f"a file of wordings has at most {MOST_ENTRIES} labels")
+    return [(r["kind"], r["name"], r["label"]) for r in taken]
+
+
 def bare_text(text: str) -> str:
     """`squash` of a constant."""
     return "".join(ch for ch in text.replace("ё", "е").replace("Ё", "Е").lower() if ch.isalnum())

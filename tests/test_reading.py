@@ -5,8 +5,10 @@ import json
 from pyspark.sql import functions as F
 
 from tallymark.operators import evaluation, labels, report, tables, texts
+from tallymark.operators.wordings import NOTHING, Wordings
 from tallymark.sources import lexicon as X
 from tallymark.sources import layout
+from tallymark.sources.lexicon import read_wordings
 
 SPEC = {
     "fields": {
@@ -83,6 +85,34 @@ def test_numbers_in_sentences(spark, tmp_path):
     assert [(r["doc_id"], r["value"]) for r in baseline.collect()] == [("d", 518.7)]
 
 
+def test_repeated_mentions_have_places_of_their_own(spark, tmp_path):
+    lex = lexicon_of(spark, tmp_path)
+    pages = spark.createDataFrame([("d", 1, "Корпус: 2-этажное здание, рядом 2-этажное и 3-этажное")], "doc_id string, page int, text string")
+    got = sorted((r["start"], r["value"]) for r in texts.anchored_values(pages, lex).collect())
+    text = pages.first()["text"]
+    assert got == [(text.index("2-эт"), 2.0), (text.rindex("2-эт"), 2.0), (text.index("3-эт"), 3.0)]
+
+
+def test_wordings_are_data(spark, tmp_path):
+    entries = [
+        {"kind": "row", "name": "warm_volume_m3", "labels": ["Объём отапливаемой части"]}, {"kind": "row", "name": "volume_m3", "labels": ["Объем", "Көлемі"]},
+        {"kind": "totals", "name": "object_total", "labels": ["Всего"]}, {"kind": "paragraph", "name": "volume_m3", "labels": ["объем здания"]}, {"kind": "storeys", "name": "storeys", "labels": ["этажный"]},
+        {"kind": "header", "name": "value", "labels": ["Значение"]}, {"kind": "header", "name": "price", "labels": ["Цена"]},
+    ]
+    (tmp_path / "w.json").write_text(json.dumps(entries, ensure_ascii=False, indent=1))
+    words = Wordings(tuple(read_wordings(spark, str(tmp_path / "w.json"))))
+    assert words.labels[:3] == (("row", "warm_volume_m3", "Объём отапливаемой части"), ("row", "volume_m3", "Объем"), ("row", "volume_m3", "Көлемі"))
+    assert words.pattern("context", "summary") == NOTHING
+    pages = spark.createDataFrame([("d", 1, "Объёма зданий: 1\u00a0247,79 м3. Это 5-этажная часть")], "doc_id string, page int, text string")
+    assert {(r["field"], r["value"], r["raw"]) for r in texts.paragraph_values(pages, words).collect()} == {("volume_m3", 1247.79, "1\u00a0247,79"), ("floors", 5.0, "5")}
+    lines = spark.createDataFrame([("d", 1, 1, "PZ", "Объём отапливаемой части 12\u202f345,5"), ("d", 1, 2, "PZ", "көлемі 7"), ("d", 1, 3, "SMETA", "Всего 9 | 8"), ("d", 1, 4, "PZ", "прообъем 5")], "doc_id string, page int, line_no int, section string, text string")
+    assert {(r["line_no"], r["field"], r["value"]) for r in texts.scanned_lines(lines, words).collect()} == {(1, "warm_volume_m3", 12345.5), (2, "volume_m3", 7.0), (3, "os.total_ktg", 9.0)}
+    headers = spark.createDataFrame([("d", ["№", "Показатель", "Значения"], None), ("e", ["№", "Оценка", "x"], None)], "doc_id string, header array<string>, context string")
+    rows = spark.createDataFrame([("d", ["1", "Объем отапливаемых частей", "5"]), ("e", ["1", "Объем", "5"])], "doc_id string, cells array<string>")
+    got = tables.section_rows(headers, rows, ["doc_id"], words).collect()
+    assert [(r["doc_id"], r["kind"], r["field"], r["value"]) for r in got] == [("d", "tep", "warm_volume_m3", 5.0)]
+
+
 def test_building_of_a_package(spark):
     objects = spark.createDataFrame([("p", "b1", ["котельн"]), ("p", "b2", ["гараж"]), ("q", "b9", ["цех"]), ("r", "b1", ["цех"]), ("r", "b2", ["склад"])], "package_id string, object string, stems array<string>")
     titles = spark.createDataFrame([("p", "Котельная угольная"), ("p", "Сети котельной"), ("r", "Цех и склад")], "package_id string, title string")
