@@ -144,9 +144,13 @@ def aligned_lines(scanned: DataFrame, original: DataFrame, keys: list[str], leas
     return first_per(rated, [*keys, "a"], [F.desc("ratio"), "b"]).select(*keys, F.col("a").alias("line_no"), F.col("b").alias("other_no"), "ratio")
 
 
-def unit_recovery(pairs: DataFrame) -> DataFrame:
-    """How often the unit of a scanned line is the original's: n, right before repair, right after. Columns: was, made, want."""
-    return pairs.agg(F.count_if(F.col("want").isNotNull()).alias("n"), F.count_if(F.col("was") == F.col("want")).alias("before"), F.count_if(F.col("made") == F.col("want")).alias("after"))
+def unit_recovery(pairs: DataFrame, by: list[str] | None = None, **more: Column) -> DataFrame:
+    """How often the unit of a scanned line is the original's: n, right before repair, right after, and other aggregates.
+
+    Columns: was, made, want (null: the original has none).
+    """
+    counts = [F.count_if(F.col("want").isNotNull()).alias("n"), F.count_if(F.col("was") == F.col("want")).alias("before"), F.count_if(F.col("made") == F.col("want")).alias("after")]
+    return pairs.groupBy(*by or []).agg(*counts, *[c.alias(n) for n, c in more.items()])
 
 
 # ---- answers of models

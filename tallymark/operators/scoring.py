@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..session import kept
 
@@ -51,18 +56,90 @@ def multiset_matches(left: DataFrame, right: DataFrame, keys: list[str], order:
     return number(left).join(number(right).select(*keys, "_n"), [*keys, "_n"], "left_semi").drop("_n")
 
 
-def bootstrap_f1(counts: DataFrame, iterations: int = 1000, low: float = 0.025, high: float = 0.975) -> DataFrame:
-    """Interval of F1 over resampled sets. counts: set_no (0 to n - 1), tp, fp, fn.
+#: Numbers of 32 bits below which a Poisson(1) count is 0, at most 1, at most 2, ...
+POISSON = [math.floor(2**32 * sum(math.exp(-1) / math.factorial(j) for j in range(i + 1))) for i in range(12)]
+#: Multipliers of the mixing steps.
+MIX_KEY, MIX_ITERATION, MIX_1, MIX_2 = 2654435761, 2246822519, 2246822507, 3266489909
+#: Groups whose sums a task holds at once.
+HELD_GROUPS = 64
 
-    Set i of iteration k is number (k * 7919 + i * 104729) mod n, so that any engine draws the same.
+
+def resampling_weights(keys: np.ndarray, iterations: int) -> np.ndarray:
+    """How often each set (rows) is drawn in each iteration (columns): a Poisson(1) count from a hash of both numbers."""
+    mask, key = np.uint64(0xFFFFFFFF), keys.astype(np.uint64)
+    h = (key[:, None] * np.uint64(MIX_KEY) + np.arange(iterations, dtype=np.uint64) * np.uint64(MIX_ITERATION)) & mask
+    h ^= h >> np.uint64(16)
+    h = h * np.uint64(MIX_1) & mask
+    h ^= h >> np.uint64(13)
+    h = h * np.uint64(MIX_2) & mask
+    h ^= h >> np.uint64(16)
+    return np.searchsorted(np.array(POISSON, np.uint64), h, side="right")
+
+
+def resampled_counts(counts: DataFrame, key: str, by: list[str], iterations: int) -> DataFrame:
+    """by, iteration, tp, fp, fn: weighted sums over all sets, one array of iterations a group and task, then added.
+
+    counts: by, key (a set's number from 0 to 2^32 - 1, distinct in its group), tp, fp, fn. A set's weights depend on its
+    number alone, so any partitioning and any order give the same sums.
+    """
+    picked = counts.select(*[F.col(c).alias(f"g{i}") for i, c in enumerate(by)], F.pmod(F.col(key).cast("long"), F.lit(2**32)).alias("key"), *[F.col(c).cast("long") for c in ("tp", "fp", "fn")])
+    groups = [f"g{i}" for i in range(len(by))]
+    schema = T.StructType([*[picked.schema[g] for g in groups], *[T.StructField(n, T.LongType()) for n in ("iteration", "tp", "fp", "fn")]])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[tuple, np.ndarray] = {}
+        kinds: list[pa.DataType] = []
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            for group, total in sums.items():
+                same = [pa.array([v] * iterations, k) for v, k in zip(group, kinds, strict=True)]
+                yield pa.RecordBatch.from_arrays([*same, pa.array(range(iterations), pa.int64()), *[pa.array(total[:, i]) for i in range(3)]], names=schema.names)
+            sums.clear()
+
+        for batch in batches:
+            kinds[:] = [batch.schema.field(g).type for g in groups]
+            numbers = np.stack([batch.column(n).to_numpy(zero_copy_only=False) for n in ("tp", "fp", "fn")], axis=1).astype(np.int64)
+            keys = batch.column("key").to_numpy(zero_copy_only=False)
+            members: dict[tuple, list[int]] = {}
+            for i, group in enumerate(zip(*[batch.column(g).to_pylist() for g in groups], strict=True) if groups else [()] * batch.num_rows):
+                members.setdefault(group, []).append(i)
+            for group, rows in members.items():
+                if group not in sums and len(sums) >= HELD_GROUPS:
+                    yield from flush()
+                total = sums.setdefault(group, np.zeros((iterations, 3), np.int64))
+                for low in range(0, len(rows), 1024):
+                    some = rows[low : low + 1024]
+                    total += resampling_weights(keys[some], iterations).T @ numbers[some]
+        yield from flush()
+
+    added = picked.mapInArrow(run, schema).groupBy(*groups, "iteration").agg(*[F.sum(c).alias(c) for c in ("tp", "fp", "fn")])
+    return added.toDF(*by, "iteration", "tp", "fp", "fn")
+
+
+def bootstrap_f1(counts: DataFrame, key: str = "set_no", by: list[str] | None = None, iterations: int = 1000, low: float = 0.025, high: float = 0.975) -> DataFrame:
+    """by, low, high: percentiles of F1 over resampled sets; null where no resample expects or says anything.
+
+    Sets are drawn by independent Poisson counts, the form of the bootstrap that needs no number of sets beforehand and no
+    set in two tasks. Resamples in which nothing is expected or said have no F1 and don't count.
     """
-    n = counts.count()
-    draws = counts.sparkSession.range(iterations).select(F.col("id").alias("iteration"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))).alias("i")) if n else counts.select(F.lit(0).alias("iteration"), F.lit(0).alias("i")).limit(0)
-    drawn = draws.select("iteration", F.pmod(F.col("iteration") * 7919 + F.col("i") * 104729, F.lit(max(n, 1))).alias("set_no"))
-    scores = drawn.join(F.broadcast(counts), "set_no").groupBy("iteration").agg(*[F.sum(c).alias(c) for c in ("tp", "fp", "fn")]).select(f1().alias("f1")).where("f1 is not null")
-    ordered = scores.agg(F.sort_array(F.collect_list("f1")).alias("s"))  # as many numbers as iterations
+    by = by or []
+    scores = resampled_counts(counts, key, by, iterations).select(*by, f1().alias("f1"))
+    ordered = scores.groupBy(*by).agg(F.sort_array(F.collect_list("f1")).alias("s"))  # as many numbers as iterations
     at = lambda q: F.get("s", F.floor(F.lit(q) * (F.size("s") - 1)).cast("int"))
-    return ordered.select(at(low).alias("low"), at(high).alias("high"))
+    return ordered.select(*by, at(low).alias("low"), at(high).alias("high"))
+
+
+def scoreboard(counts: DataFrame, set_col: str, key: Column, by: list[str], sets: list[list[str]], iterations: int = 1000) -> DataFrame:
+    """Of each slice of the grouping sets: by, sets, tp, fp, fn, p, r, f1, low, high, fp_per_set.
+
+    counts: slots with by, set_col, tp, fp, fn; key numbers a set of a slice. A column that a slice ranges over is null.
+    """
+    slices = F.explode(F.array(*[F.struct(*[(F.col(c).cast("string") if c in some else F.lit(None).cast("string")).alias(c) for c in by]) for some in sets]))
+    each = counts.select(F.col(set_col).alias("_set"), key.alias("_key"), slices.alias("_by"), "tp", "fp", "fn")
+    of_set = each.groupBy("_by", "_set", "_key").agg(*[F.sum(c).alias(c) for c in ("tp", "fp", "fn")]).select("_set", "_key", "tp", "fp", "fn", F.to_json("_by").alias("_slice"), *[F.col(f"_by.{c}").alias(c) for c in by])
+    total = of_set.groupBy("_slice", *by).agg(F.count("*").alias("sets"), *[F.sum(c).alias(c) for c in ("tp", "fp", "fn")])
+    interval = bootstrap_f1(of_set, "_key", ["_slice"], iterations)
+    return total.join(interval, "_slice", "left").select(*by, "sets", "tp", "fp", "fn", precision().alias("p"), recall().alias("r"), f1().alias("f1"), "low", "high", (F.col("fp") / F.col("sets")).alias("fp_per_set"))
 
 
 #: Pairs of a group that one task may choose from; larger groups go by rounds of joins until they are as small.

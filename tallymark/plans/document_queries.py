@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..operators import labels, tables, texts
 from ..operators.wordings import CELL_NUMBER, Wordings
+from ..functions.scalars import once
 from ..sources.lexicon import Lexicon, bare_text, field_for_display, material_in, unit_of, unit_of_field
 from ..session import kept
 from .registry import Tables, query
@@ -300,3 +301,48 @@ def row_quotes(t: Tables) -> DataFrame:
     said = F.when(F.col("row_no") % 2 == 0, F.concat_ws(" ", "p_name", "p_brand")).otherwise(F.col("p_brand"))
     pages = rows.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("row_no", "p_name", said.alias("s")))), lambda x: x["s"]), " | ").alias("page"))
     return rows.join(pages, "doc_id").select("doc_id", "row_no", "p_name", tables.row_quote(F.array("p_name", "p_brand"), F.col("page"), F.col("p_brand")).alias("quote"))
+
+
+# ---- scanned lines whose exponents were misread: each row of lineitem is a line with a planted misreading
+
+SCAN_LABEL = cases("(l_partkey % 5)", ["Общая площадь", "Объём здания", "Расход", "жалпы ауданы", "Бетон класса B25"])
+SCAN_TAIL = cases("(l_suppkey % 3)", ["", ", площадь участка", ", кладка"])
+SCAN_GLYPH = cases("(l_linenumber % 7)", ["2", "3", "з", "?", "*", "", "²"])
+SCAN_NUMBER = "replace(cast(cast(l_extendedprice as decimal(12,2)) as string), '.', ',')"
+#: What the line is about: its label's unit, else its tail's, else an exponent that was drawn.
+SCAN_TRUE = "case l_partkey % 5 when 2 then case l_suppkey % 3 when 0 then case l_orderkey % 2 when 0 then '²' else '³' end when 1 then '²' else '³' end when 1 then '³' when 4 then '³' else '²' end"
+REPAIRED = f"""
+    with l as (select l_orderkey, l_linenumber, {SCAN_LABEL} as label, {SCAN_TAIL} as tail, {SCAN_GLYPH} as glyph, {SCAN_NUMBER} as number, {SCAN_TRUE} as truth, l_partkey % 5 = 2 and l_suppkey % 3 = 0 as silent from lineitem),
+    h as (select *, case when not silent then truth end as context, case when glyph in ('2', '²') then '²' when glyph in ('3', 'з') then '³' end as hint from l),
+    r as (select *, case when glyph = '' then case when context is not null then 'context' end when context is not null then case when hint <> context then 'context_overrides_ocr' else 'context' end when hint is not null then 'ocr_hint' else 'unresolved' end as reason from h),
+    m as (select *, case when reason is null or reason = 'unresolved' then 'м' || glyph else 'м' || coalesce(context, hint) end as made from r)"""
+
+
+def scanned_units(t: Tables) -> DataFrame:
+    """l_orderkey, l_linenumber, glyph, truth, text (the line as scanned) and r (what the repair makes of it)."""
+    from ..functions.text import repaired_units
+
+    parts = {"label": SCAN_LABEL, "tail": SCAN_TAIL, "glyph": SCAN_GLYPH, "number": SCAN_NUMBER, "truth": SCAN_TRUE}
+    rows = t.lineitem.select("l_orderkey", "l_linenumber", *[F.expr(x).alias(n) for n, x in parts.items()])
+    rows = rows.withColumn("text", F.concat("label", F.lit(" "), "number", F.lit(" м"), "glyph", "tail"))
+    return once(rows, {"r": repaired_units("text")})
+
+
+@query(REPAIRED + " select l_orderkey, l_linenumber, label || ' ' || number || ' ' || made || tail as text, reason from m")
+def unit_repair(t: Tables) -> DataFrame:
+    """Lines of a scan with their exponents restored, and why."""
+    return scanned_units(t).select("l_orderkey", "l_linenumber", "r.text", F.get("r.fixes", F.lit(0))["reason"].alias("reason"))
+
+
+@query(REPAIRED + """ select glyph, count(*) as n, count(*) filter ('м' || glyph = 'м' || truth) as before, count(*) filter (made = 'м' || truth) as after,
+    count(*) filter (reason = 'context_overrides_ocr') as overridden, count(*) filter (reason = 'unresolved') as unresolved from m group by glyph""")
+def unit_recovery(t: Tables) -> DataFrame:
+    """How many units each misreading leaves right, before and after the repair, and why others weren't."""
+    from ..operators.evaluation import unit_recovery as recovered
+
+    rows = scanned_units(t)
+    fix = F.get("r.fixes", F.lit(0))
+    sign = F.concat(F.lit("м"), "glyph")
+    pairs = rows.select("glyph", sign.alias("was"), F.coalesce(fix["made"], sign).alias("made"), F.concat(F.lit("м"), "truth").alias("want"), fix["reason"].alias("reason"))
+    why = lambda r: F.count_if(F.col("reason") == r)
+    return recovered(pairs, ["glyph"], overridden=why("context_overrides_ocr"), unresolved=why("unresolved"))

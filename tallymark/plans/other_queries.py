@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
@@ -387,14 +387,49 @@ def mean_sd(t: Tables) -> DataFrame:
     return t.events.groupBy("event_type").agg(F.round(F.avg("value"), 4).alias("mean"), F.round(F.stddev_pop("value"), 4).alias("sd"))
 
 
-@query(SLOTS + """, b as (select source, sum(tp) as tp, sum(fp) as fp, sum(fn) as fn from s group by 1), n as (select row_number() over (order by source) - 1 as i, tp, fp, fn, count(*) over () as n from b),
-    w as (select k, (k * 7919 + j * 104729) % (select max(n) from n) as i from range(1000) a(k), range((select max(n) from n)) c(j)),
-    f as (select k, 2 * sum(tp) / nullif(2 * sum(tp) + sum(fp) + sum(fn), 0) as f1 from w join n using (i) group by k), o as (select list(f1 order by f1) as s from f where f1 is not null)
-    select round(s[cast(floor(0.025 * (len(s) - 1)) as int) + 1], 6) as low, round(s[cast(floor(0.975 * (len(s) - 1)) as int) + 1], 6) as high from o""")
+def sql_resamples(sets: str, slices: str, iterations: int = 1000) -> str:
+    """Common tables w (slices, set, iteration, weight) and o (slices, sorted F1s) over a table of sets with a key of 32 bits."""
+    mul, mask = "ubigint", 4294967296
+    return f"""
+    h0 as (select *, (key::ubigint * {scoring.MIX_KEY} + k::ubigint * {scoring.MIX_ITERATION}) % {mask} as h from {sets}, range({iterations}) it(k)),
+    h1 as (select * replace (xor(h, h >> 16) * {scoring.MIX_1}::{mul} % {mask} as h) from h0),
+    h2 as (select * replace (xor(h, h >> 13) * {scoring.MIX_2}::{mul} % {mask} as h) from h1),
+    w as (select *, {' + '.join(f"(xor(h, h >> 16) >= {t})::int" for t in scoring.POISSON)} as weight from h2),
+    f as (select {slices}, k, 2 * sum(weight * tp) / nullif(2 * sum(weight * tp) + sum(weight * fp) + sum(weight * fn), 0) as f1 from w group by all),
+    o as (select {slices}, list(f1 order by f1) as s from f where f1 is not null group by {slices})"""
+
+
+def sql_percentile(q: float) -> str:
+    return f"s[cast(floor({q} * (len(s) - 1)) as int) + 1]"
+
+
+#: A set's number in both dialects: 32 bits of a digest of its name.
+SET_KEY = "('0x' || substr(md5(source), 1, 8))::bigint"
+
+
+@query(SLOTS + f""", b as (select 1 as every, source, {SET_KEY} as key, sum(tp) as tp, sum(fp) as fp, sum(fn) as fn from s group by source), {sql_resamples('b', 'every')}
+    select round({sql_percentile(0.025)}, 6) as low, round({sql_percentile(0.975)}, 6) as high, (select 2 * sum(tp) / (2 * sum(tp) + sum(fp) + sum(fn)) from b) between {sql_percentile(0.025)} and {sql_percentile(0.975)} as brackets from o""")
 def bootstrap_ci(t: Tables) -> DataFrame:
+    """The interval of F1 over resampled sources, and whether F1 of all sources lies in it."""
     sets = slots(t).groupBy("source").agg(*[F.sum(c).alias(c) for c in ("tp", "fp", "fn")])
-    numbered = sets.withColumn("set_no", (F.row_number().over(Window.orderBy("source")) - 1).cast("long")).drop("source")
-    return scoring.bootstrap_f1(numbered).select(F.round("low", 6).alias("low"), F.round("high", 6).alias("high"))
+    interval = scoring.bootstrap_f1(sets.withColumn("key", set_key("source")), "key")
+    whole = sets.agg(*[F.sum(c).alias(c) for c in ("tp", "fp", "fn")]).select(scoring.f1().alias("f1"))
+    return interval.join(F.broadcast(whole), F.lit(True)).select(F.round("low", 6).alias("low"), F.round("high", 6).alias("high"), F.col("f1").between(F.col("low"), F.col("high")).alias("brackets"))  # a row each
+
+
+def set_key(name: str) -> Column:
+    return F.conv(F.substring(F.md5(name), 1, 8), 16, 10).cast("long")
+
+
+@query(SLOTS + f""", e as (select source, unnest([lang, null]) as lang, tp, fp, fn from s),
+    b as (select lang, source, {SET_KEY} as key, sum(tp) as tp, sum(fp) as fp, sum(fn) as fn from e group by 1, 2), {sql_resamples('b', 'lang')},
+    g as (select lang, count(*) as sets, sum(tp)::bigint as tp, sum(fp)::bigint as fp, sum(fn)::bigint as fn from b group by 1)
+    select g.lang, sets, tp, fp, fn, round(tp / nullif(tp + fp, 0), 5) as p, round(tp / nullif(tp + fn, 0), 5) as r, round(2 * tp / nullif(2 * tp + fp + fn, 0), 5) as f1,
+           round({sql_percentile(0.025)}, 6) as low, round({sql_percentile(0.975)}, 6) as high, round(fp / sets, 5) as fp_per_set from g left join o on o.lang is not distinct from g.lang""")
+def scoreboard(t: Tables) -> DataFrame:
+    """Scores of each language and of all, with intervals over sources and false positives a source."""
+    board = scoring.scoreboard(slots(t), "source", set_key("source"), ["lang"], [["lang"], []])
+    return board.select("lang", "sets", "tp", "fp", "fn", *[F.round(c, n).alias(c) for c, n in (("p", 5), ("r", 5), ("f1", 5), ("low", 6), ("high", 6), ("fp_per_set", 5))])
 
 
 @query("""select user_id, event_type, count(*) as n from events group by 1, 2 order by n desc, user_id, event_type limit 20""")

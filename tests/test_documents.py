@@ -15,11 +15,42 @@ def test_glue_and_headers(spark):
     assert row.select(T.merge_split_header(F.col("h"))).first()[0] == ["Площадь", "Площадь", "Этажи"]
 
 
-def test_unit_repair():
-    assert T.repair_units("Площадь застройки 120,5 м?")[0] == "Площадь застройки 120,5 м²"
-    assert T.repair_units("Строительный объём 400 мз")[0] == "Строительный объём 400 м³"
-    assert T.repair_units("120 м2 и 3 м")[1][0][2] == "digit" and T.repair_units("домик")[0] == "домик"
-    assert T.repair_units("ничего")[1] == []
+REPAIRS = [
+    # what the line's nearest word says, before the sign first
+    ("Площадь застройки 120,5 м?", "Площадь застройки 120,5 м²", ["context"]),
+    ("Строительный объём 400 мз; площадь кровли — 61,2 м3.", "Строительный объём 400 м³; площадь кровли — 61,2 м².", ["context", "context_overrides_ocr"]),
+    ("Бетон фундаментов 714,64 м2", "Бетон фундаментов 714,64 м³", ["context_overrides_ocr"]),
+    ("Кладка из кирпича М 178,9", "Кладка из кирпича м³ 178,9", ["context"]),
+    ("|3|кірпіш қалау м2 59,4", "|3|кірпіш қалау м³ 59,4", ["context_overrides_ocr"]),
+    ("құрылыс көлемі 95,05 м3, ауданы 18,34 м? деп", "құрылыс көлемі 95,05 м³, ауданы 18,34 м² деп", ["context", "context"]),
+    ("12 м* подземной части", "12 м³ подземной части", ["context"]),
+    ("88 m2 — жалпы аудан", "88 м² — жалпы аудан", ["context"]),
+    # a bare sign beside a number: upgraded only with such a word, the number before or after it
+    ("Общая площадь м 1247,79", "Общая площадь м² 1247,79", ["context"]),
+    ("Объем грунта 15 | м", "Объем грунта 15 | м³", ["context"]),
+    ("Площадь стен, м", "Площадь стен, м", []),
+    ("Площадь 5 m", "Площадь 5 m", []),
+    ("Подвемной части м 83,2", "Подвемной части м 83,2", []),
+    ("Этажи по 3,6 м, длина 29,9 м.", "Этажи по 3,6 м, длина 29,9 м.", []),
+    # the glyph alone, and what says nothing
+    ("Итого 500 м2", "Итого 500 м²", ["ocr_hint"]),
+    ("Всего 7 м?", "Всего 7 м?", ["unresolved"]),
+    # no signs: other units, marks of concrete, parts of words
+    ("плита 900 мм, бетон М200, W/М6, домик", "плита 900 мм, бетон М200, W/М6, домик", []),
+    ("бетон, М/6", "бетон, М/6", []),
+    ("мм М25 м2а 5м2", "мм М25 м2а 5м²", ["ocr_hint"]),
+    ("", "", []),
+    ("площадь м2 м 5 м3 м?", "площадь м² м² 5 м² м²", ["context", "context", "context_overrides_ocr", "context"]),
+]
+
+
+def test_unit_repair(spark):
+    rows = spark.createDataFrame([(i, t) for i, (t, _, _) in enumerate(REPAIRS)], "i int, t string").orderBy("i")
+    got = rows.select(T.repaired_units("t").alias("r")).collect()
+    assert [(g["r"]["text"], [f["reason"] for f in g["r"]["fixes"]]) for g in got] == [(t, f) for _, t, f in REPAIRS]
+    several = spark.createDataFrame([("Итого 4 м2\nкладка м2 9,45\nО 12 м?\n",), (None,)], "t string").select(T.repaired_units("t").alias("r")).collect()
+    assert several[0]["r"]["text"] == "Итого 4 м²\nкладка м³ 9,45\nО 12 м?\n" and several[1]["r"] is None
+    assert [tuple(f) for f in several[0]["r"]["fixes"]] == [(0, "м2", "м²", "ocr_hint"), (1, "м2", "м³", "context_overrides_ocr"), (2, "м?", "м?", "unresolved")]
 
 
 def test_vectorised_and_table_functions(spark):

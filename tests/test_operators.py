@@ -130,9 +130,27 @@ def test_scores(spark):
     assert (by["ru"]["p"], by["ru"]["r"], by["kz"]["r"], by["kz"]["f1"]) == (1.0, 0.5, None, 0.0) and by[None]["tp"] == 1
 
 
-def test_bootstrap_is_repeatable(spark):
-    counts = spark.createDataFrame([(i, 5, i % 3, 1) for i in range(10)], "set_no long, tp long, fp long, fn long")
-    assert scoring.bootstrap_f1(counts, 200).first() == scoring.bootstrap_f1(counts.repartition(3), 200).first()
+def test_bootstrap_interval(spark):
+    """Repeatable on any partitioning, no point, around F1, and near what drawing n of n sets gives."""
+    rng = random.Random(8)
+    rows = [(i, rng.randrange(4, 12), rng.randrange(0, 9), rng.randrange(0, 5)) for i in range(60)]
+    counts = spark.createDataFrame(rows, "set_no long, tp long, fp long, fn long")
+    low, high = scoring.bootstrap_f1(counts).first()
+    assert (low, high) == tuple(scoring.bootstrap_f1(counts.repartition(3)).first()) == tuple(scoring.bootstrap_f1(counts.orderBy(F.desc("tp")).coalesce(1)).first())
+    score = lambda some: 2 * sum(r[1] for r in some) / sum(2 * r[1] + r[2] + r[3] for r in some)
+    assert low < score(rows) < high
+    drawn = sorted(score(rng.choices(rows, k=len(rows))) for _ in range(4000))
+    assert abs(low - drawn[100]) < 0.01 and abs(high - drawn[3899]) < 0.01
+
+
+def test_bootstrap_of_groups(spark):
+    """Each group as if alone; nothing found gives 0, nothing expected or said gives nulls, no sets give no row."""
+    rows = [("a", i, 5, i % 3, 1) for i in range(40)] + [("b", i, 0, 0, 1) for i in range(10)] + [("c", 1, 0, 0, 0)] + [(f"g{k}", k, 1, 1, 0) for k in range(90)]
+    counts = spark.createDataFrame(rows, "lang string, set_no long, tp long, fp long, fn long").repartition(2)
+    got = {r["lang"]: (r["low"], r["high"]) for r in scoring.bootstrap_f1(counts, by=["lang"], iterations=200).collect()}
+    assert got["a"] == tuple(scoring.bootstrap_f1(counts.where("lang = 'a'"), iterations=200).first()) and got["a"][0] < got["a"][1]
+    assert got["b"] == (0.0, 0.0) and got["c"] == (None, None) and len(got) == 93
+    assert scoring.bootstrap_f1(counts.limit(0), by=["lang"]).count() == 0
 
 
 def test_greedy_matching(spark):
