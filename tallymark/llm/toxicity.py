@@ -25,13 +25,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import crc_remainder
+from .common import crc_remainder, written
 
 WINDOW, STRIDE = 32, 16
 PIECE = 16
 WORD_DIM, CHAR_DIM, CHAR_HIDDEN, WORD_HIDDEN, ATTENTION = 6, 8, 12, 8, 8
-#: Bounds of the training sample: labelled documents of each label, and characters of a text that is learned from.
-SAMPLE_TOXIC, SAMPLE_CLEAN, SAMPLE_CHARS = 700, 2000, 200_000
+#: Bounds of the training sample: labelled documents of each label, characters of a text that is learned from, and of all.
+SAMPLE_TOXIC, SAMPLE_CLEAN, SAMPLE_CHARS, SAMPLE_TOTAL = 700, 2000, 200_000, 64_000_000
 #: Texts that are scored together: rows and characters.
 TOGETHER, TOGETHER_CHARS = 1024, 2_000_000
 #: Training: updates of either kind, windows of a document in them, and more windows, drawn, of toxic documents.
@@ -419,13 +419,21 @@ class Scorer:
 def labelled_sample(docs: DataFrame, labels: DataFrame, toxic: int = SAMPLE_TOXIC, clean: int = SAMPLE_CLEAN) -> tuple[list[str], list[int]]:
     """Texts and labels to learn from: of each label so many ids at most, by a hash of the id, none held out.
 
-    One text of each id and label is taken, so what reaches the driver is at most (toxic + clean) * SAMPLE_CHARS.
+    One text of each id and label is taken. Of these, in the order of a hash of the id, those come to the driver that fit
+    into SAMPLE_TOTAL characters together.
     """
     usable = labels.select(F.col("doc_id"), F.col("toxic").cast("int").alias("toxic")).where(F.col("doc_id").isNotNull() & (crc_remainder(F.col("doc_id"), 4) != 2)).distinct()
     drawn = [usable.where(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n) for y, n in ((1, toxic), (0, clean))]
     picked = drawn[0].unionByName(drawn[1])  # at most toxic + clean rows
     texts = docs.select("doc_id", "text").where(F.length("text") <= SAMPLE_CHARS)
-    rows = texts.join(F.broadcast(picked), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).collect()
+    one = written(texts.join(F.broadcast(picked), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text")), "labelled")
+    fitting, left = [], SAMPLE_TOTAL
+    for r in one.select("doc_id", "toxic", F.length("text").alias("n"), F.xxhash64("doc_id").alias("h")).orderBy("h", "doc_id", "toxic").collect():  # toxic + clean rows
+        if r["n"] <= left:
+            fitting.append((r["doc_id"], r["toxic"]))
+            left -= r["n"]
+    known = one.sparkSession.createDataFrame(fitting, one.select("doc_id", "toxic").schema)
+    rows = one.join(F.broadcast(known), ["doc_id", "toxic"]).collect()
     rows.sort(key=lambda r: (r["doc_id"], r["toxic"]))
     return [r["text"] for r in rows], [r["toxic"] for r in rows]
 

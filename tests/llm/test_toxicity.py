@@ -109,13 +109,16 @@ def test_one_label_only():
     assert X.Scorer(net).scores(["a b c"])[0] < X.THRESHOLD
 
 
-def test_columns_and_sample(spark):
+def test_columns_and_sample(spark, monkeypatch):
     docs = spark.createDataFrame([(i, f"text {i}", "x") for i in range(40)] + [(None, None, "y")], "doc_id long, text string, score string")
     labels = spark.createDataFrame([(i, i % 2) for i in range(40)] + [(1, 1), (None, 1), (3, None)], "doc_id long, toxic int")
     texts, said = X.labelled_sample(docs, labels, toxic=5, clean=5)
     assert sum(said) == 5 and len(said) == 10 and all(zlib.crc32(t.split()[1].encode()) % 4 != 2 for t in texts)
     many = docs.unionByName(spark.createDataFrame([(1, "a" * 300_000, "x")] + [(1, f"again {k}", "x") for k in range(50)], docs.schema))
     assert len(X.labelled_sample(many, labels, toxic=1000, clean=1000)[0]) == len(X.labelled_sample(docs, labels, toxic=1000, clean=1000)[0])
+    monkeypatch.setattr(X, "SAMPLE_TOTAL", 50)
+    assert 0 < sum(map(len, X.labelled_sample(docs, labels)[0])) <= 50
+    monkeypatch.undo()
     clash = docs.withColumnRenamed("score", "_scored").withColumn("c0", F.lit(7)).withColumn("_score", F.lit("y"))
     row = X.with_scores(clash, X.Network({}, {}), clash.columns, "score").orderBy("doc_id").collect()[-1]
     assert (row["_scored"], row["c0"], row["_score"]) == ("x", 7, "y") and 0 <= row["score"] <= 1
