@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import TOLERANCES, delta_abs, delta_rel, tolerance_matches, verdict
 from ..session import kept
-from .ordered import first_per
-
+from .ordered import first_per, in_ranges, running_min
 
 
 def compare(pairs: DataFrame, a: str, b: str, kind: str) -> DataFrame:
@@ -101,19 +101,71 @@ def parameter_contradiction(own: DataFrame, general: DataFrame, key: str, materi
     return both.where((F.size("_m") > 1) | (F.col("widest") - F.col("narrowest") > slack * F.col("widest"))).select(*within, key, F.array_join("_m", ", ").alias("materials"), "narrowest", "widest")
 
 
+def _level(x: Column) -> Column:
+    """A monotone scale on which equal distances are equal relative ones."""
+    return F.signum(x) * F.log1p(F.abs(x))
+
+
+#: On that scale: what rounding of a limit may be, and the width of a bucket in which values this near meet.
+NEAR, NEAR_BUCKET = 1e-9, 1e-8
+
+
 def smaller_than_axes(axes: DataFrame, areas: DataFrame, key: str, kind: str = "geometry") -> DataFrame:
-    """The first area of an object that is smaller than its axes allow. axes: key, axes_seq, a, b; areas: key, area_seq, area."""
+    """The first area of an object that is smaller than its axes allow. axes: key, axes_seq, a, b; areas: key, area_seq, area.
+
+    Axes allow every area from a limit on, so areas and limits are sorted together and each limit takes the first of the
+    areas below it: no areas are paired with axes but those so near a limit that the exact comparison has to decide.
+    """
     rel, absolute = TOLERANCES[kind]
-    pairs = axes.withColumn("axes_area", F.round(F.col("a") * F.col("b"), 2)).join(areas, key)
-    odd = pairs.where((F.col("area") < F.col("axes_area")) & ~tolerance_matches("area", "axes_area", rel, absolute))
-    return first_per(odd, [key, "axes_seq"], ["area_seq"])
+    known = axes.withColumn("axes_area", F.round(F.col("a") * F.col("b"), 2)).where(F.col("axes_area").isNotNull())
+    large = F.col("axes_area").cast("double")
+    limit = large - F.greatest(F.lit(absolute), F.when(large >= 0, rel * large).otherwise(-rel * large / (1 - rel)))
+    known = known.withColumn("_at", _level(limit))
+    one = areas.where(F.col("area").isNotNull()).groupBy(key, "area").agg(F.min_by(F.struct(*[c for c in areas.columns if c != key]), "area_seq").alias("_area"))
+    one = one.withColumn("_at", _level(F.col("area").cast("double")))
+    first = F.struct("_area.area_seq", "_area")
+    of_axes = known.select(key, (F.col("_at") - NEAR).alias("_at"), F.lit(0).alias("_kind"), F.struct(*[c for c in known.columns if c not in (key, "_at")]).alias("_axes"))
+    of_areas = one.select(key, "_at", F.lit(1).alias("_kind"), first.alias("_first"))
+    order = ["_at", "_kind"]
+    below = running_min(in_ranges(of_axes.unionByName(of_areas, allowMissingColumns=True), [key], order), [key], order, F.col("_first"), "_best").where("_kind = 0 and _best is not null")
+    found = below.select(key, "_axes", F.col("_best._area").alias("_area"))
+
+    bucket = lambda x: F.floor(x / NEAR_BUCKET).cast("long")
+    ends = F.array_distinct(F.array(bucket(F.col("_at") - 2 * NEAR), bucket(F.col("_at") + 2 * NEAR)))
+    at_limit = known.withColumn("_bucket", F.explode(ends)).join(one.withColumn("_bucket", bucket(F.col("_at"))).drop("_at"), [key, "_bucket"])
+    odd = at_limit.where((F.col("area") < F.col("axes_area")) & ~tolerance_matches("area", "axes_area", rel, absolute))
+    found = found.unionByName(odd.select(key, F.struct(*[c for c in known.columns if c not in (key, "_at")]).alias("_axes"), "_area"))
+    best = found.groupBy(key, F.col("_axes.axes_seq").alias("_seq")).agg(F.min_by(F.struct("_axes", "_area"), "_area.area_seq").alias("_b"))
+    return best.select(key, "_b._axes.*", "_b._area.*")
 
 
 def volume_method(volumes: DataFrame, areas: DataFrame, heights: DataFrame, key: str, rel: float = 0.005) -> DataFrame:
-    """Volumes that are an area times a clear height: the first such area and height of each volume."""
-    three = volumes.join(areas, key).join(heights, key)
-    hit = three.where(F.abs(F.col("area") * F.col("height") - F.col("volume")) <= rel * F.col("volume"))
-    return first_per(hit, [key, "volume_seq"], ["area_seq", "height_seq"])
+    """Volumes that are an area times a clear height: the first such area and height of each volume.
+
+    A volume over a height says which area it takes, to a factor: logarithms of areas lie in buckets as wide as that
+    factor, and only areas of the two buckets that can fit are looked at. Equal values of an object count once, for the
+    first of them. Volumes of zero take the first area and height of which one is zero.
+    """
+    width = max(math.log((1 + rel) / (1 - rel)), 1e-9)
+    finite = lambda x: F.col(x).isNotNull() & ~F.isnan(F.col(x).cast("double")) & (F.abs(F.col(x).cast("double")) < float("inf"))
+    fields = lambda df: F.struct(*[c for c in df.columns if c != key])
+    once = lambda df, value, seq: df.where(finite(value)).groupBy(key, value).agg(F.min_by(fields(df), seq).alias(f"_{value}"))
+    log = lambda x: F.log(F.abs(F.col(x).cast("double")))
+    a, h = once(areas, "area", "area_seq"), once(heights, "height", "height_seq")
+    v = volumes.where(finite("volume")).select(key, "volume").distinct()
+    asked = v.where("volume > 0").join(h.where("height <> 0"), key)
+    ratio = log("volume") - log("height")
+    bucket = lambda x: F.floor(x / width).cast("long")
+    asked = asked.withColumn("_bucket", F.explode(F.array_distinct(F.array(*[bucket(ratio + math.log(f) + s) for f, s in ((1 - rel, -NEAR), (1, 0), (1 + rel, NEAR))]))))
+    met = asked.join(a.where("area <> 0").withColumn("_bucket", bucket(log("area"))), [key, "_bucket"])
+    hit = met.where(F.abs(F.col("area") * F.col("height") - F.col("volume")) <= rel * F.col("volume")).select(key, "volume", "_area", "_height")
+
+    ends = lambda df, value, seq: df.where(finite(value)).groupBy(key).agg(F.min_by(fields(df), seq).alias(f"_{value}"), F.min_by(fields(df), F.when(F.col(value) == 0, F.col(seq))).alias(f"_{value}_0"))
+    zero = v.where("volume = 0").join(ends(areas, "area", "area_seq"), key).join(ends(heights, "height", "height_seq"), key)
+    either = F.array(*[F.struct(F.col(x).alias("_area"), F.col(y).alias("_height")) for x, y in (("_area_0", "_height"), ("_area", "_height_0"))])
+    zero = zero.select(key, "volume", F.explode(either).alias("x")).select(key, "volume", "x._area", "x._height").where("_area is not null and _height is not null")
+    best = hit.unionByName(zero).groupBy(key, "volume").agg(F.min_by(F.struct("_area", "_height"), F.struct("_area.area_seq", "_height.height_seq")).alias("_b"))
+    return volumes.join(best, [key, "volume"]).select(*volumes.columns, "_b._area.*", "_b._height.*")
 
 
 def volume_ratio(volumes: DataFrame, areas: DataFrame, floors: DataFrame, key: str, found: DataFrame, least: float = 2.8) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -23,14 +24,18 @@ def get_spark(master: str = "local[8]", app: str = "tallymark", **conf: str) ->
 
 
 def kept(df: DataFrame) -> DataFrame:
-    """The rows in the folder of spark.checkpoint.dir, without their lineage, so that later steps don't compute them again.
+    """The rows as a table in the folder of spark.checkpoint.dir, without their lineage, so that later steps don't compute
+    them again and depend on no executor.
 
     Where no folder is set, one of our own, on a local master only.
     """
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not folder and not context.master.startswith("local"):
+    spark = df.sparkSession
+    context, folder = spark.sparkContext, spark.conf.get("spark.checkpoint.dir", None)
+    if not folder and context.getCheckpointDir() is None:
+        if not context.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that the driver and the executors share")
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-"))
-    return df.checkpoint()
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
+    path = f"{(folder or context.getCheckpointDir()).rstrip('/')}/kept-{uuid.uuid4().hex}"
+    named = df.toDF(*[f"c{i}" for i in range(len(df.columns))])  # any names can be written so
+    named.write.parquet(path)
+    return spark.read.schema(named.schema).parquet(path).toDF(*df.columns)

@@ -69,6 +69,41 @@ def test_geometry_and_volume(spark):
     assert checks.volume_method(one("volume", 760.0), one("area", 199.5), one("height", 2.6), "o").count() == 0
 
 
+def test_geometry_and_volume_against_all_pairs(spark):
+    """A third of the rows has one key; limits are met exactly, values repeat, some are zero, negative or missing."""
+    rng = random.Random(6)
+    key = lambda: "hot" if rng.random() < 1 / 3 else f"k{rng.randrange(12)}"
+    rel, absolute = 0.005, 0.1
+    axes = [(key(), i, rng.choice([4.0, 8.5, 12.0, 24.0, 0.0, -3.0]), rng.choice([6.0, 0.5, 18.0, 30.25])) for i in range(300)] + [("k1", 900, None, 2.0)]
+    areas = []
+    for i in range(300):
+        k, size = key(), rng.choice(axes[:300])
+        size = size[2] * size[3]
+        areas.append((k, i, rng.choice([size, size - 0.1, size * 0.995, round(size - rng.random(), 2), size - 0.11, 0.0, -1.0])))
+    areas.append(("hot", 901, None))
+    odd = lambda a, b: a < b and not abs(a - b) <= max(absolute, rel * max(abs(a), abs(b)))
+    want = {}
+    for k, seq, x, y in axes:
+        hits = [(s, v) for q, s, v in areas if q == k and v is not None and x is not None and odd(v, round(x * y, 2))]
+        if hits:
+            want[k, seq] = min(hits)
+    got = checks.smaller_than_axes(spark.createDataFrame(axes, "o string, axes_seq int, a double, b double"), spark.createDataFrame(areas, "o string, area_seq int, area double").repartition(4), "o")
+    assert {(r["o"], r["axes_seq"]): (r["area_seq"], r["area"]) for r in got.collect()} == want and len(want) > 100
+
+    flat = [(key(), i, rng.choice([100.0, 199.5, 60.0, 0.0, -5.0, 33.3])) for i in range(200)]
+    tall = [(key(), i, rng.choice([2.5, 2.6, 3.0, 0.0, -2.0])) for i in range(60)]
+    volumes = [(key(), i, rng.choice([100.0, 199.5, 60.0, 33.3]) * rng.choice([2.5, 2.6, 3.0]) * rng.choice([1, 1.005, 0.995, 1.0049, 1.02, 0])) for i in range(200)] + [("hot", 999, None)]
+    want = {}
+    for k, seq, v in volumes:
+        hits = [(s, n) for q, s, a in flat if q == k for p, n, h in tall if p == k and v is not None and abs(a * h - v) <= rel * v]
+        if hits:
+            want[k, seq] = min(hits)
+    made = lambda rows, n: spark.createDataFrame(rows, f"o string, {n}_seq int, {n} double").repartition(3)
+    got = checks.volume_method(made(volumes, "volume"), made(flat, "area"), made(tall, "height"), "o", rel).collect()
+    assert {(r["o"], r["volume_seq"]): (r["area_seq"], r["height_seq"]) for r in got} == want
+    assert len(got) == len(want) > 60
+
+
 def test_range_and_copied_labels(spark):
     values = spark.createDataFrame([("d", 489.79), ("d", 315.0)], "d string, v double")
     relief = spark.createDataFrame([("d", 314.75), ("d", 315.04)], "d string, v double")
@@ -122,6 +157,60 @@ def test_labels(spark):
     assert got == {"Общая площадь здания": ("area", "exact"), "Строительного объема": ("volume", "fuzzy")}
 
 
+def hot_rows(n=3000, seed=4):
+    """Rows of which a third have one key, some have none, in no order; headings of levels 1 to 3, objects on some."""
+    rng = random.Random(seed)
+    rows = []
+    for i in range(n):
+        key = "hot" if rng.random() < 1 / 3 else rng.choice([None, *[f"k{j}" for j in range(40)]])
+        level = rng.choice([None, None, None, 1, 2, 3])
+        rows.append((key, rng.randrange(n // 4), i, level, f"o{i}" if level and rng.random() < 0.3 else None, rng.choice(["a", "a", "b", None])))
+    return rows
+
+
+def scanned(rows):
+    """What the scans must add, by a plain loop: context, carried value, island, number, label."""
+    out, by = {}, {}
+    for r in sorted(rows, key=lambda r: (str(r[0]), r[1], r[2])):
+        s = by.setdefault(r[0], {"seen": None, "ctx": None, "value": None, "island": 0, "n": 0, "last": (), "label": None})
+        _, _, i, level, obj, kind = r
+        if obj:
+            s["ctx"] = obj
+        elif level and s["seen"] is not None and level <= s["seen"]:
+            s["ctx"] = None
+        s["value"] = None if kind is None else obj or s["value"]
+        s["island"] += s["last"] != (kind,)
+        s["n"] += kind == "a"
+        out[i] = (s["ctx"], s["value"], s["island"], s["n"] if kind == "a" else None, kind if kind is not None else s["label"])
+        s["seen"], s["last"], s["label"] = level if obj else s["seen"], (kind,), kind
+    return out
+
+
+def test_scans_of_a_hot_key(spark):
+    rows = hot_rows()
+    df = spark.createDataFrame(rows, "k string, t int, i int, level int, object string, kind string").repartition(5)
+    keys, order, shuffle = ["k"], ["t", "i"], spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        sizes = sorted(r["count"] for r in ordered.in_ranges(df, keys, order).groupBy("_range").count().collect())
+        assert len(sizes) >= 12 and sizes[-1] <= 2 * sizes[len(sizes) // 2]
+        made = [
+            ordered.heading_context(df, keys, order), ordered.carried_forward(df, keys, order, F.col("object"), F.col("kind").isNull(), "x"), ordered.islands(df, keys, order, ["kind"]),
+            ordered.running_number(df, keys, order, F.col("kind") == "a", "x"), ordered.label_above(df, keys, order, "kind", "x"),
+        ]
+        got = [{r["i"]: r[c] for r in m.collect()} for m, c in zip(made, ["ctx", "x", "island", "x", "x"], strict=True)]
+        want = scanned(rows)
+        assert all(len(g) == len(rows) for g in got) and {i: tuple(g[i] for g in got) for i in want} == want
+        timed = df.withColumn("ts", F.timestamp_seconds(F.col("t")))
+        counts = {r["i"]: r["n"] for r in ordered.rolling_count(timed, keys, "ts", 60, "n").collect()}
+        assert counts == {r[2]: sum(q[0] == r[0] and r[1] - 60 <= q[1] <= r[1] for q in rows) for r in rows}
+        assert all(m.count() == 0 for m in (ordered.islands(df.limit(0), keys, order, ["kind"]), ordered.heading_context(df.limit(0), keys, order)))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", shuffle)
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
 def test_scores(spark):
     want = spark.createDataFrame([("ru", 1, "a"), ("ru", 1, "b")], "lang string, s int, t string")
     got = spark.createDataFrame([("ru", 1, "b"), ("kz", 2, "c")], "lang string, s int, t string")
