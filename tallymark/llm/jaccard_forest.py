@@ -1,16 +1,16 @@
 """Similarity join on word shingles by a MinHash LSH forest of sorted prefix tries, with exact verification.
 
-Every text becomes the set of its runs of five words (lower case, cut at white space; a shorter text is one run). Texts
-with equal sets share one representative. A representative's MinHash signature is cut into keys of `DEPTH` numbers, one a
+Every text becomes the set of its runs of five words (lower case, cut at white space; a shorter text is one run). Equal
+sets are one node with a number of its own, whatever ids their texts have. A set's MinHash signature is cut into keys of `DEPTH` numbers, one a
 tree. All keys are sorted as bytes, so each tree is a sorted trie: texts that share a prefix lie side by side, and nodes
 of every depth are runs of the same order, read in one pass.
 
 Prefixes are shortened from full depth. Small nodes of every depth down to the floor (where even two texts at the
 threshold meet with the target probability) give their few pairs at once; they are verified on whole shingle sets. Each
-text of a crowded node is verified with its neighbour in one tree as well. The similarities of all matches so found tell
-how many matches there must be, and what share of them meets at each depth: crowded nodes are shortened from full depth
-until the measured share reaches the target, and no further. On a corpus of close copies they stay deep; matches near
-the threshold shorten them.
+text of a crowded node is verified with its neighbour in one tree as well. The least similar match so found in a crowded
+node of the floor says how far that node has to be shortened: from full depth until two texts that similar meet with the
+target probability. Nodes of close copies stay deep; nodes with matches near the threshold, and nodes in which no match
+was found, go down to the floor.
 
 Rows of a crowded node are cut into blocks of bounded rows and shingles. A task compares the short signatures of one
 pair of blocks; only texts that pass with some partner get their sets, and a second task of the same pair of blocks gives
@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import by_place, written
 
 WORDS = 5
 THRESHOLD = 0.8
@@ -138,7 +138,8 @@ def signatures(sets: list[np.ndarray], size: int, seed: int = 5) -> np.ndarray:
 
 
 def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id is not null")
+    """id, text and h, a number by which rows of one id and different texts are told apart."""
+    return docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text"), F.xxhash64(f"`{text_col}`").alias("h")).where("id is not null")
 
 
 def _packed(signed: np.ndarray) -> np.ndarray:
@@ -147,7 +148,7 @@ def _packed(signed: np.ndarray) -> np.ndarray:
 
 
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """id, digest of the set (null: no words), size, signature."""
+    """id, h, digest of the set (null: no words), size, signature."""
     for batch in batches:
         for low in range(0, batch.num_rows, 512):
             part = batch.slice(low, 512)
@@ -156,7 +157,7 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             made = iter(_packed(signatures(full, TREES * DEPTH)) if full else [])
             digests = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
             signed = [next(made).tobytes() if len(s) else None for s in sets]
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(digests, pa.binary()), pa.array([len(s) for s in sets], pa.int32()), pa.array(signed, pa.binary())], names=["id", "digest", "n", "sig"])
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(digests, pa.binary()), pa.array([len(s) for s in sets], pa.int32()), pa.array(signed, pa.binary())], names=["id", "h", "digest", "n", "sig"])
 
 
 def _wanted_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -415,68 +416,95 @@ def components(edges: DataFrame) -> DataFrame:
 def _leaves(same: DataFrame, depth: int) -> DataFrame:
     """id, n and the node of each tree at a depth, by a number."""
     nodes = F.array(*[F.xxhash64(_node_name(t, depth)) for t in range(TREES)])
-    return same.select(F.col("rep").alias("id"), "n", F.explode(nodes).alias("node"))
+    return same.select("id", "n", F.explode(nodes).alias("node"))
 
 
 def _node_name(tree: int, depth: int):
     return F.concat(F.lit(bytearray([tree])), F.substring("sig", NUMBER * DEPTH * tree + 1, NUMBER * depth))
 
 
-def _crowded(found: DataFrame, same: DataFrame, depth: int) -> DataFrame:
-    """node, id, n of the rows of crowded nodes of a depth."""
-    large = written(found.where((F.col("kind") == 1) & (F.col("depth") == depth)).select(F.xxhash64("node").alias("node")).distinct(), "nodes")
-    few = large.count() <= SMALL_TABLE_ROWS
-    return written(_leaves(same, depth).join(F.broadcast(large) if few else large, "node", "left_semi").select("node", "id", "n"), "crowded")
+def _standing_in(nodes: DataFrame, same: DataFrame, depth: int) -> DataFrame:
+    """node, id, n of the rows of the given nodes of a depth."""
+    few = nodes.count() <= SMALL_TABLE_ROWS
+    return _leaves(same, depth).join(F.broadcast(nodes) if few else nodes, "node", "left_semi").select("node", "id", "n")
 
 
-def classes(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: id, class_id (smallest id of the class), n_links, copies.
+def depths(floor: int) -> dict[int, int]:
+    """The depth that each similarity, in hundredths, is shortened to."""
+    return {s: shortened({s / 100: 1} if s else {}, floor) for s in range(101)}
 
-    n_links: verified links of the document's text to different texts. copies: rows with the same shingles, the row
-    itself included.
-    """
+
+def _shortened_nodes(found: DataFrame, same: DataFrame, links: DataFrame, crowded: DataFrame, floor: int) -> DataFrame:
+    """node, id, n of crowded nodes, each floor node's own matches having said how deep it stays."""
+    side = lambda c: crowded.select("node", F.col("id").alias(c))
+    inside = links.join(side("a"), "a").join(side("b"), ["b", "node"])
+    least = inside.groupBy("node").agg(F.floor(F.min("similarity") * 100).cast("int").alias("s"))
+    table = F.create_map(*[F.lit(x) for pair in depths(floor).items() for x in pair])
+    chosen = written(least.select(F.col("node").alias("root"), F.element_at(table, F.col("s")).alias("d")).where(F.col("d") > floor), "depths")
+    out = crowded.join(chosen.select(F.col("root").alias("node")), "node", "left_anti")
+    names = found.where((F.col("kind") == 1) & (F.col("depth") > floor)).select("depth", F.xxhash64("node").alias("node"), F.xxhash64(F.substring("node", 1, 1 + NUMBER * floor)).alias("root"))
+    deeper = written(names.join(chosen, "root").where(F.col("depth") == F.col("d")).select("depth", "node").distinct(), "nodes")
+    for depth in range(floor + 1, DEPTH + 1):
+        out = out.unionByName(_standing_in(deeper.where(F.col("depth") == depth).select("node"), same, depth))
+    return written(out, "crowded")
+
+
+def _classed(docs: DataFrame, threshold: float, id_col: str, text_col: str) -> DataFrame:
+    """A row for each row with an id: id, h, class_id, n_links, copies, first (whether its set stands for its class)."""
     rows = _rows(docs, id_col, text_col)
-    sketch = written(rows.mapInArrow(_sketch, "id long, digest binary, n int, sig binary"), "sketch")
-    same = written(sketch.where("digest is not null").groupBy("digest").agg(F.min("id").alias("rep"), F.count("*").alias("copies"), F.min("n").alias("n"), F.min_by("sig", "id").alias("sig")), "sets")
+    sketch = written(rows.mapInArrow(_sketch, "id long, h long, digest binary, n int, sig binary"), "sketch")
+    same = sketch.where("digest is not null").groupBy("digest").agg(F.min("id").alias("rep"), F.count("*").alias("copies"), F.min("n").alias("n"), F.min_by("sig", "id").alias("sig"))
+    same = written(same.withColumn("id", F.monotonically_increasing_id()), "sets")  # a set's number; kept as written
 
     floor = prefix_depth(threshold, TREES, DEPTH, TARGET)
     keys = F.array(*[F.struct(F.lit(t).cast("byte").alias("tree"), F.substring("sig", NUMBER * DEPTH * t + 1, NUMBER * DEPTH).alias("key")) for t in range(TREES)])
-    leaves = same.select("rep", "n", F.explode(keys).alias("t")).select("t.tree", "t.key", F.col("rep").alias("id"), "n")
+    leaves = same.select("id", "n", F.explode(keys).alias("t")).select("t.tree", "t.key", "id", "n")
     order = ["tree", "key", "id"]
     found = written(leaves.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_trie(floor, DEPTH, threshold), "kind int, a long, b long, depth int, node binary"), "candidates")
     pairs = written(found.where("kind = 0").select("a", "b").distinct(), "pairs")
-    crowded = _crowded(found, same, floor)
+    at_floor = written(found.where((F.col("kind") == 1) & (F.col("depth") == floor)).select(F.xxhash64("node").alias("node")).distinct(), "nodes")
+    crowded = written(_standing_in(at_floor, same, floor), "crowded")
 
-    # shingle sets of those representatives only that have a candidate or stand in a crowded node
+    # shingles of those sets only that have a candidate or stand in a crowded node, from one of their texts
     wanted = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).union(crowded.select("id")).distinct()
-    wanted = wanted.join(same.select(F.col("rep").alias("id"), "digest"), "id")
-    sets = rows.join(wanted, "id").select("id", "text", F.col("digest").alias("want")).mapInArrow(_wanted_sets, "id long, want binary, digest binary, shingles array<long>").where("want = digest").drop("want", "digest").dropDuplicates(["id"])
+    wanted = wanted.join(same, "id").select(F.col("id").alias("set"), F.col("rep").alias("id"), "digest")
+    sets = rows.join(wanted, "id").select("set", "text", F.col("digest").alias("want")).mapInArrow(_wanted_sets, "id long, want binary, digest binary, shingles array<long>").where("want = digest").drop("want", "digest").dropDuplicates(["id"])
     sets = written(sets, "shingles")
     links = written(_verified(pairs, sets, threshold), "links")
 
-    # at most a hundred rows: the number of matches of each similarity, in hundredths
-    matches = {r["s"] / 100: r["n"] for r in links.groupBy(F.floor(F.col("similarity") * 100).alias("s")).agg(F.count("*").alias("n")).collect()}
-    depth = shortened(matches, floor)
-    if depth > floor:
-        crowded = _crowded(found, same, depth)
+    crowded = _shortened_nodes(found, same, links, crowded, floor)
     met = written(_met(crowded), "met")
     # links of texts that stand in a crowded node together are counted there
     of = lambda c: met.select(F.col("id").alias(c), F.col("met").alias(f"met_{c}"))
     alone = ~F.coalesce(F.arrays_overlap("met_a", "met_b"), F.lit(False))
     links = written(links.join(of("a"), "a", "left").join(of("b"), "b", "left").where(alone).select("a", "b"), "links-alone")
-    blocks = written(_in_blocks(crowded, met, same.select(F.col("rep").alias("id"), "sig"), sets, threshold), "blocks")
+    blocks = written(_in_blocks(crowded, met, same.select("id", "sig"), sets, threshold), "blocks")
     labels = components(links.union(blocks.where("kind = 0").select("a", "b")).distinct())
 
     one = F.lit(1).cast("long").alias("links")
-    each = links.select(F.col("a").alias("rep"), one).union(links.select(F.col("b").alias("rep"), one)).union(blocks.where("kind = 1").select(F.col("a").alias("rep"), F.col("b").alias("links")))
-    degrees = each.groupBy("rep").agg(F.sum("links").alias("n_links"))
-    of_set = same.select("digest", "rep", "copies").join(labels.withColumnRenamed("id", "rep"), "rep", "left").join(degrees, "rep", "left")
-    of_set = of_set.select("digest", F.coalesce("label", "rep").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "copies")
-    out = sketch.select("id", "digest").join(of_set, "digest", "left")
-    return out.select(F.col("id").alias(id_col), F.coalesce("class_id", "id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("copies", F.lit(1)).cast("long").alias("copies"))
+    each = links.select("a", one).union(links.select("b", one)).union(blocks.where("kind = 1").select("a", F.col("b").alias("links"))).toDF("id", "links")
+    degrees = each.groupBy("id").agg(F.sum("links").alias("n_links"))
+    of_set = same.select("digest", "id", "rep", "copies").join(labels, "id", "left").join(degrees, "id", "left").withColumn("label", F.coalesce("label", "id"))
+    of_set = written(of_set, "labelled")
+    heads = of_set.groupBy("label").agg(F.min(F.struct("rep", "id")).alias("head"))
+    of_set = of_set.join(heads, "label").select("digest", F.col("head.rep").alias("class_id"), (F.col("head.id") == F.col("id")).alias("first"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "copies")
+    out = sketch.select("id", "h", "digest").join(of_set, "digest", "left")
+    return out.select("id", "h", F.coalesce("class_id", "id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("copies", F.lit(1)).cast("long").alias("copies"), F.coalesce("first", F.lit(True)).alias("first"))
+
+
+def classes(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per document: id, class_id (smallest id of the class), n_links, copies.
+
+    n_links: verified links of the document's text to different texts. copies: rows with the same shingles, the row
+    itself included. Rows of one id and different texts are documents of their own.
+    """
+    return _classed(docs, threshold, id_col, text_col).select(F.col("id").alias(id_col), "class_id", "n_links", "copies")
 
 
 def drop_near_copies(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents with the smallest id of each class, with all their columns; rows without an id stay."""
-    gone = classes(docs, threshold, id_col, text_col).where(F.col(id_col) != F.col("class_id")).select(F.col(id_col)).distinct()
-    return docs.join(gone, id_col, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    gone = _classed(docs, threshold, id_col, text_col).where(~(F.col("first") & (F.col("id") == F.col("class_id")))).select("id", "h").distinct()
+    mine = by_place(docs)
+    key, text = (F.col(f"c{docs.columns.index(c)}") for c in (id_col, text_col))
+    kept = mine.join(gone, (key.cast("long") == F.col("id")) & (F.xxhash64(text) == F.col("h")), "left_anti")
+    return kept.toDF(*docs.columns)

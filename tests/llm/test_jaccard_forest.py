@@ -175,3 +175,30 @@ def test_one_of_each_class_stays(spark):
 
 def test_prefix_depth():
     assert J.prefix_depth(0.8, 32, 8, 0.9999) == 6 and J.prefix_depth(0.8, 1, 8, 0.9999) == 1
+
+
+def test_one_id_with_two_texts(spark):
+    """Sets are nodes, whatever their ids: A and B both have id 1, A' and B' are near copies of either."""
+    rng = random.Random(12)
+    a, b = ([f"{n}{k}" for k in range(80)] for n in "ab")
+    rows = [(1, " ".join(a)), (1, " ".join(b)), (2, edited(rng, a, 1)), (3, edited(rng, b, 1)), (4, "alone " * 9), (1, " ".join(b))]
+    got = sorted((r["doc_id"], r["class_id"], r["n_links"], r["copies"]) for r in found(spark, rows))
+    assert got == [(1, 1, 1, 1), (1, 1, 1, 2), (1, 1, 1, 2), (2, 1, 1, 1), (3, 1, 1, 1), (4, 4, 0, 1)]
+    df = spark.createDataFrame([(*r, "x") for r in rows] + [(None, "no id", "x")], "doc_id long, text string, h string")
+    kept = J.drop_near_copies(df).collect()
+    assert sorted((r["doc_id"] or 0, r["text"], r["h"]) for r in kept) == sorted([(0, "no id", "x"), (1, rows[0][1], "x"), (1, rows[1][1], "x"), (1, rows[1][1], "x"), (4, rows[4][1], "x")])
+
+
+def test_each_crowded_node_is_shortened_by_its_own_matches(spark):
+    """Close copies in great number don't hide that matches of another node are near the threshold."""
+    assert J.depths(6)[98] == 8 and J.depths(6)[83] == 7 and J.depths(6)[80] == 6
+    rng = random.Random(21)
+    rows = [(i, edited(rng, [f"hot{k}" for k in range(400)], 1)) for i in range(150)]
+    for g in range(12):  # groups whose texts are 0.80 to 0.86 alike, crowded at the floor
+        base = [f"g{g}x{k}" for k in range(200)]
+        rows += [(1000 + 100 * g + i, edited(rng, base, 2)) for i in range(9)]
+    got = found(spark, rows)
+    assert {r["doc_id"]: r["class_id"] for r in got} == brute(rows)
+    want, have = links(rows), {r["doc_id"]: r["n_links"] for r in got}
+    some = [i for i in want if i >= 1000]
+    assert sum(have[i] for i in some) >= 0.999 * sum(want[i] for i in some) and all(have[i] <= want[i] for i in want)
