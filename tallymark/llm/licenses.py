@@ -2,13 +2,17 @@
 
 Texts are normalised (lower case, words of letters and digits, so line breaks, signs and case don't count) and compared
 with licence templates: twice the shared distinct bigrams over the sum of both counts. A passage is any run of as many
-words as the template has, wherever it begins, inside a line or over several; runs start at every word for templates under
-64 words, and at every 32nd part of a longer one. Bounds on sizes prune candidates without losing any: a passage reaches
-the threshold only if it has, and shares with the template, at least t * threshold / (2 - threshold) of the template's t
-bigrams; so a text meets only those templates of which it holds so many bigrams, and is cut into passages for those alone.
+words as the template has, wherever it begins, inside a line or over several, and every start is scored: from one start to
+the next a bigram comes in and one goes out, so the distinct bigrams of all passages are sums over the places at which a
+bigram is the last of its kind, and a template costs a text no more than its length.
 
-Templates are short notices, whole short licences, and the first 150 words of long ones (a licence quoted without its
-beginning isn't found). They are a table of fixed size. Only DataFrame functions are used.
+Bounds on sizes prune candidates without losing any: a passage reaches the threshold only if it shares with the template
+at least t * threshold / (2 - threshold) of the template's t bigrams; so a text meets only those templates of which it
+holds so many bigrams, counted through lists of the templates of each bigram.
+
+Templates are short notices, whole licence texts and, of texts over `LONG` words, also runs of `PIECE` words, one every
+half of that: a quotation of one and a half such runs from anywhere in a long licence holds one whole. The table has a
+fixed size and goes to every task.
 
 Each document gives one row: the best licence (highest score, then smallest name), its score and how many licences reach
 the threshold, or nulls and 0. Null and empty texts match nothing; repeated rows give repeated rows; an empty table gives
@@ -17,11 +21,18 @@ no rows; texts of any length are read whole. Columns beyond id and text are igno
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
 from pathlib import Path
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+WORD = re.compile(r"[^\W_]+")
+#: Words of a text that is also known by its runs, and words of a run.
+LONG, PIECE = 300, 150
 THRESHOLD = 0.8
 
 #: Short notices of common licences, as their stewards or common usage word them.
@@ -50,83 +61,139 @@ TEMPLATES = [
 
 
 
+def words(text: str | None) -> list[str]:
+    return WORD.findall((text or "").lower())
+
+
 def licence_texts() -> list[tuple[str, str]]:
-    """Short licences whole, the beginnings of long ones: a row a licence in a file beside this one."""
+    """Whole licences: a row each in a file beside this one."""
     lines = Path(__file__).with_name("licence_texts.tsv").read_text(encoding="utf-8").splitlines()
     return [tuple(line.split("\t", 1)) for line in lines]
 
 
-TEMPLATES += licence_texts()
-
-
-def words(text: Column) -> Column:
-    return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
-
+def runs_of(texts: list[tuple[str, str]]) -> list[tuple[str, str]]:
+    """Of each long text its runs of PIECE words, one every half of that, and its last."""
+    out = []
+    for name, text in texts:
+        own = words(text)
+        if len(own) > LONG:
+            starts = [*range(0, len(own) - PIECE, PIECE // 2), len(own) - PIECE]
+            out += [(name, " ".join(own[s : s + PIECE])) for s in starts]
+    return out
 
-def pairs(of: Column) -> Column:
-    """Pairs of neighbouring words, in order."""
-    made = F.zip_with(F.slice(of, 1, F.greatest(F.size(of) - 1, F.lit(0))), F.slice(of, 2, F.greatest(F.size(of) - 1, F.lit(0))), lambda a, b: F.concat(a, F.lit(" "), b))
-    return F.when(F.size(of) > 1, made).otherwise(F.array().cast("array<string>"))
 
-
-def step_of(n_pairs: int) -> int:
-    """From one passage's start to the next, for a template of so many pairs of words."""
-    return max(1, (n_pairs + 1) // 32)
-
-
-def known_templates(templates: list[tuple[str, str]], spark) -> list[dict]:
-    """Licence, distinct bigrams and number of pairs of each template; as many rows as templates."""
-    table = spark.createDataFrame(templates, "license string, notice string").coalesce(1)
-    table, made = table.select("license", words(F.col("notice")).alias("w")), pairs(F.col("w"))
-    return [r.asDict() for r in table.select("license", F.array_distinct(made).alias("bigrams"), F.size(made).alias("pairs")).collect()]
+TEMPLATES += licence_texts()
+TEMPLATES += runs_of(licence_texts())
+
+
+class Matcher:
+    """Templates as numbers of bigrams; scores texts."""
+
+    def __init__(self, templates: list[tuple[str, str]], threshold: float):
+        self.threshold, self.ratio = threshold, threshold / (2 - threshold)
+        self.names = [name for name, _ in templates]
+        split = [words(text) for _, text in templates]
+        self.word = {w: i for i, w in enumerate(sorted({w for ws in split for w in ws}))}
+        codes = [self._pairs(np.array([self.word[w] for w in ws], np.int64)) for ws in split]
+        self.length = np.array([len(c) for c in codes])  # bigrams of a passage
+        self.bigrams = np.unique(np.concatenate(codes))
+        own = [np.searchsorted(self.bigrams, np.unique(c)) for c in codes]
+        self.size = np.array([len(x) for x in own])
+        self.inside = np.zeros((len(own), len(self.bigrams) + 1), bool)  # the last column: a bigram of no template
+        for t, x in enumerate(own):
+            self.inside[t, x] = True
+        owner, bigram = np.nonzero(self.inside[:, :-1])
+        order = np.argsort(bigram, kind="stable")
+        self.templates = owner[order]
+        self.first = np.searchsorted(bigram[order], np.arange(len(self.bigrams) + 1))
+        self.few = self.size[self.size > 0].min() * self.ratio
+
+    def _pairs(self, numbers: np.ndarray) -> np.ndarray:
+        """Codes of pairs of neighbouring words; -1 if a word is in no template."""
+        left, right = numbers[:-1], numbers[1:]
+        return np.where((left < 0) | (right < 0), -1, left * len(self.word) + right)
+
+    def best(self, text: str | None) -> tuple[str | None, float | None, int]:
+        own = words(text)
+        if len(own) < 2:
+            return None, None, 0
+        codes = self._pairs(np.fromiter((self.word.get(w, -1) for w in own), np.int64, len(own)))
+        place = np.minimum(np.searchsorted(self.bigrams, codes), len(self.bigrams) - 1)
+        place = np.where(self.bigrams[place] == codes, place, len(self.bigrams))
+        known = np.unique(place[place < len(self.bigrams)])
+        if len(known) < self.few:
+            return None, None, 0
+        lists = [self.templates[self.first[k] : self.first[k + 1]] for k in known.tolist()]
+        shared = np.bincount(np.concatenate(lists), minlength=len(self.size))
+        near = np.flatnonzero((shared >= self.ratio * self.size) & (self.size > 0))
+        if not len(near):
+            return None, None, 0
+        numbers: dict[str, int] = {}
+        every = np.fromiter((numbers.setdefault(w, len(numbers)) for w in own), np.int64, len(own))
+        pair = every[:-1] * len(numbers) + every[1:]
+        order = np.argsort(pair, kind="stable")
+        again = pair[order][1:] == pair[order][:-1]
+        before = np.full(len(pair), -1)  # where the same bigram was last
+        before[order[1:][again]] = order[:-1][again]
+        found: dict[str, float] = {}
+        for t in near.tolist():
+            score = self._highest(place, before, t)
+            if score >= self.threshold:
+                found[self.names[t]] = max(score, found.get(self.names[t], 0.0))
+        if not found:
+            return None, None, 0
+        top = max(found.values())
+        return min(n for n, v in found.items() if v == top), top, len(found)
+
+    def _highest(self, place: np.ndarray, before: np.ndarray, t: int) -> float:
+        """The best score of a template over all passages of the text."""
+        n, length = len(place), int(self.length[t])
+        starts = max(n - length, 0) + 1
+        at = np.arange(n)
+        low = np.maximum(np.maximum(before + 1, at - length + 1), 0)  # passages from here to `at` have it last there
+        counts = []
+        for some in (self.inside[t, place], slice(None)):
+            change = np.bincount(low[some], minlength=n + 1) - np.bincount(at[some] + 1, minlength=n + 1)
+            counts.append(np.cumsum(change)[:starts])
+        return float((2 * counts[0] / (counts[1] + self.size[t])).max())
 
 
 def scan(docs: DataFrame, templates: list[tuple[str, str]] | None = None, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, license, dice, n_licenses. No shuffle: each row is compared with the constant templates."""
-    known = known_templates(templates or TEMPLATES, docs.sparkSession)
-    ratio = threshold / (2 - threshold)  # of a template's bigrams, so many must be in a passage
-    vocabulary = sorted({b for k in known for b in k["bigrams"]})
-    strings = lambda of: F.array(*[F.lit(x) for x in of])
-    table = F.array(*[F.struct(F.lit(k["license"]).alias("license"), strings(k["bigrams"]).alias("b"), F.lit(len(k["bigrams"])).alias("n"), F.lit(k["pairs"]).alias("pairs"), F.lit(step_of(k["pairs"])).alias("step")) for k in known])
-
-    rows = docs.select(F.col(f"`{id_col}`").alias("_id"), words(F.coalesce(F.col(f"`{text_col}`"), F.lit(""))).alias("_w"))
-    rows = rows.select("_id", pairs(F.col("_w")).alias("_b"))
-    rows = rows.select("_id", "_b", F.array_distinct(F.filter("_b", lambda b: b.isin(vocabulary))).alias("_known"))
-    near = F.filter(table, lambda t: F.size(F.array_intersect("_known", t["b"])) >= t["n"] * ratio)
-    none = F.array().cast(docs.sparkSession.range(0).select(table.alias("t")).schema["t"].dataType)
-    rows = rows.select("_id", "_b", F.when(F.size("_known") >= min(len(k["bigrams"]) for k in known) * ratio, near).otherwise(none).alias("_near"))
-
-    def best(t: Column) -> Column:
-        def dice(start: Column) -> Column:
-            passage = F.array_distinct(F.slice("_b", start + 1, t["pairs"]))
-            return 2 * F.size(F.array_intersect(passage, t["b"])) / (F.size(passage) + t["n"])
+    matcher = docs.sparkSession.sparkContext.broadcast(Matcher(TEMPLATES if templates is None else templates, threshold))
+    picked = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
 
-        starts = F.sequence(F.lit(0), F.greatest(F.size("_b") - t["pairs"], F.lit(0)), t["step"])
-        return F.struct((-F.array_max(F.transform(starts, dice))).alias("score"), t["license"].alias("license"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best = matcher.value.best
+        for batch in batches:
+            found = [best(text) for text in batch.column(1).to_pylist()]
+            names, scores, counts = zip(*found, strict=True) if found else ((), (), ())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array(counts, pa.int64())], names=["id", "license", "dice", "n_licenses"])
 
-    rows = rows.select("_id", F.filter(F.transform("_near", best), lambda m: m["score"] <= -threshold).alias("_m"))
-    top = F.array_min("_m")
-    return rows.select(F.col("_id").alias(id_col), top["license"].alias("license"), F.round(-top["score"], 6).alias("dice"), F.size(F.array_distinct("_m.license")).cast("long").alias("n_licenses"))
+    made = picked.mapInArrow(run, f"id {picked.schema['id'].dataType.simpleString()}, license string, dice double, n_licenses long")
+    return made.select(F.col("id").alias(id_col), "license", F.round("dice", 6).alias("dice"), "n_licenses")
 
 
 def oracle(templates: list[tuple[str, str]] | None = None, threshold: float = THRESHOLD) -> str:
-    """The same rows in DuckDB's SQL."""
+    """The same rows in DuckDB's SQL: sums of comings and goings of distinct bigrams by start."""
     quote = lambda s: "'" + s.replace("'", "''") + "'"
-    values = ", ".join(f"({quote(a)}, {quote(b)})" for a, b in templates or TEMPLATES)
+    values = ", ".join(f"({quote(a)}, {quote(b)})" for a, b in (TEMPLATES if templates is None else templates))
     split = lambda c: f"list_filter(string_split_regex(lower({c}), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '')"
     pairs = "list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])"
     ratio = threshold / (2 - threshold)
     return f"""
-        with t as (select license, len(pb) as pairs, greatest(1, (len(pb) + 1) // 32) as step, list_distinct(pb) as tb
-                   from (select license, {pairs} as pb from (select license, {split('notice')} as w from (values {values}) v(license, notice)))),
-        d as (select row_number() over () as r, doc_id, {split("coalesce(text, '')")} as w from documents),
-        b as (select r, {pairs} as pb from d),
-        v as (select list(distinct x) as every from (select unnest(tb) as x from t)),
-        k as (select r, pb, list_intersect(list_distinct(pb), every) as known from b, v),
-        c as (select r, license, tb, pairs, pb, unnest(range(0, greatest(len(pb) - pairs, 0) + 1, step)) as s
-              from k join t on len(known) >= {ratio} * len(tb) and len(list_intersect(known, tb)) >= {ratio} * len(tb)),
-        p as (select r, license, tb, list_distinct(pb[s + 1 : s + pairs]) as q from c),
-        m as (select r, license, 2.0 * len(list_intersect(q, tb)) / (len(q) + len(tb)) as dice from p),
-        g as (select r, count(distinct license) as n, max(dice) as dice from m where dice >= {threshold} group by r),
+        with v as (select row_number() over () as t, license, {split('notice')} as w from (values {values}) v(license, notice)),
+        t as (select t, license, greatest(len(w) - 1, 0) as pairs, {pairs} as pb from v),
+        tb as materialized (select distinct t, unnest(pb) as b from t),
+        size as (select t, license, any_value(pairs) as pairs, count(*) as n from t join tb using (t) group by 1, 2),
+        d as materialized (select row_number() over () as r, doc_id, {split("coalesce(text, '')")} as w from documents),
+        x as (select r, greatest(len(w) - 1, 0) as pairs, {pairs} as pb from d),
+        p as materialized (select r, b, i, coalesce(lag(i) over (partition by r, b order by i), -1) as before from (select r, unnest(pb) as b, unnest(range(0, pairs)) as i from x)),
+        near as (select r, t, license, size.pairs, n, greatest(x.pairs - size.pairs, 0) as latest from (select r, t, count(*) as shared from (select distinct r, b from p) join tb using (b) group by 1, 2) join size using (t) join x using (r) where shared >= {ratio} * n),
+        e as (select near.r, near.t, greatest(before + 1, i - pairs + 1, 0) as low, i + 1 as high, case when tb.b is null then 0 else 1 end as own from near join p using (r) left join tb on tb.t = near.t and tb.b = p.b),
+        c as (select r, t, s, sum(change) as d, sum(change * own) as o from (select r, t, low as s, 1 as change, own from e union all select r, t, high, -1, own from e) group by 1, 2, 3),
+        u as (select r, t, s, sum(d) over z as every, sum(o) over z as shared from c window z as (partition by r, t order by s)),
+        m as (select r, license, max(2.0 * shared / (every + n)) as dice from u join near using (r, t) where s <= latest group by 1, 2 having max(2.0 * shared / (every + n)) >= {threshold}),
+        g as (select r, count(*) as n, max(dice) as dice from m group by r),
         l as (select m.r, min(license) as license from m join g using (r) where m.dice = g.dice group by m.r)
         select d.doc_id, l.license, round(g.dice, 6) as dice, coalesce(g.n, 0) as n_licenses from d left join g using (r) left join l using (r)"""

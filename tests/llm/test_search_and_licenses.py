@@ -1,5 +1,6 @@
 """Nearest neighbours against brute force, licences against DuckDB."""
 
+import random
 import textwrap
 
 import duckdb
@@ -114,3 +115,32 @@ def test_licenses_and_oracle(spark):
     con.register("documents", docs.toPandas())
     assert got == sorted(map(str, con.execute(licenses.oracle()).fetchall()))
     assert licenses.scan(docs.limit(0)).count() == 0
+
+
+def test_licences_quoted_from_anywhere_and_every_start(spark):
+    """Middles and ends of long licences are found; every passage is scored, as plain sets of each start say."""
+    texts = dict(licenses.licence_texts())
+    own = {n: licenses.words(t) for n, t in texts.items()}
+    quotes = [(n, w[s : s + 260]) for n, w in own.items() if len(w) > 1000 for s in (331, len(w) // 2 + 7, len(w) - 260)]
+    rows = [(i, "before it " * 7 + " ".join(w) + " after it" * 9) for i, (_, w) in enumerate(quotes)]
+    got = {r["doc_id"]: r for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i, (name, quoted) in enumerate(quotes):
+        assert got[i]["dice"] >= 0.99
+        said = " ".join(quoted[:40]) in " ".join(own[got[i]["license"]])  # another licence may hold the same passage
+        assert got[i]["license"] == name or said or got[i]["n_licenses"] > 1
+    rng = random.Random(4)
+    few = [("A", "a b c d e f g"), ("B", "c d e f"), ("C", "g f e d c b a g f e d c"), ("D", "x")]
+    matcher = licenses.Matcher(few, 0.6)
+    pairs = lambda w: list(zip(w, w[1:]))
+    for _ in range(400):
+        w = [rng.choice("abcdefgz") if rng.random() < 0.4 else "abcdefg"[i % 7] for i in range(rng.randrange(0, 30))]
+        best = {}
+        for name, text in few:
+            t = pairs(text.split())
+            if t and len(w) > 1:
+                p = pairs(w)
+                scores = [2 * len(set(x) & set(t)) / (len(set(x)) + len(set(t))) for s in range(max(len(p) - len(t), 0) + 1) for x in [p[s : s + len(t)]]]
+                if max(scores) >= 0.6:
+                    best[name] = max(scores)
+        want = (None, None, 0) if not best else (min(n for n, v in best.items() if v == max(best.values())), max(best.values()), len(best))
+        assert matcher.best(" ".join(w)) == want
