@@ -14,13 +14,12 @@ Vectors that are null, empty, zero or hold null or non-finite components take no
 the sample's commonest length; those of any other length are a part of their own, and are compared with vectors of their
 length alone, all of them. Vectors are scaled by a power of two before norms, which changes no score and keeps huge and
 tiny components from running out of range. Rows with equal ids count as one candidate, their best. A query isn't its own
-candidate. Ties go to the smaller id. An empty table gives no rows. Columns beyond id and vector are ignored, whatever
+candidate. Ties go to the smaller id. Queries whose likeliest parts hold fewer than k candidates look in all parts. An empty table gives no rows. Columns beyond id and vector are ignored, whatever
 their names.
 """
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,6 +32,8 @@ from .common import written
 
 #: Bounds of the sample that partitions are learned from (rows, and rows for each part), and of the classifier.
 SAMPLE, MOST_SAMPLE, SAMPLE_OF_PART, NEIGHBOURS, REFINE, HIDDEN, STEPS, HELD_ROWS = 6000, 100_000, 24, 10, 12, 64, 500, 2000
+#: Bytes of the sample, and cells of a matrix of similarities that is held at once.
+SAMPLE_BYTES, CELLS = 64 << 20, 4 << 20
 #: What one task holds of either side, and how many rows of each it multiplies at once.
 BLOCK_BYTES, SQUARE = 16 << 20, 1024
 #: Parts: as many as the root of so many rows; the most are what the largest sample can teach. Parts for other lengths.
@@ -56,10 +57,11 @@ def unit(vectors: np.ndarray) -> np.ndarray:
 def neighbour_graph(vectors: np.ndarray, k: int) -> np.ndarray:
     """The k nearest of each row of the sample by cosine, the row itself not among them."""
     out = np.empty((len(vectors), k), np.int64)
-    for low in range(0, len(vectors), 1024):
-        near = vectors[low : low + 1024] @ vectors.T
+    high = max(1, CELLS // len(vectors))
+    for low in range(0, len(vectors), high):
+        near = vectors[low : low + high] @ vectors.T
         near[np.arange(len(near)), np.arange(low, low + len(near))] = -2
-        out[low : low + 1024] = np.argpartition(-near, k - 1, axis=1)[:, :k]
+        out[low : low + high] = np.argpartition(-near, k - 1, axis=1)[:, :k]
     return out
 
 
@@ -167,7 +169,8 @@ def learn(sample: np.ndarray, rows: int, k: int) -> tuple[Router, int, int] | No
     part = balanced_parts(vectors, graph, parts)
     router = Router(vectors, part, graph, parts)
     own, ranked = router.ranked(vectors, 1)[:, 0], router.ranked(test, parts)
-    nearest = np.argsort(-(test @ vectors.T), axis=1)[:, :k]
+    high = max(1, CELLS // len(vectors))
+    nearest = np.concatenate([np.argsort(-(test[low : low + high] @ vectors.T), axis=1)[:, :k] for low in range(0, held, high)])
     place = np.argsort(ranked, axis=1)  # of each part in each test vector's ranking
     found = np.take_along_axis(place, own[nearest], axis=1)
     share = np.cumsum(np.bincount(found.reshape(-1), minlength=parts)) / found.size
@@ -269,28 +272,41 @@ def dealt(index: DataFrame, wanted: DataFrame) -> tuple[DataFrame, DataFrame]:
 def search(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_id", vec_col: str = "embedding", probes: int | None = None) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest rows found of each query."""
     base, asked = usable(vectors, id_col, vec_col), usable(queries, id_col, vec_col)
-    rows = base.count()
-    size = int(min(MOST_SAMPLE, max(SAMPLE, SAMPLE_OF_PART * wanted_parts(rows))))
+    spark = vectors.sparkSession
+    lengths = written(base.groupBy(F.size("v").alias("length")).agg(F.count("*").alias("n")), "lengths")
+    rows = lengths.agg(F.sum("n")).first()[0]
+    if not rows:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    width, alike = lengths.orderBy(F.desc("n"), "length").select("length", "n").first()
+    size = int(max(1, min(MOST_SAMPLE, max(SAMPLE, SAMPLE_OF_PART * wanted_parts(rows)), SAMPLE_BYTES // (8 * width))))
+    common = base.where(F.size("v") == width)
     # about twice as many rows as are drawn reach the ordering, however large the table is
-    drawn = base.where(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < int((1 << 30) * min(1.0, 2 * size / max(1, rows))))
-    sample_rows = drawn.orderBy(F.xxhash64("id"), "id").limit(size).collect()
-    if len(sample_rows) < size // 4 and rows > len(sample_rows):  # few ids, many rows of each
-        sample_rows = base.orderBy(F.xxhash64("id"), "id").limit(size).collect()
-    schema = "query_id long, vec_id long, score double"
-    if not sample_rows:
-        return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    width = Counter(len(r["v"]) for r in sample_rows).most_common(1)[0][0]
-    sample = np.array([r["v"] for r in sample_rows if len(r["v"]) == width])
+    drawn = common.where(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < int((1 << 30) * min(1.0, 2 * size / max(1, alike))))
+    taken = lambda df: df.orderBy(F.xxhash64("id"), "id").limit(size).select("v").toArrow().column("v").combine_chunks()
+    sample = taken(drawn)
+    if len(sample) < size // 4 and alike > len(sample):  # few ids, many rows of each
+        sample = taken(common)
+    sample = np.asarray(sample.flatten()).reshape(-1, width)
     router, parts, count = learn(sample, rows, k) or (None, 1, 1)
     count = min(parts, probes or count)
     kinds = "id long, part int, v binary"
     # repeated rows count once, wherever they are many
     index = written(base.mapInArrow(_routed(router, 1, width, False), kinds).distinct(), "routed")
-    wanted = written(asked.mapInArrow(_routed(router, count, width, True), kinds).distinct(), "asked")
-    index, wanted = dealt(index, wanted)
-    keys = ["part", "slice", "block"]
-    found = index.groupBy(*keys).cogroup(wanted.groupBy(*keys)).applyInPandas(_best(k), schema)
-    found = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+
+    def found_in(some: DataFrame, most: int, name: str) -> DataFrame:
+        wanted = written(some.mapInArrow(_routed(router, most, width, True), kinds).distinct(), name)
+        left, right = dealt(index, wanted)
+        keys = ["part", "slice", "block"]
+        best = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(_best(k), "query_id long, vec_id long, score double")
+        return best.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+
+    found = written(found_in(asked, count, "asked"), "found")
+    if count < parts:  # queries whose parts hold too few candidates look in all parts
+        enough = found.groupBy("query_id").agg(F.count("*").alias("n")).where(F.col("n") >= k)
+        lacking = written(asked.join(enough, F.col("id") == F.col("query_id"), "left_anti"), "lacking")
+        if lacking.limit(1).count():
+            more = found_in(lacking, parts, "asked-again")
+            found = found.unionByName(more).groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     nearest = F.slice(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "vec_id"))), 1, k)
     ranked = found.groupBy("query_id").agg(nearest.alias("n")).select("query_id", F.posexplode("n").alias("at", "x"))
     return ranked.select("query_id", (F.col("at") + 1).alias("rank"), F.col("x.vec_id").alias("vec_id"), (-F.col("x.s")).alias("score"))

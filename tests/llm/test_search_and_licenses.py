@@ -90,6 +90,20 @@ def test_huge_and_tiny_components_and_other_lengths(spark):
     assert np.isfinite(got["score"]).all() and (got["score"].abs() <= 1 + 1e-12).all()
 
 
+def test_queries_whose_parts_hold_too_little_look_in_all(spark, monkeypatch):
+    """One probe in many small parts: every query gets its k rows all the same; samples keep within their bytes."""
+    monkeypatch.setattr(routed_search, "FEWEST_PARTS", 64)
+    monkeypatch.setattr(routed_search, "SAMPLE_BYTES", 8 * 6 * 1100)
+    monkeypatch.setattr(routed_search, "CELLS", 5000)
+    seen, inner = [], routed_search.learn
+    monkeypatch.setattr(routed_search, "learn", lambda sample, *a: seen.append(len(sample)) or inner(sample, *a))
+    rng = np.random.default_rng(8)
+    rows = [(i, [float(x) for x in rng.normal(size=6)]) for i in range(1200)] + [(5000, [1.0] * 9)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = routed_search.search(table, table.where("vec_id % 10 = 0 and vec_id < 5000"), k=40, probes=1).groupBy("query_id").count().collect()
+    assert seen == [1100] and len(got) == 120 and {r["count"] for r in got} == {40}
+
+
 def test_parts_grow_with_rows():
     assert [routed_search.wanted_parts(n) for n in (100, 10**6, 10**9, 10**12)] == [8, 125, 3953, 4096]
 
