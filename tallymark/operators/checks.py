@@ -5,6 +5,9 @@ from __future__ import annotations
 import math
 from collections.abc import Callable
 
+from pyspark.errors import (
+    AnalysisException, ArithmeticException, ArrayIndexOutOfBoundsException, DateTimeException, IllegalArgumentException, NumberFormatException, ParseException, PySparkAttributeError, PySparkTypeError, PySparkValueError, PythonException, SparkRuntimeException,
+)
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -210,18 +213,27 @@ REGISTRY: dict[str, Check] = {
 }
 
 
+#: What a check's own plan or its data cause; anything else, as a lost executor or a full disk, stops the run.
+BROKEN = (
+    AnalysisException, ParseException, ArithmeticException, ArrayIndexOutOfBoundsException, DateTimeException, IllegalArgumentException, NumberFormatException, PythonException, SparkRuntimeException,
+    PySparkTypeError, PySparkValueError, PySparkAttributeError, ZeroDivisionError, TypeError, ValueError, KeyError, AttributeError,
+)
+
+
 def run_checks(jobs: dict[str, Callable[[], DataFrame]]) -> tuple[DataFrame | None, dict[str, str]]:
-    """The union of what checks find. A check that can't be built or fails while it runs becomes a warning and stops no
-    other: each is run by itself and what it finds is kept, so nothing runs twice.
+    """The union of what checks find. A check that can't be built, or that fails on its data, becomes a warning and stops no
+    other: each is run by itself and what it finds is kept, so nothing runs twice. If all fail, the last failure is raised.
     """
-    out, warnings = None, {}
+    out, warnings, last = None, {}, None
     for name, job in jobs.items():
         try:
             found = kept(job())
-        except Exception as e:  # noqa: BLE001  a broken check must not stop the others
-            warnings[name] = f"{type(e).__name__}: {e}"
+        except BROKEN as e:
+            warnings[name], last = f"{type(e).__name__}: {e}", e
             continue
         out = found if out is None else out.unionByName(found)
+    if out is None and last is not None and len(jobs) > 1:
+        raise last
     return out, warnings
 
 

@@ -7,19 +7,27 @@ Callers match distinct labels and join the answers back.
 from __future__ import annotations
 
 import json
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..functions.scalars import cosine, let, squash, tokens, word_matches
+from ..functions.scalars import let, squash, tokens, word_matches
+from ..session import kept
 from ..sources.lexicon import MOST_ENTRIES, Lexicon, bare_text
+from .patterns import occurrences
 
 #: Least share and lead over the next field or a negative label; the same of vectors, evidence and length.
 FUZZY_LEAST, FUZZY_MARGIN = 0.85, 0.3
 VECTOR_LEAST, VECTOR_MARGIN, VECTOR_EVIDENCE, VECTOR_CHARS = 0.88, 0.01, 0.3, 80
 #: Words that name a kind of quantity, not which one.
 QUANTITY_NOUNS = ("площадь", "объем", "количество", "число", "стоимость", "продолжительность", "срок", "аудан", "алаң", "көлем", "саны", "құн", "ұзақтығы", "мерзім")
+#: Bytes of prototype vectors that a task multiplies with at once.
+PROTOTYPE_BYTES = 8 << 20
 STAGES = ("exact", "fuzzy")
 MATCH = "struct<field:string,score:double,method:string>"
 
@@ -137,31 +145,100 @@ def match(said: DataFrame, lexicon: Lexicon, label: str = "label", unit: str | N
     return out.withColumns({name: F.col("_answer.match").cast(MATCH), f"{name}_asks_vector": asks if where == "table" else F.lit(False)}).drop("_answer")
 
 
-def by_vector(asked: DataFrame, known: DataFrame, label: str = "label", vector: str = "vector") -> DataFrame:
+def nearest_fields(asked: DataFrame, known: DataFrame, key: str, vector: str = "vector") -> DataFrame:
+    """key, field, sim: of each vector the two fields with the nearest prototypes by cosine, and the nearest negative's (null).
+
+    known: field (null: negative), vector. Prototypes are dealt by hash into blocks of about PROTOTYPE_BYTES, and each
+    vector is multiplied with a block at a time; the two best fields of all are among the two best of their own blocks, so
+    blocks are merged by a maximum. Vectors of another length than a prototype's, of zeros or null are not near it.
+    """
+    spark = asked.sparkSession
+    protos = kept(known.where(F.col(vector).isNotNull()).select("field", F.col(vector).cast("array<double>").alias("v")).distinct())
+    total = protos.agg(F.sum(F.size("v") * 8 + 40)).first()[0] or 0
+    blocks = max(1, -(-total // PROTOTYPE_BYTES))
+    picked = asked.where(F.col(vector).isNotNull()).select(F.col(key).alias("k"), F.col(vector).cast("array<double>").alias("v"))
+    schema = T.StructType([picked.schema["k"], T.StructField("field", T.StringType()), T.StructField("sim", T.DoubleType())])
+    found = []
+    for block in range(blocks):
+        some = protos.where(F.pmod(F.xxhash64("field", "v"), F.lit(blocks)) == block).collect()  # PROTOTYPE_BYTES, about
+        if some:
+            found.append(picked.mapInArrow(_two_nearest([(r["field"], r["v"]) for r in some]), schema))
+    if not found:
+        return spark.createDataFrame([], schema).withColumnRenamed("k", key)
+    every = reduce(DataFrame.unionByName, found)
+    if blocks > 1:
+        merged = every.groupBy("k", "field").agg(F.max("sim").alias("sim"))
+        w = Window.partitionBy("k", F.col("field").isNull()).orderBy(F.desc("sim"), "field")  # three rows a block
+        every = merged.withColumn("_n", F.row_number().over(w)).where((F.col("_n") <= 2) & (F.col("field").isNotNull() | (F.col("_n") == 1))).drop("_n")
+    return every.withColumnRenamed("k", key)
+
+
+def _two_nearest(prototypes: list[tuple[str | None, list[float]]]):
+    """Of each vector: the two best fields of a block, and the best negative."""
+    by_length: dict[int, dict[str | None, list[np.ndarray]]] = {}
+    for field, v in prototypes:
+        x = np.array(v, np.float64)
+        if len(x) and np.linalg.norm(x):
+            by_length.setdefault(len(x), {}).setdefault(field, []).append(x / np.linalg.norm(x))
+    sides = {n: (sorted(f, key=lambda x: (x is None, x or "")), f) for n, f in by_length.items()}
+    stacked = {n: (fields, np.stack([x for f in fields for x in vs[f]]), np.cumsum([0, *[len(vs[f]) for f in fields]])[:-1]) for n, (fields, vs) in sides.items()}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for low in range(0, batch.num_rows, 1024):
+                part = batch.slice(low, 1024)
+                lists = part.column(1).to_pylist()
+                rows, names, sims = [], [], []
+                for n, (fields, matrix, starts) in stacked.items():
+                    some = [i for i, v in enumerate(lists) if len(v) == n and None not in v and any(v)]
+                    if not some:
+                        continue
+                    x = np.array([lists[i] for i in some], np.float64)
+                    near = np.maximum.reduceat((x / np.linalg.norm(x, axis=1, keepdims=True)) @ matrix.T, starts, axis=1)
+                    own = len(fields) - (fields[-1] is None)
+                    order = np.argsort(-near[:, :own], axis=1, kind="stable")[:, :2]
+                    for j, i in enumerate(some):
+                        at = [*order[j].tolist(), *range(own, len(fields))]
+                        rows += [i] * len(at)
+                        names += [fields[a] for a in at]
+                        sims += near[j, at].tolist()
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(rows, pa.int64())), pa.array(names, pa.string()), pa.array(sims, pa.float64())], names=["k", "field", "sim"])
+
+    return run
+
+
+def by_vector(asked: DataFrame, known: DataFrame, label: str = "label", vector: str = "vector", least: float = VECTOR_LEAST, margin: float = VECTOR_MARGIN) -> DataFrame:
     """label, field, score of labels whose vector is near enough to one field's prototypes, and nearer than to a negative.
 
-    known: field (null: negative), vector; prototypes of a lexicon, MOST_ENTRIES at most. Vectors come from whatever
-    provider the caller has; labels without one have no row.
+    known: field (null: negative), vector, as many as there are. Vectors come from whatever provider the caller has;
+    labels without one have no row.
     """
-    rows = known.select("field", vector).limit(MOST_ENTRIES + 1).collect()
-    if len(rows) > MOST_ENTRIES:
-        raise ValueError(f"at most {MOST_ENTRIES} prototypes")
-    by_field: dict[str | None, list] = {}
-    for r in rows:
-        by_field.setdefault(r["field"], []).append([float(x) for x in r[vector]])
-    nearest = lambda vs: F.array_max(F.transform(F.array(*[F.array(*[F.lit(x) for x in v]) for v in vs]), lambda v: cosine(F.col(vector), v)))
-    scored = asked.select(label, vector).distinct().withColumn("_n", F.array(*[F.struct(nearest(vs).alias("s"), F.lit(f).cast("string").alias("f")) for f, vs in by_field.items()]))
-    fields = F.array_sort(F.filter("_n", lambda x: x["f"].isNotNull()), lambda a, b: F.when(a["s"] > b["s"], -1).when(a["s"] < b["s"], 1).when(a["f"] < b["f"], -1).otherwise(1))
-    scored = scored.withColumn("_f", fields).withColumn("_against", F.array_max(F.transform(F.filter("_n", lambda x: x["f"].isNull()), lambda x: x["s"])))
-    top, second = F.get("_f", F.lit(0)), F.coalesce(F.get("_f", F.lit(1))["s"], F.lit(-1.0))
-    good = (top["s"] >= VECTOR_LEAST) & (top["s"] - second >= VECTOR_MARGIN) & (F.coalesce("_against", F.lit(-1.0)) <= top["s"])
-    return scored.where(good).select(label, top["f"].alias("field"), F.round(top["s"], 3).alias("score"))
+    near = nearest_fields(asked.select(label, vector).distinct(), known, label, vector)
+    ranked = F.array_sort(F.collect_list(F.when(F.col("field").isNotNull(), F.struct((-F.col("sim")).alias("s"), F.col("field").alias("f")))))  # two
+    of = near.groupBy(label).agg(ranked.alias("_f"), F.max(F.when(F.col("field").isNull(), F.col("sim"))).alias("_against"))
+    top, second = F.get("_f", F.lit(0)), -F.coalesce(F.get("_f", F.lit(1))["s"], F.lit(1.0))
+    good = (-top["s"] >= least) & (-top["s"] - second >= margin) & (F.coalesce("_against", F.lit(-1.0)) <= -top["s"])
+    return of.where(good).select(label, top["f"].alias("field"), F.round(-top["s"], 3).alias("score"))
+
+
+def with_vectors(said: DataFrame, lexicon: Lexicon, vectors: DataFrame, known: DataFrame, label: str = "label", unit: str | None = None, stages: Sequence[str] = STAGES) -> DataFrame:
+    """The whole cascade: exact, fuzzy, and vectors for the labels that earlier stages leave with evidence.
+
+    vectors: label, vector, one row a label; known: field (null: negative), vector. Adds match, as `match` does.
+    """
+    first = kept(match(said, lexicon, label, unit, stages))
+    asked = first.where("match is null and match_asks_vector").select(label).distinct().join(vectors, label)
+    found = by_vector(asked, known, label).select(F.col(label).alias("_l"), F.struct("field", "score", F.lit("embedding").alias("method")).cast(MATCH).alias("_m"))
+    out = first.join(found, F.col(label).eqNullSafe(F.col("_l")) & F.col("match").isNull() & F.col("match_asks_vector"), "left")
+    return out.withColumn("match", F.coalesce("match", "_m")).drop("_l", "_m")
 
 
 def exact(labels: DataFrame, lexicon: DataFrame, label: str = "label") -> DataFrame:
-    """The longest lexicon label contained in the squashed text; ties to the smaller field. lexicon: field, known."""
-    found = match(labels.select(label).distinct(), of_pairs(lexicon), label, stages=("exact",))
-    return found.where("match is not null").select(label, "match.field")
+    """The longest lexicon label contained in the squashed text; ties to the smaller field. lexicon: field, known; any size."""
+    said = labels.select(label, squash(label).alias("_bare")).distinct()
+    known = lexicon.select("field", squash("known").alias("_known")).distinct()
+    found = occurrences(said, known, "_bare", "_known", [label]).join(known, "_known")
+    return found.groupBy(label).agg(F.min_by("field", F.struct(-F.length("_known"), "field")).alias("field"))
 
 
 def fuzzy(labels: DataFrame, lexicon: DataFrame, label: str = "label") -> DataFrame:

@@ -346,3 +346,21 @@ def unit_recovery(t: Tables) -> DataFrame:
     pairs = rows.select("glyph", sign.alias("was"), F.coalesce(fix["made"], sign).alias("made"), F.concat(F.lit("м"), "truth").alias("want"), fix["reason"].alias("reason"))
     why = lambda r: F.count_if(F.col("reason") == r)
     return recovered(pairs, ["glyph"], overridden=why("context_overrides_ocr"), unresolved=why("unresolved"))
+
+
+# ---- the cascade with its vector stage: every row of embeddings is a label with a vector
+
+VECTOR_CASES = ["Этажность", "Строительная часть", "Прочее", "Застройка"]
+
+
+@query("""
+    with p as (select label, arg_min(embedding, vec_id) as pv from embeddings group by 1), s as (select vec_id, 'f' || p.label as field, list_cosine_similarity(embedding::double[], pv::double[]) as sim from embeddings, p where vec_id % 4 in (1, 3)),
+    r as (select vec_id, field, sim, row_number() over (partition by vec_id order by sim desc, field) as n, coalesce(lead(sim) over (partition by vec_id order by sim desc, field), -1) as next from s)
+    select vec_id, 'floors' as field, 'exact' as method from embeddings where vec_id % 4 = 0
+    union all select vec_id, field, 'embedding' from r where n = 1 and sim >= 0.88 and sim - next >= 0.01""")
+def vector_cascade(t: Tables) -> DataFrame:
+    """Labels by exact words, by coverage, and what these leave with evidence by the nearest prototype's vector."""
+    said = t.embeddings.select("vec_id", F.concat(F.expr(cases("(vec_id % 4)", VECTOR_CASES)), F.lit(" "), "vec_id").alias("label"), F.col("embedding").alias("vector"))
+    prototypes = t.embeddings.groupBy(F.concat(F.lit("f"), "label").alias("field")).agg(F.min_by("embedding", "vec_id").alias("vector"))
+    found = labels.with_vectors(said.select("label"), LEXICON, said.select("label", "vector"), prototypes)
+    return found.where("match is not null").join(said.select("vec_id", "label"), "label").select("vec_id", "match.field", "match.method")

@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
-from ..operators import labels, ordered, scoring
+from ..operators import labels, ordered, patterns, scoring
+from ..session import kept
 from ..streaming import windows
 from .registry import Tables, query
 
@@ -218,11 +219,13 @@ def label_fuzzy(t: Tables) -> DataFrame:
     r as (select vec_id, field, sim, row_number() over (partition by vec_id order by sim desc, field) as n, coalesce(lead(sim) over (partition by vec_id order by sim desc, field), 0) as next from s)
     select vec_id, field, sim from r where n = 1 and sim - next >= 0.01""")
 def label_embedding(t: Tables) -> DataFrame:
-    prototypes = t.embeddings.groupBy(F.col("label").alias("field")).agg(F.min_by("embedding", "vec_id").alias("pv"))  # one row a label
-    sims = t.embeddings.select("vec_id", "embedding").join(F.broadcast(prototypes), F.lit(True)).select("vec_id", "field", F.round(S.cosine("embedding", "pv"), 4).alias("sim"))
-    w = Window.partitionBy("vec_id").orderBy(F.desc("sim"), "field")
-    ranked = sims.withColumn("n", F.row_number().over(w)).withColumn("next", F.coalesce(F.lead("sim").over(w), F.lit(0.0)))
-    return ranked.where("n = 1 and sim - next >= 0.01").select("vec_id", "field", "sim")
+    """The label whose prototype a vector is nearest to, ahead of the next: blocks of vectors times blocks of prototypes."""
+    prototypes = t.embeddings.groupBy(F.col("label").cast("string").alias("field")).agg(F.min_by("embedding", "vec_id").alias("vector"))
+    near = labels.nearest_fields(t.embeddings.select("vec_id", F.col("embedding").alias("vector")), prototypes, "vec_id")
+    two = near.groupBy("vec_id").agg(F.array_sort(F.collect_list(F.struct((-F.round("sim", 4)).alias("s"), "field"))).alias("x"))
+    top, second = F.get("x", F.lit(0)), F.get("x", F.lit(1))
+    kind = t.embeddings.schema["label"].dataType
+    return two.where(second["s"] - top["s"] >= 0.01).select("vec_id", top["field"].cast(kind).alias("field"), (-top["s"]).alias("sim"))
 
 
 @query("""
@@ -237,34 +240,13 @@ def one_edit_pairs(t: Tables) -> DataFrame:
     return keyed.select(F.col("w").alias("left_word"), "k").join(other, "k").where(F.col("left_word") < F.col("right_word")).select("left_word", "right_word").distinct().where(S.one_edit(F.col("left_word"), F.col("right_word")))
 
 
-#: Quotes too short for an anchor that a query may have.
-SHORT_QUOTES = 1000
-
-
 @query("""
     select doc_id, item_id, cast((length(d.text) - length(replace(d.text, b.text, ''))) / length(b.text) as bigint) as n from documents d join benchmark b on contains(d.text, b.text)""")
 def quote_check(t: Tables) -> DataFrame:
-    """Quotes anchor on four words of their own: runs of words of documents meet them by hash, then text decides.
-
-    A quote may begin and end inside a word of the text, so its first word is no part of the anchor. Quotes of fewer
-    than six words have none; they are constants, whose number is checked, and are looked for in every text.
-    """
-    words = lambda c: F.split(c, " ")
-    quotes = t.benchmark.select("item_id", F.col("text").alias("quote"), words("text").alias("w"))
-    anchored = quotes.where(F.size("w") >= 6).select("item_id", "quote", F.xxhash64(F.array_join(F.slice("w", 2, 4), " ")).alias("anchor"))
-    runs = F.transform(F.sequence(F.lit(1), F.size("w") - 3), lambda i: F.xxhash64(F.array_join(F.slice("w", i, 4), " ")))
-    texts = t.documents.select("doc_id", words("text").alias("w")).where(F.size("w") >= 4)
-    met = texts.select("doc_id", F.explode(F.array_distinct(runs)).alias("anchor")).join(anchored.select("item_id", "anchor"), "anchor").select("doc_id", "item_id").distinct()
-    near = met.join(t.documents.select("doc_id", "text"), "doc_id").join(anchored.select("item_id", "quote"), "item_id")
-    hits = near.where(F.col("text").contains(F.col("quote"))).select("doc_id", "item_id", "text", "quote")
-    few = quotes.where(F.size("w") < 6).select("item_id", "quote").limit(SHORT_QUOTES + 1).collect()
-    if len(few) > SHORT_QUOTES:
-        raise ValueError(f"at most {SHORT_QUOTES} quotes may be shorter than six words")
-    if few:
-        constant = F.array(*[F.struct(F.lit(r["item_id"]).alias("item_id"), F.lit(r["quote"]).alias("quote")) for r in few])
-        short = t.documents.select("doc_id", "text", F.explode(F.filter(constant, lambda q: F.col("text").contains(q["quote"]))).alias("q"))
-        hits = hits.unionByName(short.select("doc_id", "q.item_id", "text", "q.quote"))
-    return hits.select("doc_id", "item_id", S.occurrences("text", "quote").alias("n"))
+    """Every text that a quote stands in, and how often: all quotes in one pass over the texts."""
+    found = patterns.occurrences(t.documents, t.benchmark, "text", "text", ["doc_id"])
+    quotes = t.benchmark.select("item_id", F.col("text").alias("quote")).where("length(quote) > 0")
+    return found.join(quotes, found["text"] == quotes["quote"]).select("doc_id", "item_id", "n")
 
 
 @query("""select doc_id, cast(len(string_split(text, '. ')) as bigint) as n, cast(length(string_split(text, '. ')[1]) as bigint) as first_length from documents""")
@@ -508,11 +490,25 @@ def by_type(t: Tables) -> DataFrame:
     return scoring.slot_counts(side(0, 3), side(1, 5), ["k", "type"]).groupBy("type").agg(*[F.sum(c).alias(c) for c in ("tp", "fp", "fn")])
 
 
-@query()
+#: What is wrong in the package that an order stands for.
+WRONG = {"area": "o_orderkey % 7 = 0", "material": "o_orderkey % 11 = 0", "cost": "o_orderkey % 5 = 0", "missing": "o_orderkey % 13 = 0"}
+
+
+@query(f"""
+    with v as (select o_orderkey as package_id, {', '.join(f'{w} as {k}' for k, w in WRONG.items())} from orders),
+    f as (select package_id, 'AREA_PZ_VS_AR_EXPLICATION' as type, 'total_area_m2' as field, case when area then 'MISMATCH' else 'MATCH' end as verdict from v
+          union all select package_id, 'MATERIAL_VOLUME_KR_VS_LOCAL_ESTIMATE', 'qty.' || m, case when material and m = 'concrete' then 'MISMATCH' else 'MATCH' end from v, (values ('concrete'), ('rebar'), ('brick')) x(m)
+          union all select package_id, 'COST_OBJECT_ESTIMATE_VS_SUMMARY', 'object_estimate_ktg', case when cost then 'MISMATCH' else 'MATCH' end from v
+          union all select package_id, 'MISSING_MANDATORY_TEP', 'cost_ktg', 'MISSING' from v where missing)
+    select package_id, type, field, verdict, row_number() over (partition by package_id order by verdict = 'MATCH', type, field) as finding_no from f""")
 def fixture_findings(t: Tables) -> DataFrame:
-    """The findings of 200 generated packages, in report order."""
+    """Packages made of orders with discrepancies put in: what the checks report of them, in report order."""
     from . import fixtures, package
 
-    said = fixtures.statements(fixtures.packages(t.spark, 200))
+    area, cost = F.round(F.col("o_totalprice") / 100 + 50, 2), F.col("o_totalprice").cast("double")
+    rows = t.orders.select(F.col("o_orderkey").alias("package_id"), area.alias("area"), cost.alias("cost"), *[F.expr(w).alias(f"wrong_{k}") for k, w in WRONG.items()], *[(F.col("o_custkey") % 500 + 20.0 + i).alias(m) for i, m in enumerate(fixtures.MATERIALS)])
+    off = lambda name, k: F.when(F.col(f"wrong_{k}"), F.col(name) * 1.03).otherwise(F.col(name)).alias(f"{name}_again")
+    rows = rows.select("*", off("area", "area"), off("cost", "cost"), off("concrete", "material"), *[F.col(m).alias(f"{m}_again") for m in fixtures.MATERIALS[1:]])
+    said = kept(fixtures.statements(rows))
     every = package.compared_findings(said).unionByName(package.missing_findings(said, fixtures.mandatory(t.spark), said.select("package_id", "section").distinct()))
-    return package.report(every)
+    return package.report(every).select("package_id", "type", "field", "verdict", "finding_no")

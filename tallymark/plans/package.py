@@ -66,7 +66,7 @@ def missing_findings(statements: DataFrame, mandatory: DataFrame, uploaded: Data
     mandatory: section, field, shown_by (section), shown_field.
     """
     scanned = statements.where("source = 'ocr'").select("package_id", "section").distinct()
-    due = uploaded.select("package_id", "section").distinct().join(F.broadcast(mandatory), "section").join(scanned, ["package_id", "section"], "left_anti")
+    due = uploaded.select("package_id", "section").distinct().join(mandatory, "section").join(scanned, ["package_id", "section"], "left_anti")
     present = statements.select("package_id", "section", "field").distinct()
     absent = due.join(present, ["package_id", "section", "field"], "left_anti")
     evidence = present.select("package_id", F.col("section").alias("shown_by"), F.col("field").alias("shown_field"))

@@ -2,10 +2,12 @@
 
 import random
 
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from tallymark.functions.scalars import TOTAL
-from tallymark.operators import checks, labels, ordered, scoring
+from tallymark.operators import checks, labels, ordered, patterns, scoring
 
 
 def shuffled(rows, seed=1):
@@ -117,6 +119,60 @@ def test_broken_check_stops_no_other(spark):
     assert found.count() == 2 and "ZeroDivisionError" in warnings["bad"]
 
 
+def test_what_is_no_fault_of_a_check_is_raised(spark):
+    def lost():
+        raise OSError("no space left on device")
+
+    with pytest.raises(OSError):
+        checks.run_checks({"lost": lost, "good": lambda: spark.range(2)})
+    with pytest.raises(ZeroDivisionError):
+        checks.run_checks({"bad": lambda: 1 / 0, "worse": lambda: 1 / 0})
+
+
+def test_many_patterns_in_many_texts(spark, monkeypatch):
+    """20,000 labels in chunks, equal to contains; occurrences that overlap count once."""
+    monkeypatch.setattr(patterns, "CHUNK_BYTES", 100_000)
+    monkeypatch.setattr(patterns, "FLUSH_ROWS", 50)
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("абвгде") for _ in range(rng.randrange(1, 7)))
+    known = [word() + word() for _ in range(20_000)] + ["", None, "aa", "aa"]
+    texts = ["".join(word() for _ in range(rng.randrange(0, 60))) for _ in range(60)] + [None, "", "aaaaa", "aaaaa"]
+    got = patterns.occurrences(spark.createDataFrame(list(enumerate(texts)), "i int, t string").repartition(3), spark.createDataFrame([(k,) for k in known], "p string"), "t", "p", ["i"])
+    want = {(i, k, t.count(k)) for i, t in enumerate(texts) if t for k in {k for k in known if k} if k in t}
+    assert sorted(map(tuple, got.collect())) == sorted(want) and (62, "aa", 2) in want
+    assert patterns.occurrences(got.select(F.col("p").alias("t")), got.select("p").limit(0), "t", "p", ["t"]).count() == 0
+    lexicon = spark.createDataFrame([("b", "Общая площадь"), ("a", "площадь"), ("c", "общая площадь")] + [(f"f{i}", k) for i, k in enumerate(known[:9000])], "field string, known string")
+    said = spark.createDataFrame([("Общая площадь, м2",), ("ПЛОЩАДЬ",), ("zzz",), (None,)], "label string")
+    assert {tuple(r) for r in labels.exact(said, lexicon).collect()} == {("Общая площадь, м2", "b"), ("ПЛОЩАДЬ", "a")}
+
+
+def test_nearest_fields_in_blocks(spark, monkeypatch):
+    """Blocks of prototypes give what all at once give: a plain loop over all of them."""
+    rng = np.random.default_rng(4)
+    protos = [(f"f{i % 40}" if i % 9 else None, rng.normal(size=8).tolist()) for i in range(300)] + [("odd", [1.0, 2.0]), ("zero", [0.0] * 8), ("none", None)]
+    asked = [(i, rng.normal(size=8).tolist()) for i in range(50)] + [(90, [2.0, 4.0]), (91, None), (92, [0.0] * 8)]
+    cos = lambda a, b: float(np.dot(a, b) / np.linalg.norm(a) / np.linalg.norm(b))
+    want = {}
+    for i, v in asked:
+        if v is None or not any(v):
+            continue
+        best = {}
+        for f, p in protos:
+            if p is not None and len(p) == len(v) and any(p):
+                best[f] = max(best.get(f, -2), cos(v, p))
+        fields = sorted((-s, f) for f, s in best.items() if f is not None)[:2]
+        want[i] = {(f, round(-s, 9)) for s, f in fields} | ({(None, round(best[None], 9))} if None in best else set())
+    known = spark.createDataFrame(protos, "field string, vector array<double>")
+    said = spark.createDataFrame(asked, "i int, vector array<double>").repartition(3)
+    for size in (1 << 20, 3000):
+        monkeypatch.setattr(labels, "PROTOTYPE_BYTES", size)
+        got = {}
+        for r in labels.nearest_fields(said, known, "i").collect():
+            got.setdefault(r["i"], set()).add((r["field"], round(r["sim"], 9)))
+        assert got == want
+    assert labels.nearest_fields(said, known.limit(0), "i").count() == 0
+
+
 def test_a_check_that_fails_while_it_runs_stops_no_other(spark):
     bad = spark.range(3).select(F.when(F.col("id") >= 0, F.raise_error(F.lit("broken"))).cast("long").alias("id"))
     found, warnings = checks.run_checks({"bad": lambda: bad, "good": lambda: spark.range(2)})
