@@ -149,6 +149,28 @@ def expired(checks: DataFrame, now, days: int = 7) -> DataFrame:
     return checks.where(F.col("created_at") + F.make_interval(days=F.lit(days)) <= F.lit(now).cast("timestamp"))
 
 
+def requests_taken(requests: DataFrame, most: int = 5, day: int = 86_400) -> DataFrame:
+    """email, request, taken of a table: a request is taken if fewer than `most` were taken in the day before it.
+
+    Only taken requests count, so a request's answer hangs on those before it; rows of an address are read in order and in
+    batches, and what is remembered of an address are the times of at most `most` requests.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: tuple[str | None, list[int]] = (None, [])
+        for batch in batches:
+            answers = []
+            for email, at in zip(batch["email"], batch["at"].tolist(), strict=True):
+                recent = [t for t in held[1] if t > at - day * 1_000_000] if email == held[0] else []
+                answers.append(len(recent) < most)
+                held = (email, [*recent, at] if answers[-1] else recent)
+            yield pd.DataFrame({"email": batch["email"], "request": batch["request"], "taken": answers})
+
+    known = requests.where("email is not null and ts is not null").select("email", F.unix_micros(F.col("ts").cast("timestamp")).alias("at"), F.col("request").cast("long"))
+    dealt = known.repartition("email").sortWithinPartitions("email", "at", "request")
+    return dealt.mapInPandas(run, "email string, request long, taken boolean")
+
+
 def latest_reviews(reviews: DataFrame) -> DataFrame:
     """The last review of each finding; an empty last review takes the review away."""
     last = reviews.groupBy("check_id", "finding").agg(F.max(F.struct("ts", "verdict", "comment")).alias("r")).select("check_id", "finding", "r.*")
