@@ -4,15 +4,18 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterator
+from difflib import SequenceMatcher
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions.scalars import c, stem
-from ..functions.text import similarity
 from .ordered import first_per
 from .scoring import greedy_one_to_one
 
@@ -133,15 +136,95 @@ def masked_exponents(text) -> Column:
     return F.regexp_replace(c(text), "[²³]", "?")
 
 
+#: Lines of a page that one task compares with as many of the other side; classes of letters that are counted.
+LINE_BLOCK, LETTER_CLASSES = 256, 64
+
+
+def _letters(texts: list[str]) -> np.ndarray:
+    """How many letters of each class a text has: what two texts have in common is no more than the sum of least counts."""
+    out = np.zeros((len(texts), LETTER_CLASSES), np.int32)
+    for i, t in enumerate(texts):
+        codes = np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32)
+        out[i] = np.bincount(codes % LETTER_CLASSES, minlength=LETTER_CLASSES)
+    return out
+
+
+def most_similar(lines: list[str], others: list[str], least: float) -> list[tuple[int, float] | None]:
+    """Of each line the first of the most similar others, if it is similar enough.
+
+    No two texts are more alike than their letters' counts allow. Others are compared in the order of that bound, and no
+    further than the best found, so none that could be as good is left out.
+    """
+    if not others:
+        return [None] * len(lines)
+    own, theirs = _letters(lines), _letters(others)
+    total = own.sum(axis=1)[:, None] + theirs.sum(axis=1)[None, :]
+    shared = np.zeros(total.shape, np.int64)
+    for k in range(LETTER_CLASSES):
+        shared += np.minimum(own[:, k][:, None], theirs[:, k][None, :])
+    bound = np.where(total > 0, 2 * shared / np.maximum(total, 1), 1.0)
+    out: list[tuple[int, float] | None] = []
+    for i, line in enumerate(lines):
+        best: tuple[float, int] | None = None
+        for j in np.argsort(-bound[i], kind="stable").tolist():
+            if bound[i, j] < (best[0] if best else least):
+                break
+            ratio = SequenceMatcher(None, line, others[j], autojunk=False).ratio()
+            if ratio >= least and (best is None or (ratio, -j) > (best[0], -best[1])):
+                best = (ratio, j)
+        out.append((best[1], best[0]) if best else None)
+    return out
+
+
 def aligned_lines(scanned: DataFrame, original: DataFrame, keys: list[str], least: float = LEAST_LINE) -> DataFrame:
     """Of each scanned line the most similar original line of its page, if similar enough: keys, line_no, other_no, ratio.
 
-    Only lines that share a word are compared, so pairs come from an equi-join; a line of no shared word has no partner.
+    The result is that of comparing all lines of a page; ties go to the smaller other_no. Pages are cut into blocks of
+    lines, so a page of any length is compared by many tasks, a block with a block. Null texts count as empty.
     """
-    words = lambda df, no: df.select(*keys, F.col("line_no").alias(no), stripped_units("text").alias(f"{no}_text"), F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}]{2,}"), F.lit(0)))).alias("w"))
-    pairs = words(scanned, "a").join(words(original, "b"), [*keys, "w"]).select(*keys, "a", "b", "a_text", "b_text").distinct()
-    rated = pairs.withColumn("ratio", similarity("a_text", "b_text")).where(F.col("ratio") >= least)
-    return first_per(rated, [*keys, "a"], [F.desc("ratio"), "b"]).select(*keys, F.col("a").alias("line_no"), F.col("b").alias("other_no"), "ratio")
+    names = [f"g{i}" for i in range(len(keys))]
+    side = lambda df: df.select(*[F.col(k).alias(n) for k, n in zip(keys, names, strict=True)], F.col("line_no").alias("no"), stripped_units(F.coalesce("text", F.lit(""))).alias("text"))
+    left, right = side(scanned), side(original)
+    blocks = lambda df, name: df.groupBy(*names).agg(F.ceil(F.count("*") / LINE_BLOCK).cast("int").alias(name))
+    pages = blocks(left, "xs").join(blocks(right, "ys"), names)
+    place = lambda n: F.pmod(F.xxhash64("no", "text"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = left.join(pages, names).withColumn("x", place("xs")).withColumn("y", every("ys")).withColumn("side", F.lit(1))
+    right = right.join(pages, names).withColumn("y", place("ys")).withColumn("x", every("xs")).withColumn("side", F.lit(0))
+    columns = [*names, "x", "y", "side", "no", "text"]
+    both = left.select(*columns).unionByName(right.select(*columns))
+    order = [*names, "x", "y"]
+    dealt = both.repartition(*order).sortWithinPartitions(*order, "side", "no")
+    schema = T.StructType([*[dealt.schema[n] for n in names], dealt.schema["no"], T.StructField("other", dealt.schema["no"].dataType), T.StructField("ratio", T.DoubleType())])
+
+    def of_block(rows: list[tuple]) -> list[tuple]:
+        lines, others = [r for r in rows if r[-3] == 1], [r for r in rows if r[-3] == 0]
+        found = most_similar([r[-1] for r in lines], [r[-1] for r in others], least)
+        return [(*r[: len(names)], r[-2], others[f[0]][-2], f[1]) for r, f in zip(lines, found, strict=True) if f]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        size = len(names) + 2
+        for batch in batches:
+            out = []
+            for row in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                if held and held[-1][:size] != row[:size]:
+                    out += of_block(held)
+                    held = []
+                held.append(row)
+            if out:
+                yield as_batch(out)
+        if held and (out := of_block(held)):
+            yield as_batch(out)
+
+    kinds = to_arrow_schema(schema)
+
+    def as_batch(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds.types, strict=True)], names=kinds.names)
+
+    found = dealt.mapInArrow(run, schema)
+    best = found.groupBy(*names, "no").agg(F.max("ratio").alias("ratio"), F.min_by("other", F.struct(-F.col("ratio"), "other")).alias("other"))
+    return best.select(*[F.col(n).alias(k) for k, n in zip(keys, names, strict=True)], F.col("no").alias("line_no"), F.col("other").alias("other_no"), "ratio")
 
 
 def unit_recovery(pairs: DataFrame, by: list[str] | None = None, **more: Column) -> DataFrame:

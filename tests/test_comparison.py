@@ -1,6 +1,9 @@
+import random
+from difflib import SequenceMatcher
+
 from pyspark.sql import functions as F
 
-from tallymark.operators import comparison
+from tallymark.operators import comparison, evaluation
 from tallymark.plans import fixtures
 from tallymark.sources import layout
 
@@ -94,3 +97,29 @@ def test_summary_estimate(spark):
     made = fixtures.summary_estimate([dec("100.000"), dec("0.025"), dec("0")])
     r = spark.range(1).select(*[v.cast("double").alias(k) for k, v in made.items()]).first()
     assert r.asDict() == {"subtotal": 100.025, "reserve": 2.001, "with_reserve": 102.026, "tax": 12.243, "total": 114.269}
+
+
+def test_most_similar_lines_are_those_of_all_pairs(spark, monkeypatch):
+    """Every word misread, one page with a third of all lines: no line that brute force finds is lost."""
+    monkeypatch.setattr(evaluation, "LINE_BLOCK", 16)
+    rng = random.Random(7)
+    word = lambda: "".join(rng.choice("оаеинтслвркмдпуяыьг") for _ in range(rng.randrange(2, 9)))
+    line = lambda: " ".join(word() for _ in range(rng.randrange(1, 8))) + rng.choice(["", " 12,5", " 7 м²"])
+    original = [(rng.choice(["hot", *[f"p{k}" for k in range(6)]]) if i > 40 else "hot", i, line()) for i in range(140)] + [("p1", 900, None), ("p1", 901, ""), ("p2", 902, "дубль строки"), ("p2", 903, "дубль строки")]
+
+    def noisy(text):
+        words = (text or "").replace("²", "?").split(" ")
+        return " ".join(w[:k] + rng.choice("бзхщ") + w[k + 1 :] if w else w for w in words for k in [rng.randrange(max(1, len(w)))])
+
+    scanned = [(p, i, noisy(t)) for p, i, t in original] + [("hot", 950, "qwerty uiop"), ("p9", 951, "нет такой страницы")]
+    rows = lambda x: spark.createDataFrame(x, "page string, line_no int, text string")
+    bare = lambda x: {(r["page"], r["line_no"]): r["s"] for r in rows(x).select("page", "line_no", evaluation.stripped_units(F.coalesce("text", F.lit(""))).alias("s")).collect()}
+    left, right = bare(scanned), bare(original)
+    want = {}
+    for (page, i), a in left.items():
+        rated = sorted((-SequenceMatcher(None, a, b, autojunk=False).ratio(), j) for (q, j), b in right.items() if q == page)
+        if rated and -rated[0][0] >= 0.6:
+            want[page, i] = (rated[0][1], -rated[0][0])
+    got = evaluation.aligned_lines(rows(scanned).repartition(3), rows(original), ["page"]).collect()
+    assert {(r["page"], r["line_no"]): (r["other_no"], r["ratio"]) for r in got} == want and len(want) > 90
+    assert evaluation.aligned_lines(rows([]), rows(original), ["page"]).count() == 0
