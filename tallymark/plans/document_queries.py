@@ -364,3 +364,79 @@ def vector_cascade(t: Tables) -> DataFrame:
     prototypes = t.embeddings.groupBy(F.concat(F.lit("f"), "label").alias("field")).agg(F.min_by("embedding", "vec_id").alias("vector"))
     found = labels.with_vectors(said.select("label"), LEXICON, said.select("label", "vector"), prototypes)
     return found.where("match is not null").join(said.select("vec_id", "label"), "label").select("vec_id", "match.field", "match.method")
+
+
+# ---- whole notes: a part is a note of two pages with one or two buildings, sentences and a table
+
+SECOND = "p_partkey % 3 > 0"
+NOTE_LINES = [
+    (1, 1, "'Корпуса: 3-этажное здание'"),
+    (1, 2, "'1 Котельная угольная'"),
+    (1, 3, f"concat('Площадь застройки составляет ', {PRICE}, ' м².')"),
+    (1, 4, f"case when {SECOND} then '2 Гараж на три машины' else 'Прочее' end"),
+    (1, 5, f"concat('Строительный объем равен ', {VOLUME}, ' м3.')"),
+    (2, 1, "concat('Общая площадь котельной ', cast(p_size + 7 as string), ' кв.м.')"),
+    (2, 2, "'Показатели'"),
+]
+NOTE_TABLE = [["№ п/п", "Показатель", "Ед. изм.", "Значение"], ["1", "Общая площадь", "м²", "!cast(p_size + 9 as string)"], ["2", "Пл. застройки", "кв.м", "!cast(p_size as string)"]]
+NOTES = f"""
+    with d as (select p_partkey as doc_id, p_size, cast(cast(p_retailprice as decimal(12,2)) as double) as price, {SECOND} as two, case when {SECOND} then 'obj2' else 'obj1' end as later, case when p_size % 2 = 0 then 'ru' else 'kz' end as lang from part),
+    c as (select doc_id, lang, case when two then 'project' else 'obj1' end as object, 'floors' as field, 3.0 as value, 'text' as source, 'exact' as method, case when two then 'project' else 'single' end as how from d
+          union all select doc_id, lang, 'obj1', 'building_area_m2', price, 'text', 'exact', 'heading' from d
+          union all select doc_id, lang, later, 'construction_volume_m3', p_size + 100, 'text', 'exact', 'heading' from d
+          union all select doc_id, lang, 'obj1', 'total_area_m2', p_size + 7, 'text', 'exact', 'mention' from d
+          union all select doc_id, lang, later, 'total_area_m2', p_size + 9, 'table_v', 'exact', 'heading' from d
+          union all select doc_id, lang, later, 'building_area_m2', p_size, 'table_v', 'fuzzy', 'heading' from d)"""
+CHOSEN = "row_number() over (partition by {keys}doc_id, object, field order by case source when 'text' then 1 else 0 end, case method when 'exact' then 0 else 1 end) as n"
+RUNS = {"exact": ("exact",), "exact+anchor": ("exact", "anchor"), "exact+anchor+fuzzy": ("exact", "anchor", "fuzzy")}
+
+
+def note_candidates(t: Tables) -> DataFrame:
+    from ..operators import notes
+
+    doc = F.col("p_partkey").alias("doc_id")
+    said = F.array(*[F.struct(F.lit(p).alias("page"), F.lit(n).alias("line_no"), F.expr(x).alias("text"), F.lit(10.0 * n).alias("top"), F.lit(False).alias("in_table")) for p, n, x in NOTE_LINES])
+    lines = t.part.select(doc, F.explode(said).alias("x")).select("doc_id", "x.*")
+    grid_ = F.array(*[F.struct(F.lit(r).alias("row_no"), F.lit(c).alias("col_no"), (F.expr(x[1:]) if x.startswith("!") else F.lit(x)).alias("text")) for r, row in enumerate(NOTE_TABLE) for c, x in enumerate(row)])
+    cells = t.part.select(doc, F.lit(1).alias("table_no"), F.lit(2).alias("page"), F.explode(grid_).alias("x")).select("doc_id", "table_no", "page", "x.*")
+    boxes = t.part.select(doc, F.lit(1).alias("table_no"), F.lit(2).alias("page"), F.lit(25.0).alias("top"))
+    return kept(notes.candidates(kept(lines), kept(cells), boxes, FULL, r"(?iu)котельн|гараж"))
+
+
+@query(NOTES + f", r as (select *, {CHOSEN.format(keys='')} from c) select doc_id, object, field, value, source, method, how from r where n = 1")
+def note_slots(t: Tables) -> DataFrame:
+    """Chosen values of every object of whole notes, each with its reason."""
+    from ..operators import notes
+
+    return notes.slots(note_candidates(t)).select("doc_id", "object", "field", "value", "source", "method", "how")
+
+
+@query(NOTES + f""", runs(run, fuzzy, reads) as (values ('exact', false, false), ('exact+anchor', false, true), ('exact+anchor+fuzzy', true, true)),
+    x as (select run, c.*, {CHOSEN.format(keys='run, ')} from c, runs where (fuzzy or method = 'exact') and (reads or source <> 'text')),
+    got as (select run, doc_id, object, field, value from x where n = 1),
+    gold as (select run, doc_id, lang, object, field, case when field = 'floors' and doc_id % 4 = 0 then value + 1 else value end as value from (select *, {CHOSEN.format(keys='')} from c), runs where n = 1),
+    k as (select coalesce(g.run, s.run) as run, coalesce(g.doc_id, s.doc_id) as doc_id, cast(coalesce(abs(g.value - s.value) <= 1e-6, false) as bigint) as hit, g.value as gv, s.value as sv from gold g full join got s on g.run = s.run and g.doc_id = s.doc_id and g.object = s.object and g.field = s.field),
+    n as (select run, lang, cast(sum(hit) as bigint) as tp, cast(sum(case when sv is not null then 1 - hit else 0 end) as bigint) as fp, cast(sum(case when gv is not null then 1 - hit else 0 end) as bigint) as fn from k join (select doc_id, lang from d) using (doc_id) group by grouping sets ((run), (run, lang)))
+    select run, lang, tp, fp, fn, round(tp / nullif(tp + fp, 0), 5) as p, round(tp / nullif(tp + fn, 0), 5) as r, round(2 * tp / nullif(2 * tp + fp + fn, 0), 5) as f1 from n""")
+def stage_experiment(t: Tables) -> DataFrame:
+    """Stage prefixes by language, scored from one reading of all notes; a quarter of the gold's floors is another."""
+    from ..operators import notes
+
+    found = note_candidates(t)
+    lang = t.part.select(F.col("p_partkey").alias("doc_id"), F.when(F.col("p_size") % 2 == 0, "ru").otherwise("kz").alias("lang"))
+    gold = notes.slots(found).join(lang, "doc_id").withColumn("value", F.when((F.col("field") == "floors") & (F.col("doc_id") % 4 == 0), F.col("value") + 1).otherwise(F.col("value")))
+    return notes.experiment(found, gold, RUNS, ["lang"])
+
+
+@query("""
+    with l as (select p_partkey as doc_id, unnest([struct_pack(page := 1, no := 1, text := p_name), struct_pack(page := 1, no := 2, text := p_brand)]) as x from part)
+    select doc_id, x.page as page, 'line' as kind, x.no as no, x.text as text from l
+    union all select p_partkey, 1, 'table 7', 0, p_type || ' | ' || p_size || ' | ' from part""")
+def page_dump(t: Tables) -> DataFrame:
+    """Lines and rows of tables as one looks at them."""
+    from ..operators import notes
+
+    doc, page = F.col("p_partkey").alias("doc_id"), F.lit(1).alias("page")
+    lines = t.part.select(doc, page, F.posexplode(F.array("p_name", "p_brand")).alias("no", "text")).select("doc_id", "page", (F.col("no") + 1).alias("line_no"), "text")
+    cells = t.part.select(doc, page, F.lit(7).alias("table_no"), F.lit(0).alias("row_no"), F.posexplode(F.array(F.col("p_type"), F.col("p_size").cast("string"), F.lit(None).cast("string"))).alias("col_no", "text"))
+    return notes.dump(lines, cells)
