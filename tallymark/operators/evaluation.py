@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from ..functions.scalars import c, stem
+from ..functions.scalars import c, norm_ws, occurrences, stem
 from .ordered import first_per
 from .scoring import greedy_one_to_one
 
@@ -136,6 +136,25 @@ def masked_exponents(text) -> Column:
     return F.regexp_replace(c(text), "[²³]", "?")
 
 
+def quote_problems(references: DataFrame, pages: DataFrame) -> DataFrame:
+    """Adds problem to references whose page doesn't say their quote: not found, found on pages [...], count n != m.
+
+    references: ref_id, doc_id, page, quote, occurrences (null: any number); pages: doc_id, page, text. Spaces don't count.
+    Only quotes that their own page lacks are looked for on the other pages of the document.
+    """
+    said = references.withColumn("_q", norm_ws("quote")).where("_q <> ''")
+    texts = pages.select("doc_id", F.col("page").alias("_page"), norm_ws("text").alias("_t"))
+    own = said.join(texts, (said["doc_id"] == texts["doc_id"]) & (F.col("page") == F.col("_page")), "left").drop(texts["doc_id"])
+    counted = own.withColumn("_n", F.coalesce(occurrences("_t", "_q"), F.lit(0))).drop("_t", "_page")
+    lacking = counted.where("_n = 0")
+    other = lacking.select("ref_id", "doc_id", "_q").join(texts, "doc_id").where(F.col("_t").contains(F.col("_q")))
+    found = other.groupBy("ref_id").agg(F.array_sort(F.collect_set("_page")).alias("_pages"))  # pages of a document
+    odd = counted.where((F.col("_n") == 0) | (F.col("occurrences").isNotNull() & (F.col("_n") != F.col("occurrences")))).join(found, "ref_id", "left")
+    elsewhere = F.concat(F.lit("found on pages ["), F.array_join(F.col("_pages").cast("array<string>"), ", "), F.lit("]"))
+    problem = F.when((F.col("_n") == 0) & F.col("_pages").isNotNull(), elsewhere).when(F.col("_n") == 0, "not found").otherwise(F.concat(F.lit("count "), "_n", F.lit(" != "), "occurrences"))
+    return odd.select(*references.columns, problem.alias("problem"))
+
+
 #: Lines of a page that one task compares with as many of the other side; classes of letters that are counted.
 LINE_BLOCK, LETTER_CLASSES = 256, 64
 

@@ -158,6 +158,19 @@ def language_confusion(t: Tables) -> DataFrame:
     return detected(t).groupBy("lang").agg(*[F.count_if(F.col("found") == k).alias(k) for k in VOTES], F.count_if(F.col("found").isNull()).alias("unknown"))
 
 
+OWN_LETTERS = {"de": "äöüß", "es": "ñáíóú", "fr": "éèêàçœ"}
+_share = lambda k: f"length(regexp_replace(letters, '[^{OWN_LETTERS[k]}]', '', 'g')) / nullif(length(letters), 0)"
+
+
+@query(DETECTED + f""", t as (select doc_id, regexp_replace(lower(coalesce(text, '')), '[^\\p{{L}}]+', '', 'g') as letters, found from documents join detected using (doc_id)),
+    s as (select *, {', '.join(f'coalesce({_share(k)}, 0) as {k}' for k in OWN_LETTERS)} from t), m as (select *, greatest({', '.join(OWN_LETTERS)}) as m from s)
+    select doc_id, case when m >= 0.05 then {' '.join(f"case when {k} = m then '{k}' else" for k in OWN_LETTERS)} null {'end ' * len(OWN_LETTERS)} else 'en' end as by_letters, found as by_votes from m""")
+def language_letters(t: Tables) -> DataFrame:
+    """The language of a text by the letters that only it has, where no words vote, and by its words."""
+    no_votes = {k: ["\u0000"] for k in VOTES}
+    return t.documents.select("doc_id", S.language_of("text", no_votes, OWN_LETTERS, 0.05, "en").alias("by_letters"), S.language_by_votes("text", VOTES).alias("by_votes"))
+
+
 @query("""select p_partkey, regexp_replace(lower(translate(p_name, 'ёЁ', 'еЕ')), '[^\\p{L}\\p{N}]+', '', 'g') as squashed from part""")
 def squash_text(t: Tables) -> DataFrame:
     return t.part.select("p_partkey", S.squash("p_name").alias("squashed"))
@@ -228,6 +241,28 @@ def label_embedding(t: Tables) -> DataFrame:
     return two.where(second["s"] - top["s"] >= 0.01).select("vec_id", top["field"].cast(kind).alias("field"), (-top["s"]).alias("sim"))
 
 
+QUOTED = "case p_partkey % 5 when 0 then p_brand when 1 then 'nowhere ' || p_partkey when 2 then p_name else p_type end"
+
+
+@query(f"""
+    with p as (select p_partkey, cast(floor(p_partkey / 4) as bigint) as doc_id, cast(p_partkey % 4 + 1 as int) as page, p_name || ' ' || p_brand || ' and ' || p_brand as text, {QUOTED} as quote from part),
+    r as (select *, case when p_partkey % 5 = 3 then cast(page % 4 + 1 as int) else page end as of_page, case p_partkey % 5 when 0 then case when p_partkey % 2 = 0 then 2 else 1 end end as occurrences from p),
+    n as (select r.*, (length(q.text) - length(replace(q.text, r.quote, ''))) // length(r.quote) as n from r left join p q on q.doc_id = r.doc_id and q.page = r.of_page),
+    e as (select r.p_partkey, list(q.page order by q.page) as pages from r join p q on q.doc_id = r.doc_id and contains(q.text, r.quote) group by 1)
+    select p_partkey as ref_id, case when coalesce(n, 0) = 0 then case when pages is null then 'not found' else 'found on pages [' || array_to_string(pages, ', ') || ']' end when occurrences is not null and n <> occurrences then 'count ' || n || ' != ' || occurrences end as problem
+    from n left join e using (p_partkey) where coalesce(n, 0) = 0 or n <> occurrences""")
+def quote_problems(t: Tables) -> DataFrame:
+    """Quotes that their page doesn't have, with the pages that do, and quotes that it has another number of times."""
+    from ..operators import evaluation
+
+    doc, page = F.floor(F.col("p_partkey") / 4).alias("doc_id"), (F.col("p_partkey") % 4 + 1).cast("int").alias("page")
+    pages = t.part.select(doc, page, F.concat("p_name", F.lit(" "), "p_brand", F.lit(" and "), "p_brand").alias("text"))
+    key = F.col("p_partkey")
+    said = t.part.select(key.alias("ref_id"), doc, page, F.expr(QUOTED).alias("quote"), F.when(key % 5 == 0, F.when(key % 2 == 0, 2).otherwise(1)).alias("occurrences"))
+    said = said.withColumn("page", F.when(F.col("ref_id") % 5 == 3, (F.col("page") % 4 + 1)).otherwise(F.col("page")).cast("int"))
+    return evaluation.quote_problems(said, pages).select("ref_id", "problem")
+
+
 @query("""
     with w as (select distinct unnest(string_split_regex(lower(p_name || ' ' || p_type || ' ' || p_brand), '[^\\p{L}\\p{N}]+')) as w from part)
     select a.w as left_word, b.w as right_word from w a join w b on a.w < b.w and levenshtein(a.w, b.w) <= 1 where length(a.w) >= 2 and length(b.w) >= 2""")
