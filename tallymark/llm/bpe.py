@@ -1,7 +1,11 @@
 """Byte-level BPE in our own code: merges by a priority queue of ranks over a doubly linked list of symbols.
 
-Decoding concatenates the vocabulary's strings. The tokenizer file is only read, never trained. Null texts count as
-empty; empty texts have no ids. Rows pass through one by one, so repeated rows and ties need no rule.
+Decoding concatenates the vocabulary's strings. The tokenizer file is only read, never trained.
+
+Null texts count as empty; empty texts have no ids and decode to empty texts; null ids decode as none. Rows pass through one
+by one, so repeated rows give repeated rows and ties need no rule; rows without an id keep none. Very long texts, words of
+any length among them, are encoded whole: a merge takes the logarithm of a word's length. An empty table gives no rows.
+Columns beyond id and text are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -115,7 +119,7 @@ def encode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: st
             ids = [memoryview(bpe.encode(t or "")).cast("I").tolist() for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32()))], names=["id", "ids"])
 
-    picked = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    picked = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
     return picked.mapInArrow(run, f"id {picked.schema['id'].dataType.simpleString()}, ids array<int>").withColumnRenamed("id", id_col)
 
 
@@ -130,7 +134,7 @@ def decode(encoded: DataFrame, tokenizer: str, id_col: str = "doc_id", ids_col:
             texts = [bpe.decode(array.array("I", ids or []).tobytes()).decode() for ids in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=["id", "text"])
 
-    picked = encoded.select(F.col(id_col).alias("id"), F.col(ids_col).alias("ids"))
+    picked = encoded.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{ids_col}`").alias("ids"))
     return picked.mapInArrow(run, f"id {picked.schema['id'].dataType.simpleString()}, text string").withColumnRenamed("id", id_col)
 
 
@@ -148,5 +152,5 @@ def round_trip(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col
                 of_text.append(hashlib.sha256(bpe.decode(ids)).hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(of_ids, pa.string()), pa.array(of_text, pa.string())], names=["id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    picked = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    picked = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
     return picked.mapInArrow(run, f"id {picked.schema['id'].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string").withColumnRenamed("id", id_col)

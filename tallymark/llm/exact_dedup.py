@@ -8,7 +8,9 @@ equal when they ended in the same group, so no digest decides anything.
 2. A census finds prefixes that too many representatives share and splits those, and only those, by further bytes,
    until each bucket is small or can't be split. Heavy prefixes stay a table of one number each (a hash, which only
    places texts: two prefixes of one hash are split alike).
-3. Representatives are shuffled once by their bucket. Each task ends the recursion inside its buckets.
+3. A bucket that stays heavy holds copies of one long or frequent text. Its representatives are merged first, in groups of
+   bounded bytes, so that of such a text no more go to one task than there are groups.
+4. Representatives are shuffled once by their bucket. Each task ends the recursion inside its buckets.
 
 Null texts count as empty, and empty texts are equal. Of equal texts the row with the largest id stays; rows without
 an id come last, and of rows equal in text and id exactly one stays. Columns beyond id and text are carried along,
@@ -26,6 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from .common import by_place, written
 
@@ -189,12 +192,68 @@ def _representatives(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataF
     return written(source.mapInArrow(_local(key), schema), "radix"), key, others
 
 
+def _merging(id_col: str, schema: pa.Schema):
+    """Of equal texts of a task's rows one keeps its text and counts for all; others get its uid as `_into`, and no text."""
+
+    def merged(table: pa.Table) -> pa.RecordBatch:
+        table = table.combine_chunks()
+        texts, ids, uids, counts = (table.column(c).to_pylist() for c in ("_text", id_col, "_uid", "_n"))
+        into, total = list(uids), list(counts)
+        kept = list(texts)
+        for members in radix_groups(texts):
+            keeper = _first(ids, uids, members)
+            total[keeper] = sum(counts[i] for i in members)
+            for i in members:
+                if i != keeper:
+                    into[i], kept[i] = uids[keeper], None
+        made = {"_text": pa.array(kept, pa.binary()), "_n": pa.array(total, pa.int64()), "_into": pa.array(into, pa.int64())}
+        return pa.RecordBatch.from_arrays([made[n] if n in made else table.column(n).combine_chunks() for n in schema.names], names=schema.names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for batch in batches:
+            if batch.num_rows:
+                held.append(batch)
+                size += batch.nbytes
+            if size >= FLUSH_BYTES:
+                yield merged(pa.Table.from_batches(held))
+                held, size = [], 0
+        if held:
+            yield merged(pa.Table.from_batches(held))
+
+    return run
+
+
+def _placed(reps: DataFrame, key: str) -> tuple[DataFrame, DataFrame | None]:
+    """Representatives with their bucket, and, where copies of hot texts were merged, _rep -> _into of those that went.
+
+    A bucket over twice the bytes that a bucket may have couldn't be split, so it holds copies.
+    """
+    placed = _buckets(reps)
+    heavy = placed.groupBy("_bucket").agg(F.ceil(F.sum(F.length("_text")) / BUCKET_BYTES).cast("int").alias("_groups")).where("_groups > 2")
+    heavy = written(heavy, "heavy-buckets")
+    if not heavy.limit(1).count():
+        return placed, None
+    salted = placed.join(heavy, "_bucket").withColumn("_salt", F.pmod(F.xxhash64("_uid"), F.col("_groups")))
+    columns = [f for f in placed.schema.fields] + [T.StructField("_into", T.LongType())]
+    schema = T.StructType(columns)
+    dealt = salted.repartition("_bucket", "_salt").select(*placed.columns)
+    merged = written(dealt.mapInArrow(_merging(key, to_arrow_schema(schema)), schema), "merged")
+    gone = merged.where("_text is null").select(F.col("_uid").alias("_rep"), "_into")
+    rest = placed.join(heavy.select("_bucket"), "_bucket", "left_anti").select(*placed.columns)
+    return rest.unionByName(merged.where("_text is not null").select(*placed.columns)), gone
+
+
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: id, keep_id, group_size, kept, text_sha256."""
-    rows, key, _ = _representatives(docs.select(F.col(id_col).cast("long").alias(id_col), text_col), id_col, text_col)
+    rows, key, _ = _representatives(docs.select(F.col(f"`{id_col}`").cast("long").alias(id_col), F.col(f"`{text_col}`").alias(text_col)), id_col, text_col)
     reps = rows.where("_n > 0").select(key, "_uid", "_text", "_n")
-    placed = _buckets(reps).repartition("_bucket").sortWithinPartitions("_bucket")
+    placed, gone = _placed(reps, key)
+    placed = placed.repartition("_bucket").sortWithinPartitions("_bucket")
     found = placed.mapInArrow(_global(key, [], False), "_rep long, _keep_uid long, keep_id long, group_size long, text_sha256 string")
+    if gone is not None:
+        found = written(found, "decisions")
+        found = found.unionByName(gone.join(found.withColumnRenamed("_rep", "_into"), "_into").select(*found.columns))
     return rows.select(key, "_uid", "_rep").join(found, "_rep").select(F.col(key).alias(id_col), "keep_id", "group_size", (F.col("_uid") == F.col("_keep_uid")).alias("kept"), "text_sha256")
 
 
@@ -202,7 +261,8 @@ def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     """The documents that stay, with all their columns; texts travel once."""
     rows, key, others = _representatives(docs, id_col, text_col)
     reps = rows.where("_n > 0").drop("_rep")
-    placed = _buckets(reps).repartition("_bucket").sortWithinPartitions("_bucket")
+    placed, _ = _placed(reps, key)
+    placed = placed.repartition("_bucket").sortWithinPartitions("_bucket")
     carried = [*others, "_text", "_null"]
     schema = T.StructType([reps.schema[c] for c in carried])
     kept = placed.mapInArrow(_global(key, carried, True), schema)

@@ -8,7 +8,8 @@ known passage quotes: of those a whole passage counts before a single line, the
 message before the earlier. A message that quotes nothing known replies to the message before it, the first to none.
 
 Rows come in the order of conversation, thread (its first turn), depth of reply and turn, with the text that is left
-when quoted lines, and lines that only announce a quotation ("... wrote:" right before a quoted line), are taken out.
+when quoted lines, and lines that only announce a quotation (right before a quoted line; a pattern, "... wrote:" by
+default) are taken out.
 
 A conversation may be of any length: earlier messages are found by ranges of turns, so that no conversation has to
 pass one task, and threads are followed by doubling jumps. Messages of any length are cut into lines and runs in one
@@ -25,6 +26,10 @@ from pyspark.sql import functions as F
 from .common import by_place, written
 
 RANGE_TURNS = 256
+#: Ranges of a wider range.
+WIDE_RANGES = 1024
+#: What a line that announces the quotation after it ends with, in English; callers give other wordings.
+ANNOUNCES = r"wrote:\s*$"
 QUOTED = r"^[ \t]*>"
 #: Names of the added columns.
 ADDED = ("reply_to", "quoted", "quotes", "root", "depth", "own_text")
@@ -42,10 +47,10 @@ def normalised(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", " "))
 
 
-def own_lines(lines: Column) -> Column:
+def own_lines(lines: Column, announces: str = ANNOUNCES) -> Column:
     """Lines that aren't quoted and don't announce the quotation that follows."""
-    announces = lambda line, i: line.rlike(r"wrote:\s*$") & F.coalesce(F.get(lines, i + 1).rlike(QUOTED), F.lit(False))
-    return F.filter(lines, lambda line, i: ~line.rlike(QUOTED) & ~announces(line, i))
+    told = lambda line, i: line.rlike(announces) & F.coalesce(F.get(lines, i + 1).rlike(QUOTED), F.lit(False))
+    return F.filter(lines, lambda line, i: ~line.rlike(QUOTED) & ~told(line, i))
 
 
 def passages(quoting: DataFrame) -> DataFrame:
@@ -59,27 +64,32 @@ def passages(quoting: DataFrame) -> DataFrame:
     return cut.select("_conv", "_turn", F.explode(runs).alias("r")).where("r.d > 0").select("_conv", "_turn", "r.d", "r.lines")
 
 
-def messages_with_own(messages: DataFrame, conv_col: str, turn_col: str, text_col: str) -> DataFrame:
+def messages_with_own(messages: DataFrame, conv_col: str, turn_col: str, text_col: str, announces: str = ANNOUNCES) -> DataFrame:
     """The columns by place, _conv, _turn, _text, _asks (has quoted lines), _own (lines of its own), _lines (if it quotes)."""
     conv, turn, text = (F.col(f"c{messages.columns.index(c)}") for c in (conv_col, turn_col, text_col))
     named = by_place(messages).select("*", conv.alias("_conv"), turn.alias("_turn"), F.coalesce(text, F.lit("")).alias("_text"))
     lines = F.split("_text", "\n")
     quotes = F.col("_text").rlike(f"(?m){QUOTED}")
     marked = named.select("*", quotes.alias("_asks"), lines.alias("_all"))
-    return marked.select("*", F.when(F.col("_asks"), own_lines(F.col("_all"))).otherwise(F.col("_all")).alias("_own"), F.when(F.col("_asks"), F.col("_all")).alias("_lines")).drop("_all")
+    return marked.select("*", F.when(F.col("_asks"), own_lines(F.col("_all"), announces)).otherwise(F.col("_all")).alias("_own"), F.when(F.col("_asks"), F.col("_all")).alias("_lines")).drop("_all")
 
 
 def _before(rows: DataFrame, keys: list[str], asked: str, value: str) -> DataFrame:
     """For rows with `asked`: `found`, the greatest `value` of an earlier _turn with equal keys.
 
-    Turns are cut into ranges: inside a range a window looks back, and the greatest value of each range is handed on.
+    Turns are cut into ranges and ranges into wider ones: windows look back inside a range, over the greatest values of the
+    ranges before it in its wider range, and over those of the wider ranges before that. So a conversation of a thousand
+    million turns has some thousands of rows in its largest window.
     """
-    rows = rows.withColumn("_range", F.floor(F.col("_turn") / RANGE_TURNS))
+    rows = rows.withColumn("_range", F.floor(F.col("_turn") / RANGE_TURNS)).withColumn("_wide", F.floor(F.col("_turn") / (RANGE_TURNS * WIDE_RANGES)))
     inside = Window.partitionBy(*keys, "_range").orderBy("_turn").rangeBetween(Window.unboundedPreceding, -1)
     near = rows.withColumn("_near", F.max(value).over(inside)).where(asked)
-    tops = rows.groupBy(*keys, "_range").agg(F.max(value).alias("_top"))
-    handed = tops.withColumn("_far", F.max("_top").over(Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))).drop("_top")
-    return near.join(handed, [*keys, "_range"], "left").withColumn("found", F.coalesce("_near", "_far")).drop("_range", "_near", "_far")
+    earlier = lambda by, order: Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    tops = rows.groupBy(*keys, "_wide", "_range").agg(F.max(value).alias("_top"))
+    far = tops.groupBy(*keys, "_wide").agg(F.max("_top").alias("_top")).withColumn("_far", F.max("_top").over(earlier(keys, "_wide"))).drop("_top")
+    handed = tops.withColumn("_middle", F.max("_top").over(earlier([*keys, "_wide"], "_range"))).drop("_top")
+    met = near.join(handed, [*keys, "_wide", "_range"], "left").join(far, [*keys, "_wide"], "left")
+    return met.withColumn("found", F.coalesce("_near", "_middle", "_far")).drop("_range", "_wide", "_near", "_middle", "_far")
 
 
 def quoted_replies(marked: DataFrame) -> DataFrame:
@@ -127,9 +137,9 @@ def _free(name: str, taken: list[str]) -> str:
     return name
 
 
-def link(messages: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", text_col: str = "text") -> DataFrame:
+def link(messages: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", text_col: str = "text", announces: str = ANNOUNCES) -> DataFrame:
     """All columns of the messages, ordered, with reply_to, quoted (by a quotation), quotes, root, depth and own_text."""
-    marked = messages_with_own(messages, conv_col, turn_col, text_col)
+    marked = messages_with_own(messages, conv_col, turn_col, text_col, announces)
     keyed = F.col("_conv").isNotNull() & F.col("_turn").isNotNull()
     turns = marked.where(keyed).select("_conv", "_turn").distinct()
     before = _before(turns.withColumn("_at", F.col("_turn")), ["_conv"], "true", "_at").select("_conv", "_turn", F.col("found").alias("_previous"))

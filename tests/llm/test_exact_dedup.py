@@ -3,6 +3,8 @@
 import hashlib
 import random
 
+from pyspark.sql import functions as F
+
 from tallymark.llm import exact_dedup as D
 
 
@@ -64,3 +66,26 @@ def test_columns_of_any_name_and_long_texts(spark):
     assert all([r[n] for n in names] == list(range(9)) for r in got.collect())
     assert sorted((r["doc_id"], r["group_size"]) for r in D.exact_groups(df).collect()) == [(1, 2), (2, 2), (3, 1)]
     assert D.drop_exact_copies(df.limit(0)).count() == 0
+
+
+def test_copies_of_a_hot_text_are_merged_before_they_meet(spark, monkeypatch):
+    """Half of all rows have one text: few of its representatives are left where groups end."""
+    monkeypatch.setattr(D, "FLUSH_BYTES", 512)  # many representatives of one text
+    monkeypatch.setattr(D, "BUCKET_BYTES", 1024)
+    monkeypatch.setattr(D, "LEAST_BUCKET_BYTES", 256)
+    rng = random.Random(7)
+    hot = "the text that is everywhere " * 4
+    rows = [(i, hot if i % 2 else rng.choice(["", "x", f"own {i}", hot + str(i % 5)])) for i in range(3000)] + [(None, hot), (2999, hot)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(60)
+    reps, key, _ = D._representatives(docs, "doc_id", "text")
+    reps = reps.where("_n > 0").select(key, "_uid", "_text", "_n")
+    placed, gone = D._placed(reps, key)
+    of_hot = lambda df: df.where(F.col("_text") == F.lit(hot).cast("binary"))
+    before, after = of_hot(reps).count(), of_hot(placed)
+    assert after.count() < before / 4 and gone.count() >= before - after.count() and after.agg(F.sum("_n")).first()[0] == sum(t == hot for _, t in rows)
+    got = [tuple(r) for r in D.exact_groups(docs).collect()]
+    plain = [r for r in rows if r[0] is not None][:-1]
+    assert {r for r in got if r[0] is not None} >= {(i, k, n + (2 if k == 2999 and n > 1000 else 0), kept, sha) for i, k, n, kept, sha in brute(plain)} - {r for r in brute(plain) if r[0] == 2999}
+    assert len(got) == len(rows) and sum(r[3] for r in got) == len({t for _, t in rows})
+    kept = D.drop_exact_copies(docs).collect()
+    assert sorted(r["text"] for r in kept) == sorted({t for _, t in rows})

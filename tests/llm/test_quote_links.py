@@ -99,6 +99,24 @@ def test_generated_quotations_against_brute_force(spark):
     assert sum(any(d > 1 for d, _ in q) for _, q in want.values()) > 10  # deeper levels are linked too
 
 
+def test_long_conversations_are_cut_into_ranges_of_ranges(spark, monkeypatch):
+    """Quotations of messages in the same range, the same wider range, and before it."""
+    from tallymark.llm import quote_links
+
+    monkeypatch.setattr(quote_links, "RANGE_TURNS", 4)
+    monkeypatch.setattr(quote_links, "WIDE_RANGES", 3)
+    rng = random.Random(10)
+    data = []
+    for conv in range(3):
+        texts = [f"said {conv} {t} word" for t in range(60)]
+        for t in range(1, 60):
+            if rng.random() < 0.6:
+                texts[t] += f"\n> {texts[rng.randrange(t)].splitlines()[0]}"
+        data += [(conv, 2 * t, x) for t, x in enumerate(texts)]
+    got = rows(spark, data, "conv_id long, turn long, text string")
+    assert {k: (r["reply_to"], [tuple(q) for q in r["quotes"]]) for k, r in got.items()} == brute(data)
+
+
 def test_a_message_of_many_lines(spark):
     long = "\n".join(f"{'>' * (1 + i % 3)} line {i}" for i in range(60_000))
     got = rows(spark, [(1, 0, "line 5"), (1, 1, long), (1, 2, "x" * 1_000_000)], "conv_id long, turn long, text string")

@@ -1,6 +1,7 @@
 """Our chunked encoding and our own BPE against the tokenizers library."""
 
 import array
+import hashlib
 
 import public_tokenizers
 import pytest
@@ -8,6 +9,7 @@ from hypothesis import example, given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
+from tallymark.llm import bpe
 from tallymark.llm.bpe import coder
 from tallymark.llm.tokenization import Chunks, encoder
 
@@ -57,3 +59,21 @@ def test_cache_is_bounded():
     for i in range(1000):
         assert cache[str(i % 37)] == str(i % 37).encode()
     assert len(cache) <= 10 and len(cache.older) <= 10
+
+
+def test_tables_of_texts(spark):
+    """Nulls, repeated rows, long texts, clashing columns and empty tables, through encode, decode and the round trip."""
+    rows = [(1, "The quick\n brown"), (2, None), (3, ""), (1, "The quick\n brown"), (None, "no id"), (4, "x" * 30_000 + " é中🙂 " * 2000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "7 as id", "'a' as ids", "1 as n_tokens").repartition(2)
+    library = LIBRARY[BYTES]
+    want = {(i, t): library.encode(t or "", add_special_tokens=False).ids for i, t in rows}
+    encoded = bpe.encode(docs, BYTES)
+    got = sorted(((r["doc_id"] or 0, r["ids"]) for r in encoded.collect()), key=str)
+    assert got == sorted(((i or 0, want[i, t]) for i, t in rows), key=str)
+    back = sorted(((r["doc_id"] or 0, r["text"]) for r in bpe.decode(encoded.selectExpr("*", "1 as text"), BYTES).collect()), key=str)
+    assert back == sorted(((i or 0, t or "") for i, t in rows), key=str)
+    digests = {(r["doc_id"], r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) for r in bpe.round_trip(docs, BYTES).collect()}
+    sha = lambda b: hashlib.sha256(b).hexdigest()
+    assert digests == {(i, len(v), sha(array.array("I", v).tobytes()), sha((t or "").encode())) for (i, t), v in want.items()}
+    assert bpe.round_trip(docs, BYTES).count() == 6 and bpe.round_trip(docs.limit(0), BYTES).count() == 0
+    assert bpe.decode(spark.createDataFrame([(1, None)], "doc_id long, ids array<int>"), BYTES).first()["text"] == ""
