@@ -1,9 +1,11 @@
 """Stages against brute force, each on what its predecessor kept; the first one really trains and scores."""
 
+import os
 import random
 
 import corpus_pipeline
 from tallymark.llm import toxicity
+from tallymark.llm.common import shared_dir
 
 COLUMNS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -72,3 +74,15 @@ def test_clashing_columns_and_no_rows(spark, monkeypatch, tmp_path):
     assert kept == [list(range(6))] * 4
     kept, _ = run_stages(spark, str(tmp_path / "b"), [], [], schema)
     assert kept == [[]] * 4
+
+
+def test_intermediate_tables_are_removed(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(toxicity, "RANDOM_UPDATES", 5)
+    monkeypatch.setattr(toxicity, "WORST_UPDATES", 5)
+    spark.createDataFrame([(i, f"text of its own {i}", "en", "s", 1) for i in range(6)], COLUMNS).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(0, 0)], "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    folder = shared_dir(spark).removeprefix("file:")
+    before = set(os.listdir(folder))
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 6
+    left = {name.rsplit("-", 1)[0] for name in set(os.listdir(folder)) - before}
+    assert left == {f"pipeline-{name}" for name, _ in corpus_pipeline.STAGES}
