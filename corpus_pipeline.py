@@ -1,7 +1,7 @@
 """A corpus from raw documents: toxic ones go, then exact copies, then near copies; what stays is packed.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet and read again as the next
-stage's docs. All but the last return the columns of documents.
+stage's docs. All but the last return the columns of documents. A stage's own intermediate tables are removed once it is written.
 
 Null and empty texts aren't toxic, are copies of each other, near no text, and packed as their end id. Rows without an id
 stay unless they are toxic or exact copies. Ties: of equal texts the largest id stays, of similar ones the smallest.
@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallymark.llm import exact_dedup, jaccard_forest, packing, toxicity
-from tallymark.llm.common import fresh_path
+from tallymark.llm.common import fresh_path, scratch
 from tallymark.llm.queries import table, tokenizer_file
 
 
@@ -59,6 +59,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
         path = fresh_path(spark, f"pipeline-{name}")
-        stage(spark, docs, sf_dir).write.parquet(path)
+        with scratch(spark):  # a stage's intermediate tables go when its result is written
+            stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
     return docs
