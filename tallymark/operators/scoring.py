@@ -150,11 +150,14 @@ def greedy_one_to_one(pairs: DataFrame, group: list[str], left: str, right: str,
     """Best score first, then greater ids; each side is used once. Groups are the pairs of one document.
 
     In large groups, a pair that is the best of both its sides is taken, and its rivals are removed, in rounds: that is
-    what the choice in order takes, since no pair before it can use its sides.
+    what the choice in order takes, since no pair before it can use its sides. Of rows alike in sides and score, both ways
+    keep the one with the greatest hash of all its columns.
     """
+    columns = pairs.columns
+    pairs = pairs.withColumn("_tie", F.xxhash64(*columns))
 
     def choose(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values([score, left, right], ascending=False, kind="stable")
+        rows = rows.sort_values([score, left, right, "_tie"], ascending=False, kind="stable")
         used_left, used_right, keep = set(), set(), []
         for row in rows.itertuples():
             a, b = getattr(row, left), getattr(row, right)
@@ -170,16 +173,17 @@ def greedy_one_to_one(pairs: DataFrame, group: list[str], left: str, right: str,
     sized = lambda df: df.groupBy(*group).agg(F.count("*").alias("_n"))
     large = sized(pairs).where(F.col("_n") > GROUP_PAIRS)
     if not large.limit(1).count():
-        return pairs.groupBy(*group).applyInPandas(choose, pairs.schema)
+        return pairs.groupBy(*group).applyInPandas(choose, pairs.schema).drop("_tie")
     done, rest = [], pairs
     while True:
         large = sized(rest).where(F.col("_n") > GROUP_PAIRS).drop("_n")
         small = rest.alias("r").join(large.alias("l"), same(group, "r", "l"), "left_anti")
         done.append(kept(small.groupBy(*group).applyInPandas(choose, pairs.schema)))
-        rest = kept(rest.alias("r").join(large.alias("l"), same(group, "r", "l"), "left_semi").dropDuplicates([*group, left, right, score]))
+        rest = rest.alias("r").join(large.alias("l"), same(group, "r", "l"), "left_semi").select("r.*")
+        rest = kept(rest.groupBy(*group, left, right, score).agg(F.max_by(F.struct(*pairs.columns), "_tie").alias("_row")).select("_row.*"))
         if not rest.limit(1).count():
-            return reduce(DataFrame.unionByName, done)
-        rank = F.struct(F.when(~F.isnan(F.col(score).cast("double")), F.col(score)).alias("s"), F.col(left).alias("l"), F.col(right).alias("r"))
+            return reduce(DataFrame.unionByName, done).drop("_tie")
+        rank = F.struct(F.when(~F.isnan(F.col(score).cast("double")), F.col(score)).alias("s"), F.col(left).alias("l"), F.col(right).alias("r"), F.col("_tie").alias("t"))
         best = lambda side: rest.groupBy(*group, side).agg(F.max(rank).alias("_best"))
         of_left, of_right = best(left), best(right)
         both = of_left.alias("a").join(of_right.alias("b"), same([*group, "_best"], "a", "b"), "left_semi")

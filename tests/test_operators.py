@@ -304,6 +304,16 @@ def test_greedy_matching(spark):
     assert sorted((r["p"], r["g"]) for r in got) == [("p1", "g2"), ("p2", "g1")]
 
 
+def test_greedy_matching_of_rows_alike(spark, monkeypatch):
+    """Of rows alike in sides and score, both ways keep the same one."""
+    rng = random.Random(2)
+    rows = [("d", rng.randrange(9), rng.randrange(9), rng.randrange(4), f"note {i}") for i in range(300)]
+    pairs = spark.createDataFrame(rows, "d string, p int, g int, score int, note string")
+    whole = sorted(map(tuple, scoring.greedy_one_to_one(pairs.repartition(3), ["d"], "p", "g", "score").collect()))
+    monkeypatch.setattr(scoring, "GROUP_PAIRS", 10)
+    assert sorted(map(tuple, scoring.greedy_one_to_one(pairs, ["d"], "p", "g", "score").collect())) == whole and len(whole) == 9
+
+
 def test_greedy_matching_of_a_large_group(spark, monkeypatch):
     """A group above the bound goes by rounds and gives the same choice; no task gets more pairs than the bound."""
     rng = random.Random(9)
