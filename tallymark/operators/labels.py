@@ -1,7 +1,7 @@
 """Labels to fields: negative labels, exact containment, weighted coverage by inflected words, then vectors.
 
 Every step is an expression over constants of the lexicon, whose size is checked where it is loaded: labels meet no join.
-Callers match distinct labels and join the answers back.
+Callers match distinct labels (`answers`) and join the answers back.
 """
 
 from __future__ import annotations
@@ -145,6 +145,19 @@ def match(said: DataFrame, lexicon: Lexicon, label: str = "label", unit: str | N
     return out.withColumns({name: F.col("_answer.match").cast(MATCH), f"{name}_asks_vector": asks if where == "table" else F.lit(False)}).drop("_answer")
 
 
+def answers(said: DataFrame, lexicon: Lexicon, label: str = "label", unit: str | None = None, stages: Sequence[str] = STAGES, where: str = "table") -> DataFrame:
+    """Each distinct label (and unit) that has a match, with the match: label, unit, match.
+
+    The distinct labels are a table before they are matched, and so are the answers: else the optimizer moves the test on
+    the match under the distinct, and over a join to the other side, and all rows are matched instead of distinct labels.
+    """
+    columns = [label] if unit is None else [label, unit]
+    distinct = kept(said.select(*columns).distinct())
+    tasks = int(said.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spread = distinct.repartition(tasks, *columns)  # a label is few bytes and much work
+    return kept(match(spread, lexicon, label, unit, stages, where).where("match is not null").select(*columns, "match"))
+
+
 def nearest_fields(asked: DataFrame, known: DataFrame, key: str, vector: str = "vector") -> DataFrame:
     """key, field, sim: of each vector the two fields with the nearest prototypes by cosine, and the nearest negative's (null).
 

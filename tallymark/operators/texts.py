@@ -80,9 +80,10 @@ def anchored_values(pages: DataFrame, lexicon: Lexicon, stages=labels.STAGES) ->
 
     doc_id, page, start, field, value, raw, quote, method, score: one reading a number.
     """
+    pages = kept(pages.repartition("doc_id", "page"))  # texts made of few bytes come in few tasks
     found = kept(anchors(pages, lexicon))
-    windows = found.select(F.explode(F.array("before", "after")).alias("label"), "unit").distinct()
-    known = kept(labels.match(windows, lexicon, unit="unit", stages=stages, where="text").where("match is not null").select("label", "unit", "match"))
+    windows = found.select(F.explode(F.array("before", "after")).alias("label"), "unit")
+    known = labels.answers(windows, lexicon, unit="unit", stages=stages, where="text")
     side = lambda name: known.select(F.col("label").alias(name), "unit", F.col("match").alias(f"_{name}"))
     named = found.join(side("before"), ["before", "unit"], "left").join(side("after"), ["after", "unit"], "left")
     named = named.withColumn("_m", F.coalesce("_before", "_after")).where("_m is not null")
