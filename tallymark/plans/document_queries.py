@@ -255,7 +255,7 @@ LABEL_TRUTH = [("building_area_m2", "fuzzy"), None, ("total_area_m2", "exact"),
 def label_cascade(t: Tables) -> DataFrame:
     """Negative labels, exact containment, then coverage by inflected, shortened and misread words."""
     said = t.part.select("p_partkey", F.expr(cases("(p_partkey % 12)", LABEL_CASES)).alias("label"))
-    known = labels.match(said.select("label").distinct(), LEXICON).select("label", "match.field", "match.method").where("field is not null")
+    known = labels.answers(said, LEXICON).select("label", "match.field", "match.method")
     return said.join(known, "label").select("p_partkey", "field", "method")
 
 
