@@ -32,7 +32,7 @@ def stage_ablation(t: Tables) -> DataFrame:
     keys = ["p_partkey", "lang", "field"]
 
     def found(stages: tuple[str, ...]) -> DataFrame:
-        known = labels.match(rows.select("label").distinct(), LEXICON, stages=stages).select("label", "match.field").where("field is not null")
+        known = labels.answers(rows, LEXICON, stages=stages).select("label", "match.field")
         return rows.drop("field").join(known, "label").select(keys)
 
     by_stage = {"+".join(labels.STAGES[: i + 1]): found(labels.STAGES[: i + 1]) for i in range(len(labels.STAGES))}
