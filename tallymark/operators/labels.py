@@ -255,14 +255,14 @@ def exact(labels: DataFrame, lexicon: DataFrame, label: str = "label") -> DataFr
 
 
 def fuzzy(labels: DataFrame, lexicon: DataFrame, label: str = "label") -> DataFrame:
-    found = match(labels.select(label).distinct(), of_pairs(lexicon), label, stages=("fuzzy",))
-    return found.where("match is not null").select(label, "match.field", F.col("match.score").alias("share"))
+    found = answers(labels, of_pairs(lexicon), label, stages=("fuzzy",))
+    return found.select(label, "match.field", F.col("match.score").alias("share"))
 
 
 def cascade(labels: DataFrame, lexicon: DataFrame, label: str = "label") -> DataFrame:
     """Exact, else fuzzy: label, field, method."""
-    found = match(labels.select(label).distinct(), of_pairs(lexicon), label)
-    return found.where("match is not null").select(label, "match.field", "match.method")
+    found = answers(labels, of_pairs(lexicon), label)
+    return found.select(label, "match.field", "match.method")
 
 
 def best_with_margin(scores: DataFrame, label: str, field: str, score: str, least: float, margin: float) -> DataFrame:
