@@ -100,11 +100,14 @@ def as_json(reported: DataFrame) -> DataFrame:
 def extractable(gold: DataFrame, cells: DataFrame, texts: DataFrame, within: float = 0.005) -> DataFrame:
     """Where each gold value can be read: table, text or none. gold: doc_id, field, value; cells, texts: doc_id, value."""
     cents = lambda c: F.round(F.col(c) / (2 * within)).cast("long")
-    near = lambda df: df.select("doc_id", F.explode(F.array(cents("value") - 1, cents("value"), cents("value") + 1)).alias("_k"), F.col("value").alias("_v"))
-    keyed = gold.withColumn("_k", cents("value"))
-    hit = lambda df, name: keyed.join(near(df), ["doc_id", "_k"]).where(F.abs(F.col("_v") - F.col("value")) <= within).select("doc_id", "field").distinct().withColumn(name, F.lit(True))
-    out = gold.join(hit(cells, "_c"), ["doc_id", "field"], "left").join(hit(texts, "_t"), ["doc_id", "field"], "left")
-    return out.select("doc_id", "field", "value", F.when(F.col("_c"), "table").when(F.col("_t"), "text").otherwise("none").alias("where"))
+    near = gold.select("doc_id", "field", "value", F.explode(F.array(cents("value") - 1, cents("value"), cents("value") + 1)).alias("_k"))
+    place = lambda df, n: df.select("doc_id", cents("value").alias("_k"), F.col("value").alias("_v"), F.lit(n).alias("_p"))
+    said = place(cells, 0).unionByName(place(texts, 1))
+    # numbers of texts are many more than the texts' size lets Spark expect: neither side is sent to the driver
+    hits = near.hint("merge").join(said.hint("merge"), ["doc_id", "_k"]).where(F.abs(F.col("_v") - F.col("value")) <= within)
+    where = hits.groupBy("doc_id", "field").agg(F.min("_p").alias("_p"))
+    out = gold.join(where.hint("merge"), ["doc_id", "field"], "left")
+    return out.select("doc_id", "field", "value", F.when(F.col("_p") == 0, "table").when(F.col("_p") == 1, "text").otherwise("none").alias("where"))
 
 
 __all__ = ["TOLERANCES", "tolerance_matches", "chosen_files", "compared_findings", "missing_findings", "report", "summary", "as_json", "extractable"]
