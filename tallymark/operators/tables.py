@@ -105,8 +105,7 @@ def indicator_value(text: Column, unit: Column) -> Column:
 
 def _matched(said: DataFrame, lexicon: Lexicon, stages) -> DataFrame:
     """label, unit and match of distinct pairs."""
-    known = labels.match(said.select("label", "unit").distinct(), lexicon, unit="unit", stages=stages)
-    return known.where("match is not null").select("label", "unit", "match.field", "match.method", "match.score")
+    return labels.answers(said, lexicon, unit="unit", stages=stages).select("label", "unit", "match.field", "match.method", "match.score")
 
 
 def _spellings(lexicon: Lexicon, kind: str) -> list[str]:
