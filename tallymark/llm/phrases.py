@@ -34,6 +34,8 @@ from .common import written
 
 BLOCK_WORDS = 3_000_000
 SLICE = 4 << 20
+#: Rows that a task hands to Spark at once, and places of a block that it looks at together.
+OUT_ROWS, TOGETHER = 50_000, 1 << 18
 FILTER_BITS = 26
 #: Rows of one prefix that a task may read.
 PREFIX_ROWS = 1_000_000
@@ -79,12 +81,12 @@ class Block:
 
     def keys(self, seed: int) -> tuple[np.ndarray, list[str]]:
         """Hash and language of each word; 0 and "" for the end of a piece."""
-        langs, hashes = [""], [0]
+        langs, hashes = [""], np.zeros(len(self.words), np.uint64)
         for (low, lang), (high, _) in zip(self.langs, [*self.langs[1:], (len(self.words), "")], strict=True):
             head = lang.encode() + b"\xff"
-            hashes += [xxhash.xxh3_64_intdigest(head + w, seed) or 1 for w in self.words[low:high]]
+            hashes[low:high] = np.fromiter((xxhash.xxh3_64_intdigest(head + w, seed) or 1 for w in self.words[low:high]), np.uint64, high - low)
             langs += [lang] * (high - low)
-        return np.array(hashes, np.uint64), langs
+        return hashes, langs
 
 
 def _words(text: str) -> Iterator[list[bytes]]:
@@ -151,28 +153,34 @@ def _is_in(bits: np.ndarray, place: np.ndarray) -> np.ndarray:
 
 
 def _over_blocks(texts: DataFrame, longest: int, columns: list[str], rows_of: Callable) -> DataFrame:
-    """rows_of(block, words that come again) of every block: columns of longs (or strings that end in :s)."""
+    """rows_of(block, words that come again) of every block, in parts: columns of longs (or strings that end in :s)."""
     names = [c.removesuffix(":s") for c in columns]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block, again in _blocks(batches, longest):
-            yield pa.RecordBatch.from_arrays(rows_of(block, again), names=names)
+            for part in rows_of(block, again):
+                yield pa.RecordBatch.from_arrays(part, names=names)
 
     return texts.mapInArrow(run, ", ".join(f"{n} {'string' if c.endswith(':s') else 'long'}" for n, c in zip(names, columns, strict=True)))
 
 
+def _parts(rows: np.ndarray) -> Iterator[np.ndarray]:
+    """At most OUT_ROWS rows each, so that neither side of a task holds a whole block's output."""
+    return (rows[low : low + OUT_ROWS] for low in range(0, len(rows), OUT_ROWS))
+
+
 def word_counts(texts: DataFrame, least: int) -> tuple[DataFrame, int]:
     """lang, h (hash), word, f of all words, and the seed with which frequent words have hashes of their own."""
     for seed in range(64):
 
-        def rows_of(block: Block, again: int, seed: int = seed) -> list:
+        def rows_of(block: Block, again: int, seed: int = seed) -> Iterator[list]:
             numbers, own = _starts(block, again)
             counts = np.bincount(numbers[:own], minlength=len(block.words))
             counts[0] = 0
-            some = np.flatnonzero(counts)
             hashes, langs = block.keys(seed)
-            picked = some.tolist()
-            return [_signed(hashes[some]), pa.array([langs[i] for i in picked], pa.string()), pa.array([block.words[i].decode() for i in picked], pa.string()), pa.array(counts[some], pa.int64())]
+            for some in _parts(np.flatnonzero(counts)):
+                picked = some.tolist()
+                yield [_signed(hashes[some]), pa.array([langs[i] for i in picked], pa.string()), pa.array([block.words[i].decode() for i in picked], pa.string()), pa.array(counts[some], pa.int64())]
 
         rows = _over_blocks(texts, 1, ["h", "lang:s", "word:s", "n"], rows_of)
         key = F.struct("lang", "word")
@@ -185,14 +193,15 @@ def word_counts(texts: DataFrame, least: int) -> tuple[DataFrame, int]:
 def _pairs(texts: DataFrame, known, longest: int, seed: int) -> DataFrame:
     """h1, h2, n: pairs of words that may be frequent, summed in blocks."""
 
-    def rows_of(block: Block, again: int) -> list:
+    def rows_of(block: Block, again: int) -> Iterator[list]:
         numbers, own = _starts(block, again)
         hashes, _ = block.keys(seed)
         often = _is_in(known.value, _place(hashes, np.zeros_like(hashes)))
         often[0] = False
         at = np.flatnonzero(often[numbers[:own]] & often[numbers[1 : own + 1]])
         pairs, counts = np.unique(numbers[at].astype(np.int64) * len(hashes) + numbers[at + 1], return_counts=True)
-        return [_signed(hashes[pairs // len(hashes)]), _signed(hashes[pairs % len(hashes)]), pa.array(counts, pa.int64())]
+        for some in _parts(np.arange(len(pairs))):
+            yield [_signed(hashes[pairs[some] // len(hashes)]), _signed(hashes[pairs[some] % len(hashes)]), pa.array(counts[some], pa.int64())]
 
     return _over_blocks(texts, longest, ["h1", "h2", "n"], rows_of)
 
@@ -201,23 +210,36 @@ def _projections(texts: DataFrame, known, longest: int, seed: int) -> DataFrame:
     """h1, h2, ..., n: what follows frequent prefixes of two, up to the longest phrase (then 0), summed in blocks."""
     columns = [f"h{i + 1}" for i in range(longest)]
 
-    def rows_of(block: Block, again: int) -> list:
+    def rows_of(block: Block, again: int) -> Iterator[list]:
         numbers, own = _starts(block, again)
         hashes, _ = block.keys(seed)
-        at = numbers[:-1].astype(np.int64), numbers[1:].astype(np.int64)
         goes_on = np.zeros(len(numbers) + longest, bool)
-        goes_on[: len(numbers) - 1] = (at[0] > 0) & (at[1] > 0) & _is_in(known.value, _place(hashes[at[0]], hashes[at[1]]))
+        for low in range(0, len(numbers) - 1, TOGETHER):
+            one, two = numbers[low : min(low + TOGETHER, len(numbers) - 1)], numbers[low + 1 : low + TOGETHER + 1]
+            goes_on[low : low + len(one)] = (one > 0) & (two > 0) & _is_in(known.value, _place(hashes[one], hashes[two]))
         pointers = np.flatnonzero(goes_on[:own] & goes_on[1 : own + 1])  # occurrences of a prefix that has a next word
         padded = np.concatenate([numbers, np.zeros(longest, np.int32)])
-        rows = np.zeros((len(pointers), longest), np.int32)
-        alive = np.ones(len(pointers), bool)
+        alive, keys = np.ones(len(pointers), bool), []  # two words in each key
         for i in range(longest):
             if i > 1:
                 alive &= goes_on[pointers + i - 1]
-            rows[:, i] = np.where(alive, padded[pointers + i], 0)
-        as_one = np.ascontiguousarray(rows).view(np.dtype((np.void, rows.dtype.itemsize * longest))).ravel()
-        _, first, counts = np.unique(as_one, return_index=True, return_counts=True)
-        return [*[_signed(hashes[rows[first, i]]) for i in range(longest)], pa.array(counts, pa.int64())]
+            word = np.where(alive, padded[pointers + i], 0)
+            if i % 2:
+                keys[-1] = keys[-1] << 32 | word
+            else:
+                keys.append(word.astype(np.int64))
+        order = np.lexsort(keys)
+        new = np.zeros(len(order), bool)
+        new[:1] = True
+        for key in keys:
+            ordered = key[order]
+            new[1:] |= ordered[1:] != ordered[:-1]
+        first = np.flatnonzero(new)
+        counts = np.diff(np.append(first, len(order)))
+        for some in _parts(np.arange(len(first))):
+            at = order[first[some]]
+            words = [keys[i // 2][at] >> 32 if i % 2 == 0 and i + 1 < longest else keys[i // 2][at] & 0xFFFFFFFF for i in range(longest)]
+            yield [*[_signed(hashes[w]) for w in words], pa.array(counts[some], pa.int64())]
 
     return _over_blocks(texts, longest, [*columns, "n"], rows_of)
 

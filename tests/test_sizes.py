@@ -97,3 +97,22 @@ def test_levels_are_counted_without_pairs(spark, monkeypatch):
     monkeypatch.setattr("tallymark.plans.evaluation_queries.kept", lambda df: plans.append(optimized(df)) or df)
     assert found_by_level(Tables(spark, SMALLEST)).count() == 5
     assert plans and "arrays_overlap" not in plans[0]
+
+
+def test_blocks_of_words_come_in_bounded_batches():
+    """op13: a block's output isn't one batch, which both sides of a task would hold."""
+    import pyarrow as pa
+
+    from tallymark.llm import phrases
+
+    class Texts:
+        def mapInArrow(self, run, schema):
+            text = " ".join(f"w{i}" for i in range(120_000))
+            return [b.num_rows for b in run(iter([pa.RecordBatch.from_arrays([pa.array([text]), pa.array(["en"])], names=["text", "lang"])]))]
+
+    def rows_of(block, again):
+        hashes, _ = block.keys(0)
+        for some in phrases._parts(hashes):
+            yield [phrases._signed(some)]
+
+    assert phrases._over_blocks(Texts(), 1, ["h"], rows_of) == [50_000, 50_000, 20_001]
