@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import NUMBER, TOTAL, normalize_unit, norm_ws, parse_number, squash, stem, unit_in
+from ..functions.scalars import NUMBER, TOTAL, let, normalize_unit, norm_ws, parse_number, squash, stem, unit_in
+from ..session import kept
 from .labels import cascade
 
 #: A numbered heading of few words, with its number.
@@ -24,7 +25,7 @@ def discover_objects(lines: DataFrame, nouns: str, most_words: int = 6) -> DataF
     titles = headings(lines).where(F.col("title").rlike(nouns) & (F.size(F.split("title", r"\s+")) <= most_words))
     first = titles.groupBy("doc_id", F.lower("title").alias("_k")).agg(F.min(F.struct("page", "line_no", "title")).alias("f"))
     number = F.row_number().over(Window.partitionBy("doc_id").orderBy("f.page", "f.line_no"))  # a document has few headings
-    objects = first.select("doc_id", F.concat(F.lit("obj"), number).alias("object_id"), F.col("f.title").alias("name"))
+    objects = kept(first.select("doc_id", F.concat(F.lit("obj"), number).alias("object_id"), F.col("f.title").alias("name")))
     words = objects.select("doc_id", "object_id", F.explode(F.array_distinct(F.transform(F.filter(F.split("name", r"[\s\-–]+"), lambda w: F.length(w) >= 3), stem))).alias("stem"))
     unique = words.groupBy("doc_id", "stem").agg(F.count("*").alias("n"), F.first("object_id").alias("object_id")).where("n = 1")
     stems = unique.groupBy("doc_id", "object_id").agg(F.sort_array(F.collect_list("stem")).alias("stems"))
@@ -34,9 +35,11 @@ def discover_objects(lines: DataFrame, nouns: str, most_words: int = 6) -> DataF
 def mentioned(texts: DataFrame, objects: DataFrame, text: str, name: str = "mentioned") -> DataFrame:
     """The one object of the document that a text names by a stem of its own, else null."""
     known = objects.groupBy("doc_id").agg(F.collect_list(F.struct("object_id", "stems")).alias("_objects"))
-    words = F.transform(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), lambda w: w)
-    hits = F.filter(F.coalesce("_objects", F.array().cast("array<struct<object_id:string,stems:array<string>>>")), lambda o: F.exists(o["stems"], lambda s: F.exists(words, lambda w: F.startswith(w, s))))
-    return texts.join(known, "doc_id", "left").withColumn(name, F.when(F.size(hits) == 1, F.get(hits, F.lit(0))["object_id"])).drop("_objects")
+    every = F.coalesce("_objects", F.array().cast("array<struct<object_id:string,stems:array<string>>>"))
+    words = F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+")
+    hits = let(words, lambda ws: F.filter(every, lambda o: F.exists(o["stems"], lambda s: F.exists(ws, lambda w: F.startswith(w, s)))))
+    only = let(hits, lambda h: F.when(F.size(h) == 1, F.get(h, F.lit(0))["object_id"]))
+    return texts.join(known, "doc_id", "left").withColumn(name, only).drop("_objects")
 
 
 def sentences(pages: DataFrame) -> DataFrame:

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.scalars import let, squash, tokens, word_matches
-from ..session import kept
+from ..session import kept, spread
 from ..sources.lexicon import MOST_ENTRIES, Lexicon, bare_text
 from .patterns import occurrences
 
@@ -153,9 +153,7 @@ def answers(said: DataFrame, lexicon: Lexicon, label: str = "label", unit: str |
     """
     columns = [label] if unit is None else [label, unit]
     distinct = kept(said.select(*columns).distinct())
-    tasks = int(said.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    spread = distinct.repartition(tasks, *columns)  # a label is few bytes and much work
-    return kept(match(spread, lexicon, label, unit, stages, where).where("match is not null").select(*columns, "match"))
+    return kept(match(spread(distinct, *columns), lexicon, label, unit, stages, where).where("match is not null").select(*columns, "match"))
 
 
 def nearest_fields(asked: DataFrame, known: DataFrame, key: str, vector: str = "vector") -> DataFrame:

@@ -126,6 +126,7 @@ def experiment(found: DataFrame, gold: DataFrame, runs: dict[str, tuple[str, ...
     """
     of = lambda stages: [m for m in stages if m != "anchor"]
     fits = F.filter(F.array(*[F.struct(F.lit(n).alias("run"), F.array(*map(F.lit, of(s))).alias("methods"), F.lit("anchor" in s).alias("reads")) for n, s in runs.items()]), lambda r: F.array_contains(r["methods"], F.col("method")) & ((F.col("source") != "text") | r["reads"]))
+    gold = kept(gold)
     chosen = slots(found.withColumn("_r", F.explode(fits)).withColumn("run", F.col("_r.run")).drop("_r"), ["run"])
     keys = ["run", "doc_id", "object", "field"]
     wanted = gold.select(F.explode(F.array(*map(F.lit, runs))).alias("run"), "doc_id", "object", "field", "value")

@@ -117,12 +117,12 @@ def fields_across(cells: DataFrame, rows: DataFrame, lexicon: Lexicon, stages=la
 
     A column's unit is at the end of its header, or in a row of units right below.
     """
-    below = rows.where(begins_with("label", _spellings(lexicon, "units_row"))).select(*TABLE, (F.col("row_no") - 1).alias("row_no"), F.col("cells").alias("_units"))
+    below = rows.where("row_no <= 3").where(begins_with("label", _spellings(lexicon, "units_row"))).select(*TABLE, (F.col("row_no") - 1).alias("row_no"), F.col("cells").alias("_units"))
     heads = cells.where("row_no < 3 and text <> ''").join(below, [*TABLE, "row_no"], "left")
     unit = F.coalesce(unit_at_end("text", lexicon.units), unit_of(F.coalesce(F.get("_units", F.col("col_no")), F.lit("")), lexicon.units))
-    heads = heads.select(*TABLE, "row_no", "col_no", F.col("text").alias("label"), unit.alias("unit"))
+    heads = kept(heads.select(*TABLE, "row_no", "col_no", F.col("text").alias("label"), unit.alias("unit")))
     found = _matched(heads, lexicon, stages)
-    named = heads.alias("h").join(found.alias("f"), (F.col("h.label") == F.col("f.label")) & F.col("h.unit").eqNullSafe(F.col("f.unit"))).select(*[f"h.{c}" for c in (*TABLE, "row_no", "col_no")], "field", "method", "score")
+    named = kept(heads.alias("h").join(found.alias("f"), (F.col("h.label") == F.col("f.label")) & F.col("h.unit").eqNullSafe(F.col("f.unit"))).select(*[f"h.{c}" for c in (*TABLE, "row_no", "col_no")], "field", "method", "score"))
     header = named.groupBy(*TABLE, "row_no").agg(F.count_distinct("field").alias("n")).where("n >= 2").groupBy(*TABLE).agg(F.min("row_no").alias("row_no"))
     return named.join(header, [*TABLE, "row_no"]).withColumnRenamed("row_no", "header_no")
 
@@ -132,12 +132,12 @@ def across(cells: DataFrame, lexicon: Lexicon, stages=labels.STAGES) -> DataFram
 
     Rows of totals and units, and rows without any value, state nothing; n_rows counts the others of the table.
     """
-    rows = grid_rows(cells)
+    rows = kept(grid_rows(cells))
     named = fields_across(cells, rows, lexicon, stages)
     skipped = begins_with("label", _spellings(lexicon, "total_row")) | begins_with("label", _spellings(lexicon, "units_row"))
     units = F.try_element_at(F.create_map(*[F.lit(x) for pair in lexicon.units_of.items() for x in pair]), F.col("field"))
     body = rows.where(~((F.col("label") != "") & skipped)).join(named, TABLE).where("row_no > header_no")
-    values = body.withColumn("raw", F.get("cells", F.col("col_no"))).withColumn("value", indicator_value(F.col("raw"), units)).where("value is not null")
+    values = kept(body.withColumn("raw", F.get("cells", F.col("col_no"))).withColumn("value", indicator_value(F.col("raw"), units)).where("value is not null"))
     counts = values.groupBy(*TABLE).agg(F.count_distinct("row_no").alias("n_rows"))
     return values.join(counts, TABLE).select(*TABLE, "page", "row_no", "col_no", "label", "field", "value", "raw", "method", "score", "n_rows", "cells")
 
@@ -158,7 +158,7 @@ def down(cells: DataFrame, lexicon: Lexicon, stages=labels.STAGES) -> DataFrame:
     one with most known labels (two at least) names fields, and of the rest the one with most numbers gives values; the
     leftmost wins ties.
     """
-    rows = grid_rows(cells)
+    rows = kept(grid_rows(cells))
     below_head = (F.col("row_no") > 0) & (F.coalesce("text", F.lit("")) != "")
     is_unit = unit_of(F.coalesce("text", F.lit("")), lexicon.units).isNotNull()
     bare_heads = [F.lit(s) for s in sorted({bare_text(s) for s in _spellings(lexicon, "number")})]
@@ -168,14 +168,14 @@ def down(cells: DataFrame, lexicon: Lexicon, stages=labels.STAGES) -> DataFrame:
         F.count_if(below_head & is_unit).alias("n_units"),
         F.count_if((F.col("row_no") > 0) & (F.size(number_readings(F.coalesce("text", F.lit("")))) > 0)).alias("n_numbers"),
     )
-    columns = columns.withColumn("numbers_rows", F.coalesce("numbers_rows", F.lit(False))).withColumn("units", ~F.col("numbers_rows") & (F.col("n") > 0) & (F.col("n_units") >= F.col("n") / 2))
+    columns = kept(columns.withColumn("numbers_rows", F.coalesce("numbers_rows", F.lit(False))).withColumn("units", ~F.col("numbers_rows") & (F.col("n") > 0) & (F.col("n_units") >= F.col("n") / 2)))
     unit_column = columns.where("units").groupBy(*TABLE).agg(F.max("col_no").alias("unit_col"))
     free = columns.where("not units and not numbers_rows").select(*TABLE, "col_no", "n_numbers")
     in_row = rows.join(unit_column, TABLE, "left").select(*TABLE, "page", "row_no", "cells", unit_of(F.coalesce(F.get("cells", F.col("unit_col")), F.lit("")), lexicon.units).alias("unit"))
     said = cells.where("text <> ''").join(free.select(*TABLE, "col_no"), [*TABLE, "col_no"], "left_semi").select(*TABLE, "row_no", "col_no", F.col("text").alias("label"))
-    said = said.join(in_row, [*TABLE, "row_no"])
+    said = kept(said.join(in_row, [*TABLE, "row_no"]))
     found = _matched(said, lexicon, stages)
-    named = said.alias("s").join(found.alias("f"), (F.col("s.label") == F.col("f.label")) & F.col("s.unit").eqNullSafe(F.col("f.unit"))).select(*[f"s.{c}" for c in (*TABLE, "page", "row_no", "col_no", "label", "cells")], "field", "method", "score")
+    named = kept(said.alias("s").join(found.alias("f"), (F.col("s.label") == F.col("f.label")) & F.col("s.unit").eqNullSafe(F.col("f.unit"))).select(*[f"s.{c}" for c in (*TABLE, "page", "row_no", "col_no", "label", "cells")], "field", "method", "score"))
     hits = named.groupBy(*TABLE, "col_no").agg(F.count("*").alias("hits"))
     label_column = hits.groupBy(*TABLE).agg(F.max(F.struct("hits", -F.col("col_no"))).alias("b")).where("b.hits >= 2").select(*TABLE, (-F.col("b.col2")).alias("col_no"))
     value_column = free.join(label_column, [*TABLE, "col_no"], "left_anti").groupBy(*TABLE).agg((-F.max(F.struct("n_numbers", -F.col("col_no")))["col2"]).alias("value_col"))

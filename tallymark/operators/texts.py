@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import NUMBER, cost_scale, number_readings, once
-from ..session import kept
+from ..session import kept, spread
 from ..sources.lexicon import Lexicon
 from . import labels
 from .ordered import first_per
@@ -80,7 +80,7 @@ def anchored_values(pages: DataFrame, lexicon: Lexicon, stages=labels.STAGES) ->
 
     doc_id, page, start, field, value, raw, quote, method, score: one reading a number.
     """
-    pages = kept(pages.repartition("doc_id", "page"))  # texts made of few bytes come in few tasks
+    pages = kept(spread(pages, "doc_id", "page"))
     found = kept(anchors(pages, lexicon))
     windows = found.select(F.explode(F.array("before", "after")).alias("label"), "unit")
     known = labels.answers(windows, lexicon, unit="unit", stages=stages, where="text")
@@ -90,7 +90,7 @@ def anchored_values(pages: DataFrame, lexicon: Lexicon, stages=labels.STAGES) ->
     quote = F.when(F.col("_before").isNotNull(), F.concat("before", "raw")).otherwise(F.concat("raw", F.lit(" "), "after"))
     values = named.withColumn("value", indicator_value(F.col("raw"), F.col("unit"))).where("value is not null")
     columns = ["doc_id", "page", "start", "field", "value", "raw", "quote", "method", "score"]
-    values = values.select("doc_id", "page", "start", F.col("_m.field").alias("field"), "value", "raw", F.trim(quote).alias("quote"), F.col("_m.method").alias("method"), F.col("_m.score").alias("score"))
+    values = kept(values.select("doc_id", "page", "start", F.col("_m.field").alias("field"), "value", "raw", F.trim(quote).alias("quote"), F.col("_m.method").alias("method"), F.col("_m.score").alias("score")))
     floors = [(f, stem_pattern(label)) for f, kind, label in lexicon.labels if kind == "text_number_first" and lexicon.units_of[f] == "floor"]
     if not floors:
         return values

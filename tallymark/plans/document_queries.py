@@ -10,7 +10,7 @@ from ..operators import labels, tables, texts
 from ..operators.wordings import CELL_NUMBER, Wordings
 from ..functions.scalars import once
 from ..sources.lexicon import Lexicon, bare_text, field_for_display, material_in, unit_of, unit_of_field
-from ..session import kept
+from ..session import kept, spread
 from .registry import Tables, query
 
 #: Eight rows of `part` are a document's table; the document's number says of which kind it is. Expressions of both dialects.
@@ -396,9 +396,10 @@ def note_candidates(t: Tables) -> DataFrame:
 
     doc = F.col("p_partkey").alias("doc_id")
     said = F.array(*[F.struct(F.lit(p).alias("page"), F.lit(n).alias("line_no"), F.expr(x).alias("text"), F.lit(10.0 * n).alias("top"), F.lit(False).alias("in_table")) for p, n, x in NOTE_LINES])
-    lines = t.part.select(doc, F.explode(said).alias("x")).select("doc_id", "x.*")
+    part = spread(t.part, "p_partkey")  # a row of few bytes becomes a whole note
+    lines = part.select(doc, F.explode(said).alias("x")).select("doc_id", "x.*")
     grid_ = F.array(*[F.struct(F.lit(r).alias("row_no"), F.lit(c).alias("col_no"), (F.expr(x[1:]) if x.startswith("!") else F.lit(x)).alias("text")) for r, row in enumerate(NOTE_TABLE) for c, x in enumerate(row)])
-    cells = t.part.select(doc, F.lit(1).alias("table_no"), F.lit(2).alias("page"), F.explode(grid_).alias("x")).select("doc_id", "table_no", "page", "x.*")
+    cells = part.select(doc, F.lit(1).alias("table_no"), F.lit(2).alias("page"), F.explode(grid_).alias("x")).select("doc_id", "table_no", "page", "x.*")
     boxes = t.part.select(doc, F.lit(1).alias("table_no"), F.lit(2).alias("page"), F.lit(25.0).alias("top"))
     return kept(notes.candidates(kept(lines), kept(cells), boxes, FULL, r"(?iu)котельн|гараж"))
 

@@ -23,6 +23,11 @@ def get_spark(master: str = "local[8]", app: str = "tallymark", **conf: str) ->
     return builder.getOrCreate()
 
 
+def spread(df: DataFrame, *columns: str) -> DataFrame:
+    """The rows dealt by columns to as many tasks as a shuffle has: rows of few bytes and much work come in few otherwise."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *columns)
+
+
 def kept(df: DataFrame) -> DataFrame:
     """The rows as a table in the folder of spark.checkpoint.dir, without their lineage, so that later steps don't compute
     them again and depend on no executor.

@@ -7,11 +7,13 @@ rows; `load` turns them into a small value on the driver, whose size is checked,
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.scalars import c, normalize_unit, squash
+from ..functions.scalars import c, let, normalize_unit, squash
 
 BY_SOURCE = "map<string,array<string>>"
 BY_LANGUAGE = f"map<string,{BY_SOURCE}>"
@@ -125,10 +127,8 @@ def unit_at_end(header, units: list[tuple[str, str]]) -> Column:
 
 def begins_with(text, spellings: list[str]) -> Column:
     """Whether the text begins with one of the spellings, spaces, signs and case apart."""
-    bare, found = squash(text), F.lit(False)
-    for s in sorted({bare_text(x) for x in spellings}):
-        found = found | bare.startswith(s)
-    return F.coalesce(found, F.lit(False))
+    begun = sorted({bare_text(x) for x in spellings})
+    return F.coalesce(let(squash(text), lambda bare: reduce(or_, [bare.startswith(s) for s in begun], F.lit(False))), F.lit(False))
 
 
 def unit_of_field(name) -> Column:
