@@ -3,14 +3,15 @@
 A text is lower-cased (A-Z only), cut into pieces at punctuation and line ends and into words at blanks. A phrase lies
 within a piece; all its occurrences count, overlapping ones as well. Languages are counted apart.
 
-1. Words: tasks count blocks of texts by local numbers of words; sums by a 64-bit hash of language and word. A frequent
-   word whose hash any other word shares is detected, and then another seed is taken, so hashes stand for words exactly.
+1. Words: tasks count blocks of texts by local numbers of words; sums by a 64-bit hash of language and word. Only words
+   whose hash is frequent are then read as texts. A frequent hash that two words share is detected, and then another seed
+   is taken, so hashes stand for words exactly.
 2. Projection on one word: a block's occurrences are pointers, positions in its array of words. Of frequent words they are
    extended by the next word, equal pairs are summed in the block, and again over all blocks: frequent prefixes of two.
 3. Projection on frequent prefixes: the pointers at which one begins. Where it can go on (the next pair is frequent too),
-   an occurrence leaves the block as the words after its prefix, up to the longest phrase; equal ones are summed.
+   an occurrence leaves the block as the words after its prefix, up to the longest phrase; equal ones of a block are summed.
 4. One task has all occurrences of a prefix, sorted, and extends it word by word depth first as long as it stays frequent.
-   A prefix with more different continuations than a task should read isn't put in one: it is extended by one word through
+   A prefix with more occurrences than a task should read rows isn't put in one: it is extended by one word through
    an aggregation, and its frequent children become prefixes of their own.
 
 Every task knows which words or pairs may be frequent from a set of bits of fixed size (`FILTER_BITS`); what it lets through
@@ -169,24 +170,41 @@ def _parts(rows: np.ndarray) -> Iterator[np.ndarray]:
     return (rows[low : low + OUT_ROWS] for low in range(0, len(rows), OUT_ROWS))
 
 
-def word_counts(texts: DataFrame, least: int) -> tuple[DataFrame, int]:
-    """lang, h (hash), word, f of all words, and the seed with which frequent words have hashes of their own."""
+def _counted(block: Block, again: int) -> np.ndarray:
+    """How often each word of a block is there."""
+    numbers, own = _starts(block, again)
+    counts = np.bincount(numbers[:own], minlength=len(block.words))
+    counts[0] = 0
+    return counts
+
+
+def word_counts(texts: DataFrame, least: int) -> tuple[DataFrame, DataFrame, int]:
+    """lang, h (hash), word, f of frequent words; lang, n of all words; the seed with which frequent words have hashes of
+    their own."""
     for seed in range(64):
 
-        def rows_of(block: Block, again: int, seed: int = seed) -> Iterator[list]:
-            numbers, own = _starts(block, again)
-            counts = np.bincount(numbers[:own], minlength=len(block.words))
-            counts[0] = 0
-            hashes, langs = block.keys(seed)
+        def hashes_of(block: Block, again: int, seed: int = seed) -> Iterator[list]:
+            counts, (hashes, _) = _counted(block, again), block.keys(seed)
             for some in _parts(np.flatnonzero(counts)):
+                yield [_signed(hashes[some]), pa.array(counts[some], pa.int64())]
+
+        often = written(_over_blocks(texts, 1, ["h", "n"], hashes_of).groupBy("h").agg(F.sum("n").alias("f")).where(F.col("f") >= least), "frequent-hashes")
+        known = _bits(texts.sparkSession, often.select(_place_of(F.col("h"), F.lit(0).cast("long")).alias("place")))
+
+        def words_of(block: Block, again: int, seed: int = seed, known=known) -> Iterator[list]:
+            counts, (hashes, langs) = _counted(block, again), block.keys(seed)
+            for some in _parts(np.flatnonzero((counts > 0) & _is_in(known.value, _place(hashes, np.zeros_like(hashes))))):
                 picked = some.tolist()
                 yield [_signed(hashes[some]), pa.array([langs[i] for i in picked], pa.string()), pa.array([block.words[i].decode() for i in picked], pa.string()), pa.array(counts[some], pa.int64())]
+            for (low, lang), (high, _) in zip(block.langs, [*block.langs[1:], (len(block.words), "")], strict=True):  # all words: no hash
+                yield [pa.array([None], pa.int64()), pa.array([lang], pa.string()), pa.array([None], pa.string()), pa.array([counts[low:high].sum()], pa.int64())]
 
-        rows = _over_blocks(texts, 1, ["h", "lang:s", "word:s", "n"], rows_of)
         key = F.struct("lang", "word")
-        found = written(rows.groupBy("h").agg(F.sum("n").alias("f"), F.min(key).alias("k"), F.max(key).alias("other")), "words")
-        if not found.where((F.col("f") >= least) & (F.col("k") != F.col("other"))).limit(1).count():
-            return found.select("k.lang", "h", "k.word", "f"), seed
+        rows = _over_blocks(texts, 1, ["h", "lang:s", "word:s", "n"], words_of).groupBy("h", F.when(F.col("h").isNull(), F.col("lang")).alias("all"))
+        found = written(rows.agg(F.sum("n").alias("f"), F.min(key).alias("k"), F.max(key).alias("other")).where(F.col("h").isNull() | (F.col("f") >= least)), "words")
+        words = found.where(F.col("h").isNotNull())
+        if not words.where(F.col("k") != F.col("other")).limit(1).count():
+            return words.select("k.lang", "h", "k.word", "f"), found.where(F.col("h").isNull()).select(F.col("all").alias("lang"), F.col("f").alias("n")), seed
     raise RuntimeError("no seed tells all frequent words apart")
 
 
@@ -288,17 +306,25 @@ def _depth_first(columns: list[str], length: int, least: int) -> Callable:
     return run
 
 
-def _grown(rows: DataFrame, length: int, longest: int, least: int) -> list[DataFrame]:
-    """h1, ..., a: frequent phrases longer than their prefix of `length` words."""
+def _grown(rows: DataFrame, length: int, longest: int, least: int, heavy: DataFrame | None = None) -> list[DataFrame]:
+    """h1, ..., a: frequent phrases longer than their prefix of `length` words.
+
+    heavy: prefixes that may have more rows than a task should read; without it rows are a table, and are counted.
+    """
     columns = [f"h{i + 1}" for i in range(longest)]
     prefix = columns[:length]
     schema = ", ".join(f"{c} long" for c in [*columns, "a"])
-    heavy = written(rows.groupBy(*prefix).agg(F.count("*").alias("rows")).where(F.col("rows") > PREFIX_ROWS).drop("rows"), "heavy-prefixes")
+    is_table = heavy is None
+    if is_table:
+        heavy = written(rows.groupBy(*prefix).agg(F.count("*").alias("rows")).where(F.col("rows") > PREFIX_ROWS).drop("rows"), "heavy-prefixes")
     if not heavy.limit(1).count():
         return [rows.repartition(*prefix).sortWithinPartitions(*columns).mapInArrow(_depth_first(columns, length, least), schema)]
+    heavy = F.broadcast(heavy)  # a row for each PREFIX_ROWS of words at most
     light = rows.join(heavy, prefix, "left_anti").select(rows.columns)
     done = light.repartition(*prefix).sortWithinPartitions(*columns).mapInArrow(_depth_first(columns, length, least), schema)
-    hot = rows.join(heavy, prefix, "left_semi").where(F.col(columns[length]) != 0)
+    hot = rows.join(heavy, prefix, "left_semi").where(F.col(columns[length]) != 0).select(rows.columns)
+    if not is_table:
+        hot = written(hot.groupBy(*columns).agg(F.sum("n").alias("n")), "hot")
     children = written(hot.groupBy(*columns[: length + 1]).agg(F.sum("n").alias("a")).where(F.col("a") >= least), "children")
     found = children.select(*columns[: length + 1], *[F.lit(0).cast("long").alias(c) for c in columns[length + 1 :]], "a")
     if length + 1 == longest:
@@ -307,24 +333,25 @@ def _grown(rows: DataFrame, length: int, longest: int, least: int) -> list[DataF
     return [done, found, *_grown(rest, length + 1, longest, least)]
 
 
-def frequent_phrases(docs: DataFrame, least: int = 30, longest: int = 4, text_col: str = "text", lang_col: str = "lang") -> tuple[DataFrame, DataFrame]:
-    """Words (lang, h, word, f; all of them) and phrases of 2 words and more (key: array of hashes, a) that are frequent."""
+def frequent_phrases(docs: DataFrame, least: int = 30, longest: int = 4, text_col: str = "text", lang_col: str = "lang") -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Words (lang, h, word, f) and phrases of 2 words and more (key: array of hashes, a) that are frequent, and all words'
+    number (lang, n)."""
     texts = docs.select(F.col(f"`{text_col}`").alias("text"), F.coalesce(F.col(f"`{lang_col}`"), F.lit("und")).alias("lang"))
     spark = docs.sparkSession
-    words, seed = word_counts(texts, least)
-    often = words.where(F.col("f") >= least)
-    known = _bits(spark, often.select(_place_of(F.col("h"), F.lit(0).cast("long")).alias("place")))
+    words, totals, seed = word_counts(texts, least)
+    known = _bits(spark, words.select(_place_of(F.col("h"), F.lit(0).cast("long")).alias("place")))
     pairs = _pairs(texts, known, longest, seed).groupBy("h1", "h2").agg(F.sum("n").alias("a")).where(F.col("a") >= least)
     pairs = written(pairs, "pairs")
     columns = [f"h{i + 1}" for i in range(longest)]
     found = pairs.select("h1", "h2", *[F.lit(0).cast("long").alias(c) for c in columns[2:]], "a")
     if longest > 2:
         known = _bits(spark, pairs.select(_place_of(F.col("h1"), F.col("h2")).alias("place")))
-        rows = _projections(texts, known, longest, seed).groupBy(*columns).agg(F.sum("n").alias("n"))
-        for more in _grown(written(rows, "projections"), 2, longest, least):
+        # a prefix has no more rows than occurrences, so rows go to their tasks as blocks give them, and are no table
+        heavy = written(pairs.where(F.col("a") > PREFIX_ROWS).select("h1", "h2"), "heavy-prefixes")
+        for more in _grown(_projections(texts, known, longest, seed), 2, longest, least, heavy):
             found = found.unionByName(more)
     key = F.filter(F.array(*columns), lambda h: h != 0)
-    return words, written(found.select(key.alias("key"), "a"), "phrases")
+    return words, written(found.select(key.alias("key"), "a"), "phrases"), totals
 
 
 def collocations(docs: DataFrame, least: int = 30, longest: int = 4, covered: int = 80, top: int = 2000, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
@@ -333,9 +360,8 @@ def collocations(docs: DataFrame, least: int = 30, longest: int = 4, covered: in
     A phrase's score is that of its lowest cut, floor(2000000 * a / (l + r)). Phrases inside a longer frequent one with
     `covered` hundredths of their occurrences are dropped.
     """
-    words, found = frequent_phrases(docs, least, longest, text_col, lang_col)
+    often, found, totals = frequent_phrases(docs, least, longest, text_col, lang_col)
     wide = lambda x: F.col(x).cast("decimal(20,0)")
-    often = words.where(F.col("f") >= least)
     counts = found.select("key", F.col("a").alias("f")).unionByName(often.select(F.array("h").alias("key"), "f"))
 
     inner = found.where(F.size("key") > 2).select(
@@ -358,7 +384,6 @@ def collocations(docs: DataFrame, least: int = 30, longest: int = 4, covered: in
     best = [F.col("score").desc(), F.col("a").desc(), F.col("phrase")]
     first = lambda df, *by: df.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(*best))).where(F.col("rank") <= top)
     salted = first(rows.withColumn("_salt", F.pmod(F.xxhash64("phrase"), F.lit(64))), "lang", "_salt")  # so one language isn't one task's
-    totals = words.groupBy("lang").agg(F.sum("f").cast("long").alias("n"))
     return first(salted.drop("rank", "_salt"), "lang").join(totals, "lang").select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")
 
 

@@ -153,3 +153,16 @@ def test_rows_of_grids_are_put_together_once(spark):
     found = tables.down(cells, FULL)
     assert "collect_list" not in optimized(found)
     assert found.count() == 2
+
+
+def test_phrases_keep_neither_projections_nor_rare_words(spark, monkeypatch):
+    """op13: words are counted by hash before any is kept as text, and what follows prefixes is shuffled once, not kept."""
+    from tallymark.llm import phrases
+
+    tables, written = {}, phrases.written
+    monkeypatch.setattr(phrases, "written", lambda df, name: tables.setdefault(name, written(df, name)))
+    docs = spark.createDataFrame([("a b c d e", "en")] * 3 + [(f"rare{i}", "de") for i in range(50)], "text string, lang string")
+    found = phrases.collocations(docs, 3)
+    assert "projections" not in tables and tables["frequent-hashes"].columns == ["h", "f"]
+    assert tables["words"].where("k.word like 'rare%'").count() == 0
+    assert {(r["lang"], r["phrase"], r["a"], r["n"]) for r in found.collect()} == {("en", "a b c d", 3, 15), ("en", "b c d e", 3, 15)}
