@@ -135,9 +135,9 @@ def _first_free(schema: pa.Schema):
 
 def by_level(gold: DataFrame, said: DataFrame, pairs: DataFrame) -> DataFrame:
     """found, missed and false of every level, zeros included."""
-    hit_g, hit_s = pairs.select("doc_id", F.col("gold_seq").alias("seq")), pairs.select("doc_id", F.col("said_seq").alias("seq"))
-    mark = lambda df, name: df.select("level", F.lit(name).alias("what"))
-    rows = mark(gold.join(hit_g, ["doc_id", "seq"], "left_semi"), "found").unionByName(mark(gold.join(hit_g, ["doc_id", "seq"], "left_anti"), "missed")).unionByName(mark(said.join(hit_s, ["doc_id", "seq"], "left_anti"), "false"))
+    hits = lambda name: pairs.select("doc_id", F.col(name).alias("seq")).distinct().withColumn("_hit", F.lit(True))
+    judged = gold.join(hits("gold_seq"), ["doc_id", "seq"], "left").select("level", F.when(F.col("_hit"), "found").otherwise("missed").alias("what"))
+    rows = judged.unionByName(said.join(hits("said_seq"), ["doc_id", "seq"], "left_anti").select("level", F.lit("false").alias("what")))
     counts = rows.groupBy("level").agg(*[F.count_if(F.col("what") == w).alias(w) for w in ("found", "missed", "false")])
     every = gold.sparkSession.createDataFrame([(x,) for x in LEVELS], "level string")
     return every.join(counts, "level", "left").na.fill(0)
