@@ -34,7 +34,7 @@ def compared_findings(statements: DataFrame) -> DataFrame:
 
     statements: package_id, section, field, value, source, seq. One value a field and section: tables before sentences.
     """
-    ranked = statements.withColumn("_rank", F.when(F.col("source") == "table", 0).otherwise(1))
+    ranked = statements.withColumn("_rank", F.when(F.col("source") == "table", 0).otherwise(1)).repartition("package_id")  # once for windows and joins
     best = first_per(ranked, ["package_id", "section", "field"], ["_rank", "seq"]).select("package_id", "section", "field", "value", "source")
     side = lambda s, *fields: best.where((F.col("section") == s) & F.col("field").isin(*fields))
     keys = ["package_id"]
@@ -63,11 +63,13 @@ def compared_findings(statements: DataFrame) -> DataFrame:
 def missing_findings(statements: DataFrame, mandatory: DataFrame, uploaded: DataFrame) -> DataFrame:
     """Mandatory values that a section lacks although another section shows that they exist; scans aren't judged.
 
-    mandatory: section, field, shown_by (section), shown_field.
+    mandatory: section, field, shown_by (section), shown_field; configuration, so it is broadcast. Only fields that it names
+    are looked for.
     """
     scanned = statements.where("source = 'ocr'").select("package_id", "section").distinct()
-    due = uploaded.select("package_id", "section").distinct().join(mandatory, "section").join(scanned, ["package_id", "section"], "left_anti")
-    present = statements.select("package_id", "section", "field").distinct()
+    due = uploaded.join(F.broadcast(mandatory.select("section")), "section", "left_semi").select("package_id", "section").distinct().join(F.broadcast(mandatory), "section").join(scanned, ["package_id", "section"], "left_anti")
+    named = mandatory.select("section", "field").unionByName(mandatory.select(F.col("shown_by").alias("section"), F.col("shown_field").alias("field")))
+    present = statements.join(F.broadcast(named), ["section", "field"], "left_semi").select("package_id", "section", "field").distinct()
     absent = due.join(present, ["package_id", "section", "field"], "left_anti")
     evidence = present.select("package_id", F.col("section").alias("shown_by"), F.col("field").alias("shown_field"))
     shown = absent.join(evidence, ["package_id", "shown_by", "shown_field"], "left_semi")
