@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import NUMBER, TOTAL, let, normalize_unit, norm_ws, parse_number, squash, stem, unit_in
-from ..session import kept
+from ..session import kept, shuffled
 from .labels import cascade
 
 #: A numbered heading of few words, with its number.
@@ -29,7 +29,7 @@ def discover_objects(lines: DataFrame, nouns: str, most_words: int = 6) -> DataF
     words = objects.select("doc_id", "object_id", F.explode(F.array_distinct(F.transform(F.filter(F.split("name", r"[\s\-–]+"), lambda w: F.length(w) >= 3), stem))).alias("stem"))
     unique = words.groupBy("doc_id", "stem").agg(F.count("*").alias("n"), F.first("object_id").alias("object_id")).where("n = 1")
     stems = unique.groupBy("doc_id", "object_id").agg(F.sort_array(F.collect_list("stem")).alias("stems"))
-    return objects.join(stems, ["doc_id", "object_id"], "left").withColumn("stems", F.coalesce("stems", F.array().cast("array<string>")))
+    return objects.join(shuffled(stems), ["doc_id", "object_id"], "left").withColumn("stems", F.coalesce("stems", F.array().cast("array<string>")))
 
 
 def mentioned(texts: DataFrame, objects: DataFrame, text: str, name: str = "mentioned") -> DataFrame:
@@ -39,7 +39,7 @@ def mentioned(texts: DataFrame, objects: DataFrame, text: str, name: str = "ment
     words = F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+")
     hits = let(words, lambda ws: F.filter(every, lambda o: F.exists(o["stems"], lambda s: F.exists(ws, lambda w: F.startswith(w, s)))))
     only = let(hits, lambda h: F.when(F.size(h) == 1, F.get(h, F.lit(0))["object_id"]))
-    return texts.join(known, "doc_id", "left").withColumn(name, only).drop("_objects")
+    return texts.join(shuffled(known), "doc_id", "left").withColumn(name, only).drop("_objects")
 
 
 def sentences(pages: DataFrame) -> DataFrame:

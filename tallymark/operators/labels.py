@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.scalars import let, squash, tokens, word_matches
-from ..session import kept, spread
+from ..session import kept, shuffled, spread
 from ..sources.lexicon import MOST_ENTRIES, Lexicon, bare_text
 from .patterns import occurrences
 
@@ -28,6 +28,8 @@ VECTOR_LEAST, VECTOR_MARGIN, VECTOR_EVIDENCE, VECTOR_CHARS = 0.88, 0.01, 0.3, 80
 QUANTITY_NOUNS = ("площадь", "объем", "количество", "число", "стоимость", "продолжительность", "срок", "аудан", "алаң", "көлем", "саны", "құн", "ұзақтығы", "мерзім")
 #: Bytes of prototype vectors that a task multiplies with at once.
 PROTOTYPE_BYTES = 8 << 20
+#: Bytes of answers up to which they go to every task, so that very common labels are answered where their rows lie.
+ANSWER_BYTES = 4 << 20
 STAGES = ("exact", "fuzzy")
 MATCH = "struct<field:string,score:double,method:string>"
 
@@ -150,10 +152,13 @@ def answers(said: DataFrame, lexicon: Lexicon, label: str = "label", unit: str |
 
     The distinct labels are a table before they are matched, and so are the answers: else the optimizer moves the test on
     the match under the distinct, and over a join to the other side, and all rows are matched instead of distinct labels.
+    Rows are joined with up to ANSWER_BYTES of answers in their tasks, with more by shuffles.
     """
     columns = [label] if unit is None else [label, unit]
     distinct = kept(said.select(*columns).distinct())
-    return kept(match(spread(distinct, *columns), lexicon, label, unit, stages, where).where("match is not null").select(*columns, "match"))
+    found = kept(match(spread(distinct, *columns), lexicon, label, unit, stages, where).where("match is not null").select(*columns, "match"))
+    total = found.agg(F.sum(F.octet_length(label) + 100)).first()[0] or 0
+    return F.broadcast(found) if total <= ANSWER_BYTES else shuffled(found)
 
 
 def nearest_fields(asked: DataFrame, known: DataFrame, key: str, vector: str = "vector") -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import squash
-from ..session import kept
+from ..session import kept, shuffled
 from ..sources.lexicon import Lexicon
 from . import tables, texts
 from .extract import choose_slots, discover_objects, headings, mentioned
@@ -33,32 +33,32 @@ def note_objects(lines: DataFrame, wide: DataFrame, nouns: str) -> DataFrame:
     numbered = heads.select("doc_id", "name", F.regexp_extract("object_id", r"(\d+)", 1).cast("int").alias("seq"))
     every = tables.objects_of_rows(wide, numbered)
     own = heads.select("doc_id", squash("name").alias("_k"), "stems")
-    found = every.withColumn("_k", squash("name")).join(own, ["doc_id", "_k"], "left")
+    found = every.withColumn("_k", squash("name")).join(shuffled(own), ["doc_id", "_k"], "left")
     words = F.array_distinct(F.transform(F.filter(F.split("name", r"[\s\-–]+"), lambda w: F.length(w) >= 3), lambda w: F.lower(w)))
     return found.select("doc_id", "object_id", "name", F.coalesce("stems", words).alias("stems"))
 
 
 def line_contexts(lines: DataFrame, objects: DataFrame, boxes: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The object that headings give each line (doc_id, page, line_no, level, ctx) and each table (doc_id, table_no, ctx).
+    """The object that headings give each line (adds level and ctx) and each table (doc_id, table_no, ctx).
 
     lines: doc_id, page, line_no, text, top, in_table; boxes: doc_id, table_no, page, top. Lines and tables are scanned
     together in reading order, over pages: a table has the context of the last line above it.
     """
     named = objects.select("doc_id", squash("name").alias("_k"), F.col("object_id").alias("object"))
-    marked = headings(lines).withColumn("_k", squash("title")).join(named, ["doc_id", "_k"], "left")
-    rows = marked.select("doc_id", "page", "top", F.lit(1).alias("kind"), F.col("line_no").alias("no"), "level", "object")
-    every = rows.unionByName(boxes.select("doc_id", "page", "top", F.lit(0).alias("kind"), F.col("table_no").alias("no"), F.lit(None).cast("int").alias("level"), F.lit(None).cast("string").alias("object")))
+    marked = headings(lines).withColumn("_k", squash("title")).join(shuffled(named), ["doc_id", "_k"], "left")
+    rows = marked.select("doc_id", "page", "top", F.lit(1).alias("kind"), F.col("line_no").alias("no"), "level", "object", "text", "in_table")
+    every = rows.unionByName(boxes.select("doc_id", "page", "top", F.lit(0).alias("kind"), F.col("table_no").alias("no")), allowMissingColumns=True)
     scanned = kept(heading_context(every, ["doc_id"], ["page", "top", "kind", "no"]))
-    of = lambda kind, name: scanned.where(F.col("kind") == kind).select("doc_id", "page", F.col("no").alias(name), "level", "ctx")
-    return of(1, "line_no"), of(0, "table_no").drop("page", "level")
+    of = lambda kind, *columns: scanned.where(F.col("kind") == kind).select("doc_id", *columns, "ctx")
+    return of(1, "page", F.col("no").alias("line_no"), "text", "top", "in_table", "level"), of(0, F.col("no").alias("table_no"))
 
 
-def note_pages(lines: DataFrame, contexts: DataFrame) -> DataFrame:
+def note_pages(lines: DataFrame) -> DataFrame:
     """doc_id, page, text (lines outside tables) and starts: where each line begins, and its context; a page is one row.
 
-    A heading ends with a semicolon, so no sentence goes on over it.
+    lines: as line_contexts gives them. A heading ends with a semicolon, so no sentence goes on over it.
     """
-    own = lines.where(~F.coalesce("in_table", F.lit(False))).join(contexts, ["doc_id", "page", "line_no"], "left")
+    own = lines.where(~F.coalesce("in_table", F.lit(False)))
     page = own.groupBy("doc_id", "page").agg(F.array_sort(F.collect_list(F.struct("top", "line_no", F.concat(F.coalesce("text", F.lit("")), F.when(F.col("level").isNotNull(), ";").otherwise("")).alias("text"), "ctx"))).alias("_l"))
     first = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,ctx:string>>").alias("all"))
     starts = F.aggregate("_l", first, lambda s, x: F.struct((s["at"] + F.length(x["text"]) + 1).alias("at"), F.concat(s["all"], F.array(F.struct(s["at"].alias("start"), x["ctx"].alias("ctx")))).alias("all")))["all"]
@@ -74,28 +74,28 @@ def candidates(lines: DataFrame, cells: DataFrame, boxes: DataFrame, lexicon: Le
     objects = kept(note_objects(lines, wide, nouns))
     of_lines, of_tables = line_contexts(lines, objects, boxes)
 
-    tall = tables.down(kept(cells.join(wide.select(*tables.TABLE).distinct(), tables.TABLE, "left_anti")), lexicon)
+    tall = tables.down(kept(cells.join(shuffled(wide.select(*tables.TABLE).distinct()), tables.TABLE, "left_anti")), lexicon)
     by_name = objects.select("doc_id", squash("name").alias("_k"), F.col("object_id").alias("_row"))
-    across = wide.withColumn("_k", squash("label")).join(by_name, ["doc_id", "_k"], "left").join(of_tables, tables.TABLE, "left")
+    across = wide.withColumn("_k", squash("label")).join(shuffled(by_name), ["doc_id", "_k"], "left").join(shuffled(of_tables), tables.TABLE, "left")
     alone = (F.col("n_rows") == 1) & F.col("ctx").isNotNull()
     across = across.withColumn("object", F.when(alone, F.col("ctx")).otherwise(F.coalesce("_row", "ctx"))).withColumn("how", F.when(~alone & F.col("_row").isNotNull(), "row").when(F.col("ctx").isNotNull(), "heading"))
-    down = tall.join(of_tables, tables.TABLE, "left").withColumn("object", F.col("ctx")).withColumn("how", F.when(F.col("ctx").isNotNull(), "heading"))
+    down = tall.join(shuffled(of_tables), tables.TABLE, "left").withColumn("object", F.col("ctx")).withColumn("how", F.when(F.col("ctx").isNotNull(), "heading"))
     quote = F.array_join(F.filter("cells", lambda x: F.coalesce(x, F.lit("")) != ""), " ").alias("quote")
     place = F.struct("page", F.lit(0).alias("kind"), F.col("table_no").cast("long").alias("at"), F.col("row_no").cast("long").alias("row")).alias("seq")
     columns = ["doc_id", "object", "field", "value", "raw", quote]
     stated = across.select(*columns, F.lit("table_h").alias("source"), "method", "score", "how", "page", place)
     stated = stated.unionByName(down.select(*columns, F.lit("table_v").alias("source"), "method", "score", "how", "page", place))
 
-    pages = kept(note_pages(lines, of_lines))
+    pages = kept(note_pages(of_lines))
     found = texts.anchored_values(pages.select("doc_id", "page", "text"), lexicon)
-    said = mentioned(found, objects, "quote").join(pages.select("doc_id", "page", "starts"), ["doc_id", "page"])
+    said = mentioned(found, objects, "quote").join(shuffled(pages.select("doc_id", "page", "starts")), ["doc_id", "page"])
     above = F.try_element_at(F.filter("starts", lambda s: s["start"] <= F.col("start")), F.lit(-1))["ctx"]
     said = said.withColumn("object", F.coalesce("mentioned", above)).withColumn("how", F.when(F.col("mentioned").isNotNull(), "mention").when(above.isNotNull(), "heading"))
     place = F.struct("page", F.lit(1).alias("kind"), F.col("start").cast("long").alias("at"), F.lit(0).cast("long").alias("row")).alias("seq")
     stated = stated.unionByName(said.select("doc_id", "object", "field", "value", "raw", "quote", F.lit("text").alias("source"), "method", "score", "how", "page", place))
 
     single = objects.groupBy("doc_id").agg(F.count("*").alias("_n"), F.min("object_id").alias("_only")).where("_n = 1").drop("_n")
-    placed = stated.join(single, "doc_id", "left")
+    placed = stated.join(shuffled(single), "doc_id", "left")
     how = F.coalesce("how", F.when(F.col("_only").isNotNull(), "single").otherwise(F.lit(PROJECT)))
     return placed.withColumn("how", how).withColumn("object", F.coalesce("object", "_only", F.lit(PROJECT))).select(*COLUMNS)
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import cost_scale, norm_ws, number_readings, once, squash
 from ..sources.lexicon import Lexicon, bare_text, begins_with, unit_at_end, unit_of
-from ..session import kept
+from ..session import kept, shuffled
 from . import labels
 from .wordings import Wordings, cell_number, first_named, says
 
@@ -118,13 +118,13 @@ def fields_across(cells: DataFrame, rows: DataFrame, lexicon: Lexicon, stages=la
     A column's unit is at the end of its header, or in a row of units right below.
     """
     below = rows.where("row_no <= 3").where(begins_with("label", _spellings(lexicon, "units_row"))).select(*TABLE, (F.col("row_no") - 1).alias("row_no"), F.col("cells").alias("_units"))
-    heads = cells.where("row_no < 3 and text <> ''").join(below, [*TABLE, "row_no"], "left")
+    heads = cells.where("row_no < 3 and text <> ''").join(shuffled(below), [*TABLE, "row_no"], "left")
     unit = F.coalesce(unit_at_end("text", lexicon.units), unit_of(F.coalesce(F.get("_units", F.col("col_no")), F.lit("")), lexicon.units))
     heads = kept(heads.select(*TABLE, "row_no", "col_no", F.col("text").alias("label"), unit.alias("unit")))
     found = _matched(heads, lexicon, stages)
     named = kept(heads.alias("h").join(found.alias("f"), (F.col("h.label") == F.col("f.label")) & F.col("h.unit").eqNullSafe(F.col("f.unit"))).select(*[f"h.{c}" for c in (*TABLE, "row_no", "col_no")], "field", "method", "score"))
     header = named.groupBy(*TABLE, "row_no").agg(F.count_distinct("field").alias("n")).where("n >= 2").groupBy(*TABLE).agg(F.min("row_no").alias("row_no"))
-    return named.join(header, [*TABLE, "row_no"]).withColumnRenamed("row_no", "header_no")
+    return named.join(shuffled(header), [*TABLE, "row_no"]).withColumnRenamed("row_no", "header_no")
 
 
 def across(cells: DataFrame, lexicon: Lexicon, stages=labels.STAGES) -> DataFrame:
@@ -136,10 +136,10 @@ def across(cells: DataFrame, lexicon: Lexicon, stages=labels.STAGES) -> DataFram
     named = fields_across(cells, rows, lexicon, stages)
     skipped = begins_with("label", _spellings(lexicon, "total_row")) | begins_with("label", _spellings(lexicon, "units_row"))
     units = F.try_element_at(F.create_map(*[F.lit(x) for pair in lexicon.units_of.items() for x in pair]), F.col("field"))
-    body = rows.where(~((F.col("label") != "") & skipped)).join(named, TABLE).where("row_no > header_no")
+    body = rows.where(~((F.col("label") != "") & skipped)).join(shuffled(named), TABLE).where("row_no > header_no")
     values = kept(body.withColumn("raw", F.get("cells", F.col("col_no"))).withColumn("value", indicator_value(F.col("raw"), units)).where("value is not null"))
     counts = values.groupBy(*TABLE).agg(F.count_distinct("row_no").alias("n_rows"))
-    return values.join(counts, TABLE).select(*TABLE, "page", "row_no", "col_no", "label", "field", "value", "raw", "method", "score", "n_rows", "cells")
+    return values.join(shuffled(counts), TABLE).select(*TABLE, "page", "row_no", "col_no", "label", "field", "value", "raw", "method", "score", "n_rows", "cells")
 
 
 def with_row_objects(values: DataFrame, contexts: DataFrame, named: DataFrame) -> DataFrame:
@@ -147,7 +147,7 @@ def with_row_objects(values: DataFrame, contexts: DataFrame, named: DataFrame) -
 
     contexts: doc_id, table_no, ctx; named: doc_id, label, object_id (one row a label that names one object).
     """
-    placed = values.join(contexts, TABLE, "left").join(named, ["doc_id", "label"], "left")
+    placed = values.join(shuffled(contexts), TABLE, "left").join(shuffled(named), ["doc_id", "label"], "left")
     return placed.withColumn("object", F.when((F.col("n_rows") == 1) & F.col("ctx").isNotNull(), F.col("ctx")).otherwise(F.coalesce("object_id", "ctx"))).drop("object_id", "ctx")
 
 
@@ -171,23 +171,23 @@ def down(cells: DataFrame, lexicon: Lexicon, stages=labels.STAGES) -> DataFrame:
     columns = kept(columns.withColumn("numbers_rows", F.coalesce("numbers_rows", F.lit(False))).withColumn("units", ~F.col("numbers_rows") & (F.col("n") > 0) & (F.col("n_units") >= F.col("n") / 2)))
     unit_column = columns.where("units").groupBy(*TABLE).agg(F.max("col_no").alias("unit_col"))
     free = columns.where("not units and not numbers_rows").select(*TABLE, "col_no", "n_numbers")
-    in_row = rows.join(unit_column, TABLE, "left").select(*TABLE, "page", "row_no", "cells", unit_of(F.coalesce(F.get("cells", F.col("unit_col")), F.lit("")), lexicon.units).alias("unit"))
-    said = cells.where("text <> ''").join(free.select(*TABLE, "col_no"), [*TABLE, "col_no"], "left_semi").select(*TABLE, "row_no", "col_no", F.col("text").alias("label"))
-    said = kept(said.join(in_row, [*TABLE, "row_no"]))
+    in_row = rows.join(shuffled(unit_column), TABLE, "left").select(*TABLE, "page", "row_no", "cells", unit_of(F.coalesce(F.get("cells", F.col("unit_col")), F.lit("")), lexicon.units).alias("unit"))
+    said = cells.where("text <> ''").join(shuffled(free.select(*TABLE, "col_no")), [*TABLE, "col_no"], "left_semi").select(*TABLE, "row_no", "col_no", F.col("text").alias("label"))
+    said = kept(said.join(shuffled(in_row), [*TABLE, "row_no"]))
     found = _matched(said, lexicon, stages)
     named = kept(said.alias("s").join(found.alias("f"), (F.col("s.label") == F.col("f.label")) & F.col("s.unit").eqNullSafe(F.col("f.unit"))).select(*[f"s.{c}" for c in (*TABLE, "page", "row_no", "col_no", "label", "cells")], "field", "method", "score"))
     hits = named.groupBy(*TABLE, "col_no").agg(F.count("*").alias("hits"))
     label_column = hits.groupBy(*TABLE).agg(F.max(F.struct("hits", -F.col("col_no"))).alias("b")).where("b.hits >= 2").select(*TABLE, (-F.col("b.col2")).alias("col_no"))
-    value_column = free.join(label_column, [*TABLE, "col_no"], "left_anti").groupBy(*TABLE).agg((-F.max(F.struct("n_numbers", -F.col("col_no")))["col2"]).alias("value_col"))
+    value_column = free.join(shuffled(label_column), [*TABLE, "col_no"], "left_anti").groupBy(*TABLE).agg((-F.max(F.struct("n_numbers", -F.col("col_no")))["col2"]).alias("value_col"))
     units = F.try_element_at(F.create_map(*[F.lit(x) for pair in lexicon.units_of.items() for x in pair]), F.col("field"))
-    values = named.join(label_column, [*TABLE, "col_no"]).join(value_column, TABLE).withColumn("raw", F.get("cells", F.col("value_col")))
+    values = named.join(shuffled(label_column), [*TABLE, "col_no"]).join(shuffled(value_column), TABLE).withColumn("raw", F.get("cells", F.col("value_col")))
     return values.withColumn("value", indicator_value(F.col("raw"), units)).where("value is not null").select(*TABLE, "page", "row_no", "label", "field", "value", "raw", "method", "score", "cells")
 
 
 def table_values(cells: DataFrame, lexicon: Lexicon, stages=labels.STAGES) -> DataFrame:
     """Both forms, a table with fields across not being read down: adds source table_h or table_v."""
     wide = kept(across(cells, lexicon, stages))
-    rest = kept(cells.join(wide.select(*TABLE).distinct(), TABLE, "left_anti"))
+    rest = kept(cells.join(shuffled(wide.select(*TABLE).distinct()), TABLE, "left_anti"))
     columns = [*TABLE, "page", "row_no", "label", "field", "value", "raw", "method", "score", "cells"]
     return wide.select(*columns, F.lit("table_h").alias("source")).unionByName(down(rest, lexicon, stages).select(*columns, F.lit("table_v").alias("source")))
 
@@ -204,7 +204,7 @@ def objects_of_rows(values: DataFrame, headings: DataFrame) -> DataFrame:
     headings: doc_id, name, seq. Gives doc_id, name, object_id (obj1, obj2, ... headings first, then rows in order).
     """
     several = values.where("label <> ''").groupBy(*TABLE).agg(F.count_distinct("label").alias("n")).where("n >= 2").select(*TABLE)
-    rows = values.join(several, TABLE).select("doc_id", F.col("label").alias("name"), F.lit(1).alias("kind"), F.struct("table_no", "row_no").alias("at"))
+    rows = values.join(shuffled(several), TABLE).select("doc_id", F.col("label").alias("name"), F.lit(1).alias("kind"), F.struct("table_no", "row_no").alias("at"))
     heads = headings.select("doc_id", "name", F.lit(0).alias("kind"), F.struct(F.col("seq").cast(values.schema["table_no"].dataType).alias("table_no"), F.lit(0).cast(values.schema["row_no"].dataType).alias("row_no")).alias("at"))
     once = heads.unionByName(rows).groupBy("doc_id", squash("name").alias("_k")).agg(F.min(F.struct("kind", "at", "name")).alias("f"))
     number = F.row_number().over(Window.partitionBy("doc_id").orderBy("f.kind", "f.at", "f.name"))

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import NUMBER, cost_scale, number_readings, once
-from ..session import kept, spread
+from ..session import kept, shuffled, spread
 from ..sources.lexicon import Lexicon
 from . import labels
 from .ordered import first_per
@@ -99,7 +99,7 @@ def anchored_values(pages: DataFrame, lexicon: Lexicon, stages=labels.STAGES) ->
     storeys = pages.select("doc_id", "page", F.explode(places_of(text, rx)).alias("p")).select("doc_id", "page", "p.start", F.col("p.said").alias("quote"))
     storeys = storeys.withColumn("raw", F.regexp_extract("quote", rx, 1))
     storeys = storeys.withColumns({"field": F.lit(floors[0][0]), "value": F.col("raw").cast("double"), "method": F.lit("exact"), "score": F.lit(1.0)})
-    return values.unionByName(storeys.select(*columns).join(values.select("doc_id", "page", "start"), ["doc_id", "page", "start"], "left_anti"))
+    return values.unionByName(storeys.select(*columns).join(shuffled(values.select("doc_id", "page", "start")), ["doc_id", "page", "start"], "left_anti"))
 
 
 def table_lines(lines: DataFrame, boxes: DataFrame, slack: float = 1.0) -> DataFrame:

@@ -28,6 +28,15 @@ def spread(df: DataFrame, *columns: str) -> DataFrame:
     return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *columns)
 
 
+def shuffled(df: DataFrame) -> DataFrame:
+    """The side of a join that grows with the input, not to be sent through the driver.
+
+    Spark takes a table's packed files for its size, and what is exploded from it for no larger: at a few MB of files that
+    is millions of rows in the driver. So joins of such sides are sorted shuffles.
+    """
+    return df.hint("merge")
+
+
 def kept(df: DataFrame) -> DataFrame:
     """The rows as a table in the folder of spark.checkpoint.dir, without their lineage, so that later steps don't compute
     them again and depend on no executor.
