@@ -130,7 +130,7 @@ def experiment(found: DataFrame, gold: DataFrame, runs: dict[str, tuple[str, ...
     chosen = slots(found.withColumn("_r", F.explode(fits)).withColumn("run", F.col("_r.run")).drop("_r"), ["run"])
     keys = ["run", "doc_id", "object", "field"]
     wanted = gold.select(F.explode(F.array(*map(F.lit, runs))).alias("run"), "doc_id", "object", "field", "value")
-    counts = value_counts(wanted, chosen.select(*keys, "value"), keys, "value", within).join(gold.select("doc_id", *by).distinct(), "doc_id")
+    counts = value_counts(wanted, chosen.select(*keys, "value"), keys, "value", within).join(shuffled(gold.select("doc_id", *by).distinct()), "doc_id")
     return prf_by(counts, [["run"], ["run", *by]], ["run", *by])
 
 

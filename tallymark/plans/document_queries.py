@@ -10,7 +10,7 @@ from ..operators import labels, tables, texts
 from ..operators.wordings import CELL_NUMBER, Wordings
 from ..functions.scalars import once
 from ..sources.lexicon import Lexicon, bare_text, field_for_display, material_in, unit_of, unit_of_field
-from ..session import kept, spread
+from ..session import kept, shuffled, spread
 from .registry import Tables, query
 
 #: Eight rows of `part` are a document's table; the document's number says of which kind it is. Expressions of both dialects.
@@ -425,7 +425,7 @@ def stage_experiment(t: Tables) -> DataFrame:
 
     found = note_candidates(t)
     lang = t.part.select(F.col("p_partkey").alias("doc_id"), F.when(F.col("p_size") % 2 == 0, "ru").otherwise("kz").alias("lang"))
-    gold = notes.slots(found).join(lang, "doc_id").withColumn("value", F.when((F.col("field") == "floors") & (F.col("doc_id") % 4 == 0), F.col("value") + 1).otherwise(F.col("value")))
+    gold = notes.slots(found).join(shuffled(lang), "doc_id").withColumn("value", F.when((F.col("field") == "floors") & (F.col("doc_id") % 4 == 0), F.col("value") + 1).otherwise(F.col("value")))
     return notes.experiment(found, gold, RUNS, ["lang"])
 
 
