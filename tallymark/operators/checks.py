@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import TOLERANCES, delta_abs, delta_rel, tolerance_matches, verdict
-from ..session import kept
+from ..session import kept, shuffled
 from .ordered import first_per, in_ranges, running_min
 
 
@@ -146,8 +146,9 @@ def volume_method(volumes: DataFrame, areas: DataFrame, heights: DataFrame, key:
     """Volumes that are an area times a clear height: the first such area and height of each volume.
 
     A volume over a height says which area it takes, to a factor: logarithms of areas lie in buckets as wide as that
-    factor, and only areas of the two buckets that can fit are looked at. Equal values of an object count once, for the
-    first of them. Volumes of zero take the first area and height of which one is zero.
+    factor, and only areas of the two buckets that can fit are looked at; nothing is looked for beyond an object's least
+    and largest area. Equal values of an object count once, for the first of them. Volumes of zero take the first area and
+    height of which one is zero.
     """
     width = max(math.log((1 + rel) / (1 - rel)), 1e-9)
     finite = lambda x: F.col(x).isNotNull() & ~F.isnan(F.col(x).cast("double")) & (F.abs(F.col(x).cast("double")) < float("inf"))
@@ -156,19 +157,21 @@ def volume_method(volumes: DataFrame, areas: DataFrame, heights: DataFrame, key:
     log = lambda x: F.log(F.abs(F.col(x).cast("double")))
     a, h = once(areas, "area", "area_seq"), once(heights, "height", "height_seq")
     v = volumes.where(finite("volume")).select(key, "volume").distinct()
-    asked = v.where("volume > 0").join(h.where("height <> 0"), key)
+    edges = areas.where(finite("area")).where("area <> 0").groupBy(key).agg(F.min(log("area")).alias("_low"), F.max(log("area")).alias("_high"))
     ratio = log("volume") - log("height")
+    fits = (ratio + math.log(1 + rel) + NEAR >= F.col("_low")) & (ratio + math.log(1 - rel) - NEAR <= F.col("_high"))
+    asked = v.where("volume > 0").join(shuffled(h.where("height <> 0").join(shuffled(edges), key)), key).where(fits).drop("_low", "_high")
     bucket = lambda x: F.floor(x / width).cast("long")
     asked = asked.withColumn("_bucket", F.explode(F.array_distinct(F.array(*[bucket(ratio + math.log(f) + s) for f, s in ((1 - rel, -NEAR), (1, 0), (1 + rel, NEAR))]))))
-    met = asked.join(a.where("area <> 0").withColumn("_bucket", bucket(log("area"))), [key, "_bucket"])
+    met = asked.join(shuffled(a.where("area <> 0").withColumn("_bucket", bucket(log("area")))), [key, "_bucket"])
     hit = met.where(F.abs(F.col("area") * F.col("height") - F.col("volume")) <= rel * F.col("volume")).select(key, "volume", "_area", "_height")
 
     ends = lambda df, value, seq: df.where(finite(value)).groupBy(key).agg(F.min_by(fields(df), seq).alias(f"_{value}"), F.min_by(fields(df), F.when(F.col(value) == 0, F.col(seq))).alias(f"_{value}_0"))
-    zero = v.where("volume = 0").join(ends(areas, "area", "area_seq"), key).join(ends(heights, "height", "height_seq"), key)
+    zero = v.where("volume = 0").join(shuffled(ends(areas, "area", "area_seq")), key).join(shuffled(ends(heights, "height", "height_seq")), key)
     either = F.array(*[F.struct(F.col(x).alias("_area"), F.col(y).alias("_height")) for x, y in (("_area_0", "_height"), ("_area", "_height_0"))])
     zero = zero.select(key, "volume", F.explode(either).alias("x")).select(key, "volume", "x._area", "x._height").where("_area is not null and _height is not null")
     best = hit.unionByName(zero).groupBy(key, "volume").agg(F.min_by(F.struct("_area", "_height"), F.struct("_area.area_seq", "_height.height_seq")).alias("_b"))
-    return volumes.join(best, [key, "volume"]).select(*volumes.columns, "_b._area.*", "_b._height.*")
+    return volumes.join(shuffled(best), [key, "volume"]).select(*volumes.columns, "_b._area.*", "_b._height.*")
 
 
 def volume_ratio(volumes: DataFrame, areas: DataFrame, floors: DataFrame, key: str, found: DataFrame, least: float = 2.8) -> DataFrame:
@@ -180,7 +183,7 @@ def volume_ratio(volumes: DataFrame, areas: DataFrame, floors: DataFrame, key: s
     v = volumes.where("volume is not null").groupBy(key).agg(F.min(F.struct((~F.coalesce("from_table", F.lit(False))).alias("text"), "volume", "volume_seq")).alias("_v"))
     a = areas.where("area is not null").groupBy(key).agg(F.min(F.struct((-F.col("area")).alias("_a"), "area_seq", "area")).alias("_s"))
     f = floors.groupBy(key).agg(F.max("floors").alias("floors")).where("floors > 0")
-    rest = v.join(found.select(key).distinct(), key, "left_anti").join(a, key).join(f, key)
+    rest = v.join(shuffled(found.select(key).distinct()), key, "left_anti").join(shuffled(a), key).join(shuffled(f), key)
     rows = rest.select(key, "_v.volume_seq", "_s.area_seq", "_v.volume", "_s.area", "floors")
     return rows.where(F.try_divide(F.col("volume"), F.col("area") * F.col("floors")) < least)
 
